@@ -432,6 +432,8 @@ _RAW: dict[str, str] = {
     "slug_key": "SELECT id, 'speculative://' || replace(lower(name || ' ' || industry), ' ', '_') AS key FROM v_companies",
     "content_key": """SELECT doc_id, 'pasted://' || replace(lower(source), ' ', '_') || '_' || substr(md5(text), 1, 8) AS key
         FROM documents""",
+    "mailbox_name": f"""SELECT id, array_to_string(list_transform(string_split(split_part(email, '@', 1), '.'),
+        lambda w: upper(w[1]) || lower(w[2:])), '.') AS name FROM v_contacts WHERE {SOUND}""",
     "relative_age": f"SELECT id, {AGE_TEXT} AS age FROM v_applications",
     "score_round": """SELECT id, CASE WHEN score / 3 <> 0 THEN round(score / 3, 2) END AS listed, round(score / 3, 2) AS detailed
         FROM v_applications""",
@@ -545,5 +547,19 @@ _RAW: dict[str, str] = {
     "transition_counts": f"""SELECT {_time("date_trunc('hour', timestamp)")} AS window_start, state, count(*) AS transitions
         FROM v_history GROUP BY 1, 2""",
 }
+_RAW["stream_current_state"] = _RAW["current_state"]
+_RAW["stream_transition_counts"] = _RAW["transition_counts"]
+_RAW["stream_dedup"] = "SELECT DISTINCT application_id, state FROM v_history"
+_RAW["stream_breaker"] = """SELECT CAST(run_day AS VARCHAR) AS run_day, domain, count(*) AS failures, count(*) >= 3 AS disabled
+    FROM v_fetch_log WHERE NOT ok AND domain <> '' GROUP BY run_day, domain"""
+# Lifetimes by gaps-and-islands; only those that ended before the last watermark have left the cache.
+_RAW["stream_ttl"] = f"""WITH writes AS (SELECT *, created_at + to_hours(ttl_hours) AS e FROM v_cache WHERE ttl_hours > 0),
+    marked AS (SELECT *, coalesce(created_at > max(e) OVER (PARTITION BY key ORDER BY created_at
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens FROM writes),
+    islands AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY created_at) AS island FROM marked),
+    lives AS (SELECT key, min(created_at) AS s, max(e) AS e, arg_max(value, version) AS value, count(*) AS writes
+      FROM islands GROUP BY key, island)
+    SELECT key, {_time('s')} AS first_write, {_time('e')} AS expired_at, value, writes FROM lives
+    WHERE e <= (SELECT date_trunc('millisecond', max(created_at)) - INTERVAL 1 HOUR FROM v_cache)"""
 
 CHECKS: dict[str, str] = {name: with_prelude(body) for name, body in _RAW.items()}

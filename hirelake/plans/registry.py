@@ -26,10 +26,11 @@ from hirelake.operators import (
 )
 from hirelake.plans import advance
 from hirelake.rules import FIXTURE_RULES as RULES
-from hirelake.session import configure
+from hirelake.session import configure, staging_path
 from hirelake.sources import scans
 from hirelake.sources.schemas import RESPONSES
-from hirelake.sources.views import EVENTS_AS_OF, ORDERS_AS_OF, base, view
+from hirelake.sources.views import EVENTS_AS_OF, ORDERS_AS_OF, base, view, view_stream
+from hirelake.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -660,3 +661,45 @@ def transition_counts(t):
         F.count("*").alias("transitions"))
     return counts.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                          "state", "transitions")
+
+
+# --- streams, run over everything available --------------------------------------------------------------
+def _run(t, stream: DataFrame, mode: str) -> DataFrame:
+    path = staging_path(t.spark, "stream")
+    return streams.run_available(stream, f"{path}/out", f"{path}/checkpoint", mode)
+
+
+@query
+def stream_current_state(t):
+    history = view_stream(t.spark, t.sf_dir, "v_history", "events")
+    return streams.newest(_run(t, streams.current_state(history), "update"), ["application_id"]).select(
+        "application_id", "state", F.col("stage").cast("int"))
+
+
+@query
+def stream_transition_counts(t):
+    history = view_stream(t.spark, t.sf_dir, "v_history", "events")
+    written = _run(t, streams.transition_counts(history), "update")
+    return streams.newest(written, ["window_start", "state"]).withColumn(
+        "window_start", _time("window_start"))
+
+
+@query
+def stream_dedup(t):
+    history = view_stream(t.spark, t.sf_dir, "v_history", "events")
+    kept = streams.first_seen(history, ["application_id", "state"], "timestamp", "60 days")
+    return _run(t, kept.select("application_id", "state"), "append").drop("batch")
+
+
+@query
+def stream_breaker(t):
+    log = view_stream(t.spark, t.sf_dir, "v_fetch_log", "events")
+    written = _run(t, streams.breaker(log, RULES), "update")
+    return streams.newest(written, ["run_day", "domain"]).withColumn("run_day", F.col("run_day").cast("string"))
+
+
+@query
+def stream_ttl(t):
+    writes = view_stream(t.spark, t.sf_dir, "v_cache", "events")
+    closed = _run(t, streams.cache_lifetimes(writes), "append")
+    return closed.select("key", _time("first_write"), _time("expired_at"), "value", "writes")

@@ -5,47 +5,44 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
-ENTITIES: dict[str, T.StructType] = {
-    "runs": ddl("id STRING, started_at TIMESTAMP, completed_at TIMESTAMP, status STRING"),
-    "companies": ddl(
+# Kept as DDL text, so that importing this module needs no running session.
+ENTITIES: dict[str, str] = {
+    "runs": ("id STRING, started_at TIMESTAMP, completed_at TIMESTAMP, status STRING"),
+    "companies": (
         "id BIGINT, name STRING, domain STRING, employee_count INT, industry STRING, "
         "research_data STRUCT<business_model: STRING, funding: STRING, tech_stack: ARRAY<STRING>, "
         "culture: STRING, leadership: ARRAY<STRING>>, created_at TIMESTAMP, updated_at TIMESTAMP"
     ),
-    "jobs": ddl(
+    "jobs": (
         "id BIGINT, company_id BIGINT, title STRING, url STRING, salary STRING, "
         "salary_min_lpa DOUBLE, salary_max_lpa DOUBLE, experience_years_required DOUBLE, "
         "description STRING, location STRING, created_at TIMESTAMP"
     ),
-    "contacts": ddl(
+    "contacts": (
         "id BIGINT, company_id BIGINT, name STRING, role STRING, email STRING, "
         "linkedin_url STRING, created_at TIMESTAMP"
     ),
-    "applications": ddl(
+    "applications": (
         "id BIGINT, run_id STRING, job_id BIGINT, contact_id BIGINT, current_stage INT, "
         "state STRING, score DOUBLE, score_breakdown STRING, tailored_resume_path STRING, "
         "created_at TIMESTAMP, updated_at TIMESTAMP"
     ),
-    "emails": ddl(
+    "emails": (
         "id BIGINT, application_id BIGINT, subject STRING, body STRING, gmail_draft_id STRING, "
         "status STRING, scheduled_at TIMESTAMP, created_at TIMESTAMP"
     ),
-    "resume_versions": ddl(
+    "resume_versions": (
         "id BIGINT, application_id BIGINT, parent_resume STRING, company STRING, role STRING, "
         "keywords_added ARRAY<STRING>, reasoning STRING, path STRING, created_at TIMESTAMP"
     ),
-    "history": ddl(
+    "history": (
         "id BIGINT, application_id BIGINT, stage INT, state STRING, run_id STRING, "
         "timestamp TIMESTAMP, notes STRING"
     ),
-    "cache_entries": ddl("key STRING, value STRING, expires_at TIMESTAMP, created_at TIMESTAMP"),
+    "cache_entries": ("key STRING, value STRING, expires_at TIMESTAMP, created_at TIMESTAMP"),
 }
 
-LOG = ddl(
+LOG = (
     "timestamp TIMESTAMP, level STRING, message STRING, logger STRING, run_id STRING, "
     "company STRING, stage STRING, duration_seconds DOUBLE, status STRING, errors STRING, "
     "retries INT, _corrupt_record STRING"

@@ -7,6 +7,7 @@ so both sides always see the same rows.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -188,6 +189,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name].format(**tables))
 
 
+def view_stream(spark: SparkSession, sf_dir: str, name: str, table: str) -> DataFrame:
+    """A fixture view over a stream of the parquet files of one table; times become instants."""
+    path = f"{sf_dir}/{table}.parquet"
+    # Written as a glob: a stream source takes a single file only that way; folders match as well.
+    pattern = f"{sf_dir}/{table[:-1]}[{table[-1]}].parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
+    rows = spark.sql(VIEWS[name].format(**{table: "{source}"}), source=stream)
+    return rows.select(*[F.col(f.name).cast("timestamp") if f.dataType.typeName() == "timestamp_ntz"
+                         else F.col(f.name) for f in rows.schema.fields])
+
+
 def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
