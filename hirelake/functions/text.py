@@ -72,12 +72,17 @@ def percent_decode(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
 
 
+# One white-space character, and those of them that end a line.
+_SPACE = r"[ \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029]"
+_LINE_END = r"[\n\r\f\x0b\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
 def clean_lines(c: Column) -> Column:
     """Trim every line, split it at double spaces, drop blanks, rejoin with newlines.
 
     A white-space run holding a line break or two adjacent spaces is a boundary; any other run is
-    kept as it is. One replacement therefore does the whole job without building arrays.
+    kept as it is. One replacement therefore does the whole job without building arrays. The
+    pattern tries the usual cases on the first character, as most runs are single spaces.
     """
-    run = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{2028}\x{2029}]*"
-    boundary = run + r"(?:[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]|  )" + run
+    boundary = (f"{_SPACE}(?:(?<={_LINE_END})|(?<= ) |{_SPACE}*(?:{_LINE_END}|  )){_SPACE}*")
     return strip(F.regexp_replace(c, boundary, "\n"))

@@ -2,63 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions.text import clean_lines, col, percent_decode, strip
 
-# Entities decoded by name; numeric ones follow a rule. ``&amp;`` must come last.
-NAMED_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0",
-    "&copy;": "\u00a9", "&reg;": "\u00ae", "&middot;": "\u00b7", "&ndash;": "\u2013",
-    "&mdash;": "\u2014", "&lsquo;": "\u2018", "&rsquo;": "\u2019", "&ldquo;": "\u201c",
-    "&rdquo;": "\u201d", "&bull;": "\u2022", "&hellip;": "\u2026", "&euro;": "\u20ac",
-    "&trade;": "\u2122",
+# Entities decoded by name, frequent ones first; numeric ones follow a rule.
+FREQUENT_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0"}
+RARE_ENTITIES = {
+    "apos": "'", "copy": "\u00a9", "reg": "\u00ae", "middot": "\u00b7", "ndash": "\u2013",
+    "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d",
+    "bull": "\u2022", "hellip": "\u2026", "euro": "\u20ac", "trade": "\u2122",
 }
 
 # Scripts, styles and comments hide markup from the parser, so they go in one left-to-right pass.
-_OPAQUE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
-_CHROME = (
-    r"(?is)<header\b[^>]*>.*?</header\s*>|<footer\b[^>]*>.*?</footer\s*>|<nav\b[^>]*>.*?</nav\s*>"
-)
-_DECLARATION = r"(?s)<![^>]*>"
-_TAG = r"(?s)</?[a-zA-Z][^>]*>"
+OPAQUE = r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>)"
+CHROME = (r"(?is)<(?:header\b[^>]*>.*?</header\s*>|footer\b[^>]*>.*?</footer\s*>"
+          r"|nav\b[^>]*>.*?</nav\s*>)")
+MARKUP = r"<(?:![^>]*|/?[a-zA-Z][^>]*)>"
+
+
+def named(entity: str) -> str:
+    """Pattern of a named reference; the semicolon may be missing before a non-word character."""
+    return rf"&{entity}(?:;|\b)"
+
+
+def _decode_frequent(c: Column) -> Column:
+    for name, char in FREQUENT_ENTITIES.items():
+        c = F.regexp_replace(c, named(name), char)
+    return c
+
+
+def _decode_rare(c: Column) -> Column:
+    """One test where there are none."""
+    decoded = c
+    for name, char in RARE_ENTITIES.items():
+        decoded = F.regexp_replace(decoded, named(name), char)
+    return F.when(c.rlike("&(?:" + "|".join(RARE_ENTITIES) + r")\b"), decoded).otherwise(c)
+
+
+def decode_named(c: Column) -> Column:
+    """Decode named references; ``&amp;`` goes last, since its result may look like another one."""
+    return F.regexp_replace(_decode_rare(_decode_frequent(c)), named("amp"), "&")
+
+
+def decode_numeric(c: Column) -> Column:
+    """Decode decimal and hexadecimal references, where there are any."""
+    decoded = F.array_join(F.transform(F.split(c, "&#"), _numeric), "")
+    return F.when(c.contains("&#"), decoded).otherwise(c)
 
 
 def decode_entities(c: Column) -> Column:
-    """Decode named and numeric character references."""
-    for name, char in NAMED_ENTITIES.items():
-        c = F.replace(c, F.lit(name), F.lit(char))
-    pieces = F.split(c, "&#")
-    decoded = F.array_join(F.transform(pieces, _numeric), "")
-    c = F.when(c.contains("&#"), decoded).otherwise(c)
-    return F.replace(c, F.lit("&amp;"), F.lit("&"))
+    """All references of a short text. Numeric ones first, so that ``&amp;#65;`` stays ``&#65;``."""
+    return decode_named(decode_numeric(c))
 
 
 def _numeric(piece: Column, i: Column) -> Column:
     """``65;rest`` or ``x41;rest`` to ``Arest``; text without a usable reference stays as written."""
-    digits = F.regexp_extract(piece, r"^(x[0-9a-fA-F]{1,6}|[0-9]{1,7});", 1)
-    code = F.when(digits.startswith("x"), F.conv(F.substring(digits, 2, 6), 16, 10)) \
+    digits = F.regexp_extract(piece, r"^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7})(?![0-9a-fA-F])", 1)
+    hexed = F.lower(digits).startswith("x")
+    code = F.when(hexed, F.conv(F.substring(digits, 2, 6), 16, 10)) \
         .otherwise(F.nullif(digits, F.lit(""))).cast("bigint")
     usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    rest = F.substring(piece, F.length(digits) + 2, F.length(piece))
+    rest = F.regexp_replace(F.substring(piece, F.length(digits) + 1, F.length(piece)), "^;", "")
     return F.when(i == 0, piece).when(usable, F.concat(char, rest)) \
         .otherwise(F.concat(F.lit("&#"), piece))
 
 
-def html_text(html: Column | str) -> Column:
-    """Visible text of a page: no scripts, styles, comments, header, footer or nav; one text node
-    per line; entities decoded."""
-    c = col(html)
-    for pattern in (_OPAQUE, _CHROME, _DECLARATION, _TAG):
-        c = F.regexp_replace(c, pattern, "\n")
-    return F.coalesce(clean_lines(decode_entities(c)), F.lit(""))
+def with_html_text(df: DataFrame, html: str, out: str) -> DataFrame:
+    """Add the visible text of a page: no scripts, styles, comments, header, footer or nav; one text
+    node per line; entities decoded.
+
+    Built in steps: each step reads its input more than once, and a column of its own makes Spark
+    evaluate that input only once per row.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(
+        col(html), OPAQUE, "\n"), CHROME, "\n"), MARKUP, "\n")
+    df = df.withColumn(out, bare).withColumn(out, decode_numeric(F.col(out)))
+    for step in (_decode_frequent, _decode_rare):
+        df = df.withColumn(out, step(F.col(out)))
+    plain = F.regexp_replace(F.col(out), named("amp"), "&")
+    return df.withColumn(out, F.coalesce(clean_lines(plain), F.lit("")))
 
 
 def node_text(fragment: Column) -> Column:
     """Text of an inline fragment: tags removed without a break, entities decoded, trimmed."""
-    return strip(decode_entities(F.regexp_replace(fragment, _TAG, "")))
+    return strip(decode_entities(F.regexp_replace(fragment, MARKUP, "")))
 
 
 def url_domain(url: Column | str) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from html import unescape
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,11 +17,11 @@ from pyspark.sql import functions as F
 from hirelake.functions.text import contains_any
 from hirelake.functions.web import (
     anchors,
-    html_text,
     redirect_target,
     result_entries,
     ru_target,
     url_domain,
+    with_html_text,
 )
 
 # Tasks get this module's functions by value, so executors need no copy of the package.
@@ -28,31 +30,45 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 def page_text(pages: DataFrame) -> DataFrame:
     """Visible text per page, as JVM expressions only."""
-    return pages.withColumn("text", html_text("html"))
+    return with_html_text(pages, "html", "text")
 
 
 class _VisibleText(HTMLParser):
-    """Collects text nodes outside the dropped elements (nesting-aware, any entity)."""
+    """Collects text nodes outside the dropped elements (nesting-aware, any named entity)."""
 
     DROPPED = ("script", "style", "header", "footer", "nav")
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.nodes: list[str] = []
+        super().__init__(convert_charrefs=False)
+        self.nodes: list[str] = [""]
         self.open: list[str] = []
 
+    def _text(self, data: str) -> None:
+        if not self.open:
+            self.nodes[-1] += data
+
     def handle_starttag(self, tag, attrs):
+        self.nodes.append("")
         if tag in self.DROPPED:
             self.open.append(tag)
 
     def handle_endtag(self, tag):
+        self.nodes.append("")
         if tag in self.open:
             while self.open.pop() != tag:
                 pass
 
+    def handle_comment(self, data):
+        self.nodes.append("")
+
     def handle_data(self, data):
-        if not self.open:
-            self.nodes.append(data)
+        self._text(data)
+
+    def handle_charref(self, name):
+        self._text(unescape(f"&#{name};"))
+
+    def handle_entityref(self, name):
+        self._text(html5.get(name + ";", f"&{name}"))
 
 
 def _visible_lines(html: str | None) -> str:
@@ -122,12 +138,15 @@ def with_placeholder_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "pos", "title", "url", "snippet").unionByName(stand_in)
 
 
-def evidence(hits: DataFrame, texts: DataFrame, chars: int) -> DataFrame:
+def evidence(hits: DataFrame, pages: DataFrame, chars: int) -> DataFrame:
     """One evidence text per query: a header and the opening of each hit's page, in hit order.
 
-    ``hits`` must come from :func:`top_hits`, so a query collects at most ``limit`` chunks.
-    ``chars`` is the evidence size per hit, a report parameter; pages are cleaned whole first.
+    ``hits(query_id, rank, url, title)`` must come from :func:`top_hits`, so a query collects at
+    most ``limit`` chunks. Only pages that were hit are cleaned, each once and whole; ``chars`` is
+    the evidence size per hit, a report parameter.
     """
+    wanted = pages.join(hits.select("url").distinct(), "url", "left_semi")
+    texts = with_html_text(wanted, "html", "text").select("url", "text")
     chunk = F.concat(F.lit("\n--- "), "title", F.lit(" ("), "url", F.lit(") ---\n"),
                      F.substring("text", 1, chars))
     joined = hits.join(texts, "url").select("query_id", F.struct("rank", chunk.alias("chunk")).alias("c"))
