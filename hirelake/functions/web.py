@@ -139,8 +139,8 @@ def result_entries(html: Column | str) -> Column:
 
     The page is cut at its result blocks; an entry needs both a link and a snippet anchor.
     """
-    blocks = F.slice(F.split(col(html), r'(?i)<div\b[^>]*class="[^"]*\bresult__body\b[^"]*"[^>]*>'),
-                     2, 2147483647)
+    cut = F.split(col(html), r'(?i)<div\b[^>]*class="[^"]*\bresult__body\b[^"]*"[^>]*>')
+    blocks = F.slice(cut, F.lit(2), F.size(cut))
     link = r'(?is)<a\b(?=[^>]*class="[^"]*\bresult__url\b)[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a\s*>'
     snippet = r'(?is)<a\b(?=[^>]*class="[^"]*\bresult__snippet\b)[^>]*>(.*?)</a\s*>'
     entries = F.transform(blocks, lambda b: F.struct(
