@@ -45,13 +45,15 @@ NOTE = "Hello {name}, the {role} opening at {company} fits my work on {stack}."
 
 
 class Tables:
-    """Attribute access to the views: ``t.jobs`` is ``v_jobs``."""
+    """Attribute access to the views: ``t.jobs`` is ``v_jobs``; each view is built once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return view(self.spark, self.sf_dir, f"v_{name}")
+        built = view(self.spark, self.sf_dir, f"v_{name}")
+        setattr(self, name, built)
+        return built
 
     def base(self, name: str) -> DataFrame:
         return base(self.spark, self.sf_dir, name)

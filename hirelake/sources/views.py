@@ -9,10 +9,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BASE_TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
+# Declared, so that no query starts with a schema inference job.
+BASE_TABLES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": (
+        "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment "
+        "STRING"
+    ),
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": (
+        "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+        "p_retailprice DOUBLE"
+    ),
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+        "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity "
+        "DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+        "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+    "events": (
+        "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, "
+        "props STRING"
+    ),
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "benchmark": "item_id BIGINT, text STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
 
 EVENTS_AS_OF = "2024-01-15 00:00:00"
 ORDERS_AS_OF = "1998-06-15 00:00:00"
@@ -183,27 +212,29 @@ VIEWS: dict[str, str] = {
 }
 
 
+def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.schema(BASE_TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _source_tables(name: str) -> list[str]:
+    return [t for t in BASE_TABLES if "{" + t + "}" in VIEWS[name]]
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One fixture view over the parquet tables of ``sf_dir``."""
-    tables = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in BASE_TABLES}
-    return spark.sql(VIEWS[name].format(**tables))
+    return spark.sql(VIEWS[name], **{t: base(spark, sf_dir, t) for t in _source_tables(name)})
 
 
 def view_stream(spark: SparkSession, sf_dir: str, name: str, table: str) -> DataFrame:
     """A fixture view over a stream of the parquet files of one table; times become instants."""
-    path = f"{sf_dir}/{table}.parquet"
     # Written as a glob: a stream source takes a single file only that way; folders match as well.
     pattern = f"{sf_dir}/{table[:-1]}[{table[-1]}].parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(pattern)
-    rows = spark.sql(VIEWS[name].format(**{table: "{source}"}), source=stream)
+    stream = spark.readStream.schema(BASE_TABLES[table]).parquet(pattern)
+    rows = spark.sql(VIEWS[name], **{table: stream})
     return rows.select(*[F.col(f.name).cast("timestamp") if f.dataType.typeName() == "timestamp_ntz"
                          else F.col(f.name) for f in rows.schema.fields])
 
 
-def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 def with_prelude(body: str) -> str:
     """Prefix a SQL body with the view definitions it mentions, as common table expressions."""
     names = {t: t for t in BASE_TABLES}
