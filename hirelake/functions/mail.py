@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hirelake.functions.text import WHITESPACE, blank_to_null, col, filled, strip
+from hirelake.functions.text import WHITESPACE, col, filled, strip
 
 # Fixed value: accepted mailbox form.
 MAILBOX = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+$"
@@ -26,29 +26,33 @@ def company_domain(domain: Column | str, name: Column | str) -> Column:
     return F.coalesce(F.nullif(col(domain), F.lit("")), guess)
 
 
+def _guess_columns(full_name: Column | str, domain: Column | str) -> list[Column]:
+    """The guesses as single columns, most likely first; null where one does not apply.
+
+    Plain string expressions instead of arrays, so they compile and a caller that wants only the
+    first acceptable one stops there.
+    """
+    at = F.when(filled(domain), F.concat(F.lit("@"), F.lower(strip(domain))))
+    name = F.lower(strip(full_name))
+    first = F.nullif(F.regexp_extract(name, f"^([^{WHITESPACE}]+)", 1), F.lit(""))
+    last = F.nullif(F.regexp_extract(name, f"[{WHITESPACE}]([^{WHITESPACE}]+)$", 1), F.lit(""))
+    return [
+        F.concat(first, F.lit("."), last, at), F.concat(first, at),
+        F.concat(F.substring(first, 1, 1), F.lit("."), last, at), F.concat(first, last, at),
+        F.concat(last, F.lit("."), first, at), F.concat(F.lit("careers"), at)]
+
+
 def mailbox_guesses(full_name: Column | str, domain: Column | str) -> Column:
     """Likely mailboxes of a person at a domain, most likely first, without repeats.
 
     No domain gives an empty list; a blank name only the shared careers mailbox.
     """
-    at = F.concat(F.lit("@"), F.lower(strip(domain)))
-    words = F.filter(F.split(F.lower(strip(full_name)), f"[{WHITESPACE}]+"), lambda w: w != "")
-    count = F.size(words)
-    first, last = F.get(words, F.lit(0)), F.get(words, count - 1)
-    shared = F.concat(F.lit("careers"), at)
-    pair = F.array(
-        F.concat(first, F.lit("."), last, at), F.concat(first, at),
-        F.concat(F.substring(first, 1, 1), F.lit("."), last, at),
-        F.concat(first, last, at), F.concat(last, F.lit("."), first, at), shared)
-    guesses = F.when(count > 1, pair).when(count == 1, F.array(F.concat(first, at), shared)) \
-        .otherwise(F.array(shared))
-    return F.when(filled(domain), F.array_distinct(guesses)) \
-        .otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.array_compact(F.array(*_guess_columns(full_name, domain))))
 
 
-def first_sound_mailbox(guesses: Column) -> Column:
+def first_sound_mailbox(full_name: Column | str, domain: Column | str) -> Column:
     """First guess of the right form; null when there is none."""
-    return F.get(F.filter(guesses, mailbox_ok), F.lit(0))
+    return F.coalesce(*[F.when(g.rlike(MAILBOX), g) for g in _guess_columns(full_name, domain)])
 
 
 def name_from_mailbox(c: Column | str) -> Column:
@@ -57,7 +61,3 @@ def name_from_mailbox(c: Column | str) -> Column:
     # Marking each word start lets initcap, which only knows spaces, do the rest.
     marked = F.regexp_replace(local, r"(\P{L})(?=\p{L})", "$1\u0001 ")
     return F.replace(F.initcap(marked), F.lit("\u0001 "), F.lit(""))
-
-
-__all__ = ["mailbox_ok", "mail_domain", "company_domain", "mailbox_guesses",
-           "first_sound_mailbox", "name_from_mailbox", "blank_to_null"]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.operators.keys import last_per
+from hirelake.operators.keys import lookup as lookup_side
 
 EMPTY_VALUES = ("", "[]", "{}", "null", '""')
 
@@ -38,7 +39,7 @@ def lookup(requests: DataFrame, entries: DataFrame, as_of: str,
     if treat_empty_as_miss:
         live = live.where(~F.col("value").isin(*EMPTY_VALUES))
     found = live.withColumn("_live", F.lit(True))
-    joined = requests.join(found, "key", "left")
+    joined = lookup_side(requests, found, ["key"], ["key"])
     return joined.withColumn("hit", F.coalesce("_live", F.lit(False))).drop("_live")
 
 

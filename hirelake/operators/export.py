@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions.display import body_preview, score_or_null
 from hirelake.functions.text import or_text
-from hirelake.operators.keys import spread_null_id
+from hirelake.operators.keys import lookup
 from hirelake.operators.reporting import latest_per_application
 
 MANIFEST_SCHEMA = "application_id BIGINT"
@@ -31,11 +31,9 @@ def records(applications: DataFrame, jobs: DataFrame, companies: DataFrame, cont
     c = companies.select(F.col("id").alias("company_id"),
                          F.struct("name", "domain", "industry", "employee_count").alias("c"))
     p = contacts.select(F.col("id").alias("_cid"), F.struct("name", "role", "email").alias("p"))
-    rows = applications.join(mail, "id", "left").join(j, "job_id", "left") \
-        .withColumn("_company", spread_null_id("company_id", "id")) \
-        .join(c.withColumnRenamed("company_id", "_ccid"), F.col("_company") == F.col("_ccid"), "left") \
-        .withColumn("_key", spread_null_id("contact_id", "id")) \
-        .join(p, F.col("_key") == F.col("_cid"), "left")
+    rows = applications.join(mail, "id", "left").join(j, "job_id", "left")
+    rows = lookup(rows, c, ["company_id"], ["company_id"], "id")
+    rows = lookup(rows, p, ["contact_id"], ["_cid"], "id")
 
     def of(parent: str, field: str):
         value = F.col(f"{parent}.{field}").cast("string")
@@ -81,33 +79,30 @@ def export(applications: DataFrame, jobs: DataFrame, companies: DataFrame, conta
            emails: DataFrame, out: str, stamp: str, export_all: bool = False) -> Exported:
     """Write new records, refresh the cumulative CSV, then extend the manifest.
 
-    Files are sorted by update time, one folder per sink. The ids are staged first and added to the
-    manifest last, so a run that dies in between is repeated rather than lost; nothing is written
-    when nothing is new. With ``export_all`` the manifest is ignored and rewritten.
+    The records are computed once, into a staged table that all sinks read; files are sorted by
+    update time, one folder per sink. The manifest is extended last, so a run that dies before is
+    repeated rather than lost. Nothing is written when nothing is new. With ``export_all`` the
+    manifest is ignored and rewritten.
     """
     spark = applications.sparkSession
-    manifest = f"{out}/manifest"
+    manifest, stage = f"{out}/manifest", f"{out}/staged_{stamp}"
     known = spark.createDataFrame([], MANIFEST_SCHEMA) if export_all else read_manifest(spark, manifest)
-    batch = f"{out}/staged_{stamp}"
-    pending(applications, known).select(F.col("id").alias("application_id")) \
-        .write.mode("overwrite").parquet(batch)
-    ids = spark.read.schema(MANIFEST_SCHEMA).parquet(batch)
-    new = ids.count()
-    total_before = known.select("application_id").distinct().count()
+    done = known.distinct()
+    pending(applications, done).select(F.col("id").alias("application_id")) \
+        .write.mode("overwrite").parquet(f"{stage}/ids")
+    ids = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{stage}/ids")
+    new, before = ids.count(), done.count()
     if new == 0:
-        return Exported(0, total_before)
+        return Exported(0, before)
 
-    parents = (jobs, companies, contacts, emails)
-
-    def of(selection: DataFrame) -> DataFrame:
-        chosen = applications.join(selection.select(F.col("application_id").alias("id")).distinct(),
-                                   "id", "left_semi")
-        return records(chosen, *parents).orderBy("updated_at", "application_id")
-
-    fresh = of(ids)
+    chosen = done.withColumn("_new", F.lit(False)).unionByName(ids.withColumn("_new", F.lit(True)))
+    listed = records(applications, jobs, companies, contacts, emails).join(chosen, "application_id")
+    listed.write.mode("overwrite").parquet(f"{stage}/records")
+    listed = spark.read.schema(listed.schema).parquet(f"{stage}/records")
+    fresh = listed.where("_new").drop("_new").orderBy("updated_at", "application_id")
     fresh.write.mode("overwrite").json(f"{out}/export_{stamp}.json")
     fresh.write.mode("overwrite").option("header", True).csv(f"{out}/export_{stamp}.csv")
-    of(known.unionByName(ids)).write.mode("overwrite").option("header", True) \
-        .csv(f"{out}/export_latest.csv")
+    listed.drop("_new").orderBy("updated_at", "application_id") \
+        .write.mode("overwrite").option("header", True).csv(f"{out}/export_latest.csv")
     ids.write.mode("overwrite" if export_all else "append").parquet(manifest)
-    return Exported(new, total_before + new)
+    return Exported(new, before + new)

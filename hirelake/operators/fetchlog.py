@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hirelake.operators.keys import lookup
 from hirelake.rules import Rules
 
 
@@ -49,7 +50,7 @@ def trip_points(log: DataFrame, rules: Rules) -> DataFrame:
 def with_breaker(log: DataFrame, rules: Rules) -> DataFrame:
     """Every fetch with whether its domain was disabled before it in that run."""
     points = trip_points(log, rules)
-    joined = log.join(points, ["run_day", "domain"], "left")
+    joined = lookup(log, points, ["run_day", "domain"], ["run_day", "domain"])
     later = F.struct("ts", "id") > F.struct(F.col("tripped_ts"), F.col("tripped_id"))
     return joined.withColumn(
         "disabled", F.coalesce(F.when(F.col("tripped_ts").isNotNull(), later), F.lit(False))) \

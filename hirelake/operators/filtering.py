@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hirelake.functions.text import blank_to_null, contains_any
 from hirelake.functions.web import url_domain
-from hirelake.operators.keys import first_per
+from hirelake.operators.keys import first_per, lookup
 from hirelake.rules import REFILTER_CLOSED, RUN_TERMINAL, Rules
 
 
@@ -108,7 +108,7 @@ def resume_or_discover(applications: DataFrame, discovered: DataFrame) -> DataFr
 def drop_denied(pages: DataFrame, denied: DataFrame, block_heavy: Sequence[str]) -> DataFrame:
     """Pages whose domain is not on the list, exact match; flags block-heavy hosts, substring match."""
     with_domain = pages.withColumn("domain", url_domain("url"))
-    kept = with_domain.join(denied.select("domain").distinct(), "domain", "left_anti")
+    kept = lookup(with_domain, denied.select("domain").distinct(), ["domain"], ["domain"], how="left_anti")
     return kept.withColumn("is_block_heavy", contains_any("domain", block_heavy))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions.text import filled
-from hirelake.operators.keys import spread_null_id
+from hirelake.operators.keys import lookup
 from hirelake.operators.outreach import mail_verdicts
 from hirelake.rules import CLEARED_EMAIL_STATES, NO_EMAIL_STATES
 
@@ -29,13 +29,12 @@ def clean_applications(applications: DataFrame, cleaned: DataFrame) -> DataFrame
     """
     contact = cleaned.select(F.col("id").alias("_cid"), F.col("cleared").alias("_cleared"),
                              filled("email").alias("_mail"))
-    rows = applications.withColumn("_key", spread_null_id("contact_id", "id")) \
-        .join(contact, F.col("_key") == F.col("_cid"), "left")
+    rows = lookup(applications, contact, ["contact_id"], ["_cid"], "id")
     lost = F.coalesce("_cleared", F.lit(False)) & F.col("state").isin(*CLEARED_EMAIL_STATES)
     stuck = F.col("state").isin(*NO_EMAIL_STATES) & ~F.coalesce("_mail", F.lit(False))
     return rows.withColumn("changed", lost | stuck).withColumn(
         "state", F.when(lost | stuck, "No Professional Email").otherwise(F.col("state"))
-    ).drop("_key", "_cid", "_cleared", "_mail")
+    ).drop("_cleared", "_mail")
 
 
 def clean_summary(cleaned_contacts: DataFrame, cleaned_applications: DataFrame) -> DataFrame:

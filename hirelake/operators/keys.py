@@ -1,4 +1,4 @@
-"""Key handling shared by the joins: null-key spreading, first-seen rows, dense ids.
+"""Key handling shared by the joins: skew-safe lookups, first-seen rows, dense ids.
 
 None of these puts one key's rows through a single task: first-seen and latest rows are
 aggregates (combined before the shuffle), and numbering works on bounded ordinal ranges.
@@ -7,6 +7,7 @@ aggregates (combined before the shuffle), and numbering works on bounded ordinal
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,22 +15,41 @@ from pyspark.sql import functions as F
 
 from hirelake.functions.text import col
 
-# Rows numbered by one task in :func:`dense_ids`; also bounds the offsets table to rows/ID_RANGE.
-ID_RANGE = 100_000
+# Ordinals per range, and ranges per block, in :func:`dense_ids`. Three times 21 bits cover BIGINT, so
+# no window group there can pass 2**21 rows, however the ordinals are spread.
+RANGE_BITS = 21
 
 
-def spread_null_id(key: Column | str, row_id: Column | str) -> Column:
-    """A numeric join key whose nulls are spread over all partitions.
+def lookup(rows: DataFrame, side: DataFrame, keys: Sequence[Column | str], side_keys: Sequence[str],
+           row_id: str | None = None, how: str = "left") -> DataFrame:
+    """Join ``rows`` to a side with one row per key; the side's key columns are not kept.
 
-    A null key matches nothing, but all null rows would hash to one partition. They get a negative
-    number of their own instead, which no stored (non-negative) id equals.
-    """
-    return F.coalesce(col(key), -1 - col(row_id))
+    Reduce the side first (``distinct``, :func:`first_per`), so that a key repeated in it is combined
+    before the shuffle; ``how`` may be any kind that keeps to the left rows.
 
+    The keys' hash is a second equality, which changes no result but two partitionings:
 
-def spread_null_text(key: Column | str, row_id: Column | str) -> Column:
-    """As :func:`spread_null_id` for text keys; the marker character occurs in no stored key."""
-    return F.coalesce(col(key), F.concat(F.lit("\u0000"), col(row_id).cast("string")))
+    * A side just aggregated by its key would otherwise keep that partitioning, and AQE splits a hot
+      partition only where both inputs come straight from an exchange of the join. The side is
+      the smaller input, so it pays the extra exchange.
+    * Rows with a null key match nothing, yet would all hash to one partition. With ``row_id`` their
+      hash is taken from that instead, which spreads them.
+    """
+    left = [col(k) for k in keys]
+    mark = F.xxhash64(*left)
+    if row_id is not None:
+        missing = reduce(lambda a, b: a | b, [k.isNull() for k in left])
+        mark = F.when(missing, F.xxhash64(row_id)).otherwise(mark)
+    names = [f"_l{i}" for i in range(len(left))]
+    marked = rows.select("*", *[k.alias(n) for k, n in zip(left, names, strict=True)], mark.alias("_lh"))
+    kept = [c for c in side.columns if c not in side_keys]
+    others = [f"_r{i}" for i in range(len(left))]
+    looked = side.select(*kept, *[F.col(k).alias(n) for k, n in zip(side_keys, others, strict=True)],
+                         F.xxhash64(*side_keys).alias("_rh"))
+    on = F.col("_lh") == F.col("_rh")
+    for a, b in zip(names, others, strict=True):
+        on = on & (F.col(a) == F.col(b))
+    return marked.join(looked, on, how).drop(*names, *others, "_lh", "_rh")
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFrame:
@@ -47,16 +67,23 @@ def last_per(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFra
 
 
 def dense_ids(df: DataFrame, ordinal: str, id_col: str, after: DataFrame) -> DataFrame:
-    """Number rows ``max+1, max+2, ...`` in ``ordinal`` order (unique, non-negative BIGINT).
+    """Number rows ``max+1, max+2, ...`` in the order of a unique BIGINT ``ordinal``.
 
     ``after`` is a one-row frame holding the current maximum. Rows are numbered inside ranges of
-    ``ID_RANGE`` ordinals in parallel; only one count per range meets in one task to become offsets.
+    ordinals in parallel. One count per range, summed inside blocks of ranges and then over the
+    blocks, gives each range its offset.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(ordinal) / ID_RANGE))
-    counts = ranged.groupBy("_range").count()
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off"))
-    within = F.row_number().over(W.partitionBy("_range").orderBy(ordinal))
-    numbered = ranged.join(offsets, "_range").withColumn(
-        id_col, (F.coalesce(after.scalar(), F.lit(0)) + F.col("_off") + within).cast("bigint"))
-    return numbered.drop("_range", "_off")
+    ranged = df.withColumn("_range", F.shiftright(F.col(ordinal).cast("bigint"), RANGE_BITS))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")) \
+        .withColumn("_block", F.shiftright("_range", RANGE_BITS))
+    earlier = (W.unboundedPreceding, -1)
+    in_block = W.partitionBy("_block").orderBy("_range").rowsBetween(*earlier)
+    over_blocks = W.orderBy("_block").rowsBetween(*earlier)
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_n")).select(
+        "_block", F.coalesce(F.sum("_n").over(over_blocks), F.lit(0)).alias("_before"))
+    offsets = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(in_block), F.lit(0))) \
+        .join(blocks, "_block").select("_range", (F.col("_before") + F.col("_inside")).alias("_offset"))
+    rank = F.row_number().over(W.partitionBy("_range").orderBy(ordinal))
+    new_id = F.coalesce(after.scalar(), F.lit(0)) + F.col("_offset") + rank
+    return ranged.join(offsets, "_range").withColumn(id_col, new_id.cast("bigint")) \
+        .drop("_range", "_offset")

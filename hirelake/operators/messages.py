@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.functions.text import col, contains_any, insert_after_first, slug
+from hirelake.functions.text import col, insert_after_first, slug
 from hirelake.rules import Rules
 
 # Placeholder forms a finished message must not contain.
@@ -104,7 +104,3 @@ def unsupported(added: Column | str, base: Column | str) -> Column:
     low = F.transform(col(added), lambda w: F.lower(w))
     return F.coalesce(F.array_except(low, F.transform(col(base), lambda w: F.lower(w))),
                       F.array().cast("array<string>"))
-
-
-__all__ = ["PLACEHOLDERS", "check_messages", "contains_any", "keywords_text", "or_fallback",
-           "pasted_key", "placeholder_errors", "render", "sign", "speculative_key", "unsupported"]

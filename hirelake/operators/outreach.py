@@ -14,7 +14,7 @@ from hirelake.functions.mail import (
     mailbox_ok,
 )
 from hirelake.functions.text import filled, strip
-from hirelake.operators.keys import first_per, spread_null_text
+from hirelake.operators.keys import first_per, lookup
 from hirelake.rules import CONTACTED, Rules
 
 
@@ -22,14 +22,13 @@ def with_mail_flag(df: DataFrame, domain: Column, mail_domains: DataFrame, row_i
                    flag: str = "mail_ok") -> DataFrame:
     """Add whether ``domain`` accepts mail.
 
-    A left join against the domain table, reduced to one row per domain. Spark broadcasts that
-    side only under its own size limit; beyond it the join shuffles, rows without a domain are
-    spread, and a popular domain is split by the skew-join rule.
+    Spark broadcasts the domain table only under its own size limit; beyond it the lookup shuffles,
+    rows without a domain are spread, and a popular domain is split.
     """
-    known = mail_domains.select(F.lower(strip("domain")).alias("_mx")).distinct()
-    keyed = df.withColumn("_key", spread_null_text(domain, row_id))
-    joined = keyed.join(known, F.col("_key") == F.col("_mx"), "left")
-    return joined.withColumn(flag, F.col("_mx").isNotNull()).drop("_key", "_mx")
+    known = mail_domains.select(F.lower(strip("domain")).alias("_mx")).distinct() \
+        .withColumn("_known", F.lit(True))
+    joined = lookup(df, known, [domain], ["_mx"], row_id)
+    return joined.withColumn(flag, F.coalesce("_known", F.lit(False))).drop("_known")
 
 
 def mail_verdicts(contacts: DataFrame, mail_domains: DataFrame) -> DataFrame:
@@ -45,15 +44,20 @@ def mail_capable(contacts: DataFrame, mail_domains: DataFrame) -> DataFrame:
     """Contacts whose mailbox domain accepts mail."""
     known = mail_domains.select(F.lower(strip("domain")).alias("domain")).distinct()
     located = contacts.where(filled("email")).withColumn("domain", mail_domain("email"))
-    return located.join(known, "domain", "left_semi")
+    return lookup(located, known, ["domain"], ["domain"], how="left_semi")
 
 
-def with_guesses(contacts: DataFrame, companies: DataFrame) -> DataFrame:
-    """Contacts with their company's (stored or guessed) domain and the mailbox guesses."""
+def with_company_domain(contacts: DataFrame, companies: DataFrame) -> DataFrame:
+    """Contacts with their company's stored or guessed domain."""
     domains = companies.select(
         F.col("id").alias("company_id"), company_domain("domain", "name").alias("domain"))
-    joined = contacts.join(domains, "company_id")
-    return joined.withColumn("guesses", mailbox_guesses("name", "domain"))
+    return contacts.join(domains, "company_id")
+
+
+def with_guesses(contacts: DataFrame, companies: DataFrame) -> DataFrame:
+    """Contacts with all their mailbox guesses."""
+    return with_company_domain(contacts, companies).withColumn(
+        "guesses", mailbox_guesses("name", "domain"))
 
 
 def first_valid_mailbox(contacts: DataFrame, companies: DataFrame,
@@ -63,10 +67,10 @@ def first_valid_mailbox(contacts: DataFrame, companies: DataFrame,
     All guesses of a contact share one domain, so the domain is looked up once per contact and
     no guess is ever exploded.
     """
-    guessed = with_guesses(contacts, companies)
-    flagged = with_mail_flag(guessed, F.lower(strip("domain")), mail_domains, "id")
+    located = with_company_domain(contacts, companies)
+    flagged = with_mail_flag(located, F.lower(strip("domain")), mail_domains, "id")
     return flagged.withColumn(
-        "mailbox", F.when(F.col("mail_ok"), first_sound_mailbox(F.col("guesses"))))
+        "mailbox", F.when(F.col("mail_ok"), first_sound_mailbox("name", "domain")))
 
 
 def role_rank(role: str, rules: Rules) -> Column:
@@ -102,8 +106,8 @@ def duplicate_applications(applications: DataFrame, jobs: DataFrame, contacts: D
     """Applications to guarded companies."""
     at = applications.join(
         jobs.select(F.col("id").alias("job_id"), "company_id"), "job_id")
-    return at.join(guarded_companies(contacts, applications).select("company_id"),
-                   "company_id", "left_semi")
+    guarded = guarded_companies(contacts, applications).select("company_id")
+    return lookup(at, guarded, ["company_id"], ["company_id"], how="left_semi")
 
 
 def mailbox_owners(contacts: DataFrame) -> DataFrame:
@@ -126,9 +130,7 @@ def relink_conflicts(found: DataFrame, contacts: DataFrame) -> DataFrame:
     ``found(contact_id, email)`` -> ``+ linked_contact_id, action``; the owner is the lowest id
     other than the contact itself.
     """
-    owners = mailbox_owners(contacts).withColumnRenamed("email", "_email")
-    keyed = found.withColumn("_key", spread_null_text("email", "contact_id"))
-    joined = keyed.join(owners, F.col("_key") == F.col("_email"), "left")
+    joined = lookup(found, mailbox_owners(contacts), ["email"], ["email"], "contact_id")
     other = F.when(F.col("owner") != F.col("contact_id"), F.col("owner")) \
         .otherwise(F.col("next_owner"))
     return joined.select(

@@ -23,6 +23,7 @@ from hirelake.functions.web import (
     url_domain,
     with_html_text,
 )
+from hirelake.operators.keys import lookup
 
 # Tasks get this module's functions by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -123,7 +124,7 @@ def top_hits(hits: DataFrame, denied: DataFrame, limit: int) -> DataFrame:
     The rank bound is applied per task before the shuffle, so a query with very many hits is cheap.
     """
     cleaned = clean_hits(hits).withColumn("domain", url_domain("target"))
-    allowed = cleaned.join(denied.select("domain").distinct(), "domain", "left_anti")
+    allowed = lookup(cleaned, denied.select("domain").distinct(), ["domain"], ["domain"], how="left_anti")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("pos"))
     return allowed.withColumn("rank", rank).where(F.col("rank") <= limit)
 
@@ -149,7 +150,7 @@ def evidence(hits: DataFrame, pages: DataFrame, chars: int) -> DataFrame:
     texts = with_html_text(wanted, "html", "text").select("url", "text")
     chunk = F.concat(F.lit("\n--- "), "title", F.lit(" ("), "url", F.lit(") ---\n"),
                      F.substring("text", 1, chars))
-    joined = hits.join(texts, "url").select("query_id", F.struct("rank", chunk.alias("chunk")).alias("c"))
+    joined = lookup(hits, texts, ["url"], ["url"], how="inner").select("query_id", F.struct("rank", chunk.alias("chunk")).alias("c"))
     ordered = F.transform(F.sort_array(F.collect_list("c")), lambda c: c["chunk"])
     return joined.groupBy("query_id").agg(F.array_join(ordered, "").alias("evidence"),
                                           F.count("*").alias("hits"))

@@ -14,7 +14,7 @@ from hirelake.functions.display import (
     stage_percent,
 )
 from hirelake.functions.text import or_text
-from hirelake.operators.keys import last_per, spread_null_id
+from hirelake.operators.keys import last_per, lookup
 from hirelake.rules import CLI_FILTERED, RETRYABLE, WEB_FILTERED, WEB_TERMINAL, Rules
 
 LIST_LIMIT = 200
@@ -37,8 +37,7 @@ def with_job_and_company(applications: DataFrame, jobs: DataFrame, companies: Da
 def with_contact(rows: DataFrame, contacts: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Left join of the contact; rows without one are spread instead of meeting in one task."""
     c = contacts.select(F.col("id").alias("_cid"), *[F.col(k).alias(v) for k, v in columns.items()])
-    keyed = rows.withColumn("_key", spread_null_id("contact_id", "id"))
-    return keyed.join(c, F.col("_key") == F.col("_cid"), "left").drop("_key", "_cid")
+    return lookup(rows, c, ["contact_id"], ["_cid"], "id")
 
 
 def active_list(applications: DataFrame, jobs: DataFrame, companies: DataFrame, as_of: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions.text import blank_to_null, slug
-from hirelake.operators.keys import dense_ids, first_per
+from hirelake.operators.keys import dense_ids, first_per, lookup
 from hirelake.rules import PLACEHOLDER_NAME, PLACEHOLDER_ROLE, Rules
 
 
@@ -67,8 +67,8 @@ def match_companies(targets: DataFrame, companies: DataFrame) -> DataFrame:
     by_name = companies.groupBy(F.lower("name").alias("_name")).agg(F.min("id").alias("_by_name"))
     by_domain = companies.where(F.col("domain").isNotNull()).groupBy(
         F.col("domain").alias("_domain")).agg(F.min("id").alias("_by_domain"))
-    joined = targets.join(by_name, F.lower("name") == F.col("_name"), "left") \
-        .join(by_domain, F.lower("domain") == F.col("_domain"), "left")
+    joined = lookup(targets, by_name, [F.lower("name")], ["_name"], "target_id")
+    joined = lookup(joined, by_domain, [F.lower("domain")], ["_domain"], "target_id")
     how = F.when(F.col("_by_name").isNotNull(), "name") \
         .when(F.col("_by_domain").isNotNull(), "domain").otherwise("new")
     return joined.select("target_id", F.coalesce("_by_name", "_by_domain").alias("company_id"),
@@ -78,7 +78,7 @@ def match_companies(targets: DataFrame, companies: DataFrame) -> DataFrame:
 def speculative_jobs(companies: DataFrame, jobs: DataFrame, rules: Rules) -> DataFrame:
     """One invented opening per company without jobs, when the rules allow it."""
     if not rules.allow_speculative:
-        companies = companies.limit(0)
+        companies = companies.where(F.lit(False))
     bare = companies.join(jobs.select(F.col("company_id").alias("id")).distinct(), "id", "left_anti")
     return bare.select(
         F.col("id").alias("company_id"),

@@ -14,13 +14,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.functions.mail import (
-    company_domain,
-    first_sound_mailbox,
-    mailbox_guesses,
-)
+from hirelake.functions.mail import company_domain, first_sound_mailbox
 from hirelake.functions.text import filled, strip
-from hirelake.operators.keys import last_per, spread_null_id, spread_null_text
+from hirelake.operators.keys import last_per, lookup
 from hirelake.operators.outreach import (
     guarded_companies,
     mailbox_owners,
@@ -100,11 +96,11 @@ def gate_inputs(s: Snapshot, rules: Rules, closed: Sequence[str] = RUN_TERMINAL)
     rows = rows.join(scores, "id", "left").join(signals, "id", "left").join(own, "id", "left")
 
     jobs = s.jobs.select(F.col("id").alias("job_id"), "company_id")
-    rows = rows.join(jobs, "job_id").join(_company_facts(s, rules), "company_id")
+    rows = lookup(rows.join(jobs, "job_id"), _company_facts(s, rules), ["company_id"], ["company_id"],
+                  how="inner")
 
     linked = s.contacts.select(F.col("id").alias("_cid"), F.struct("id", "name", "email").alias("linked"))
-    rows = rows.withColumn("_key", spread_null_id("contact_id", "id")) \
-        .join(linked, F.col("_key") == F.col("_cid"), "left").drop("_key", "_cid")
+    rows = lookup(rows, linked, ["contact_id"], ["_cid"], "id")
 
     # Contact in force from stage 5 on: the linked one, else (only if stage 4 runs) the best one of
     # the company, else a stand-in.
@@ -115,12 +111,11 @@ def gate_inputs(s: Snapshot, rules: Rules, closed: Sequence[str] = RUN_TERMINAL)
     rows = rows.withColumn("contact", contact)
     known = filled("contact.email")
     guess = F.when((F.col("start") <= 5) & ~known & F.col("mail_ok"),
-                   first_sound_mailbox(mailbox_guesses("contact.name", "domain")))
+                   first_sound_mailbox("contact.name", "domain"))
     rows = rows.withColumn("guess", guess)
 
     owners = mailbox_owners(s.contacts).select(F.col("email").alias("_email"), "owner")
-    return rows.withColumn("_key", spread_null_text("guess", "id")) \
-        .join(owners, F.col("_key") == F.col("_email"), "left").drop("_key", "_email")
+    return lookup(rows, owners, ["guess"], ["_email"], "id")
 
 
 @dataclass(frozen=True)
@@ -347,11 +342,15 @@ def override_states(applications: DataFrame, corrections: DataFrame, as_of: str)
     ).drop("_new")
 
 
+def _jobs_of(jobs: DataFrame, targets: DataFrame) -> DataFrame:
+    """Jobs of the target companies ``(id)``, one of which may own most jobs."""
+    return lookup(jobs, targets.select("id").distinct(), ["company_id"], ["id"], how="left_semi")
+
+
 def link_contact(applications: DataFrame, jobs: DataFrame, targets: DataFrame,
                  contact_id: int) -> DataFrame:
     """Point the open applications of the target companies ``(id)`` to a supplied contact."""
-    hit = jobs.join(targets.select(F.col("id").alias("company_id")).distinct(), "company_id", "left_semi") \
-        .select(F.col("id").alias("job_id"), F.lit(True).alias("_hit"))
+    hit = _jobs_of(jobs, targets).select(F.col("id").alias("job_id"), F.lit(True).alias("_hit"))
     return applications.join(hit, "job_id", "left").withColumn(
         "contact_id", F.when(F.col("_hit") & ~F.col("state").isin(*REFILTER_CLOSED), F.lit(contact_id))
         .otherwise(F.col("contact_id")).cast("bigint")).drop("_hit")
@@ -363,7 +362,7 @@ def targeted_entries(jobs: DataFrame, companies: DataFrame, applications: DataFr
 
     A target on the exclusion list is still screened out unless ``honour_exclusions`` is off.
     """
-    own = jobs.join(targets.select(F.col("id").alias("company_id")).distinct(), "company_id", "left_semi")
+    own = _jobs_of(jobs, targets)
     active = rules if honour_exclusions else replace(rules, excluded_companies=())
     return enter_screening(own, companies, applications, active)
 
@@ -375,9 +374,8 @@ def advance_targeted(s: Snapshot, rules: Rules, targets: DataFrame, contact_id:
     A supplied contact is linked to all of them first. States a screening does not close
     (duplicates and failures among them) run their stage again. Guards look at the whole tables.
     """
-    companies = targets.select("id").distinct()
-    jobs = s.jobs.join(companies.select(F.col("id").alias("company_id")), "company_id", "left_semi")
+    jobs = _jobs_of(s.jobs, targets)
     linked = s.applications if contact_id is None else link_contact(
-        s.applications, s.jobs, companies, contact_id)
+        s.applications, s.jobs, targets, contact_id)
     own = replace(s, applications=linked, jobs=jobs)
     return _result(judged(own, rules, max_stage, closed=REFILTER_CLOSED))

@@ -174,12 +174,13 @@ def test_upserts_against_loop(spark, rows):
     assert rows(resolution.upsert_jobs(table, incoming), "id", "url", "is_new") == sorted(out, key=repr)
 
 
-def test_dense_ids_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(keys, "ID_RANGE", 10)
-    df = spark.range(0, 1000, 3).withColumnRenamed("id", "ordinal").repartition(5)
+@pytest.mark.parametrize("step", [1, 3, 2**40 + 7])
+def test_dense_ids_over_many_ranges(spark, monkeypatch, step):
+    monkeypatch.setattr(keys, "RANGE_BITS", 3)
+    df = spark.range(0, 500).select((F.col("id") * step - 900).alias("ordinal")).repartition(5)
     top = spark.createDataFrame([(100,)], "m BIGINT")
     got = keys.dense_ids(df, "ordinal", "new_id", top).orderBy("ordinal").collect()
-    assert [r["new_id"] for r in got] == list(range(101, 101 + len(got)))
+    assert [r["new_id"] for r in got] == list(range(101, 601))
 
 
 def test_entity_match(spark, rows):
