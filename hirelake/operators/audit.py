@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -23,28 +23,47 @@ REFERENCES = (
 )
 
 
-def repeated_keys(df: DataFrame, column: str) -> DataFrame:
-    """Number of non-null values held by more than one row (counted map-side first)."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).count()
-    return counts.agg(F.count_if(F.col("count") > 1).alias("violations"))
+def _values(tables: Mapping[str, DataFrame], picks: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """``(label, value)`` for the picked ``(label, table, column)``; each table is read once."""
+    parts = []
+    for table in dict.fromkeys(t for _, t, _ in picks):
+        entries = [F.struct(F.lit(label).alias("label"), F.col(c).cast("string").alias("value"))
+                   for label, t, c in picks if t == table]
+        parts.append(tables[table].select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+    return reduce(DataFrame.unionByName, parts).where(F.col("value").isNotNull())
 
 
-def orphans(df: DataFrame, column: str, parent: DataFrame) -> DataFrame:
-    """Number of rows whose non-null reference has no parent.
+def repeated_keys(tables: Mapping[str, DataFrame], unique: Sequence[tuple[str, str]]) -> DataFrame:
+    """Per uniqueness constraint, the values held by more than one row: one shuffle for all."""
+    values = _values(tables, [(f"unique {t}.{c}", t, c) for t, c in unique])
+    counts = values.groupBy("label", "value").count()
+    return counts.where(F.col("count") > 1).groupBy("label").agg(F.count("*").alias("violations"))
+
+
+def orphans(tables: Mapping[str, DataFrame], references: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Per reference, the rows whose parent is missing.
 
     References are counted per value before the join, so a popular parent is one row in it.
     """
-    refs = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("id")).count()
-    lost = refs.join(parent.select("id").distinct(), "id", "left_anti")
-    return lost.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("violations"))
+    refs = _values(tables, [(f"reference {t}.{c}", t, c) for t, c, _ in references]) \
+        .groupBy("label", "value").count()
+    target = F.create_map(*[F.lit(x) for t, c, p in references for x in (f"reference {t}.{c}", p)])
+    refs = refs.withColumn("parent", target[F.col("label")])
+    parents = _values(tables, [(p, p, "id") for p in dict.fromkeys(p for _, _, p in references)]) \
+        .select(F.col("label").alias("parent"), "value").distinct()
+    return refs.join(parents, ["parent", "value"], "left_anti").groupBy("label").agg(
+        F.sum("count").alias("violations"))
 
 
 def integrity(tables: Mapping[str, DataFrame]) -> DataFrame:
     """``(constraint_name, violations)`` for every constraint whose tables are given."""
-    checks = [repeated_keys(tables[t], c).select(
-        F.lit(f"unique {t}.{c}").alias("constraint_name"), "violations")
-        for t, c in UNIQUE if t in tables]
-    checks += [orphans(tables[t], c, tables[p]).select(
-        F.lit(f"reference {t}.{c}").alias("constraint_name"), "violations")
-        for t, c, p in REFERENCES if t in tables and p in tables]
-    return reduce(DataFrame.unionByName, checks)
+    unique = [(t, c) for t, c in UNIQUE if t in tables]
+    references = [(t, c, p) for t, c, p in REFERENCES if t in tables and p in tables]
+    found = repeated_keys(tables, unique)
+    names = [f"unique {t}.{c}" for t, c in unique]
+    if references:
+        found = found.unionByName(orphans(tables, references))
+        names += [f"reference {t}.{c}" for t, c, _ in references]
+    listed = found.sparkSession.createDataFrame([(n,) for n in names], "constraint_name STRING")
+    return listed.join(found, listed["constraint_name"] == found["label"], "left").select(
+        "constraint_name", F.coalesce("violations", F.lit(0)).alias("violations"))

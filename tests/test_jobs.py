@@ -22,7 +22,7 @@ from hirelake.operators import (
     resolution,
     responses,
 )
-from hirelake.plans import advance
+from hirelake.plans import advance, discovery
 from hirelake.rules import RUN_TERMINAL, Rules
 from hirelake.sources import scans
 from hirelake.sources.schemas import RESPONSES
@@ -174,6 +174,26 @@ def test_upserts_against_loop(spark, rows):
     assert rows(resolution.upsert_jobs(table, incoming), "id", "url", "is_new") == sorted(out, key=repr)
 
 
+def test_discovery_reuses_stored_rows(spark, rows):
+    companies = spark.createDataFrame([(1, "Acme", None, None, 1)], COMPANY)
+    jobs = spark.createDataFrame([(10, 1, "Stored Dev", None, None, "http://a.io/1", None)], JOB)
+    apps = spark.createDataFrame([(5, "r", 10, None, 4, "Contact Research", None, None, DAY)], APPLICATION)
+    found = spark.createDataFrame([(0, "New Co"), (1, "Acme"), (2, "New Co"), (3, "I Dislike Co")], "ordinal BIGINT, name STRING")
+
+    def job(title, url, years=None):
+        return {"title": title, "url": url, "location": None, "salary": None, "experience_years": years, "description": None}
+
+    raw = json.dumps({"jobs": [job("Dev", " http://a.io/1 "), job("Ops", " "), job("Ops", None), job("Boss", "http://a.io/2", 9)]})
+    answers = spark.createDataFrame([(1, raw), (99, raw)], "company_id BIGINT, raw STRING")
+    run = discovery.discover(companies, jobs, apps, found, answers, RULES)
+    assert rows(run.companies, "id", "name", "is_new") == [(1, "Acme", False), (2, "New Co", True), (3, "I Dislike Co", True)]
+    assert rows(run.jobs, "id", "company_id", "url", "is_new") == [
+        (10, 1, "http://a.io/1", False), (11, 2, "speculative://new_co", True), (12, 1, None, True), (13, 1, None, True),
+        (14, 1, "http://a.io/2", True), (15, 3, "speculative://i_dislike_co", True)]
+    assert rows(run.entered, "job_id", "application_id", "is_new") == [
+        (10, 5, False), (11, None, True), (12, None, True), (13, None, True)]
+
+
 @pytest.mark.parametrize("step", [1, 3, 2**40 + 7])
 def test_dense_ids_over_many_ranges(spark, monkeypatch, step):
     monkeypatch.setattr(keys, "RANGE_BITS", 3)

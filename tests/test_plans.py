@@ -5,7 +5,7 @@ import pytest
 from hirelake.plans.registry import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-NOT_LAZY = {"draft_quota", "structured_generate"}
+NOT_LAZY = {"draft_quota", "structured_generate", "discovery_run"}
 PYTHON = {"page_text_parsed"}
 LAZY = [n for n in QUERIES if n not in NOT_LAZY and not n.startswith("stream_")]
 
