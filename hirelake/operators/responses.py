@@ -32,52 +32,65 @@ def _cast(text: Column, kind: T.DataType) -> Column:
     return text.try_cast(kind)
 
 
-def _field(values: Column, field: T.StructField) -> tuple[Column, Column]:
-    """Typed value of one field of a key/value map, and whether it is acceptable."""
+def _scalar(values: Column, field: T.StructField) -> tuple[Column, Column]:
+    """Typed value of a scalar key of a key/value map, and whether it is acceptable."""
     text = F.try_element_at(values, F.lit(field.name))
-    kind = field.dataType
-    present = F.map_contains_key(values, field.name)
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        rows = F.from_json(text, f"ARRAY<{_MAP}>")
-        inner = kind.elementType
-        typed = F.transform(rows, lambda r: F.struct(
-            *[_field(r, f)[0].alias(f.name) for f in inner.fields]))
-        sound = rows.isNotNull() & F.forall(
-            rows, lambda r: r.isNotNull() & reduce(
-                lambda a, b: a & b, [_field(r, f)[1] for f in inner.fields]))
-        empty = F.when(text == "[]", F.array().cast(kind))
-        return F.coalesce(empty, typed), present & F.coalesce(sound | (text == "[]"), F.lit(False))
-    if isinstance(kind, T.ArrayType):
-        items = F.from_json(text, "ARRAY<STRING>")
-        sound = items.isNotNull() & ~F.exists(items, lambda i: i.isNull())
-        return items, present & F.coalesce(sound, F.lit(False))
-    typed = _cast(text, kind)
-    fits = typed.isNotNull()
-    if field.nullable:
-        fits = fits | text.isNull()
-    return typed, present & F.coalesce(fits, F.lit(False))
+    typed = _cast(text, field.dataType)
+    fits = typed.isNotNull() | text.isNull() if field.nullable else typed.isNotNull()
+    return typed, F.map_contains_key(values, field.name) & F.coalesce(fits, F.lit(False))
+
+
+def _is_rows(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StructType)
+
+
+def _list(items: Column, field: T.StructField) -> tuple[Column, Column]:
+    """Typed value of a list key from its parsed items, and whether it is acceptable.
+
+    Lists are never null, nor are their items. A missing key parses to null as well.
+    """
+    if not _is_rows(field):
+        return items, F.coalesce(~F.exists(items, lambda i: i.isNull()), F.lit(False))
+    inner = field.dataType.elementType.fields
+    typed = F.transform(items, lambda r: F.struct(*[_scalar(r, f)[0].alias(f.name) for f in inner]))
+    sound = F.forall(items, lambda r: r.isNotNull() & reduce(
+        lambda a, b: a & b, [_scalar(r, f)[1] for f in inner]))
+    return typed, F.coalesce(sound, F.lit(False))
 
 
 def parse(df: DataFrame, raw: str, schema: T.StructType) -> DataFrame:
     """Add ``response`` (typed struct or null) and ``accepted``.
 
     A response is accepted when it is one JSON object with every key of the schema present, every
-    non-nullable value set, and every value of a fitting type. One parse, all columns native.
+    non-nullable value set, and every value of a fitting type. The text, its top level and each list
+    are parsed once, into columns of their own that the checks and the typed value share.
     """
-    text = unfenced(raw)
-    parsed = df.withColumn("_text", text).withColumn("_map", F.from_json("_text", _MAP))
-    fields = [_field(F.col("_map"), f) for f in schema.fields]
+    parsed = df.withColumn("_text", unfenced(raw)).withColumn("_map", F.from_json("_text", _MAP))
+    lists = [f for f in schema.fields if isinstance(f.dataType, T.ArrayType)]
+    for f in lists:
+        kind = f"ARRAY<{_MAP}>" if _is_rows(f) else "ARRAY<STRING>"
+        text = F.try_element_at("_map", F.lit(f.name))
+        items = F.when(text.rlike(r"^\s*\[\s*\]\s*$"), F.array().cast(kind)).otherwise(F.from_json(text, kind))
+        parsed = parsed.withColumn(f"_list_{f.name}", items)
+    fields = [_list(F.col(f"_list_{f.name}"), f) if f in lists else _scalar(F.col("_map"), f)
+              for f in schema.fields]
     accepted = F.col("_map").isNotNull() & reduce(lambda a, b: a & b, [ok for _, ok in fields])
     typed = F.struct(*[v.alias(f.name) for (v, _), f in zip(fields, schema.fields, strict=True)])
-    accepted = F.coalesce(accepted, F.lit(False))
-    return parsed.withColumn("accepted", accepted) \
-        .withColumn("response", F.when(accepted, typed)).drop("_text", "_map")
+    return parsed.withColumn("accepted", F.coalesce(accepted, F.lit(False))) \
+        .withColumn("response", F.when(F.col("accepted"), typed)) \
+        .drop("_text", "_map", *[f"_list_{f.name}" for f in lists])
 
 
 def accepted_rows(parsed: DataFrame) -> DataFrame:
-    """Accepted responses with their fields as columns."""
+    """Accepted responses with their fields as columns.
+
+    A plain filter on ``accepted`` would be pushed below the parsing and parse everything twice; an
+    outer explode keeps the test behind it.
+    """
     rest = [c for c in parsed.columns if c not in ("response", "accepted")]
-    return parsed.where("accepted").select(*rest, "response.*")
+    one = F.when(F.col("accepted"), F.array("response"))
+    return parsed.select(*rest, F.explode_outer(one).alias("_r")) \
+        .where(F.col("_r").isNotNull()).select(*rest, "_r.*")
 
 
 def rejected_rows(parsed: DataFrame) -> DataFrame:
@@ -86,8 +99,8 @@ def rejected_rows(parsed: DataFrame) -> DataFrame:
 
 def explode_rows(parsed: DataFrame, field: str, keys: list[str]) -> DataFrame:
     """One row per nested entity of the accepted responses, with its position."""
-    items = parsed.where("accepted").select(*keys, F.posexplode(f"response.{field}").alias("pos", "_e"))
-    return items.select(*keys, "pos", "_e.*")
+    items = parsed.select(*keys, F.posexplode_outer(f"response.{field}").alias("pos", "_e"))
+    return items.where(F.col("_e").isNotNull()).select(*keys, "pos", "_e.*")
 
 
 def json_or_text(df: DataFrame, raw: str) -> DataFrame:

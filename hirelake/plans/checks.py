@@ -419,7 +419,8 @@ _RAW: dict[str, str] = {
         SELECT j.id, coalesce(j.id < (SELECT break_id FROM cut), true) AS admitted,
           s.id IS NULL OR s.n <= {_LIMIT} - {TODAY} AS within_cap
         FROM judged j LEFT JOIN strict s ON s.id = j.id""",
-    "history_timeline": """SELECT application_id, CAST(stage AS INTEGER) AS stage, state, timestamp, notes, id FROM v_history""",
+    "history_timeline": """SELECT application_id, CAST(stage AS INTEGER) AS stage, state,
+        strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, notes, id FROM v_history""",
     "hits_union": f"""WITH {DENIED}, {_top_hits(2)} SELECT query_id, rank, target FROM top
         UNION ALL SELECT query_id, 0, target FROM located WHERE ends_with(target, '#top')""",
     "keywords_text": """SELECT id, CASE WHEN added_words IS NULL THEN 'software development' ELSE replace(added_words, ' ', ', ') END AS skills
@@ -527,7 +528,7 @@ _RAW: dict[str, str] = {
           UNION ALL SELECT f.* FROM found f JOIN (SELECT url, min(ordinal) AS o FROM found WHERE url IS NOT NULL GROUP BY url) u
             ON f.url = u.url AND f.ordinal = u.o),
         numbered AS (SELECT (SELECT max(id) FROM v_jobs) + row_number() OVER (ORDER BY ordinal) AS job_id, * FROM fresh)
-        SELECT job_id, CAST(NULL AS BIGINT) AS application_id, 3 AS current_stage, 'Company Research' AS state, true AS is_new,
+        SELECT job_id, 3 AS current_stage, 'Company Research' AS state, true AS is_new,
           company_id, title, url FROM numbered n JOIN known k ON k.id = n.company_id
         WHERE NOT contains(lower(k.name), '00000007') AND NOT contains(lower(title), 'specified') AND coalesce(years, 0) <= 1.0""",
     "targeted_advance": f"""WITH linked_apps AS (SELECT a.* REPLACE (CASE WHEN c.industry = 'MACHINERY' AND a.state NOT IN {_in(REFILTER_CLOSED)}

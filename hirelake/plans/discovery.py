@@ -42,12 +42,12 @@ def discover(companies: DataFrame, jobs: DataFrame, applications: DataFrame, fou
 
     ``found(ordinal, name, ...)`` lists companies in discovery order, ``responses(company_id, raw)``
     the job answers. A company without usable jobs gets a speculative one if the rules allow it. Jobs
-    count in company order, then in list order. The resolved companies and jobs are written to the
-    shared folder, because ids are numbered on them and later steps read them several times.
+    count in company order, then in list order. Companies, parsed jobs and resolved jobs are written to
+    the shared folder, because later steps read them several times.
     """
     known = staged(upsert_companies(companies, found), "companies")
     order = known.select("id", "ordinal")
-    listed = lookup(response_jobs(responses), order, ["company_id"], ["id"], how="inner")
+    listed = staged(lookup(response_jobs(responses), order, ["company_id"], ["id"], how="inner"), "listed")
     invented = lookup(speculative_jobs(known, listed, rules), order, ["company_id"], ["id"], how="inner")
     rows = listed.select(*JOB_COLUMNS, "ordinal", "pos").unionByName(
         invented.select(*JOB_COLUMNS, "ordinal", F.lit(0).alias("pos")))

@@ -344,7 +344,8 @@ def draft_quota(t):
 
 @query
 def history_timeline(t):
-    return reporting.timeline(t.history).withColumn("stage", F.col("stage").cast("int"))
+    return reporting.timeline(t.history).withColumn("stage", F.col("stage").cast("int")).withColumn(
+        "timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 # --- set operations and arrays -------------------------------------------------------------------
@@ -585,7 +586,8 @@ def placeholder_contacts(t):
 @query
 def discovery_run(t):
     run = discovery.discover(t.companies, t.jobs, t.applications, t.found_companies, t.job_responses, RULES)
-    return run.entered.join(run.jobs.select(F.col("id").alias("job_id"), "company_id", "title", "url"), "job_id")
+    jobs = run.jobs.select(F.col("id").alias("job_id"), "company_id", "title", "url")
+    return run.entered.drop("application_id").join(jobs, "job_id")
 
 
 @query
