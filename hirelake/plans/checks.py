@@ -261,7 +261,8 @@ _SIGN = signature(RULES)
 _LIMIT = RULES.daily_draft_limit
 
 _RAW: dict[str, str] = {
-    "scan_entities": f"SELECT * REPLACE ({_time('updated_at')} AS updated_at) FROM v_applications",
+    "scan_entities": f"""SELECT * REPLACE ({_time('updated_at')} AS updated_at, CAST(contact_id AS VARCHAR) AS contact_id)
+        FROM v_applications""",
     "log_tail": """SELECT id, application_id, CAST(stage AS INTEGER) AS stage, state, run_id, trim(notes) AS line
         FROM v_history ORDER BY timestamp DESC, id DESC LIMIT 150""",
     "evolve_emails": f"""SELECT id, application_id, status,
@@ -277,7 +278,7 @@ _RAW: dict[str, str] = {
              WHEN {YEARS} THEN 'needs ' || CAST(j.experience_years_required AS VARCHAR) || ' years, limit 1.0'
              ELSE 'passed screening' END AS note
         FROM v_jobs j JOIN v_companies c ON j.company_id = c.id""",
-    "refilter_existing": f"""SELECT job_id, id AS application_id, CAST(current_stage AS INTEGER) AS current_stage, state, false AS is_new
+    "refilter_existing": f"""SELECT job_id, CAST(id AS VARCHAR) AS application_id, CAST(current_stage AS INTEGER) AS current_stage, state, false AS is_new
         FROM v_applications WHERE score IS NOT NULL AND state NOT IN {_in(REFILTER_CLOSED)}
         UNION ALL SELECT j.id, NULL, 3, 'Company Research', true FROM v_jobs j JOIN v_companies c ON j.company_id = c.id
         WHERE j.id NOT IN (SELECT job_id FROM v_applications WHERE score IS NOT NULL)
@@ -349,7 +350,7 @@ _RAW: dict[str, str] = {
         FROM both_sides WHERE id IS NULL""",
     "entity_match": """WITH by_name AS (SELECT lower(name) AS k, min(id) AS id FROM v_companies GROUP BY 1),
         by_domain AS (SELECT domain AS k, min(id) AS id FROM v_companies WHERE domain IS NOT NULL GROUP BY 1)
-        SELECT t.target_id, coalesce(n.id, d.id) AS company_id,
+        SELECT t.target_id, CAST(coalesce(n.id, d.id) AS VARCHAR) AS company_id,
           CASE WHEN n.id IS NOT NULL THEN 'name' WHEN d.id IS NOT NULL THEN 'domain' ELSE 'new' END AS matched_by
         FROM v_targets t LEFT JOIN by_name n ON lower(t.name) = n.k LEFT JOIN by_domain d ON lower(t.domain) = d.k""",
     "duplicate_guard": f"""WITH {GUARD} SELECT a.id, j.company_id FROM v_applications a JOIN v_jobs j ON a.job_id = j.id
@@ -393,8 +394,8 @@ _RAW: dict[str, str] = {
         (SELECT substr(id, 1, 13) AS prefix, CAST(substr(id, 14) AS BIGINT) AS n FROM v_runs) GROUP BY prefix""",
     "weighted_score": f"""SELECT application_id, round({SCORE}, 6) AS score,
         NOT (({SCORE}) < CAST({RULES.minimum_score} AS DOUBLE)) AS passes FROM v_scores""",
-    "stage_funnel": """SELECT current_stage, state, count(*) AS applications FROM v_applications
-        GROUP BY ROLLUP (current_stage, state)""",
+    "stage_funnel": """SELECT CAST(current_stage AS VARCHAR) AS current_stage, state, count(*) AS applications
+        FROM v_applications GROUP BY ROLLUP (current_stage, state)""",
     "latest_email": """SELECT application_id, id, subject, gmail_draft_id, status FROM (SELECT *, row_number() OVER
         (PARTITION BY application_id ORDER BY id DESC) AS rn FROM v_emails) WHERE rn = 1""",
     "latest_resume": """SELECT application_id, id, path FROM (SELECT *, row_number() OVER
@@ -462,7 +463,7 @@ _RAW: dict[str, str] = {
     "response_parse": f"""SELECT id, CAST(json_extract(body, '$.k') AS INTEGER) AS k FROM (SELECT id, {UNFENCED} AS body FROM v_responses)
         WHERE json_valid(body)""",
     "response_rejects": f"""SELECT id, raw FROM (SELECT id, raw, {UNFENCED} AS body FROM v_responses) WHERE NOT json_valid(body)""",
-    "json_or_raw": """SELECT id, CASE WHEN json_valid(raw) THEN CAST(json_extract_string(raw, '$.k') AS INTEGER) END AS k,
+    "json_or_raw": """SELECT id, CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.k') END AS k,
         CASE WHEN NOT json_valid(raw) THEN raw END AS plain FROM v_responses""",
     "response_explode": """WITH sound AS (SELECT company_id, CAST(raw AS JSON) AS j FROM v_job_responses WHERE json_valid(raw)),
         rows AS (SELECT company_id, p AS pos, json_extract(j, '$.jobs[' || p || ']') AS e FROM sound, (VALUES (0), (1)) n(p))
@@ -490,8 +491,8 @@ _RAW: dict[str, str] = {
           WHERE NOT contains(' ' || base_words || ' ', ' ' || w || ' ') GROUP BY id)
         SELECT k.id, coalesce(u, '') AS unsupported FROM v_keywords k LEFT JOIN bad USING (id)""",
     "structured_generate": """SELECT id, true AS accepted, CAST(length(state || ' of ' || run_id) AS INTEGER) AS k FROM v_history""",
-    "application_advance": f"""WITH {_judged(12)} SELECT * REPLACE (round(score, 6) AS score) FROM result UNION ALL
-        {_resting("id, CAST(current_stage AS INTEGER), state, CAST(current_stage AS INTEGER), state, contact_id, NULL, round(score, 6)")}""",
+    "application_advance": f"""WITH {_judged(12)} SELECT * REPLACE (round(score, 6) AS score, CAST(contact_id AS VARCHAR) AS contact_id) FROM result UNION ALL
+        {_resting("id, CAST(current_stage AS INTEGER), state, CAST(current_stage AS INTEGER), state, CAST(contact_id AS VARCHAR), NULL, round(score, 6)")}""",
     "history_emit": f"""WITH {_judged(12)} SELECT id AS application_id,
           CAST(row_number() OVER (PARTITION BY id ORDER BY ord) - 1 AS INTEGER) AS step, stage, state FROM ({_history()})""",
     "stage_gate": f"{_gate_run(5)} UNION ALL {_gate_run(7)}",
@@ -535,7 +536,7 @@ _RAW: dict[str, str] = {
             THEN 4 ELSE a.contact_id END AS contact_id)
           FROM v_applications a JOIN v_jobs j ON a.job_id = j.id JOIN v_companies c ON j.company_id = c.id),
         {_judged(12, REFILTER_CLOSED, 'linked_apps', "c.industry = 'MACHINERY'").replace('FROM v_applications WHERE state IN', 'FROM linked_apps WHERE state IN')}
-        SELECT * REPLACE (round(score, 6) AS score) FROM result""",
+        SELECT * REPLACE (round(score, 6) AS score, CAST(contact_id AS VARCHAR) AS contact_id) FROM result""",
     "cache_lookup": f"""WITH {ENTRIES}, {REQUESTS} SELECT request_id, r.key, e.key IS NOT NULL AS hit, e.value FROM requests r
         LEFT JOIN (SELECT * FROM entries WHERE {LIVE}) e ON e.key = r.key""",
     "cache_upsert": f"WITH {ENTRIES} SELECT key, version, value, {_time('expires_at')} AS expires_at FROM entries",

@@ -72,10 +72,15 @@ def _time(c: str) -> F.Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
 
 
+def _shown(df: DataFrame, *columns: str) -> DataFrame:
+    """Integer columns that may be null, as text: engines disagree on how such columns leave them."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
 # --- scans -------------------------------------------------------------------------------------
 @query
 def scan_entities(t):
-    return t.applications.withColumn("updated_at", _time("updated_at"))
+    return _shown(t.applications.withColumn("updated_at", _time("updated_at")), "contact_id")
 
 
 @query
@@ -125,7 +130,7 @@ def filter_cascade(t):
 @query
 def refilter_existing(t):
     scored = t.applications.where(F.col("score").isNotNull())
-    return filtering.enter_screening(t.jobs, t.companies, scored, RULES)
+    return _shown(filtering.enter_screening(t.jobs, t.companies, scored, RULES), "application_id")
 
 
 @query
@@ -206,7 +211,7 @@ def contact_upsert(t):
 
 @query
 def entity_match(t):
-    return resolution.match_companies(t.targets, t.companies)
+    return _shown(resolution.match_companies(t.targets, t.companies), "company_id")
 
 
 @query
@@ -291,7 +296,7 @@ def weighted_score(t):
 
 @query
 def stage_funnel(t):
-    return reporting.stage_funnel(t.applications)
+    return _shown(reporting.stage_funnel(t.applications), "current_stage")
 
 
 # --- per-group picks, top-k, order ------------------------------------------------------------------
@@ -481,7 +486,7 @@ def response_rejects(t):
 @query
 def json_or_raw(t):
     return responses.json_or_text(t.responses, "raw").select(
-        "id", F.try_variant_get("json", "$.k", "int").alias("k"), "plain")
+        "id", F.try_variant_get("json", "$.k", "string").alias("k"), "plain")
 
 
 @query
@@ -542,7 +547,7 @@ def _snapshot(t) -> advance.Snapshot:
 @query
 def application_advance(t):
     out = advance.advance(_snapshot(t), RULES)
-    return out.withColumn("score", F.round("score", 6))
+    return _shown(out.withColumn("score", F.round("score", 6)), "contact_id")
 
 
 @query
@@ -593,8 +598,8 @@ def discovery_run(t):
 @query
 def targeted_advance(t):
     targets = t.companies.where(F.col("industry") == "MACHINERY").select("id")
-    return advance.advance_targeted(_snapshot(t), RULES, targets, contact_id=4).withColumn(
-        "score", F.round("score", 6))
+    out = advance.advance_targeted(_snapshot(t), RULES, targets, contact_id=4)
+    return _shown(out.withColumn("score", F.round("score", 6)), "contact_id")
 
 
 # --- cache -------------------------------------------------------------------------------------------
