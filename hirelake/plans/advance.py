@@ -231,6 +231,8 @@ def advance(s: Snapshot, rules: Rules, max_stage: int = DONE_STAGE,
     resting = s.applications.where(~movable())
     moving = judged(s, rules, max_stage)
     if daily_limit is not None:
+        # Read by the limit and by the result, so judged once.
+        moving = staged(moving, "judged")
         cut = quota_break(s, moving, daily_limit, as_of).scalar()
         held = cut.isNotNull() & (F.col("id") >= cut)
         moving = moving.withColumn("end", F.when(held, F.col("start")).otherwise(F.col("end"))) \
