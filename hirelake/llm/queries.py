@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.llm import encoding
+from hirelake.llm import encoding, packing
 from hirelake.llm.batches import table
 from hirelake.llm.tokens import vocabulary_path
 
@@ -19,8 +19,14 @@ def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
                             digests_only=True)
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut(table(spark, sf_dir, "documents"), vocabulary_path(WORD_VOCABULARY), with_ids=False)
+    return packing.packed(pieces)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_tree": op4_bpe_tree,
+    "op6_packing": op6_packing,
 }
 
 # SQL twins of the operators that SQL can express.
