@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hirelake.llm.batches import gather, map_slices, offsets_of
 from hirelake.llm.tokens import encoder
@@ -157,7 +158,8 @@ def packed(pieces: DataFrame, id_column: str = "doc_id", capacity: int = CAPACIT
     kept = staged(pieces, "pieces")
     found = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = Slots(patterns(found, capacity))
-    schema = kept.schema.add("sequence_id", "bigint").add("offset", "bigint")
+    schema = T.StructType([*kept.schema.fields, T.StructField("sequence_id", T.LongType()),
+                           T.StructField("offset", T.LongType())])
     names = kept.columns
 
     def work(batches):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.llm import encoding, packing
+from hirelake.llm import attribution, encoding, packing, repair
 from hirelake.llm.batches import table
 from hirelake.llm.tokens import vocabulary_path
 
@@ -19,14 +19,27 @@ def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
                             digests_only=True)
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document, by the majority rule."""
+    docs = attribution.line_sections(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return attribution.attributed(docs, vocabulary_path(BYTE_VOCABULARY))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.cut(table(spark, sf_dir, "documents"), vocabulary_path(WORD_VOCABULARY), with_ids=False)
     return packing.packed(pieces)
 
 
+def op7_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = repair.write(table(spark, sf_dir, "documents"), vocabulary_path(WORD_VOCABULARY))
+    return repair.read(manifest, with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_tree": op4_bpe_tree,
+    "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
+    "op7_repair_files": op7_repair_files,
 }
 
 # SQL twins of the operators that SQL can express.
