@@ -32,6 +32,7 @@ SYMBOLS = 1 << 16
 # A pair must come this often in a shard to become a rule, and a round makes so many rules at most.
 FREQUENT = 24
 RULES_PER_ROUND = 4096
+SLOT_BITS = 20
 MAGIC = b"RPG1"
 HEADER = struct.Struct("<4sIIII")
 
@@ -63,14 +64,18 @@ def compress(ids: np.ndarray, counts: np.ndarray, first_rule: int,
         if not len(often):
             break
         chosen = order[heads[often]]
-        at = np.searchsorted(chosen, keys)
-        at[at == len(chosen)] = 0
+        # Found by a hash of the pair; of two pairs under one hash the second waits for the next round.
+        slots = np.zeros(1 << SLOT_BITS, np.uint16)
+        slots[slot(chosen)] = np.arange(len(chosen))
+        chosen = chosen[slots[slot(chosen)] == np.arange(len(chosen))]
+        slots[slot(chosen)] = np.arange(len(chosen))
+        at = slots[slot(keys)]
         hit = np.flatnonzero(within & (chosen[at] == keys))
         # Of neighbouring hits, every second one from the left.
         start = np.concatenate([[True], hit[1:] != hit[:-1] + 1])
         run = np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
         hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        symbols[hit] = at[hit] + used
+        symbols[hit] = at[hit].astype(np.uint32) + np.uint32(used)
         last[hit] = last[hit + 1]
         keep = np.ones(len(symbols), bool)
         keep[hit + 1] = False
@@ -84,6 +89,10 @@ def compress(ids: np.ndarray, counts: np.ndarray, first_rule: int,
     return made, symbols, own
 
 
+def slot(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS)
+
+
 class Shard:
     """A shard's bytes, decoded as needed."""
 
