@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.llm import attribution, encoding, packing, repair
+from hirelake.llm import attribution, encoding, minhash, packing, repair
 from hirelake.llm.batches import table
 from hirelake.llm.tokens import vocabulary_path
 
@@ -35,12 +35,19 @@ def op7_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(manifest, with_ids=False)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_tree": op4_bpe_tree,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_repair_files": op7_repair_files,
+    "op8_near_duplicates": op8_near_duplicates,
 }
 
 # SQL twins of the operators that SQL can express.
-CHECKS: dict[str, str] = {}
+CHECKS: dict[str, str] = {
+    "op8_near_duplicates": minhash.SQL,
+}
