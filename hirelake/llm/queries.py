@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.llm import attribution, encoding, minhash, packing, repair
+from hirelake.llm import attribution, encoding, minhash, packing, repair, secrets
 from hirelake.llm.batches import table
 from hirelake.llm.tokens import vocabulary_path
 
@@ -39,12 +39,17 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_tree": op4_bpe_tree,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
     "op7_repair_files": op7_repair_files,
     "op8_near_duplicates": op8_near_duplicates,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 # SQL twins of the operators that SQL can express.
