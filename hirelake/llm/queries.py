@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.llm import attribution, encoding, minhash, packing, repair, secrets
+from hirelake.llm import attribution, encoding, minhash, packing, repair, secrets, vafile
 from hirelake.llm.batches import table
 from hirelake.llm.tokens import vocabulary_path
 
@@ -39,6 +39,11 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op9_vafile_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vafile.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -49,10 +54,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": op6_packing,
     "op7_repair_files": op7_repair_files,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_vafile_top_k": op9_vafile_top_k,
     "op10_secret_scan": op10_secret_scan,
 }
 
 # SQL twins of the operators that SQL can express.
 CHECKS: dict[str, str] = {
     "op8_near_duplicates": minhash.SQL,
+    "op9_vafile_top_k": vafile.SQL,
 }
