@@ -17,7 +17,7 @@ SLICE_BYTES = 8 << 20
 Batches = Iterator[pa.RecordBatch]
 
 
-def slices(batches: Batches, column: str, limit: int = SLICE_BYTES) -> Batches:
+def slices(batches: Batches, column: str | int, limit: int = SLICE_BYTES) -> Batches:
     """The same rows in slices whose ``column`` holds at most ``limit`` bytes, or one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.llm import attribution, encoding, minhash, packing, repair, secrets, vafile
+from hirelake.llm import attribution, encoding, minhash, packing, quality, repair, secrets, vafile
 from hirelake.llm.batches import table
 from hirelake.llm.tokens import vocabulary_path
 
@@ -14,6 +14,10 @@ BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encoded(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_VOCABULARY),
                             digests_only=True)
@@ -49,6 +53,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_bpe_tree": op4_bpe_tree,
     "op5_token_counts": op5_token_counts,
     "op6_packing": op6_packing,
