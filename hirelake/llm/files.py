@@ -35,7 +35,7 @@ def partition() -> int:
 
 def output(uri: str):
     system, path = opened(uri)
-    return system.open_output_stream(path)
+    return system.open_output_stream(path, compression=None)
 
 
 def source(uri: str):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.llm import attribution, encoding, minhash, packing, quality, repair, secrets, vafile
+from hirelake.llm import attribution, encoding, minhash, packing, quality, repair, secrets, vafile, warc
 from hirelake.llm.batches import table
 from hirelake.llm.tokens import vocabulary_path
 
@@ -14,6 +14,13 @@ BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(table(spark, sf_dir, "pages"))
+    records = warc.read(spark, archives, with_payload=False).where("problem IS NULL")
+    return records.select(warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          warc.page_of("refers_to").alias("refers_to"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +60,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_salvage": op1_warc_salvage,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe_tree": op4_bpe_tree,
     "op5_token_counts": op5_token_counts,
@@ -65,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 # SQL twins of the operators that SQL can express.
 CHECKS: dict[str, str] = {
+    "op1_warc_salvage": warc.SQL,
     "op8_near_duplicates": minhash.SQL,
     "op9_vafile_top_k": vafile.SQL,
 }
