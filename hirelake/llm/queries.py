@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.llm import attribution, encoding, minhash, packing, quality, repair, secrets, vafile, warc
+from hirelake.llm import attribution, encoding, minhash, packing, quality, repair, secrets, urls, vafile, warc
 from hirelake.llm.batches import table
 from hirelake.llm.tokens import vocabulary_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
+URL_RULES = [urls.Rule("org/", "allow"), urls.Rule("example.org/es/", "block"), urls.Rule("example.org/en/1", "block"),
+             urls.Rule("com/fr/", "allow"), urls.Rule("com/de/", "block")]
 
 
 def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +23,12 @@ def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
                           warc.page_of("refers_to").alias("refers_to"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = urls.trained(urls.labelled_pages(pages, table(spark, sf_dir, "labels")))
+    return urls.judged(pages, URL_RULES, model)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +69,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_salvage": op1_warc_salvage,
+    "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe_tree": op4_bpe_tree,
     "op5_token_counts": op5_token_counts,
