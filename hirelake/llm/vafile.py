@@ -49,7 +49,7 @@ def fitted(rows: DataFrame, cells: int = CELLS, sample: int = SAMPLE_ROWS) -> di
     taken = rows.orderBy(F.xxhash64("vec_id", "v")).limit(sample).toPandas()["v"].tolist()
     grids = {}
     for dims in {len(v) for v in taken}:
-        own = np.array([v for v in taken if len(v) == dims], np.float64).reshape(-1, dims)
+        own = np.array([v for v in taken if len(v) == dims], np.float64)
         grids[dims] = np.quantile(own, np.arange(1, cells) / cells, axis=0)
     return grids
 
@@ -123,7 +123,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
           vector_column: str = "embedding") -> DataFrame:
     """Each query's ``k`` best rows: ``query_id``, ``rank`` from 1, ``vec_id``, ``score``.
 
-    Score is the inner product of the vectors times 1024 rounded down; ties go to the smaller id. A query meets all
+    Score is the inner product of the vectors times 1024 rounded down, held within BIGINT; ties go to the smaller id. A query meets all
     rows of its own number of components but those with its id. Vectors that are null or hold null or
     non-finite components take no part, nor do rows with a null id. Rows that share an id are each a candidate;
     as queries they count once, by their smallest vector. With fewer than ``k`` rows all are returned;
