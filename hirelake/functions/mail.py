@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hirelake.functions.text import WHITESPACE, col, filled, strip
 
 # Fixed value: accepted mailbox form.
-MAILBOX = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+$"
+MAILBOX = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
 
 
 def mailbox_ok(c: Column | str) -> Column:

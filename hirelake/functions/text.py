@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,8 +12,6 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-# Above this many terms the OR chain gives way to one array literal (same rows, bounded plan text).
-OR_CHAIN_LIMIT = 32
 
 
 def col(c: Column | str) -> Column:
@@ -49,11 +46,12 @@ def contains_any(c: Column | str, terms: Sequence[str]) -> Column:
     terms = [t.lower() for t in dict.fromkeys(terms)]
     if not terms:
         return F.lit(False)
-    if len(terms) <= OR_CHAIN_LIMIT:
-        hit = reduce(lambda a, b: a | b, [lowered.contains(t) for t in terms])
-    else:
-        hit = F.exists(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(lowered, t))
-    return F.coalesce(hit, F.lit(False))
+    return F.coalesce(lowered.rlike("|".join(map(quoted, terms))), F.lit(False))
+
+
+def quoted(term: str) -> str:
+    """A pattern of just this text."""
+    return r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
 def slug(c: Column | str) -> Column:
@@ -73,7 +71,7 @@ def percent_decode(c: Column) -> Column:
 
 
 # One white-space character, and those of them that end a line.
-_SPACE = r"[ \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029]"
+_SPACE = r"[ \t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u1680\u2000-\u200a\u202f\u205f\u3000]"
 _LINE_END = r"[\n\r\f\x0b\x1c\x1d\x1e\x85\u2028\u2029]"
 
 

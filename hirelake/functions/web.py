@@ -2,72 +2,87 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions.text import clean_lines, col, percent_decode, strip
 
-# Entities decoded by name, frequent ones first; numeric ones follow a rule.
-FREQUENT_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0"}
-RARE_ENTITIES = {
-    "apos": "'", "copy": "\u00a9", "reg": "\u00ae", "middot": "\u00b7", "ndash": "\u2013",
-    "mdash": "\u2014", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d",
-    "bull": "\u2022", "hellip": "\u2026", "euro": "\u20ac", "trade": "\u2122",
-}
+# Named references from Python's table of HTML5 names; the usual ones are tried before it.
+NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+USUAL = ("amp", "nbsp", "lt", "gt", "quot")
+REPLACEMENT = "\ufffd"
+# Numeric references to these codes mean the Windows-1252 character, where there is one.
+WINDOWS = {c: t for c in range(0x80, 0xA0) if (t := bytes([c]).decode("cp1252", "ignore"))}
 
 # Scripts, styles and comments hide markup from the parser, so they go in one left-to-right pass.
 OPAQUE = r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script\s*>|style\b[^>]*>.*?</style\s*>)"
-CHROME = (r"(?is)<(?:header\b[^>]*>.*?</header\s*>|footer\b[^>]*>.*?</footer\s*>"
-          r"|nav\b[^>]*>.*?</nav\s*>)")
+# Elements left out with all they hold, cut at their tags.
+CHROME = ("header", "footer", "nav")
+CHROME_TAG = r"(?i)(?=</?(?:header|footer|nav)\b)"
 MARKUP = r"<(?:![^>]*|/?[a-zA-Z][^>]*)>"
 
 
-def named(entity: str) -> str:
-    """Pattern of a named reference; the semicolon may be missing before a non-word character."""
-    return rf"&{entity}(?:;|\b)"
-
-
-def _decode_frequent(c: Column) -> Column:
-    for name, char in FREQUENT_ENTITIES.items():
-        c = F.regexp_replace(c, named(name), char)
-    return c
-
-
-def _decode_rare(c: Column) -> Column:
-    """One test where there are none."""
-    decoded = c
-    for name, char in RARE_ENTITIES.items():
-        decoded = F.regexp_replace(decoded, named(name), char)
-    return F.when(c.rlike("&(?:" + "|".join(RARE_ENTITIES) + r")\b"), decoded).otherwise(c)
-
-
-def decode_named(c: Column) -> Column:
-    """Decode named references; ``&amp;`` goes last, since its result may look like another one."""
-    return F.regexp_replace(_decode_rare(_decode_frequent(c)), named("amp"), "&")
-
+def decode_entities(c: Column) -> Column:
+    """The text with every character reference decoded once; references nobody knows stay as written."""
+    pieces = F.split(c, "&", -1)
+    decoded = F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(_reference(x))), "")
+    return F.when(c.contains("&"), decoded).otherwise(c)
+
+
+def _reference(piece: Column) -> Column:
+    """``lt;rest``, ``#65;rest`` or ``#x41;rest`` decoded; the semicolon may be missing."""
+    token = F.regexp_extract(piece, r"^(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*)", 0)
+    rest = F.regexp_replace(F.substring(piece, F.length(token) + 1, F.length(piece)), "^;", "")
+    char = F.when(token.startswith("#"), _numeric(token)).when(token != "", _named(token))
+    return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
+
+
+def _named(token: Column) -> Column:
+    usual = F.lit(None).cast("string")
+    for name in USUAL:
+        usual = F.when(token == name, NAMED[name]).otherwise(usual)
+    table = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    return F.coalesce(usual, F.try_element_at(table, token))
+
+
+def _numeric(token: Column) -> Column:
+    hexed = F.lower(token).startswith("#x")
+    digits = F.ltrim(F.substring(token, F.when(hexed, 3).otherwise(2), F.length(token)), F.lit("0"))
+    short = F.length(digits) <= 7
+    code = F.when(short, F.when(hexed, F.conv(F.nullif(digits, F.lit("")), 16, 10)).otherwise(F.nullif(digits, F.lit("")))) \
+        .cast("bigint")
+    usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    windows = F.create_map(*[x for c, t in WINDOWS.items() for x in (F.lit(c).cast("bigint"), F.lit(t))])
+    char = F.coalesce(F.when(code.between(0x80, 0x9F), F.try_element_at(windows, code)), char)
+    return F.when(F.coalesce(usable, F.lit(False)), char).otherwise(REPLACEMENT)
 
-def decode_numeric(c: Column) -> Column:
-    """Decode decimal and hexadecimal references, where there are any."""
-    decoded = F.array_join(F.transform(F.split(c, "&#"), _numeric), "")
-    return F.when(c.contains("&#"), decoded).otherwise(c)
 
+def without_chrome(c: Column) -> Column:
+    """The markup outside header, footer and nav elements, nested ones included.
 
-def decode_entities(c: Column) -> Column:
-    """All references of a short text. Numeric ones first, so that ``&amp;#65;`` stays ``&#65;``."""
-    return decode_named(decode_numeric(c))
+    The page is cut at their tags only. Names of open elements are kept on a stack; an end tag closes
+    the last element of its name and what is open inside it, one without a start is ignored. An element
+    without an end reaches to the end of its page.
+    """
+    none = F.array().cast("array<string>")
 
+    def step(acc: Column, piece: Column) -> Column:
+        name = F.lower(F.regexp_extract(piece, r"^</?([a-zA-Z]+)", 1))
+        known = name.isin(*CHROME) & F.rlike(piece, F.lit(r"(?i)^</?(?:header|footer|nav)\b"))
+        opens = known & ~piece.startswith("</") & ~F.rlike(piece, F.lit(r"(?s)^<[^>]*/>"))
+        back = F.array_position(F.reverse(acc["open"]), name)
+        left = F.when(known & piece.startswith("</") & (back > 0),
+                      F.slice(acc["open"], F.lit(1), (F.size(acc["open"]) - back).cast("int"))) \
+            .when(opens, F.concat(acc["open"], F.array(name))).otherwise(acc["open"])
+        return F.struct(left.alias("open"),
+                        F.when(F.size(left) == 0, F.concat(acc["text"], F.lit("\n"), piece)).otherwise(acc["text"]).alias("text"))
 
-def _numeric(piece: Column, i: Column) -> Column:
-    """``65;rest`` or ``x41;rest`` to ``Arest``; text without a usable reference stays as written."""
-    digits = F.regexp_extract(piece, r"^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7})(?![0-9a-fA-F])", 1)
-    hexed = F.lower(digits).startswith("x")
-    code = F.when(hexed, F.conv(F.substring(digits, 2, 6), 16, 10)) \
-        .otherwise(F.nullif(digits, F.lit(""))).cast("bigint")
-    usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    rest = F.regexp_replace(F.substring(piece, F.length(digits) + 1, F.length(piece)), "^;", "")
-    return F.when(i == 0, piece).when(usable, F.concat(char, rest)) \
-        .otherwise(F.concat(F.lit("&#"), piece))
+    start = F.struct(none.alias("open"), F.lit("").alias("text"))
+    kept = F.aggregate(F.split(c, CHROME_TAG, -1), start, step, lambda acc: acc["text"])
+    return F.when(c.rlike(CHROME_TAG), kept).otherwise(c)
 
 
 def with_html_text(df: DataFrame, html: str, out: str) -> DataFrame:
@@ -77,13 +92,10 @@ def with_html_text(df: DataFrame, html: str, out: str) -> DataFrame:
     Built in steps: each step reads its input more than once, and a column of its own makes Spark
     evaluate that input only once per row.
     """
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(
-        col(html), OPAQUE, "\n"), CHROME, "\n"), MARKUP, "\n")
-    df = df.withColumn(out, bare).withColumn(out, decode_numeric(F.col(out)))
-    for step in (_decode_frequent, _decode_rare):
+    df = df.withColumn(out, F.regexp_replace(col(html), OPAQUE, "\n"))
+    for step in (without_chrome, lambda c: F.regexp_replace(c, MARKUP, "\n"), decode_entities):
         df = df.withColumn(out, step(F.col(out)))
-    plain = F.regexp_replace(F.col(out), named("amp"), "&")
-    return df.withColumn(out, F.coalesce(clean_lines(plain), F.lit("")))
+    return df.withColumn(out, F.coalesce(clean_lines(F.col(out)), F.lit("")))
 
 
 def node_text(fragment: Column) -> Column:
@@ -123,14 +135,27 @@ def ru_target(href: Column | str) -> Column:
     return percent_decode(F.nullif(F.regexp_extract(col(href), r"/RU=([^/]+)", 1), F.lit("")))
 
 
+# An attribute's value: in double or single quotes, or bare.
+VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def unquoted(c: Column) -> Column:
+    return F.regexp_replace(c, r"""(?s)^(["'])(.*)\1$""", "$2")
+
+
+def with_class(name: str) -> str:
+    """Pattern of what follows a tag's name if its class list holds ``name``."""
+    return rf"""(?=[^>]*\sclass\s*=\s*(?:"[^"]*(?<![\w-]){name}(?![\w-])|'[^']*(?<![\w-]){name}(?![\w-])|{name}(?![\w-])))"""
+
+
 def anchors(html: Column | str) -> Column:
     """All anchors as ``array<struct<href, title>>``, in page order."""
-    pattern = r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>'
+    pattern = rf"(?is)<a\b[^>]*?\shref\s*=\s*{VALUE}[^>]*>(.*?)</a\s*>"
     hrefs = F.regexp_extract_all(col(html), F.lit(pattern), 1)
     labels = F.regexp_extract_all(col(html), F.lit(pattern), 2)
     return F.transform(
         F.arrays_zip(hrefs.alias("h"), labels.alias("l")),
-        lambda a: F.struct(decode_entities(a["h"]).alias("href"), node_text(a["l"]).alias("title")),
+        lambda a: F.struct(decode_entities(unquoted(a["h"])).alias("href"), node_text(a["l"]).alias("title")),
     )
 
 
@@ -139,13 +164,13 @@ def result_entries(html: Column | str) -> Column:
 
     The page is cut at its result blocks; an entry needs both a link and a snippet anchor.
     """
-    cut = F.split(col(html), r'(?i)<div\b[^>]*class="[^"]*\bresult__body\b[^"]*"[^>]*>')
+    cut = F.split(col(html), rf"(?is)<div\b{with_class('result__body')}[^>]*>")
     blocks = F.slice(cut, F.lit(2), F.size(cut))
-    link = r'(?is)<a\b(?=[^>]*class="[^"]*\bresult__url\b)[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a\s*>'
-    snippet = r'(?is)<a\b(?=[^>]*class="[^"]*\bresult__snippet\b)[^>]*>(.*?)</a\s*>'
+    link = rf"(?is)<a\b{with_class('result__url')}[^>]*?\shref\s*=\s*{VALUE}[^>]*>(.*?)</a\s*>"
+    snippet = rf"(?is)<a\b{with_class('result__snippet')}[^>]*>(.*?)</a\s*>"
     entries = F.transform(blocks, lambda b: F.struct(
         node_text(F.regexp_extract(b, link, 2)).alias("title"),
-        strip(decode_entities(F.regexp_extract(b, link, 1))).alias("href"),
+        strip(decode_entities(unquoted(F.regexp_extract(b, link, 1)))).alias("href"),
         node_text(F.regexp_extract(b, snippet, 1)).alias("snippet"),
         (F.rlike(b, F.lit(link)) & F.rlike(b, F.lit(snippet))).alias("complete")))
     return F.transform(F.filter(entries, lambda e: e["complete"]),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirelake.operators.cache import is_live
+from hirelake.operators.keys import lookup
 from hirelake.operators.responses import parse
 from hirelake.session import staged
 
@@ -69,14 +70,18 @@ def structured_generate(df: DataFrame, prompt: str, schema: T.StructType, provid
 
     Equal prompts are asked once; live cache entries ``(key, value, expires_at)`` are not asked at
     all. Answers are written to the shared folder before they are parsed, so reading accepted and
-    rejected rows never calls the provider again.
+    rejected rows never calls the provider again. A row with a null prompt is not asked and not accepted.
     """
-    asked = df.select(prompt).distinct()
+    asked = df.where(F.col(prompt).isNotNull()).select(prompt).distinct()
     if cached is not None:
-        live = cached.where(is_live(as_of)).select(F.col("key").alias(prompt), F.col("value").alias("raw"))
+        live = cached.where(is_live(as_of)).groupBy(F.col("key").alias(prompt)) \
+            .agg(F.max_by("value", "expires_at").alias("raw"))
         hits = asked.join(live, prompt)
         misses = asked.join(live, prompt, "left_anti")
         raw = staged(answers(misses, prompt, schema, provider), "answers").unionByName(hits)
     else:
         raw = staged(answers(asked, prompt, schema, provider), "answers")
-    return df.join(parse(raw, "raw", schema).drop("raw"), prompt, "left")
+    parsed = parse(raw, "raw", schema).select(F.col(prompt).alias("_asked"), "accepted", "response")
+    whole = F.struct(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns])
+    found = lookup(df.withColumn("_row", whole), parsed, [prompt], ["_asked"], row_id="_row").drop("_row")
+    return found.withColumn("accepted", F.coalesce("accepted", F.lit(False)))

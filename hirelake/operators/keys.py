@@ -66,12 +66,12 @@ def last_per(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFra
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def dense_ids(df: DataFrame, ordinal: str, id_col: str, after: DataFrame) -> DataFrame:
-    """Number rows ``max+1, max+2, ...`` in the order of a unique BIGINT ``ordinal``.
+def dense_ids(df: DataFrame, ordinal: str, id_col: str, after: DataFrame, minor: str | None = None) -> DataFrame:
+    """Number rows ``max+1, max+2, ...`` in the order of a BIGINT ``ordinal``, unique or made so by ``minor``.
 
     ``after`` is a one-row frame holding the current maximum. Rows are numbered inside ranges of
     ordinals in parallel. One count per range, summed inside blocks of ranges and then over the
-    blocks, gives each range its offset.
+    blocks, gives each range its offset. The input is read twice, so pass a stored one.
     """
     ranged = df.withColumn("_range", F.shiftright(F.col(ordinal).cast("bigint"), RANGE_BITS))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")) \
@@ -83,7 +83,7 @@ def dense_ids(df: DataFrame, ordinal: str, id_col: str, after: DataFrame) -> Dat
         "_block", F.coalesce(F.sum("_n").over(over_blocks), F.lit(0)).alias("_before"))
     offsets = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(in_block), F.lit(0))) \
         .join(blocks, "_block").select("_range", (F.col("_before") + F.col("_inside")).alias("_offset"))
-    rank = F.row_number().over(W.partitionBy("_range").orderBy(ordinal))
+    rank = F.row_number().over(W.partitionBy("_range").orderBy(ordinal, *[minor] * bool(minor)))
     new_id = F.coalesce(after.scalar(), F.lit(0)) + F.col("_offset") + rank
     return ranged.join(offsets, "_range").withColumn(id_col, new_id.cast("bigint")) \
         .drop("_range", "_offset")

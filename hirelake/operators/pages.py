@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hirelake.functions.text import contains_any
+from hirelake.functions.text import clean_lines, contains_any
 from hirelake.functions.web import (
     anchors,
     redirect_target,
@@ -29,6 +29,10 @@ from hirelake.operators.keys import lookup
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# Hits per query that evidence is gathered from, at most.
+EVIDENCE_HITS = 100
+
+
 def page_text(pages: DataFrame) -> DataFrame:
     """Visible text per page, as JVM expressions only."""
     return with_html_text(pages, "html", "text")
@@ -72,26 +76,25 @@ class _VisibleText(HTMLParser):
         self._text(html5.get(name + ";", f"&{name}"))
 
 
-def _visible_lines(html: str | None) -> str:
+def _node_lines(html: str | None) -> str:
     parser = _VisibleText()
     parser.feed(html or "")
     parser.close()
-    lines = (line.strip() for line in "\n".join(parser.nodes).splitlines())
-    parts = (part.strip() for line in lines for part in line.split("  "))
-    return "\n".join(p for p in parts if p)
+    return "\n".join(parser.nodes)
 
 
 def page_text_parsed(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """As :func:`page_text` with a real parser, for nested or unusual markup.
+    """As :func:`page_text`, with text nodes from a real parser for unusual markup.
 
-    A narrow Arrow-batched map: each task parses its own partition's pages.
+    A narrow Arrow-batched map: each task parses its own partition's pages. Lines are cleaned as columns.
     """
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "text": batch["html"].map(_visible_lines)})
+            yield pd.DataFrame({key: batch[key], "nodes": batch["html"].map(_node_lines)})
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, "html").mapInPandas(parse, f"{key} {kind}, text STRING")
+    nodes = pages.select(key, "html").mapInPandas(parse, f"{key} {kind}, nodes STRING")
+    return nodes.select(key, F.coalesce(clean_lines(F.col("nodes")), F.lit("")).alias("text"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -139,18 +142,19 @@ def with_placeholder_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "pos", "title", "url", "snippet").unionByName(stand_in)
 
 
-def evidence(hits: DataFrame, pages: DataFrame, chars: int) -> DataFrame:
+def evidence(hits: DataFrame, pages: DataFrame, chars: int, limit: int = EVIDENCE_HITS) -> DataFrame:
     """One evidence text per query: a header and the opening of each hit's page, in hit order.
 
-    ``hits(query_id, rank, url, title)`` must come from :func:`top_hits`, so a query collects at
-    most ``limit`` chunks. Only pages that were hit are cleaned, each once and whole; ``chars`` is
-    the evidence size per hit, a report parameter.
+    Of ``hits(query_id, rank, url, title)`` those of rank ``limit`` or less count, so a query gathers
+    at most that many chunks. Only pages that were hit are cleaned, each once and whole; of a page
+    stored twice the smallest text counts. ``chars`` is the evidence size per hit, a report parameter.
     """
-    wanted = pages.join(hits.select("url").distinct(), "url", "left_semi")
-    texts = with_html_text(wanted, "html", "text").select("url", "text")
+    near = hits.where(F.col("rank") <= limit)
+    wanted = pages.join(near.select("url").distinct(), "url", "left_semi")
+    texts = with_html_text(wanted, "html", "text").groupBy("url").agg(F.min("text").alias("text"))
     chunk = F.concat(F.lit("\n--- "), "title", F.lit(" ("), "url", F.lit(") ---\n"),
                      F.substring("text", 1, chars))
-    joined = lookup(hits, texts, ["url"], ["url"], how="inner").select("query_id", F.struct("rank", chunk.alias("chunk")).alias("c"))
+    joined = lookup(near, texts, ["url"], ["url"], how="inner").select("query_id", F.struct("rank", chunk.alias("chunk")).alias("c"))
     ordered = F.transform(F.sort_array(F.collect_list("c")), lambda c: c["chunk"])
     return joined.groupBy("query_id").agg(F.array_join(ordered, "").alias("evidence"),
                                           F.count("*").alias("hits"))

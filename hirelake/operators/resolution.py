@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hirelake.functions.text import blank_to_null, slug
 from hirelake.operators.keys import dense_ids, first_per, lookup
 from hirelake.rules import PLACEHOLDER_NAME, PLACEHOLDER_ROLE, Rules
+from hirelake.session import staged
 
 
 def first_seen(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
@@ -19,43 +20,48 @@ def _max_id(stored: DataFrame) -> DataFrame:
     return stored.agg(F.max("id"))
 
 
+def _resolved(stored: DataFrame, wanted: DataFrame, keys: list[str], minor: str | None = None) -> DataFrame:
+    """``wanted`` rows with the ``id`` of the stored row of their key, or the next free ids in their order.
+
+    Created rows keep all their columns; of found ones the stored row has the attributes, so theirs
+    are null. The one join is written to the shared folder, as numbering reads it twice.
+    """
+    named = stored.select(*keys, "id").dropna(subset=keys)
+    ids = first_per(named, keys, "id").withColumnRenamed("id", "_id")
+    order = ["ordinal", *[minor] * bool(minor)]
+    kept = [*keys, *order]
+    others = [c for c in wanted.columns if c not in (*kept, "id")]
+    joined = staged(lookup(wanted, ids, keys, keys, row_id="ordinal"), "wanted")
+    existing = joined.where(F.col("_id").isNotNull()).select(
+        F.col("_id").alias("id"), *kept, F.lit(False).alias("is_new"),
+        *[F.lit(None).cast(wanted.schema[c].dataType).alias(c) for c in others])
+    created = dense_ids(joined.where(F.col("_id").isNull()), "ordinal", "id", _max_id(stored), minor)
+    return existing.unionByName(created.select("id", *kept, F.lit(True).alias("is_new"), *others))
+
+
 def upsert_companies(stored: DataFrame, found: DataFrame) -> DataFrame:
-    """Get or create by exact name. ``found(ordinal, name, ...)`` -> ``(id, name, ordinal, is_new)``."""
-    wanted = first_seen(found, ["name"], "ordinal")
-    ids = first_per(stored.select("name", "id"), ["name"], "id")
-    existing = wanted.join(ids, "name").select("id", "name", "ordinal", F.lit(False).alias("is_new"))
-    created = dense_ids(wanted.join(ids, "name", "left_anti"), "ordinal", "id", _max_id(stored))
-    return existing.unionByName(
-        created.select("id", "name", "ordinal", F.lit(True).alias("is_new")))
+    """Get or create by exact name. ``found(ordinal, name, ...)`` -> ``(id, name, ordinal, is_new, ...)``."""
+    return _resolved(stored, first_seen(found, ["name"], "ordinal"), ["name"])
 
 
-def upsert_jobs(stored: DataFrame, found: DataFrame) -> DataFrame:
+def upsert_jobs(stored: DataFrame, found: DataFrame, minor: str | None = None) -> DataFrame:
     """Get or create by url; rows without a url are always created.
 
-    ``found(ordinal, company_id, title, url, ...)`` -> ``(id, url, ordinal, is_new)``.
+    ``found(ordinal, company_id, title, url, ...)`` -> ``(id, url, ordinal, is_new, ...)``. Where one
+    ordinal has several rows, ``minor`` orders them.
     """
     found = found.withColumn("url", blank_to_null("url"))
-    keyed = first_seen(found.where(F.col("url").isNotNull()), ["url"], "ordinal")
-    ids = first_per(
-        stored.select(blank_to_null("url").alias("url"), "id").where(F.col("url").isNotNull()),
-        ["url"], "id")
-    existing = keyed.join(ids, "url").select("id", "url", "ordinal", F.lit(False).alias("is_new"))
-    fresh = keyed.join(ids, "url", "left_anti").select("url", "ordinal").unionByName(
-        found.where(F.col("url").isNull()).select("url", "ordinal"))
-    created = dense_ids(fresh, "ordinal", "id", _max_id(stored))
-    return existing.unionByName(
-        created.select("id", "url", "ordinal", F.lit(True).alias("is_new")))
+    order = F.struct("ordinal", minor) if minor else "ordinal"
+    rest = [c for c in found.columns if c != "url"]
+    keyed = first_seen(found.where(F.col("url").isNotNull()), ["url"], order)
+    wanted = keyed.select("url", *rest).unionByName(found.where(F.col("url").isNull()).select("url", *rest))
+    return _resolved(stored.withColumn("url", blank_to_null("url")), wanted, ["url"], minor)
 
 
 def upsert_contacts(stored: DataFrame, found: DataFrame) -> DataFrame:
-    """Get or create by (company, name) -> ``(id, company_id, name, ordinal, is_new)``."""
+    """Get or create by (company, name) -> ``(id, company_id, name, ordinal, is_new, ...)``."""
     keys = ["company_id", "name"]
-    wanted = first_seen(found, keys, "ordinal")
-    ids = first_per(stored.select(*keys, "id"), keys, "id")
-    existing = wanted.join(ids, keys).select("id", *keys, "ordinal", F.lit(False).alias("is_new"))
-    created = dense_ids(wanted.join(ids, keys, "left_anti"), "ordinal", "id", _max_id(stored))
-    return existing.unionByName(
-        created.select("id", *keys, "ordinal", F.lit(True).alias("is_new")))
+    return _resolved(stored, first_seen(found, keys, "ordinal"), keys)
 
 
 def match_companies(targets: DataFrame, companies: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from hirelake.functions.text import col, strip
 
 # Fixed value: the first fenced block of an answer.
-FENCED = r"(?s)```(?:json)?\s*(.*?)\s*```"
+FENCED = r"```(?:json)?\s*([\s\S]*?)\s*```"
 _MAP = "MAP<STRING,STRING>"
 
 

@@ -4,14 +4,6 @@ from __future__ import annotations
 
 from hirelake.functions.mail import MAILBOX
 from hirelake.functions.text import WHITESPACE
-from hirelake.functions.web import (
-    CHROME,
-    FREQUENT_ENTITIES,
-    MARKUP,
-    OPAQUE,
-    RARE_ENTITIES,
-    named,
-)
 from hirelake.operators import audit
 from hirelake.operators.messages import signature
 from hirelake.rules import (
@@ -32,6 +24,13 @@ from hirelake.rules import FIXTURE_RULES as RULES
 from hirelake.sources.views import EVENTS_AS_OF, ORDERS_AS_OF, with_prelude
 
 
+# The twin's own reading of markup: enough for the pages of the fixture.
+OPAQUE = "(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>"
+CHROME = "(?is)<(?:header|footer|nav)\\b[^>]*>.*?</(?:header|footer|nav)\\s*>"
+TAG = "<(?:![^>]*|/?[a-zA-Z][^>]*)>"
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "apos": "'", "copy": "\u00a9", "mdash": "\u2014", "amp": "&"}
+
+
 def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
@@ -92,9 +91,9 @@ def _top_hits(n: int) -> str:
 
 def _entities(c: str) -> str:
     """Named references; the test pages hold no numeric ones."""
-    for name, char in [*FREQUENT_ENTITIES.items(), *RARE_ENTITIES.items(), ("amp", "&")]:
+    for name, char in REFERENCES.items():
         quoted = char.replace("'", "''")
-        c = f"regexp_replace({c}, '{named(name)}', '{quoted}', 'g')"
+        c = f"regexp_replace({c}, '&{name}(?:;|\\b)', '{quoted}', 'g')"
     return c
 
 
@@ -103,7 +102,7 @@ _BREAK = r"(?:[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]|  )"
 
 
 def _page_text(html: str) -> str:
-    for pattern in (OPAQUE, CHROME, MARKUP):
+    for pattern in (OPAQUE, CHROME, TAG):
         html = f"regexp_replace({html}, '{pattern}', chr(10), 'g')"
     return _strip(f"regexp_replace({_entities(html)}, '{_RUN}{_BREAK}{_RUN}', chr(10), 'g')")
 
@@ -328,25 +327,26 @@ _RAW: dict[str, str] = {
         LEFT JOIN v_contacts ct ON a.contact_id = ct.id LEFT JOIN latest_mail m ON m.application_id = a.id
         LEFT JOIN latest_resume r ON r.application_id = a.id LEFT JOIN seen h ON h.application_id = a.id
         LEFT JOIN newest n ON n.application_id = a.id""",
-    "company_upsert": """WITH wanted AS (SELECT name, min(ordinal) AS ordinal FROM v_found_companies GROUP BY name),
+    "company_upsert": """WITH wanted AS (SELECT name, min(ordinal) AS ordinal, arg_min(domain, ordinal) AS domain FROM v_found_companies GROUP BY name),
         stored AS (SELECT name, min(id) AS id FROM v_companies GROUP BY name)
-        SELECT s.id, w.name, w.ordinal, false AS is_new FROM wanted w JOIN stored s USING (name)
-        UNION ALL SELECT (SELECT max(id) FROM v_companies) + row_number() OVER (ORDER BY ordinal), name, ordinal, true
+        SELECT s.id, w.name, w.ordinal, false AS is_new, NULL AS domain FROM wanted w JOIN stored s USING (name)
+        UNION ALL SELECT (SELECT max(id) FROM v_companies) + row_number() OVER (ORDER BY ordinal), name, ordinal, true, domain
         FROM wanted WHERE name NOT IN (SELECT name FROM stored)""",
-    "job_upsert": f"""WITH found AS (SELECT id AS ordinal, {URL} AS url FROM v_jobs WHERE created_at >= TIMESTAMP '1998-01-01 00:00:00'),
+    "job_upsert": f"""WITH found AS (SELECT id AS ordinal, {URL} AS url, company_id, title FROM v_jobs WHERE created_at >= TIMESTAMP '1998-01-01 00:00:00'),
         stored AS (SELECT url, min(id) AS id FROM (SELECT id, {URL} AS url FROM v_jobs WHERE created_at < TIMESTAMP '1998-01-01 00:00:00')
           WHERE url IS NOT NULL GROUP BY url),
         top AS (SELECT max(id) AS m FROM v_jobs WHERE created_at < TIMESTAMP '1998-01-01 00:00:00'),
-        keyed AS (SELECT url, min(ordinal) AS ordinal FROM found WHERE url IS NOT NULL GROUP BY url),
-        fresh AS (SELECT url, ordinal FROM keyed WHERE url NOT IN (SELECT url FROM stored)
-          UNION ALL SELECT url, ordinal FROM found WHERE url IS NULL)
-        SELECT s.id, k.url, k.ordinal, false AS is_new FROM keyed k JOIN stored s USING (url)
-        UNION ALL SELECT (SELECT m FROM top) + row_number() OVER (ORDER BY ordinal), url, ordinal, true FROM fresh""",
-    "contact_upsert": """WITH wanted AS (SELECT company_id, name, min(ordinal) AS ordinal FROM v_found_contacts GROUP BY company_id, name),
+        keyed AS (SELECT url, min(ordinal) AS ordinal, arg_min(company_id, ordinal) AS company_id, arg_min(title, ordinal) AS title
+          FROM found WHERE url IS NOT NULL GROUP BY url),
+        fresh AS (SELECT url, ordinal, company_id, title FROM keyed WHERE url NOT IN (SELECT url FROM stored)
+          UNION ALL SELECT url, ordinal, company_id, title FROM found WHERE url IS NULL)
+        SELECT s.id, k.url, k.ordinal, false AS is_new, NULL AS company_id, NULL AS title FROM keyed k JOIN stored s USING (url)
+        UNION ALL SELECT (SELECT m FROM top) + row_number() OVER (ORDER BY ordinal), url, ordinal, true, company_id, title FROM fresh""",
+    "contact_upsert": """WITH wanted AS (SELECT company_id, name, min(ordinal) AS ordinal, arg_min(role, ordinal) AS role FROM v_found_contacts GROUP BY company_id, name),
         stored AS (SELECT company_id, name, min(id) AS id FROM v_contacts GROUP BY company_id, name),
         both_sides AS (SELECT w.*, s.id FROM wanted w LEFT JOIN stored s ON w.company_id = s.company_id AND w.name = s.name)
-        SELECT id, company_id, name, ordinal, false AS is_new FROM both_sides WHERE id IS NOT NULL
-        UNION ALL SELECT (SELECT max(id) FROM v_contacts) + row_number() OVER (ORDER BY ordinal), company_id, name, ordinal, true
+        SELECT id, company_id, name, ordinal, false AS is_new, NULL AS role FROM both_sides WHERE id IS NOT NULL
+        UNION ALL SELECT (SELECT max(id) FROM v_contacts) + row_number() OVER (ORDER BY ordinal), company_id, name, ordinal, true, role
         FROM both_sides WHERE id IS NULL""",
     "entity_match": """WITH by_name AS (SELECT lower(name) AS k, min(id) AS id FROM v_companies GROUP BY 1),
         by_domain AS (SELECT domain AS k, min(id) AS id FROM v_companies WHERE domain IS NOT NULL GROUP BY 1)
@@ -458,7 +458,7 @@ _RAW: dict[str, str] = {
           regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"[^>]*>(.*?)</a\\s*>', 2) AS l FROM pages),
         rows AS (SELECT page_id, unnest(h) AS h, unnest(l) AS l, generate_subscripts(h, 1) AS i FROM found)
         SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, {_entities('h')} AS href,
-          {_strip(_entities(f"regexp_replace(l, '{MARKUP}', '', 'g')"))} AS title FROM rows""",
+          {_strip(_entities(f"regexp_replace(l, '{TAG}', '', 'g')"))} AS title FROM rows""",
     "fence_strip": f"SELECT id, {UNFENCED} AS body FROM v_responses",
     "response_parse": f"""SELECT id, CAST(json_extract(body, '$.k') AS INTEGER) AS k FROM (SELECT id, {UNFENCED} AS body FROM v_responses)
         WHERE json_valid(body)""",

@@ -15,8 +15,6 @@ from hirelake.rules import Rules
 from hirelake.session import staged
 from hirelake.sources.schemas import RESPONSES
 
-# Positions inside one company's response; a response holds fewer rows than this.
-POSITION_BITS = 20
 JOB_COLUMNS = ("company_id", "title", "url", "location", "experience_years_required")
 
 
@@ -51,10 +49,8 @@ def discover(companies: DataFrame, jobs: DataFrame, applications: DataFrame, fou
     invented = lookup(speculative_jobs(known, listed, rules), order, ["company_id"], ["id"], how="inner")
     rows = listed.select(*JOB_COLUMNS, "ordinal", "pos").unionByName(
         invented.select(*JOB_COLUMNS, "ordinal", F.lit(0).alias("pos")))
-    rows = rows.withColumn("ordinal", F.shiftleft("ordinal", POSITION_BITS) + F.col("pos")).drop("pos")
-    resolved = upsert_jobs(jobs, rows)
-    full = resolved.where("is_new").join(rows.drop("url"), "ordinal").select(
-        "id", *JOB_COLUMNS, "is_new")
+    resolved = upsert_jobs(jobs, rows, minor="pos")
+    full = resolved.where("is_new").select("id", *JOB_COLUMNS, "is_new")
     stored = jobs.join(resolved.where(~F.col("is_new")).select("id"), "id", "left_semi")
     stored = stored.select("id", *[F.col(c) if c in jobs.columns else F.lit(None).cast("string").alias(c)
                                    for c in JOB_COLUMNS], F.lit(False).alias("is_new"))

@@ -194,19 +194,22 @@ def application_details(t):
 
 @query
 def company_upsert(t):
-    return resolution.upsert_companies(t.companies, t.found_companies)
+    return resolution.upsert_companies(t.companies, t.found_companies) \
+        .select("id", "name", "ordinal", "is_new", "domain")
 
 
 @query
 def job_upsert(t):
     stored = t.jobs.where(F.col("created_at") < F.lit("1998-01-01").cast("timestamp_ntz"))
     found = t.jobs.where(F.col("created_at") >= F.lit("1998-01-01").cast("timestamp_ntz"))
-    return resolution.upsert_jobs(stored, found.withColumnRenamed("id", "ordinal"))
+    return resolution.upsert_jobs(stored, found.withColumnRenamed("id", "ordinal")) \
+        .select("id", "url", "ordinal", "is_new", "company_id", "title")
 
 
 @query
 def contact_upsert(t):
-    return resolution.upsert_contacts(t.contacts, t.found_contacts)
+    return resolution.upsert_contacts(t.contacts, t.found_contacts) \
+        .select("id", "company_id", "name", "ordinal", "is_new", "role")
 
 
 @query

@@ -76,6 +76,11 @@ PLACEHOLDER_NAME = "Hiring Manager"
 PLACEHOLDER_ROLE = "Engineering Manager"
 
 
+# Contact roles from the most wanted on, and the weights of a score.
+ROLE_PRIORITY = ("engineering manager", "hiring manager", "tech lead", "head of engineering", "cto", "recruiter", "hr")
+SCORE_WEIGHTS = {"role_match": 0.3, "tech_stack": 0.3, "salary": 0.1, "company_quality": 0.1, "growth": 0.1, "confidence": 0.1}
+
+
 @dataclass(frozen=True)
 class Rules:
     """Everything a user may tune; list-valued rules become literals in the plan."""
@@ -86,14 +91,8 @@ class Rules:
     allow_speculative: bool = False
     preferred_roles: tuple[str, ...] = ()
     geographies: tuple[str, ...] = ()
-    role_priority: tuple[str, ...] = (
-        "engineering manager", "hiring manager", "tech lead", "head of engineering", "cto",
-        "recruiter", "hr",
-    )
-    weights: Mapping[str, float] = field(default_factory=lambda: {
-        "role_match": 0.3, "tech_stack": 0.3, "salary": 0.1,
-        "company_quality": 0.1, "growth": 0.1, "confidence": 0.1,
-    })
+    role_priority: tuple[str, ...] = ROLE_PRIORITY
+    weights: Mapping[str, float] = field(default_factory=lambda: dict(SCORE_WEIGHTS))
     minimum_score: float = 0.60
     daily_draft_limit: int = 20
     cache_ttl_seconds: int = 86400
