@@ -43,17 +43,12 @@ def normalize_urls(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("url", blank_to_null("url"))
 
 
-def screen(jobs: DataFrame, companies: DataFrame, rules: Rules) -> DataFrame:
-    """First matching rule per job decides: company, title, experience, pass.
-
-    Adds ``current_stage``, ``state`` and ``note`` to ``(job_id, company_id)``.
-    """
-    joined = jobs.join(
-        companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name")),
-        "company_id")
+def _verdict(rules: Rules) -> tuple[Column, Column, Column]:
+    """Stage, state and note of a job with ``company_name``; the first matching rule decides."""
     by_company, by_title, by_years = (
         company_excluded("company_name", rules), title_excluded("title", rules),
         too_experienced("experience_years_required", rules))
+    stage = F.when(by_company | by_title | by_years, 2).otherwise(3)
     state = F.when(by_company, "Excluded Company").when(by_title | by_years, "Ghost Job") \
         .otherwise("Company Research")
     note = (
@@ -63,32 +58,51 @@ def screen(jobs: DataFrame, companies: DataFrame, rules: Rules) -> DataFrame:
             F.lit("needs "), F.col("experience_years_required").cast("string"),
             F.lit(f" years, limit {rules.max_experience_years}")))
         .otherwise("passed screening"))
-    return joined.select(
-        F.col("id").alias("job_id"), "company_id",
-        F.when(by_company | by_title | by_years, 2).otherwise(3).alias("current_stage"),
-        state.alias("state"), note.alias("note"))
+    return stage, state, note
+
+
+def screen(jobs: DataFrame, companies: DataFrame, rules: Rules) -> DataFrame:
+    """First matching rule per job decides: company, title, experience, pass.
+
+    Adds ``current_stage``, ``state`` and ``note`` to ``(job_id, company_id)``.
+    """
+    joined = jobs.join(
+        companies.select(F.col("id").alias("company_id"), F.col("name").alias("company_name")),
+        "company_id")
+    stage, state, note = _verdict(rules)
+    return joined.select(F.col("id").alias("job_id"), "company_id", stage.alias("current_stage"),
+                         state.alias("state"), note.alias("note"))
 
 
 def enter_screening(
     jobs: DataFrame, companies: DataFrame, applications: DataFrame, rules: Rules
 ) -> DataFrame:
-    """Applications that go on after screening a list of jobs.
+    """Applications after screening a list of jobs, with ``state`` and ``note``.
 
-    A job with an application returns that one unless it is closed; a job without gets a new row,
-    which goes on only if it passes. ``application_id`` is null for new rows.
+    A job with an application returns that one unless it is closed, without a note; a job without gets
+    a new row, also if it is rejected (:func:`admitted` leaves those out). ``application_id`` is null
+    for new rows. New rows of jobs without a company are left out.
     """
     stored = first_per(
-        applications.select("job_id", "id", "current_stage", "state"), ["job_id"], "id")
-    known = jobs.join(stored.withColumnRenamed("id", "application_id"),
-                      jobs["id"] == stored["job_id"], "left")
-    kept = known.where(F.col("application_id").isNotNull() & ~F.col("state").isin(*REFILTER_CLOSED)) \
-        .select(F.col("id").alias("job_id"), "application_id", F.col("current_stage").cast("int"),
-                "state", F.lit(False).alias("is_new"))
-    fresh = known.where(F.col("application_id").isNull()).select(*jobs.columns)
-    entered = screen(fresh, companies, rules).where(F.col("current_stage") == 3).select(
-        "job_id", F.lit(None).cast("bigint").alias("application_id"),
-        F.col("current_stage").cast("int"), "state", F.lit(True).alias("is_new"))
-    return kept.unionByName(entered)
+        applications.select("job_id", "id", "current_stage", "state"), ["job_id"], "id") \
+        .select(F.col("job_id").alias("_job"), F.col("id").alias("application_id"),
+                F.col("current_stage").alias("_stage"), F.col("state").alias("_state"))
+    names = companies.select(F.col("id").alias("_company"), F.col("name").alias("company_name"), F.lit(True).alias("_named"))
+    known = lookup(jobs, stored, ["id"], ["_job"])
+    known = lookup(known, names, ["company_id"], ["_company"], row_id="id")
+    is_new = F.col("application_id").isNull()
+    stage, state, note = _verdict(rules)
+    goes_in = F.when(is_new, F.col("_named")).otherwise(~F.col("_state").isin(*REFILTER_CLOSED))
+    return known.where(goes_in).select(
+        F.col("id").alias("job_id"), "application_id",
+        F.when(is_new, stage).otherwise(F.col("_stage")).cast("int").alias("current_stage"),
+        F.when(is_new, state).otherwise(F.col("_state")).alias("state"),
+        is_new.alias("is_new"), F.when(is_new, note).alias("note"))
+
+
+def admitted(entered: DataFrame) -> DataFrame:
+    """Rows of :func:`enter_screening` that go on."""
+    return entered.where(~F.col("is_new") | (F.col("current_stage") != 2))
 
 
 def unfinished(applications: DataFrame) -> DataFrame:

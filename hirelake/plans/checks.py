@@ -277,11 +277,15 @@ _RAW: dict[str, str] = {
              WHEN {YEARS} THEN 'needs ' || CAST(j.experience_years_required AS VARCHAR) || ' years, limit 1.0'
              ELSE 'passed screening' END AS note
         FROM v_jobs j JOIN v_companies c ON j.company_id = c.id""",
-    "refilter_existing": f"""SELECT job_id, CAST(id AS VARCHAR) AS application_id, CAST(current_stage AS INTEGER) AS current_stage, state, false AS is_new
+    "refilter_existing": f"""SELECT job_id, CAST(id AS VARCHAR) AS application_id, CAST(current_stage AS INTEGER) AS current_stage, state, false AS is_new, NULL AS note
         FROM v_applications WHERE score IS NOT NULL AND state NOT IN {_in(REFILTER_CLOSED)}
-        UNION ALL SELECT j.id, NULL, 3, 'Company Research', true FROM v_jobs j JOIN v_companies c ON j.company_id = c.id
-        WHERE j.id NOT IN (SELECT job_id FROM v_applications WHERE score IS NOT NULL)
-          AND NOT ({EXCLUDED} OR {TITLE} OR {YEARS})""",
+        UNION ALL SELECT j.id, NULL, CASE WHEN {EXCLUDED} OR {TITLE} OR {YEARS} THEN 2 ELSE 3 END,
+          CASE WHEN {EXCLUDED} THEN 'Excluded Company' WHEN {TITLE} OR {YEARS} THEN 'Ghost Job' ELSE 'Company Research' END, true,
+          CASE WHEN {EXCLUDED} THEN 'excluded company: ' || c.name WHEN {TITLE} THEN 'excluded word in title: ' || j.title
+             WHEN {YEARS} THEN 'needs ' || CAST(j.experience_years_required AS VARCHAR) || ' years, limit 1.0'
+             ELSE 'passed screening' END
+        FROM v_jobs j JOIN v_companies c ON j.company_id = c.id
+        WHERE j.id NOT IN (SELECT job_id FROM v_applications WHERE score IS NOT NULL)""",
     "resume_selection": f"""SELECT id, CAST(current_stage AS INTEGER) AS current_stage, state FROM v_applications
         WHERE state NOT IN {_in(RUN_TERMINAL)}""",
     "drafts_today": f"SELECT {TODAY} AS drafts_today",
@@ -529,9 +533,13 @@ _RAW: dict[str, str] = {
           UNION ALL SELECT f.* FROM found f JOIN (SELECT url, min(ordinal) AS o FROM found WHERE url IS NOT NULL GROUP BY url) u
             ON f.url = u.url AND f.ordinal = u.o),
         numbered AS (SELECT (SELECT max(id) FROM v_jobs) + row_number() OVER (ORDER BY ordinal) AS job_id, * FROM fresh)
-        SELECT job_id, 3 AS current_stage, 'Company Research' AS state, true AS is_new,
-          company_id, title, url FROM numbered n JOIN known k ON k.id = n.company_id
-        WHERE NOT contains(lower(k.name), '00000007') AND NOT contains(lower(title), 'specified') AND coalesce(years, 0) <= 1.0""",
+        SELECT job_id, CASE WHEN note = 'passed screening' THEN 3 ELSE 2 END AS current_stage,
+          CASE WHEN note = 'passed screening' THEN 'Company Research' WHEN starts_with(note, 'excluded company') THEN 'Excluded Company'
+               ELSE 'Ghost Job' END AS state, true AS is_new, company_id, title, url, note
+        FROM (SELECT n.*, CASE WHEN contains(lower(k.name), '00000007') THEN 'excluded company: ' || k.name
+            WHEN contains(lower(title), 'specified') THEN 'excluded word in title: ' || title
+            WHEN coalesce(years, 0) > 1.0 THEN 'needs ' || CAST(years AS VARCHAR) || ' years, limit 1.0'
+            ELSE 'passed screening' END AS note FROM numbered n JOIN known k ON k.id = n.company_id)""",
     "targeted_advance": f"""WITH linked_apps AS (SELECT a.* REPLACE (CASE WHEN c.industry = 'MACHINERY' AND a.state NOT IN {_in(REFILTER_CLOSED)}
             THEN 4 ELSE a.contact_id END AS contact_id)
           FROM v_applications a JOIN v_jobs j ON a.job_id = j.id JOIN v_companies c ON j.company_id = c.id),

@@ -131,9 +131,12 @@ def test_screening_and_reentry(spark, rows):
                                   (61, "r", 6, None, 3, "Completed", None, None, DAY),
                                   (70, "r", 7, None, 2, "Ghost Job", None, None, DAY)], APPLICATION)
     entered = filtering.enter_screening(jobs, companies, apps, RULES)
-    assert rows(entered, "job_id", "application_id", "is_new") == [(1, None, True), (5, None, True), (6, 60, False)]
+    assert rows(entered, "job_id", "application_id", "state", "is_new") == [
+        (1, None, "Company Research", True), (2, None, "Ghost Job", True), (3, None, "Ghost Job", True),
+        (4, None, "Excluded Company", True), (5, None, "Company Research", True), (6, 60, "Duplicate", False)]
+    assert rows(filtering.admitted(entered), "job_id", "note") == [(1, "passed screening"), (5, "passed screening"), (6, None)]
     targets = spark.createDataFrame([(2,)], "id BIGINT")
-    assert advance.targeted_entries(jobs, companies, apps, RULES, targets).count() == 0
+    assert filtering.admitted(advance.targeted_entries(jobs, companies, apps, RULES, targets)).count() == 0
     freed = advance.targeted_entries(jobs.where("id = 4").withColumn("title", F.lit("Dev")).withColumn(
         "experience_years_required", F.lit(0.5)), companies, apps, RULES, targets, honour_exclusions=False)
     assert freed.count() == 1
@@ -191,7 +194,15 @@ def test_discovery_reuses_stored_rows(spark, rows):
         (10, 1, "http://a.io/1", False), (11, 2, "speculative://new_co", True), (12, 1, None, True), (13, 1, None, True),
         (14, 1, "http://a.io/2", True), (15, 3, "speculative://i_dislike_co", True)]
     assert rows(run.entered, "job_id", "application_id", "is_new") == [
-        (10, 5, False), (11, None, True), (12, None, True), (13, None, True)]
+        (10, 5, False), (11, None, True), (12, None, True), (13, None, True), (14, None, True), (15, None, True)]
+    assert rows(run.entered.where("current_stage = 2"), "job_id", "state") == [(14, "Ghost Job"), (15, "Excluded Company")]
+
+
+def test_ordinals_and_positions_of_any_size(spark):
+    found = spark.createDataFrame([(2**43 + 1, 0, "a"), (2**43, 2**20 + 5, "b"), (2**43, 7, "c"), (5, 2**30, "d")],
+                                  "ordinal BIGINT, pos INT, url STRING")
+    got = resolution.upsert_jobs(spark.createDataFrame([(9, None)], "id BIGINT, url STRING"), found, minor="pos")
+    assert sorted((r["id"], r["url"]) for r in got.collect()) == [(10, "d"), (11, "c"), (12, "b"), (13, "a")]
 
 
 @pytest.mark.parametrize("step", [1, 3, 2**40 + 7])
