@@ -39,7 +39,8 @@ def lookup(requests: DataFrame, entries: DataFrame, as_of: str,
     if treat_empty_as_miss:
         live = live.where(~F.col("value").isin(*EMPTY_VALUES))
     found = live.withColumn("_live", F.lit(True))
-    joined = lookup_side(requests, found, ["key"], ["key"])
+    whole = F.struct(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in requests.columns])
+    joined = lookup_side(requests.withColumn("_row", whole), found, ["key"], ["key"], row_id="_row").drop("_row")
     return joined.withColumn("hit", F.coalesce("_live", F.lit(False))).drop("_live")
 
 

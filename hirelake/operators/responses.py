@@ -58,14 +58,38 @@ def _list(items: Column, field: T.StructField) -> tuple[Column, Column]:
     return typed, F.coalesce(sound, F.lit(False))
 
 
+def _texts(value: Column, fields: list[T.StructField]) -> Column:
+    """Whether every text field of a JSON object is a JSON text (or null, where it may be)."""
+    sound = F.lit(True)
+    for f in fields:
+        if isinstance(f.dataType, T.StringType):
+            kind = F.schema_of_variant(F.try_variant_get(value, f"$['{f.name}']", "variant"))
+            sound = sound & F.coalesce(kind.isin("STRING", *["VOID"] * f.nullable), F.lit(f.nullable))
+        elif _is_rows(f):
+            rows = F.try_variant_get(value, f"$['{f.name}']", "array<variant>")
+            inner = f.dataType.elementType.fields
+            sound = sound & F.coalesce(F.forall(rows, lambda r: _texts(r, inner)), F.lit(False))  # noqa: B023
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
+            items = F.try_variant_get(value, f"$['{f.name}']", "array<variant>")
+            sound = sound & F.coalesce(F.forall(items, lambda i: F.schema_of_variant(i) == "STRING"), F.lit(False))
+    return sound
+
+
 def parse(df: DataFrame, raw: str, schema: T.StructType) -> DataFrame:
     """Add ``response`` (typed struct or null) and ``accepted``.
 
-    A response is accepted when it is one JSON object with every key of the schema present, every
-    non-nullable value set, and every value of a fitting type. The text, its top level and each list
-    are parsed once, into columns of their own that the checks and the typed value share.
+    A response is accepted when it is one JSON object and nothing else, with every key of the schema
+    present, every non-nullable value set, and every value of a fitting type; a text field takes JSON texts only.
+    The text, its top level and each list are parsed once, into columns of their own that the checks
+    and the typed value share.
     """
-    parsed = df.withColumn("_text", unfenced(raw)).withColumn("_map", F.from_json("_text", _MAP))
+    parsed = df.withColumn("_text", unfenced(raw)).withColumn("_value", F.try_parse_json("_text"))
+    # Anything after the object would be passed over silently: in an array it breaks the parse.
+    alone = F.try_parse_json(F.concat(F.lit("["), F.col("_text"), F.lit("]")))
+    one = F.coalesce(F.schema_of_variant(alone).startswith("ARRAY<OBJECT"), F.lit(False)) \
+        & (F.size(F.try_variant_get(alone, "$", "array<variant>")) == 1)
+    parsed = parsed.withColumn("_one", one & F.col("_value").isNotNull()) \
+        .withColumn("_map", F.when(F.col("_one"), F.from_json("_text", _MAP)))
     lists = [f for f in schema.fields if isinstance(f.dataType, T.ArrayType)]
     for f in lists:
         kind = f"ARRAY<{_MAP}>" if _is_rows(f) else "ARRAY<STRING>"
@@ -74,11 +98,12 @@ def parse(df: DataFrame, raw: str, schema: T.StructType) -> DataFrame:
         parsed = parsed.withColumn(f"_list_{f.name}", items)
     fields = [_list(F.col(f"_list_{f.name}"), f) if f in lists else _scalar(F.col("_map"), f)
               for f in schema.fields]
-    accepted = F.col("_map").isNotNull() & reduce(lambda a, b: a & b, [ok for _, ok in fields])
+    accepted = F.col("_map").isNotNull() & _texts(F.col("_value"), schema.fields) \
+        & reduce(lambda a, b: a & b, [ok for _, ok in fields])
     typed = F.struct(*[v.alias(f.name) for (v, _), f in zip(fields, schema.fields, strict=True)])
     return parsed.withColumn("accepted", F.coalesce(accepted, F.lit(False))) \
         .withColumn("response", F.when(F.col("accepted"), typed)) \
-        .drop("_text", "_map", *[f"_list_{f.name}" for f in lists])
+        .drop("_text", "_value", "_one", "_map", *[f"_list_{f.name}" for f in lists])
 
 
 def accepted_rows(parsed: DataFrame) -> DataFrame:

@@ -539,3 +539,19 @@ def test_retry_and_override(spark, rows):
     assert rows(got, "id", "current_stage", "state")[0] == (1, 3, "Manual Skip")
     assert got.where("id = 1").first()["updated_at"] == datetime.fromisoformat(NOW)
     assert got.where("id = 2").first()["updated_at"] == DAY
+
+
+def test_responses_are_taken_strictly(spark):
+    from hirelake.operators import responses
+
+    row = T.StructType([T.StructField("n", T.StringType(), False)])
+    schema = T.StructType([T.StructField("k", T.IntegerType(), False), T.StructField("t", T.StringType(), True),
+                           T.StructField("r", T.ArrayType(row), False)])
+    good = ['{"k": 1, "t": "x", "r": []}', '{"k": "7", "t": null, "r": []}', '{"k": 1, "t": "a", "r": [{"n": "b"}]}',
+            '```json\n{"k": 1, "t": "x", "r": []}\n```']
+    bad = ['{"k": 1, "t": "x", "r": []} more', '{"k": 1, "t": "x", "r": []}{"k": 2}', '{"k": 1, "t": "x", "r": []}, {"k": 2}',
+           "{'k': 1, 't': 'x', 'r': []}", '{"k": 1, "t": 5, "r": []}', '{"k": 1, "t": true, "r": []}',
+           '{"k": 1, "t": {"a": 1}, "r": []}', '{"k": 1, "t": ["x"], "r": []}', '{"k": 1, "t": "a", "r": [{"n": 5}]}', "[1]", "x", None]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(good + bad)], "i INT, raw STRING")
+    got = {r["i"]: r["accepted"] for r in responses.parse(rows, "raw", schema).collect()}
+    assert [got[i] for i in range(len(good + bad))] == [True] * len(good) + [False] * len(bad)

@@ -174,3 +174,18 @@ def test_rules():
 def test_rule_table(spark):
     table = Rules(excluded_companies=("A", "B")).as_table(spark)
     assert table.where("rule = 'excluded_companies'").count() == 2
+
+
+def test_page_text_of_unusual_markup(spark):
+    cases = {
+        "caf&eacute; &#146;&#150; &#x0000041; &unknown; &amp;lt; &amp a&b &#0; &#99999999;": "caf\u00e9 \u2019\u2013 A &unknown; &lt; & a&b \ufffd \ufffd",
+        "a<nav>x<nav>y</nav>z</nav>b": "a\nb", "a<nav>never closed <p>c": "a", "a</nav>b": "a\nb",
+        "<header><nav>q</header>r<NAV/>s": "r\ns", "<navigator>t</navigator>": "t", "\u3000a\u3000\n b": "a\nb"}
+    df = spark.createDataFrame(list(enumerate(cases)), "page_id INT, html STRING")
+    assert [r["text"] for r in pages.page_text(df).orderBy("page_id").collect()] == list(cases.values())
+
+
+def test_links_with_any_quotes(spark):
+    html = "<a href='x&amp;y'>T</a> <a class=z href=bare>B <b>c</b></a><a data-href=\"no\" href=\"d\">D</a>"
+    got = spark.createDataFrame([(html,)], "h STRING").select(web.anchors("h").alias("a")).first()["a"]
+    assert [(x["href"], x["title"]) for x in got] == [("x&y", "T"), ("bare", "B c"), ("d", "D")]
