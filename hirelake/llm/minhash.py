@@ -5,11 +5,12 @@ half of either collection, so 2 * 10 * 2 = 40 minhashes fill 100 tables of four
 would take 400. A pair of similarity s shares no table with a chance of at most 2 * (1 - s**2)**10: 7e-5
 at 0.8, 4e-8 at 0.9.
 
-Documents with equal shingle sets form one class; from there on only classes count. In each table
-a class is compared with the smallest class under the same key. Classes under one key that are not
-connected by then are compared with one another, except within the key's largest component, so no candidate
-pair is left out and a group of copies does not grow into all its pairs. A sketch of 18 minhashes
-of three bits rules out candidates of clearly lower similarity (chance to lose a pair at 0.8: 2e-5).
+Documents with equal shingle sets form one class; from there on only classes count. In each table a class
+is compared with the key's hub, the class that meets most others. Classes under one key that are not
+connected by then are compared with one another, except within the largest component, so no candidate
+pair is left out: those near the same hub in blocks inside tasks, from which only links come out,
+the rest as pairs. A sketch of 18 minhashes of three bits rules out candidates of clearly lower
+similarity (chance to lose a pair at 0.8: 2e-5).
 """
 
 from __future__ import annotations
@@ -33,10 +34,15 @@ MINHASHES = 2 * HALVES * ROWS
 SKETCH = 18
 SKETCH_BITS = 3
 SKETCH_EQUAL = 8
+# So many equal minhashes put a class into the group of a hub.
+SKETCH_NEAR = 5
 # Size classes grow by a sixteenth in the logarithm; sets of similarity 0.8 differ by 4 at most.
 SIZE_STEP = 16
 SIZE_BITS = 8
 SIMILAR = 80  # per cent
+# Sets that meet in one task: all of a group on one side, those outside its largest component on the other.
+GROUP_ROWS = 2048
+GROUP_FEW = 512
 # Ids below which a list of documents is sent to all executors (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -68,14 +74,19 @@ def sketches(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (made << np.uint64(SIZE_BITS) | size.astype(np.uint64)).astype(np.int64)
 
 
-def may_match(x: Column, y: Column) -> Column:
-    """False only for sketches of sets that are (almost surely) less similar than ``SIMILAR``."""
+def unequal(x: Column, y: Column) -> Column:
+    """How many of two sketches' minhashes differ."""
     differ = F.shiftright(x.bitwiseXOR(y), SIZE_BITS)
     ones = sum(1 << (SKETCH_BITS * k) for k in range(SKETCH))
     some = differ.bitwiseOR(F.shiftright(differ, 1)).bitwiseOR(F.shiftright(differ, 2)).bitwiseAND(F.lit(ones))
+    return F.bit_count(some)
+
+
+def may_match(x: Column, y: Column) -> Column:
+    """False only for sketches of sets that are (almost surely) less similar than ``SIMILAR``."""
     low = F.lit((1 << SIZE_BITS) - 1)
     sizes = F.abs(x.bitwiseAND(low) - y.bitwiseAND(low))
-    return (F.bit_count(some) <= SKETCH - SKETCH_EQUAL) & (sizes <= 4)
+    return (unequal(x, y) <= SKETCH - SKETCH_EQUAL) & (sizes <= 4)
 
 
 def summaries(docs: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
@@ -110,6 +121,25 @@ def table_keys(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(key).alias("key"), "rep", "sketch")
 
 
+def keyed(classes: DataFrame) -> DataFrame:
+    """(key, rep, sketch, hub, weight, near, fits): the classes under every key that several have.
+
+    The hub is the class that meets most others over all its keys (``weight``): in a group of copies the
+    text they were made from, or one close to it. ``fits``: the sketches of class and hub may match;
+    ``near``: they are alike enough for both to belong to one group.
+    """
+    keys = table_keys(classes)
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = staged(lookup(keys, shared, ["key"], ["key"], how="inner"), "shared-keys")
+    weights = rows.groupBy("rep").agg(F.sum("n").alias("weight"))
+    weighed = lookup(rows, weights, ["rep"], ["rep"]).withColumn("best", F.struct("weight", (-F.col("rep")).alias("r"), "sketch"))
+    hubs = weighed.groupBy("key").agg(F.max("best").alias("h")) \
+        .select("key", (-F.col("h.r")).alias("hub"), F.col("h.weight").alias("weight"), F.col("h.sketch").alias("other"))
+    return lookup(weighed.drop("best", "weight", "n"), hubs, ["key"], ["key"], how="inner").select(
+        "key", "rep", "sketch", "hub", "weight", (unequal(F.col("sketch"), F.col("other")) <= SKETCH - SKETCH_NEAR).alias("near"),
+        may_match(F.col("sketch"), F.col("other")).alias("fits"))
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
     """Full shingle sets of the documents named."""
     rows = docs.select(docs[id_column].cast("bigint").alias("doc_id"), docs[text_column].cast("string").alias("text"))
@@ -130,16 +160,72 @@ def picked(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame
     return lookup(docs, ids, ["doc_id"], ["id"], how=how)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
-    """The pairs (``a``, ``b``) whose full sets are similar enough."""
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    sets = staged(sets_of(docs, ids, width, id_column, text_column), "pair-sets")
+def pair_sets(pairs: DataFrame, docs: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
+    """The full sets of all ids of the pairs (``a``, ``b``)."""
+    ids = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
+    return staged(sets_of(docs, staged(ids, "pair-ids"), width, id_column, text_column), "pair-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
     one = lookup(pairs, sets.withColumnRenamed("shingles", "s"), ["a"], ["doc_id"], how="inner")
     two = lookup(one, sets.withColumnRenamed("shingles", "t"), ["b"], ["doc_id"], how="inner")
     shared = F.size(F.array_intersect("s", "t"))
     return two.where(100 * shared >= SIMILAR * (F.size("s") + F.size("t") - shared)).select("a", "b").distinct()
 
 
+def within_groups(stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between classes compared with the same hub (``a``) that are not connected so far.
+
+    Classes outside the hub's largest component are held against all of the hub's classes, in blocks of
+    bounded size: the full sets meet inside a task, and only links come out, one for each class and
+    component it links with.
+    """
+    rows = lookup(stars, found, ["b"], ["id"]).select("a", "b", F.coalesce("component", "b").alias("component"))
+    counts = rows.groupBy("a", "component").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("a").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("n"),
+                                     F.count("*").alias("k")) \
+        .where("k > 1").select("a", F.col("m.component").alias("main"), (F.col("n") - F.col("m.n")).alias("few"), "n")
+    blocks = F.ceil(F.col("n") / GROUP_ROWS)
+    parts = F.ceil(F.col("few") / GROUP_FEW)
+    rows = staged(lookup(rows, groups, ["a"], ["a"], how="inner").select(
+        "a", "b", "component", "main", blocks.alias("blocks"), parts.alias("parts")), "groups")
+    full = lookup(rows, sets, ["b"], ["doc_id"], how="inner")
+    mark = F.xxhash64("b")
+    each = full.select("a", F.pmod(mark, F.col("blocks")).alias("block"),
+                       F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"),
+                       "b", "component", "shingles")
+    few = full.where("component <> main").select(
+        "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"),
+        F.pmod(mark, F.col("parts")).alias("part"), "b", "component", "shingles")
+    few = few.select(*[F.col(c).alias(f"few_{c}") for c in few.columns])
+    keys = ["a", "block", "part"]
+    return each.groupBy(*keys).cogroup(few.groupBy(*[f"few_{k}" for k in keys])) \
+        .applyInArrow(block_links, "a bigint, b bigint").distinct()
+
+
+def block_links(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Of every set on the right, one link to each component on the left that it is similar to."""
+    links: list[tuple[int, int]] = []
+    if left.num_rows and right.num_rows:
+        flat = left["shingles"].combine_chunks().flatten().to_numpy()
+        sizes = left["shingles"].combine_chunks().value_lengths().to_numpy()
+        starts = offsets_of(sizes)[:-1]
+        known, places = np.unique(flat, return_inverse=True)
+        ids, components_ = left["b"].to_numpy(), left["component"].to_numpy()
+        own = right["few_shingles"].combine_chunks()
+        for i, (b, component) in enumerate(zip(right["few_b"].to_pylist(), right["few_component"].to_pylist(), strict=True)):
+            one = own[i].values.to_numpy()
+            at = np.minimum(np.searchsorted(known, one), len(known) - 1)
+            hit = np.zeros(len(known), np.int32)
+            hit[at[known[at] == one]] = 1
+            shared = np.add.reduceat(hit[places], starts).astype(np.int64)
+            linked = np.flatnonzero((100 * shared >= SIMILAR * (sizes + len(one) - shared)) & (components_ != component))
+            _, first = np.unique(components_[linked], return_index=True)
+            links += [(b, int(ids[k])) for k in linked[first]]
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, id_column: str = "doc_id",
                     text_column: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable over links of
@@ -154,21 +240,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_column: str = "doc_id",
     linked = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = staged(linked.groupBy("set_id").agg(F.min(F.struct("doc_id", "sketch", "x", "y")).alias("c"))
                      .select("set_id", F.col("c.doc_id").alias("rep"), "c.sketch", "c.x", "c.y"), "classes")
-    keys = table_keys(classes)
-    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    members = staged(lookup(keys, hubs, ["key"], ["key"], how="inner"), "members")
-
-    sketch = classes.groupBy("rep").agg(F.min("sketch").alias("sketch"))
-    stars = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), "sketch").distinct()
-    stars = lookup(stars, sketch.withColumnRenamed("sketch", "other"), ["a"], ["rep"], how="inner")
-    stars = staged(stars.where(may_match(F.col("sketch"), F.col("other"))).select("a", "b").distinct(), "stars")
-    edges = staged(confirmed(stars, docs, width, id_column, text_column), "links")
-    found = components(edges)
+    members = staged(keyed(classes), "members")
 
-    rest = across(members, found)
-    rest = staged(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    pair = [F.col("hub").alias("a"), F.col("rep").alias("b")]
+    stars = staged(members.where("near AND rep <> hub").groupBy(*pair).agg(F.max("fits").alias("fits")), "stars")
+    sets = pair_sets(stars, docs, width, id_column, text_column)
+    edges = staged(confirmed(stars.where("fits").drop("fits"), sets), "links")
+    found = components(edges)
+    more = staged(within_groups(stars.drop("fits"), found, sets), "links")
+    edges, found = joined(edges, found, more)
+    rest = staged(across(members, found), "rest")
     if rest.limit(1).count():
-        edges = edges.unionByName(confirmed(rest, docs, width, id_column, text_column))
+        more = staged(confirmed(rest, pair_sets(rest, docs, width, id_column, text_column)), "links")
+        edges, found = joined(edges, found, more)
 
     placed = staged(lookup(rows.drop("x", "y", "sketch"), classes.select("set_id", "rep"), ["set_id"], ["set_id"],
                            row_id="doc_id"), "placed")
@@ -176,7 +260,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_column: str = "doc_id",
         .agg(F.min("rep").alias("_low"), F.max("rep").alias("_high")).where("_low <> _high")
     same_id = lookup(placed, several, ["doc_id"], ["doc_id"], how="inner") \
         .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("b IS NOT NULL")
-    found = components(edges.unionByName(same_id))
+    _, found = joined(edges, found, staged(same_id, "same-ids"))
     named = lookup(placed, found, ["rep"], ["id"], row_id="doc_id")
     component = F.coalesce("component", "rep", "doc_id")
     return named.select("doc_id", "n_shingles",
@@ -184,21 +268,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, id_column: str = "doc_id",
                         (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
+def joined(edges: DataFrame, found: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All edges and their components, found anew only if there are more edges."""
+    if not more.limit(1).count():
+        return edges, found
+    edges = edges.unionByName(more)
+    return edges, components(edges)
+
+
 def across(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Candidate pairs under one key, neither its hub, that are in different components so far.
+    """Candidate pairs under one key that are in different components so far and in different groups.
 
-    One of either pair is outside the key's largest component, so a group of copies under one key
-    meets only the few rows that are not connected with it.
+    A class belongs to the group of the weightiest hub it is near to, whichever key they met under; pairs within
+    a group have been compared. One of either pair is outside the key's largest component.
     """
-    rows = lookup(members.where("rep <> hub"), found, ["rep"], ["id"]) \
+    best = members.where("near").groupBy("rep").agg(F.max(F.struct("weight", (-F.col("hub")).alias("h"))).alias("m"))
+    home = best.select("rep", (-F.col("m.h")).alias("home"))
+    rows = lookup(members.select("key", "rep", "sketch"), found, ["rep"], ["id"]) \
         .select("key", "rep", "sketch", F.coalesce("component", "rep").alias("component"))
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     mains = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count("*").alias("k")) \
         .where("k > 1").select("key", F.col("m.component").alias("main"))
-    open_rows = staged(lookup(rows, mains, ["key"], ["key"], how="inner"), "open")
+    open_rows = lookup(rows, mains, ["key"], ["key"], how="inner")
+    open_rows = staged(lookup(open_rows, home, ["rep"], ["rep"])
+                       .select("key", "rep", "sketch", "component", "main", F.coalesce("home", "rep").alias("home")), "open")
     few = open_rows.where("component <> main").select(
-        F.col("key").alias("k2"), F.col("rep").alias("r2"), F.col("sketch").alias("s2"), F.col("component").alias("c2"))
-    on = (F.col("key") == F.col("k2")) & (F.col("component") != F.col("c2")) \
+        F.col("key").alias("k2"), F.col("rep").alias("r2"), F.col("sketch").alias("s2"), F.col("component").alias("c2"),
+        F.col("home").alias("h2"))
+    on = (F.col("key") == F.col("k2")) & (F.col("component") != F.col("c2")) & (F.col("home") != F.col("h2")) \
         & may_match(F.col("sketch"), F.col("s2"))
     return open_rows.join(few, on).select(F.least("rep", "r2").alias("a"), F.greatest("rep", "r2").alias("b")).distinct()
 

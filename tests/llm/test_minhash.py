@@ -87,13 +87,15 @@ def test_one_large_group_of_near_copies(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == by_hand(rows, 2)
 
 
-def test_links_that_no_hub_has(spark):
-    """Classes under one key that only link with one another, not with the key's smallest class."""
+def test_links_between_groups(spark):
+    """Classes under one key of different groups and components are compared, those of one group are not."""
     members = spark.createDataFrame(
-        [(1, 10, 0, 10), (1, 11, 0, 10), (1, 12, 0, 10), (1, 13, 0, 10), (2, 11, 0, 11), (2, 20, 0, 11)],
-        "key bigint, rep bigint, sketch bigint, hub bigint")
-    found = spark.createDataFrame([(12, 11), (11, 11)], "id bigint, component bigint")
-    assert {tuple(r) for r in minhash.across(members, found).collect()} == {(11, 13), (12, 13)}
+        [(1, 10, 0, 10, 9, True, True), (1, 11, 0, 10, 9, False, False), (1, 12, 0, 10, 9, True, True),
+         (1, 13, 0, 10, 9, False, False), (2, 13, 0, 14, 5, True, True), (2, 14, 0, 14, 5, True, True), (2, 11, 0, 14, 5, True, True)],
+        "key bigint, rep bigint, sketch bigint, hub bigint, weight bigint, near boolean, fits boolean")
+    found = spark.createDataFrame([(12, 10), (10, 10)], "id bigint, component bigint")
+    # groups: 10 and 12 with hub 10; 11, 13 and 14 with hub 14
+    assert {tuple(r) for r in minhash.across(members, found).collect()} == {(10, 11), (10, 13), (11, 12), (12, 13)}
 
 
 def test_components(spark):
