@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hirelake.llm import minhash, packing, quality, secrets
 from hirelake.llm.batches import table
 from hirelake.llm.queries import WORD_VOCABULARY
+from hirelake.llm.shipping import ship
 from hirelake.llm.tokens import vocabulary_path
 from hirelake.session import staged
 
@@ -46,6 +47,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))

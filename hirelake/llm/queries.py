@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from hirelake.llm import attribution, encoding, minhash, packing, quality, repair, secrets, urls, vafile, warc
 from hirelake.llm.batches import table
+from hirelake.llm.shipping import ship
 from hirelake.llm.tokens import vocabulary_path
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -67,7 +69,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with the package on the workers' path."""
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: shipped(query) for name, query in {
     "op1_warc_salvage": op1_warc_salvage,
     "op2_url_filter": op2_url_filter,
     "op3_quality_rules": op3_quality_rules,
@@ -78,7 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_vafile_top_k": op9_vafile_top_k,
     "op10_secret_scan": op10_secret_scan,
-}
+}.items()}
 
 # SQL twins of the operators that SQL can express.
 CHECKS: dict[str, str] = {
