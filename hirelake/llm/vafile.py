@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hirelake.llm.batches import as_array
+from hirelake.llm.batches import as_array, smallest
 from hirelake.session import staged
 
 SCALE = 1024
@@ -46,7 +46,7 @@ def scaled(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 def fitted(rows: DataFrame, cells: int = CELLS, sample: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
     """Inner cell edges (cells - 1, dims) by dimension count: quantiles of the sampled rows."""
-    taken = rows.orderBy(F.xxhash64("vec_id", "v")).limit(sample).toPandas()["v"].tolist()
+    taken = smallest(rows, ["vec_id", "v"], sample).toPandas()["v"].tolist()
     grids = {}
     for dims in {len(v) for v in taken}:
         own = np.array([v for v in taken if len(v) == dims], np.float64)
