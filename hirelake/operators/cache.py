@@ -19,6 +19,13 @@ def expiry(created: Column | str, hours: Column | str) -> Column:
         else created + F.make_dt_interval(F.lit(0), hours)
 
 
+def expiry_after(created: Column | str, seconds: Column | str | int) -> Column:
+    """``created`` plus a lifetime in seconds; one below zero is over at once."""
+    start = F.col(created) if isinstance(created, str) else created
+    span = F.lit(seconds) if isinstance(seconds, int) else F.col(seconds) if isinstance(seconds, str) else seconds
+    return start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), span.cast("decimal(18,6)"))
+
+
 def upsert(entries: DataFrame, version: str = "version") -> DataFrame:
     """One row per key, the last written one (an aggregate; repeats of a key combine map-side)."""
     return last_per(entries, ["key"], version)

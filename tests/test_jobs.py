@@ -542,8 +542,6 @@ def test_retry_and_override(spark, rows):
 
 
 def test_responses_are_taken_strictly(spark):
-    from hirelake.operators import responses
-
     row = T.StructType([T.StructField("n", T.StringType(), False)])
     schema = T.StructType([T.StructField("k", T.IntegerType(), False), T.StructField("t", T.StringType(), True),
                            T.StructField("r", T.ArrayType(row), False)])
@@ -555,3 +553,10 @@ def test_responses_are_taken_strictly(spark):
     rows = spark.createDataFrame([(i, r) for i, r in enumerate(good + bad)], "i INT, raw STRING")
     got = {r["i"]: r["accepted"] for r in responses.parse(rows, "raw", schema).collect()}
     assert [got[i] for i in range(len(good + bad))] == [True] * len(good) + [False] * len(bad)
+
+
+def test_lifetimes_in_seconds(spark):
+    rows = spark.createDataFrame([(90,), (0,), (-5,), (90_000,)], "s INT").select(
+        "s", cache.expiry_after(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "s").alias("e"))
+    assert {r["s"]: str(r["e"]) for r in rows.collect()} == {
+        90: "2024-01-01 00:01:30", 0: "2024-01-01 00:00:00", -5: "2023-12-31 23:59:55", 90_000: "2024-01-02 01:00:00"}
