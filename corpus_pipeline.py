@@ -15,14 +15,23 @@ from hirelake.llm.shipping import ship
 from hirelake.llm.tokens import vocabulary_path
 from hirelake.session import staged
 
+# Whole rows go to the tasks' Python here, so batches are small.
+ARROW_ROWS = "2000"
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the certified cutoffs."""
+    _bounded(spark)
     return quality.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8), and all others."""
+    _bounded(spark)
     judged = minhash.near_duplicates(docs, width=5)
     gone = judged.where(~judged["kept"]).select(judged["doc_id"].alias("id")).distinct()
     return minhash.picked(docs, staged(gone, "duplicates"), "left_anti")
@@ -30,11 +39,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked."""
+    _bounded(spark)
     return secrets.without_secrets(docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents' tokens, cut and packed into sequences: one row per piece, with its ids."""
+    _bounded(spark)
     return packing.packed(packing.cut(docs, vocabulary_path(WORD_VOCABULARY)))
 
 
