@@ -24,8 +24,9 @@ from hirelake.session import staged
 
 CAPACITY = 2048
 END_ID = 1
-# Rows of one length that are ranked in one window group, about.
-RANKED_ROWS = 100_000
+# Rows for each bucket by which a length's rows are ranked, beside the least number of buckets.
+RANKED_ROWS = 1_000_000
+LEAST_BUCKETS = 64
 
 
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
@@ -134,7 +135,7 @@ def ranked(pieces: DataFrame, order: list[str], length: str = "length") -> DataF
     Rows of a length are spread over buckets that grow in number with the table, numbered inside
     them, and moved by the counts of the buckets before: no window holds all rows of a hot length.
     """
-    buckets = max(1, pieces.count() // RANKED_ROWS)
+    buckets = LEAST_BUCKETS + pieces.count() // RANKED_ROWS
     dealt = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     counts = dealt.groupBy(length, "_bucket").agg(F.count("*").alias("_n"))
     before = W.partitionBy(length).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
