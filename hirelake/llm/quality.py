@@ -36,12 +36,12 @@ OTHER = "other"
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
 
-# Candidate cutoffs by rule, mildest first.
+# Candidate cutoffs by rule, mildest first. Those of repeated_words lie below the base rule's 0.3, at which it could reject nothing.
 CANDIDATES: dict[str, tuple[float, ...]] = {
     "symbols_per_char": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1),
     "exclamations_per_word": (2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3),
     "repeated_lines": (0.9, 0.8, 0.7, 0.6, 0.5),
-    "repeated_words": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
+    "repeated_words": (0.25, 0.2, 0.15, 0.1),
     "capitals_per_char": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4),
 }
 

@@ -94,6 +94,20 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert quality.judged(docs, labels.limit(0)).where("NOT kept").count() == 0
 
 
+def test_repeated_words_reject_below_the_base_limit(spark):
+    drawn = random.Random(20)
+
+    def text(n, again):
+        words = [f"w{drawn.randrange(10**6)}" for _ in range(n)]
+        return " ".join(words + words[:8] * again)
+
+    rows = [(i, text(60, 0), "en") for i in range(2500)] + [(5000 + i, text(60, 1), "en") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = quality.judged(docs, docs.selectExpr("doc_id", "int(doc_id < 5000) AS quality", "0 AS toxic"))
+    assert got.where("doc_id >= 5000 AND NOT base_failed AND NOT kept").count() == 50
+    assert got.where("doc_id < 5000 AND kept").count() == 2500
+
+
 def test_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (2, None, None)], "doc_id bigint, quality int, toxic int")
     got = quality.judged(odd_docs, labels)
