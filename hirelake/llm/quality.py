@@ -2,21 +2,27 @@
 
 Every text gets a few measures. A rule rejects texts whose measure is above a cutoff. Cutoffs are
 chosen on a labelled holdout, per stratum, so that good documents are falsely rejected at a rate
-of at most ``ALPHA``, with confidence 1 - ``DELTA`` for all strata and rules together:
-
-* the rate is shared out over the rules, the confidence over all (stratum, rule) pairs (Bonferroni);
-* a rule's candidates are fixed before looking at data and tested from the mildest to the strictest,
-  ending with the first that fails (fixed-sequence testing, so candidates need no further correction);
-* a candidate passes if the exact binomial probability of as few false rejections, were the true rate
-  the limit, is at most the rule's share: the Clopper-Pearson upper bound is then within the limit.
-
-A rule without a passing candidate in a stratum rejects nothing there, as with too few labels.
+of at most ``ALPHA`` by all rules together, with confidence 1 - ``DELTA`` for all strata together:
+
+* the confidence is shared out over the strata (Bonferroni);
+* the candidates are the steps of ``LADDER``, each a cutoff for some of the rules. Every step tightens one
+  rule, so what a step rejects, all later ones reject too. Steps are fixed before looking at data and tested in
+  order, ending with the first that fails (fixed-sequence testing, so they need no further correction);
+* a step passes if the exact binomial probability of as few good documents rejected by any of its rules,
+  were the true rate the limit, is at most the stratum's share of ``DELTA``: the Clopper-Pearson upper bound is
+  then within the limit.
+
+A stratum without a passing step rejects nothing, as with too few labels: with no false rejection at all, 194
+good documents are enough for five strata.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
+from types import MappingProxyType
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +51,24 @@ CANDIDATES: dict[str, tuple[float, ...]] = {
     "capitals_per_char": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4),
 }
 
+UNION = "all rules"
+Step = dict[str, float]
+
+
+def ladder(candidates: dict[str, tuple[float, ...]], last: tuple[str, ...] = ()) -> tuple[Step, ...]:
+    """Nested steps, mildest first: level by level one rule after the other, the rules in ``last`` after all others."""
+    steps: list[Step] = []
+    for group in ([r for r in candidates if r not in last], last):
+        for level in range(max((len(candidates[r]) for r in group), default=0)):
+            for rule in group:
+                if level < len(candidates[rule]):
+                    steps.append({**(steps[-1] if steps else {}), rule: candidates[rule][level]})
+    return tuple(steps)
+
+
+# repeated_words is last: the base rule stands for its milder candidates.
+LADDER = ladder(CANDIDATES, ("repeated_words",))
+
 MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, " \
     "n_exclamations bigint, n_capitals bigint, n_lines bigint"
 
@@ -180,17 +204,18 @@ def upper_bound(k: int, n: int, level: float) -> float:
 class Cutoff:
     stratum: str
     rule: str
-    cutoff: float
+    cutoff: Step | float
     good: int
     rejected: int
     bound: float
 
 
 def select_cutoffs(counts: dict[str, tuple[int, dict[str, list[int]]]], alpha: float = ALPHA, delta: float = DELTA,
-                   candidates: dict[str, tuple[float, ...]] = CANDIDATES) -> list[Cutoff]:
-    """The strictest certified cutoffs.
+                   candidates: Mapping[str, Sequence[Step | float]] = MappingProxyType({UNION: LADDER})) -> list[Cutoff]:
+    """The strictest certified candidate of each sequence.
 
-    ``counts``: for each stratum the good documents and, by rule, how many of them each candidate rejects.
+    ``counts``: for each stratum the good documents and, by sequence, how many of them each candidate rejects.
+    Several sequences share ``alpha`` and ``delta``.
     """
     limit = alpha / len(candidates)
     level = delta / (len(candidates) * max(1, len(counts)))
@@ -211,29 +236,38 @@ def stratum_of(column: str, strata: tuple[str, ...] = STRATA) -> Column:
     return F.when(F.col(column).isin(*strata), F.col(column)).otherwise(OTHER)
 
 
+def first_step(steps: Sequence[Step] = LADDER) -> Column:
+    """The number of the first step that rejects a row; that of no step if none does."""
+    tightened = [next((r, c) for r, c in step.items() if at == 0 or steps[at - 1].get(r) != c)
+                 for at, step in enumerate(steps)]
+    score = scores()
+    return F.coalesce(*[F.when(score[rule] > cutoff, at) for at, (rule, cutoff) in enumerate(tightened)],
+                      F.lit(len(steps)))
+
+
 def holdout_counts(measured: DataFrame, labels: DataFrame, id_column: str, stratum_column: str,
                    strata: tuple[str, ...]) -> dict[str, tuple[int, dict[str, list[int]]]]:
     """Counts for :func:`select_cutoffs` of good labelled documents that pass the base rule.
 
-    Good: at least one label, all of quality 1. One row per stratum reaches the driver.
+    Good: at least one label, all of quality 1. One row per stratum and step reaches the driver.
     """
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_q")).where("_q = 1")
     rows = measured.where(~base_failed()).join(good, measured[id_column] == good["doc_id"], "left_semi")
-    sums = [F.sum((score > c).cast("bigint")).alias(f"{rule}_{i}")
-            for rule, score in scores().items() for i, c in enumerate(CANDIDATES[rule])]
-    found = rows.groupBy(stratum_of(stratum_column, strata).alias("_s")).agg(F.count("*").alias("_n"), *sums).collect()
-    counts = {s: (0, {r: [0] * len(c) for r, c in CANDIDATES.items()}) for s in (*strata, OTHER)}
+    found = rows.groupBy(stratum_of(stratum_column, strata).alias("_s"), first_step().alias("_step")) \
+        .agg(F.count("*").alias("_n")).collect()
+    first = {s: [0] * (len(LADDER) + 1) for s in (*strata, OTHER)}
     for r in found:
-        counts[r["_s"]] = (r["_n"], {rule: [r[f"{rule}_{i}"] for i in range(len(c))] for rule, c in CANDIDATES.items()})
-    return counts
+        first[r["_s"]][r["_step"]] = r["_n"]
+    return {s: (sum(n), {UNION: list(accumulate(n[:-1]))}) for s, n in first.items()}
 
 
 def rejected_by(cutoffs: list[Cutoff], stratum_column: str, strata: tuple[str, ...] = STRATA) -> Column:
-    """True where a certified rule rejects the row."""
+    """True where a rule of the stratum's certified step rejects the row."""
     stratum, score = stratum_of(stratum_column, strata), scores()
     hit = F.lit(False)
     for c in cutoffs:
-        hit = hit | ((stratum == c.stratum) & (score[c.rule] > c.cutoff))
+        for rule, cutoff in c.cutoff.items():
+            hit = hit | ((stratum == c.stratum) & (score[rule] > cutoff))
     return hit
 
 

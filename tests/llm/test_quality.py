@@ -108,6 +108,65 @@ def test_repeated_words_reject_below_the_base_limit(spark):
     assert got.where("doc_id < 5000 AND kept").count() == 2500
 
 
+def test_steps_are_nested():
+    steps = quality.ladder({"a": (3.0, 2.0), "b": (0.5,), "c": (9.0, 8.0)}, ("c",))
+    assert steps == ({"a": 3.0}, {"a": 3.0, "b": 0.5}, {"a": 2.0, "b": 0.5}, {"a": 2.0, "b": 0.5, "c": 9.0},
+                     {"a": 2.0, "b": 0.5, "c": 8.0})
+    assert quality.LADDER[-1] == {rule: cutoffs[-1] for rule, cutoffs in quality.CANDIDATES.items()}
+    for mild, strict in zip(quality.LADDER, quality.LADDER[1:]):
+        assert sum(mild.get(r) != c for r, c in strict.items()) == 1
+        assert all(strict[r] <= c for r, c in mild.items())
+
+
+def test_small_strata_are_certified():
+    """Without a false rejection, 194 good documents do for a stratum of five; the false ones of all rules count together."""
+    n = len(quality.LADDER)
+    counts = {s: (0, {quality.UNION: [0] * n}) for s in (*quality.STRATA, quality.OTHER)}
+    for good, passed in ((193, []), (194, [quality.LADDER[-1]])):
+        made = quality.select_cutoffs(counts | {"de": (good, {quality.UNION: [0] * n})})
+        assert [c.cutoff for c in made] == passed
+    made = quality.select_cutoffs(counts | {"de": (1000, {quality.UNION: [0] * 5 + [9] * 3 + [12] * (n - 8)})})
+    assert [c.cutoff for c in made] == [quality.LADDER[7]] and made[0].bound <= quality.ALPHA
+
+
+def test_union_of_the_rules_stays_within_the_limit():
+    """Over many holdouts, what any rule of the chosen step rejects passes the limit no more often than delta allows."""
+    drawn = random.Random(21)
+    steps = quality.ladder({r: (0.995, 0.99, 0.98, 0.97) for r in "abc"})
+    limit, delta, n, passed = 0.05, 0.1, 400, 0
+    for _ in range(300):
+        docs = [[drawn.random() for _ in "abc"] for _ in range(n)]
+        counts = [sum(any(d["abc".index(r)] > c for r, c in step.items()) for d in docs) for step in steps]
+        for c in quality.select_cutoffs({"s": (n, {"u": counts})}, limit, delta, {"u": steps}):
+            kept = 1.0
+            for cutoff in c.cutoff.values():
+                kept *= cutoff
+            passed += 1 - kept > limit
+    assert passed <= 300 * delta
+
+
+def test_junk_goes_in_a_small_stratum(spark):
+    """Counts of the holdout against a plain loop, and junk out of a stratum of 250 good documents."""
+    drawn = random.Random(22)
+
+    def text(n, junk=0, shouts=0):
+        words = [f"w{drawn.randrange(10**6)}" + "!" * (i < shouts) for i in range(n)]
+        return " ".join(words + [f"{'$' * 9}{i}" for i in range(junk)])
+
+    rows = [(i, text(60, shouts=30 * (i == 7)), "de") for i in range(250)]
+    rows += [(5000 + i, text(30, junk=10), "de") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = docs.selectExpr("doc_id", "int(doc_id < 5000) AS quality", "0 AS toxic")
+    counts = quality.holdout_counts(quality.with_measures(docs), labels, "doc_id", "lang", quality.STRATA)
+    ratio = 30 / 60  # exclamations per word of document 7
+    assert counts["de"] == (250, {quality.UNION: [
+        int(ratio > step.get("exclamations_per_word", 9)) for step in quality.LADDER]})
+    assert counts["en"] == (0, {quality.UNION: [0] * len(quality.LADDER)})
+    got = quality.judged(docs, labels)
+    assert got.where("doc_id >= 5000 AND NOT base_failed AND NOT kept").count() == 40
+    assert got.where("doc_id < 5000 AND kept").count() == 250
+
+
 def test_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (2, None, None)], "doc_id bigint, quality int, toxic int")
     got = quality.judged(odd_docs, labels)
