@@ -3,7 +3,9 @@
 The reader takes plain archives and archives of gzip members, record by record, and checks of each:
 the member's own checksum, version line, header lines, content length, the end of the block, and the block
 and payload digests. After a failed check it searches for the next place where a valid member or a version
-line begins, goes on from there, and reports the bytes in between as a quarantined gap.
+line begins, goes on from there, and reports the bytes in between as a quarantined gap. The content of a member
+is searched for version lines in the same way, as far as it unpacks, so a damaged record or a missing tail costs
+no other record of the member.
 """
 
 from __future__ import annotations
@@ -128,13 +130,15 @@ def write(pages: DataFrame, id_column: str = "page_id", url_column: str = "url",
 
 @dataclass
 class Found:
-    """A record, or a gap if ``problem`` is set."""
+    """A record, or a gap if ``problem`` is set; inside a member, with its place in the member's content."""
 
     start: int
     end: int
     headers: dict[str, str] = field(default_factory=dict)
     block: bytes = b""
     problem: str = ""
+    inner_start: int | None = None
+    inner_end: int | None = None
 
 
 class Failed(Exception):
@@ -243,20 +247,51 @@ def payload_of(found: Found) -> bytes:
     return payload
 
 
-def member(window: Window, start: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``start``."""
+def fed(window: Window, at: int) -> bytes:
+    return bytes(window.held[at - window.base:at - window.base + FEED]) if window.reach(at + 1) else b""
+
+
+def member(window: Window, start: int) -> tuple[bytes, int, str]:
+    """Content and end of the gzip member at ``start``, or what unpacks of it and the check that failed."""
     unpack = zlib.decompressobj(16 + zlib.MAX_WBITS)
     parts, at = [], start
     try:
         while not unpack.eof:
-            if not window.reach(at + 1):
-                raise Failed("member is cut off")
-            data = bytes(window.held[at - window.base:at - window.base + FEED])
+            data = fed(window, at)
+            if not data:
+                return b"".join(parts), at, "member is cut off"
             parts.append(unpack.decompress(data))
             at += len(data)
-    except zlib.error as problem:
-        raise Failed("member does not unpack") from problem
-    return b"".join(parts), at - len(unpack.unused_data)
+    except zlib.error:
+        # What the failed call had unpacked is lost with it: again from the start, the last bytes one by one.
+        unpack = zlib.decompressobj(16 + zlib.MAX_WBITS)
+        unpack.decompress(window.bytes(start, at))
+        try:
+            for i in range(len(data)):
+                parts.append(unpack.decompress(data[i:i + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts), at, "member does not unpack"
+    return b"".join(parts), at - len(unpack.unused_data), ""
+
+
+def packed_end(window: Window, start: int, size: int) -> int:
+    """Where the first ``size`` bytes of content of the member at ``start`` are unpacked; it has so many."""
+    unpack, at, length = zlib.decompressobj(16 + zlib.MAX_WBITS), start, 0
+    while True:
+        before, data = unpack.copy(), fed(window, at)
+        try:
+            grown = length + len(unpack.decompress(data))
+        except zlib.error:
+            break
+        if grown >= size or not data:
+            break
+        at, length = at + len(data), grown
+    for i in range(len(data)):
+        length += len(before.decompress(data[i:i + 1]))
+        if length >= size:
+            return at + i + 1
+    return at + len(data)
 
 
 class Memory:
@@ -270,60 +305,84 @@ class Memory:
         return data
 
 
-def members_record(window: Window, start: int) -> list[Found]:
-    """The records of the member at ``start``; all of it fails if one does."""
-    content, end = member(window, start)
-    inner, at, made = Window(Memory(content)), 0, []
-    while at < len(content):
-        one = parsed(inner, at)
-        at = one.end
-        made.append(Found(start, end, one.headers, one.block))
-    if not made:
-        raise Failed("member is empty")
-    return made
+def members_records(window: Window, start: int) -> tuple[list[Found], int, str]:
+    """Records and inner gaps of the member at ``start``, where they end, and the member's own failed check.
+
+    If the member is damaged, they end with its last sound record. Where its checksum or its packing fails, a record
+    is sound only by a block digest, and not if it is all of the member: then the failed check is its own. A digest
+    does not cover the record's header.
+    """
+    content, end, problem = member(window, start)
+    inner = list(salvaged(Memory(content), members=False))
+    if problem == "member does not unpack":
+        inner = [f if f.problem or has_digest(f) else Found(f.start, f.end, problem=problem) for f in inner] \
+            if len(inner) > 1 else []
+    while problem and inner and inner[-1].problem:
+        inner.pop()
+    if not inner:
+        return [], start, problem or "member is empty"
+    if problem:
+        end = packed_end(window, start, inner[-1].end)
+    return [Found(start, end, f.headers, f.block, f.problem, f.start, f.end) for f in inner], end, problem
+
+
+def has_digest(found: Found) -> bool:
+    return found.headers.get("warc-block-digest", "").partition(":")[0] in ("sha1", "sha256")
 
 
 STARTS = re.compile(re.escape(GZIP_MAGIC) + rb"|" + VERSION.pattern)
 
 
-def salvaged(stream) -> Iterator[Found]:
-    """All records of a stream and the gaps between them, in order, without overlap."""
+def salvaged(stream, members: bool = True) -> Iterator[Found]:
+    """All records of a stream and the gaps between them, in order, without overlap.
+
+    Records and gaps of one gzip member all have the member's bytes, without overlap in its content. Without
+    ``members``, only plain records are looked for.
+    """
     window = Window(stream)
+    starts = STARTS if members else VERSION
     at, gap, problem = 0, -1, ""
     while window.reach(at + 1):
-        packed = window.bytes(at, at + 3) == GZIP_MAGIC
-        try:
-            found = members_record(window, at) if packed else [parsed(window, at)]
-        except Failed as failed:
+        found, end, failed = [], at, ""
+        if members and window.bytes(at, at + 3) == GZIP_MAGIC:
+            found, end, failed = members_records(window, at)
+        else:
+            try:
+                found = [parsed(window, at)]
+                end = found[0].end
+            except Failed as reason:
+                failed = str(reason)
+        if found:
+            if gap >= 0:
+                yield Found(gap, at, problem=problem)
+                gap = -1
+            yield from found
+            window.forget(end)
+        if failed:
             if gap < 0:
-                gap, problem = at, str(failed)
-            at = window.find(STARTS, at + 1, 10)
-            if at < 0:
+                gap, problem = end, failed
+            end = window.find(starts, max(end, at + 1), 10)
+            if end < 0:
                 break
-            continue
-        if gap >= 0:
-            yield Found(gap, at, problem=problem)
-            gap = -1
-        yield from found
-        at = found[-1].end
-        window.forget(at)
+        at = end
     if gap >= 0:
         while window.more():
             window.forget(window.base + len(window.held))
         yield Found(gap, window.base + len(window.held), problem=problem)
 
 
-READ = "path string, start bigint, end bigint, problem string, record_type string, record_id string, target_uri string, " \
-    "refers_to string, payload_bytes bigint, payload_digest string"
+READ = "path string, start bigint, end bigint, inner_start bigint, inner_end bigint, problem string, " \
+    "record_type string, record_id string, target_uri string, refers_to string, payload_bytes bigint, payload_digest string"
 
 
 def read(spark: SparkSession, archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records and gaps of the archives under ``path``.
 
     ``problem`` is null for records. A gap has its bytes (``start``, ``end``), the check that failed
-    first, and nulls. ``payload_bytes`` and ``payload_digest`` of a response are those of what was
+    first, and nulls. Inside a gzip member, records and gaps have the member's bytes and their place in its content
+    (``inner_start``, ``inner_end``); elsewhere these are null. ``payload_bytes`` and ``payload_digest`` of a response are those of what was
     read; a revisit states its response's. An archive is read by one task, as a stream; a record has to fit
-    into memory. Null paths are left out; a path listed twice is read once.
+    into memory, and so has the content of a gzip member. Null paths are left out; a path listed twice is read once.
     """
     paths = archives.where("path IS NOT NULL").select("path").distinct()
     spread = paths.repartition(max(1, min(10_000, paths.count())))
@@ -332,15 +391,16 @@ def read(spark: SparkSession, archives: DataFrame, with_payload: bool = True) ->
     def rows(path: str) -> Iterator[tuple]:
         with files.source(path) as stream:
             for found in salvaged(stream):
+                place = (path, found.start, found.end, found.inner_start, found.inner_end)
                 if found.problem:
-                    yield (path, found.start, found.end, found.problem, *[None] * 6, *[None] * with_payload)
+                    yield (*place, found.problem, *[None] * 6, *[None] * with_payload)
                     continue
                 headers, payload = found.headers, payload_of(found)
                 size, digest = len(payload), hashlib.sha256(payload).hexdigest()
                 if headers["warc-type"] == "revisit":
                     size = http_length(found.block)
                     digest = headers.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                yield (path, found.start, found.end, None, headers["warc-type"], headers["warc-record-id"],
+                yield (*place, None, headers["warc-type"], headers["warc-record-id"],
                        headers.get("warc-target-uri"), headers.get("warc-refers-to"), size, digest,
                        *[payload] * with_payload)
 
@@ -358,7 +418,7 @@ def read(spark: SparkSession, archives: DataFrame, with_payload: bool = True) ->
                     yield batch(held)
 
     def batch(held: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.binary()]
+        kinds = [pa.string(), *[pa.int64()] * 4, *[pa.string()] * 5, pa.int64(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in held], kinds[i]) for i in range(len(names))], names=names)
 

@@ -87,6 +87,60 @@ def test_chunk_borders(monkeypatch):
         assert len(ids(warc.salvaged(io.BytesIO(data)))) == 40
 
 
+def test_damage_inside_a_member():
+    """Many records in one member: one that fails costs no other, and its inner gap is logged."""
+    parts = records(30)
+    content = b"".join(parts)
+    marks = [sum(map(len, parts[:i])) for i in range(31)]
+    hurt = content[:marks[7] + 600] + b"?" + content[marks[7] + 601:]
+    packed, tail = gzip.compress(hurt, 4, mtime=0), gzip.compress(parts[0], 4, mtime=0)
+    found = list(warc.salvaged(io.BytesIO(packed + tail)))
+    assert ids(found) == [warc.urn(i) for i in range(30) if i != 7] + [warc.urn(0)]
+    assert [(f.start, f.end, f.inner_start, f.inner_end, f.problem) for f in found if f.problem] == \
+        [(0, len(packed), marks[7], marks[8], "block digest differs")]
+    assert [(f.inner_start, f.inner_end) for f in found[:30]] == list(zip(marks, marks[1:]))
+    assert (found[-1].start, found[-1].end) == (len(packed), len(packed + tail))
+
+
+@pytest.mark.parametrize("feed", [7, 1 << 14])
+def test_damaged_member_of_many_records(monkeypatch, feed):
+    """A cut, a wrong checksum and damaged packing: the sound records before come back, the rest is one gap."""
+    monkeypatch.setattr(warc, "FEED", feed)
+    parts = records(30)
+    packed, tail = gzip.compress(b"".join(parts), 4, mtime=0), gzip.compress(records(31)[30], 4, mtime=0)
+    for data, least, problem in ((packed[:len(packed) // 2], 10, "member is cut off"),
+                                 (packed[:-8] + b"\0" * 8 + tail, 30, "member does not unpack"),
+                                 (packed[:len(packed) // 2] + tail, 10, "member does not unpack"),
+                                 (packed[:len(packed) // 2] + b"\xff" * 99 + packed[len(packed) // 2 + 99:] + tail, 10,
+                                  "member does not unpack")):
+        found = list(warc.salvaged(io.BytesIO(data)))
+        names = [f.headers["warc-record-id"] for f in found if not f.problem and f.start == 0]
+        assert names == [warc.urn(i) for i in range(len(names))] and len(names) >= least
+        gap = next(f for f in found if f.problem)
+        assert gap.problem == problem and gap.start == found[0].end and len([f for f in found if f.problem]) == 1
+        if data.endswith(tail):
+            assert ids(found)[-1] == warc.urn(30) and gap.end == found[-1].start == len(data) - len(tail)
+        else:
+            assert gap.end == len(data)
+    bare = b"".join(parts).replace(b"WARC-Block-Digest", b"WARC-Other-Digest")
+    packed = gzip.compress(bare, 4, mtime=0)
+    assert len(ids(warc.salvaged(io.BytesIO(packed)))) == 30
+    assert ids(warc.salvaged(io.BytesIO(packed[:-8] + b"\0" * 8))) == []  # nothing vouches for the blocks
+    assert ids(warc.salvaged(io.BytesIO(packed[:-8]))) == [warc.urn(i) for i in range(30)]
+
+
+def test_inner_gaps_in_files(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "page")], "page_id int, url string, html string")
+    path = warc.write(pages).first()["path"].replace(".warc.gz", "-whole.warc.gz")
+    parts = records(5)
+    with files.output(path) as stream:
+        stream.write(gzip.compress(parts[0] + parts[1][:-9] + b"".join(parts[2:])))
+    got = warc.read(spark, spark.createDataFrame([(path,)], "path string"))
+    assert {r["record_id"] for r in got.where("problem IS NULL").collect()} == {warc.urn(i) for i in (0, 2, 3, 4)}
+    assert [(r["start"], r["inner_start"], r["inner_end"]) for r in got.where("problem IS NOT NULL").collect()] == \
+        [(0, len(parts[0]), len(parts[0] + parts[1]) - 9)]
+
+
 @pytest.mark.parametrize("compressed", [True, False])
 def test_pages(spark, compressed):
     long = "long enough to be stored once only " * 5
