@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
@@ -9,9 +10,13 @@ from pyspark.sql import functions as F
 
 from hirelake.functions.text import clean_lines, col, percent_decode, strip
 
-# Named references from Python's table of HTML5 names; the usual ones are tried before it.
-NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
-USUAL = ("amp", "nbsp", "lt", "gt", "quot")
+# Named references from Python's table of HTML5 names: those that end with a semicolon, and the few old
+# ones that may stand without it, longest first, so that a pattern finds the longest.
+NAMED = {name: text for name, text in html5.items() if name.endswith(";")}
+OLD = {name: html5[name] for name in sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True)}
+# Where these are the only references, replacing them one after the other is right; ``amp`` has to be the last.
+USUAL = ("lt;", "gt;", "quot;", "nbsp;", "amp;")
+UNUSUAL = r"&(?!(?:lt|gt|quot|nbsp|amp);)[#a-zA-Z]"
 REPLACEMENT = "\ufffd"
 # Numeric references to these codes mean the Windows-1252 character, where there is one.
 WINDOWS = {c: t for c in range(0x80, 0xA0) if (t := bytes([c]).decode("cp1252", "ignore"))}
@@ -24,27 +29,54 @@ CHROME_TAG = r"(?i)(?=</?(?:header|footer|nav)\b)"
 MARKUP = r"<(?:![^>]*|/?[a-zA-Z][^>]*)>"
 
 
-def decode_entities(c: Column) -> Column:
-    """The text with every character reference decoded once; references nobody knows stay as written."""
-    pieces = F.split(c, "&", -1)
-    decoded = F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(_reference(x))), "")
-    return F.when(c.contains("&"), decoded).otherwise(c)
+def decode_entities(c: Column, attribute: bool = False) -> Column:
+    """The text with every character reference decoded once; references nobody knows stay as written.
 
+    A name needs its semicolon unless it is an old one; of those the longest that fits counts
+    (``&notit;`` is a negation sign and ``it;``). In an attribute's value an old name without semicolon counts
+    only if neither ``=`` nor a letter or digit follows, so that ``?a=1&copy=2`` stays an address.
+    """
+    usual = c
+    for name in USUAL:
+        usual = F.replace(usual, F.lit(f"&{name}"), F.lit(NAMED[name]))
+    return F.when(~c.contains("&"), c).when(~c.rlike(UNUSUAL), usual).otherwise(_decoded(c, attribute))
 
-def _reference(piece: Column) -> Column:
-    """``lt;rest``, ``#65;rest`` or ``#x41;rest`` decoded; the semicolon may be missing."""
-    token = F.regexp_extract(piece, r"^(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*)", 0)
-    rest = F.regexp_replace(F.substring(piece, F.length(token) + 1, F.length(piece)), "^;", "")
-    char = F.when(token.startswith("#"), _numeric(token)).when(token != "", _named(token))
-    return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
 
+def _decoded(c: Column, attribute: bool) -> Column:
+    """Any references decoded in one pass. Each name of a text is looked up once in the table of all names."""
+    names = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&([a-zA-Z][a-zA-Z0-9]*;)"), 1))
+    # One element, so that pieces, names and their texts are worked out once and not once per piece.
+    bound = F.array(F.struct(F.split(c, "&", -1).alias("pieces"), names.alias("names")))
+    known = F.transform(bound, lambda b: F.struct(
+        b["pieces"].alias("pieces"), b["names"].alias("names"),
+        F.transform(b["names"], lambda n: F.try_element_at(_table(NAMED), n)).alias("texts")))
+    joined = F.transform(known, lambda b: F.array_join(F.transform(
+        b["pieces"], lambda x, i: F.when(i == 0, x).otherwise(_reference(x, b["names"], b["texts"], attribute))), ""))
+    return F.get(joined, F.lit(0))
 
-def _named(token: Column) -> Column:
-    usual = F.lit(None).cast("string")
-    for name in USUAL:
-        usual = F.when(token == name, NAMED[name]).otherwise(usual)
-    table = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
-    return F.coalesce(usual, F.try_element_at(table, token))
+
+def _reference(piece: Column, names: Column, texts: Column, attribute: bool) -> Column:
+    """``lt;rest``, ``ltrest``, ``#65;rest`` or ``#x41;rest`` decoded."""
+    full = F.regexp_extract(piece, "^[a-zA-Z][a-zA-Z0-9]*;", 0)
+    by_name = F.get(texts, (F.array_position(names, full) - 1).cast("int"))
+    old = F.regexp_extract(piece, f"^(?:{'|'.join(OLD)}){'(?![=a-zA-Z0-9])' * attribute}", 0)
+    by_old = F.try_element_at(_table(OLD), old)
+    number = F.regexp_extract(piece, "^#(?:[0-9]+|[xX][0-9a-fA-F]+)", 0)
+    behind = F.regexp_replace(_from(piece, F.length(number) + 1), "^;", "")
+    return F.when(by_name.isNotNull(), F.concat(by_name, _from(piece, F.length(full) + 1))) \
+        .when(by_old.isNotNull(), F.concat(by_old, _from(piece, F.length(old) + 1))) \
+        .when(number != "", F.concat(_numeric(number), behind)) \
+        .otherwise(F.concat(F.lit("&"), piece))
+
+
+def _table(pairs: Mapping) -> Column:
+    """A constant map, cut from one literal: thousands of single ones would take seconds to plan."""
+    text = "\x02".join(f"{name}\x01{value}" for name, value in pairs.items())
+    return F.str_to_map(F.lit(text), F.lit("\x02"), F.lit("\x01"))
+
+
+def _from(c: Column, position: Column) -> Column:
+    return F.substring(c, position, F.length(c))
 
 
 def _numeric(token: Column) -> Column:
@@ -55,8 +87,8 @@ def _numeric(token: Column) -> Column:
         .cast("bigint")
     usable = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    windows = F.create_map(*[x for c, t in WINDOWS.items() for x in (F.lit(c).cast("bigint"), F.lit(t))])
-    char = F.coalesce(F.when(code.between(0x80, 0x9F), F.try_element_at(windows, code)), char)
+    windows = F.try_element_at(_table(WINDOWS), code.cast("string"))
+    char = F.coalesce(F.when(code.between(0x80, 0x9F), windows), char)
     return F.when(F.coalesce(usable, F.lit(False)), char).otherwise(REPLACEMENT)
 
 
@@ -68,20 +100,21 @@ def without_chrome(c: Column) -> Column:
     without an end reaches to the end of its page.
     """
     none = F.array().cast("array<string>")
+    known = r"(?i)^</?(?:header|footer|nav)\b"
 
     def step(acc: Column, piece: Column) -> Column:
         name = F.lower(F.regexp_extract(piece, r"^</?([a-zA-Z]+)", 1))
-        known = name.isin(*CHROME) & F.rlike(piece, F.lit(r"(?i)^</?(?:header|footer|nav)\b"))
-        opens = known & ~piece.startswith("</") & ~F.rlike(piece, F.lit(r"(?s)^<[^>]*/>"))
+        tag = name.isin(*CHROME) & F.rlike(piece, F.lit(known))
+        opens = tag & ~piece.startswith("</") & ~F.rlike(piece, F.lit(r"(?s)^<[^>]*/>"))
         back = F.array_position(F.reverse(acc["open"]), name)
-        left = F.when(known & piece.startswith("</") & (back > 0),
+        left = F.when(tag & piece.startswith("</") & (back > 0),
                       F.slice(acc["open"], F.lit(1), (F.size(acc["open"]) - back).cast("int"))) \
             .when(opens, F.concat(acc["open"], F.array(name))).otherwise(acc["open"])
-        return F.struct(left.alias("open"),
-                        F.when(F.size(left) == 0, F.concat(acc["text"], F.lit("\n"), piece)).otherwise(acc["text"]).alias("text"))
+        return F.struct(left.alias("open"), F.when(F.size(left) == 0, F.concat(acc["kept"], F.array(piece)))
+                        .otherwise(acc["kept"]).alias("kept"))
 
-    start = F.struct(none.alias("open"), F.lit("").alias("text"))
-    kept = F.aggregate(F.split(c, CHROME_TAG, -1), start, step, lambda acc: acc["text"])
+    start = F.struct(none.alias("open"), none.alias("kept"))
+    kept = F.aggregate(F.split(c, CHROME_TAG, -1), start, step, lambda acc: F.array_join(acc["kept"], "\n"))
     return F.when(c.rlike(CHROME_TAG), kept).otherwise(c)
 
 
@@ -155,7 +188,7 @@ def anchors(html: Column | str) -> Column:
     labels = F.regexp_extract_all(col(html), F.lit(pattern), 2)
     return F.transform(
         F.arrays_zip(hrefs.alias("h"), labels.alias("l")),
-        lambda a: F.struct(decode_entities(unquoted(a["h"])).alias("href"), node_text(a["l"]).alias("title")),
+        lambda a: F.struct(decode_entities(unquoted(a["h"]), attribute=True).alias("href"), node_text(a["l"]).alias("title")),
     )
 
 
@@ -170,7 +203,7 @@ def result_entries(html: Column | str) -> Column:
     snippet = rf"(?is)<a\b{with_class('result__snippet')}[^>]*>(.*?)</a\s*>"
     entries = F.transform(blocks, lambda b: F.struct(
         node_text(F.regexp_extract(b, link, 2)).alias("title"),
-        strip(decode_entities(unquoted(F.regexp_extract(b, link, 1)))).alias("href"),
+        strip(decode_entities(unquoted(F.regexp_extract(b, link, 1)), attribute=True)).alias("href"),
         node_text(F.regexp_extract(b, snippet, 1)).alias("snippet"),
         (F.rlike(b, F.lit(link)) & F.rlike(b, F.lit(snippet))).alias("complete")))
     return F.transform(F.filter(entries, lambda e: e["complete"]),

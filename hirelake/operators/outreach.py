@@ -18,15 +18,19 @@ from hirelake.operators.keys import first_per, lookup
 from hirelake.rules import CONTACTED, Rules
 
 
+def accepting(mail_domains: DataFrame) -> DataFrame:
+    """The distinct domains of ``(domain, accepts_mail)`` that take mail, in lower case."""
+    return mail_domains.where("accepts_mail").select(F.lower(strip("domain")).alias("domain")).distinct()
+
+
 def with_mail_flag(df: DataFrame, domain: Column, mail_domains: DataFrame, row_id: str,
                    flag: str = "mail_ok") -> DataFrame:
-    """Add whether ``domain`` accepts mail.
+    """Add whether ``domain`` accepts mail, by a table ``(domain, accepts_mail)``.
 
     Spark broadcasts the domain table only under its own size limit; beyond it the lookup shuffles,
     rows without a domain are spread, and a popular domain is split.
     """
-    known = mail_domains.select(F.lower(strip("domain")).alias("_mx")).distinct() \
-        .withColumn("_known", F.lit(True))
+    known = accepting(mail_domains).select(F.col("domain").alias("_mx"), F.lit(True).alias("_known"))
     joined = lookup(df, known, [domain], ["_mx"], row_id)
     return joined.withColumn(flag, F.coalesce("_known", F.lit(False))).drop("_known")
 
@@ -42,7 +46,7 @@ def mail_verdicts(contacts: DataFrame, mail_domains: DataFrame) -> DataFrame:
 
 def mail_capable(contacts: DataFrame, mail_domains: DataFrame) -> DataFrame:
     """Contacts whose mailbox domain accepts mail."""
-    known = mail_domains.select(F.lower(strip("domain")).alias("domain")).distinct()
+    known = accepting(mail_domains)
     located = contacts.where(filled("email")).withColumn("domain", mail_domain("email"))
     return lookup(located, known, ["domain"], ["domain"], how="left_semi")
 

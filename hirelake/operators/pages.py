@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from html import unescape
-from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -39,12 +37,12 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 
 class _VisibleText(HTMLParser):
-    """Collects text nodes outside the dropped elements (nesting-aware, any named entity)."""
+    """Collects text nodes outside the dropped elements (nesting-aware, references decoded by the parser)."""
 
     DROPPED = ("script", "style", "header", "footer", "nav")
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=False)
+        super().__init__(convert_charrefs=True)
         self.nodes: list[str] = [""]
         self.open: list[str] = []
 
@@ -69,12 +67,6 @@ class _VisibleText(HTMLParser):
     def handle_data(self, data):
         self._text(data)
 
-    def handle_charref(self, name):
-        self._text(unescape(f"&#{name};"))
-
-    def handle_entityref(self, name):
-        self._text(html5.get(name + ";", f"&{name}"))
-
 
 def _node_lines(html: str | None) -> str:
     parser = _VisibleText()

@@ -333,9 +333,9 @@ def retry_reset(applications: DataFrame) -> DataFrame:
 def override_states(applications: DataFrame, corrections: DataFrame, as_of: str) -> DataFrame:
     """Apply manual corrections ``(application_id, seq, state)``; the last one per row wins.
 
-    The stage is left alone; ``updated_at`` is set on changed rows.
+    A correction without a state changes nothing. The stage is left alone; ``updated_at`` is set on changed rows.
     """
-    final = last_per(corrections, ["application_id"], "seq").select(
+    final = last_per(corrections.where(F.col("state").isNotNull()), ["application_id"], "seq").select(
         F.col("application_id").alias("id"), F.col("state").alias("_new"))
     joined = applications.join(final, "id", "left")
     changed = F.col("_new").isNotNull()

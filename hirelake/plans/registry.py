@@ -41,6 +41,8 @@ OWN_HOSTS = ["engine.example.net"]
 BLOCK_HEAVY = ("spam-farm", "blog.")
 ADVERTISERS = ("casino", "pills")
 EVIDENCE_CHARS = 2000
+# What a correction makes of an application, by kind of event; views correct nothing.
+OVERRIDES = {"purchase": "Manual Skip", "signup": "Skipped", "error": "Failed", "click": "Timeout"}
 NOTE = "Hello {name}, the {role} opening at {company} fits my work on {stack}."
 
 
@@ -129,8 +131,9 @@ def filter_cascade(t):
 
 @query
 def refilter_existing(t):
-    scored = t.applications.where(F.col("score").isNotNull())
-    return _shown(filtering.enter_screening(t.jobs, t.companies, scored, RULES), "application_id")
+    columns = ["id", "company_id", "title", "experience_years_required"]
+    openings = t.jobs.select(columns).unionByName(t.postings.select(columns))
+    return _shown(filtering.enter_screening(openings, t.companies, t.applications, RULES), "application_id")
 
 
 @query
@@ -360,9 +363,8 @@ def history_timeline(t):
 @query
 def hits_union(t):
     names = pages.top_hits(t.hits, _denied(t), 2).select("query_id", "rank", "target")
-    patterns = pages.clean_hits(t.hits).where(F.col("target").endswith("#top")).select(
-        "query_id", F.lit(0).alias("rank"), "target")
-    return pages.union_hits(names, patterns)
+    others = pages.clean_ru_hits(t.ru_hits, OWN_HOSTS).select("query_id", F.col("pos").cast("int").alias("rank"), "target")
+    return pages.union_hits(names, others)
 
 
 @query
@@ -433,26 +435,25 @@ def body_preview(t):
 
 @query
 def mailbox_name(t):
-    return t.contacts.where(mail.mailbox_ok("email")).select(
-        "id", mail.name_from_mailbox("email").alias("name"))
+    return t.contacts.select("id", mail.name_from_mailbox("email").alias("name"))
 
 
 # --- pages -----------------------------------------------------------------------------------------
 @query
 def page_text(t):
-    return pages.page_text(t.base("pages")).select("page_id", "text")
+    return pages.page_text(t.pages).select("page_id", "text")
 
 
 @query
 def page_text_parsed(t):
-    return pages.page_text_parsed(t.base("pages"))
+    return pages.page_text_parsed(t.pages)
 
 
 @query
 def chunk_assembly(t):
     hits = pages.top_hits(t.hits, _denied(t), 3)
     listed = hits.select("query_id", "rank", F.col("target").alias("url"), F.col("domain").alias("title"))
-    return pages.evidence(listed, t.base("pages").select("url", "html"), EVIDENCE_CHARS)
+    return pages.evidence(listed, t.pages.select("url", "html"), EVIDENCE_CHARS)
 
 
 @query
@@ -467,7 +468,7 @@ def clean_redirect_ru(t):
 
 @query
 def extract_links(t):
-    return pages.page_links(t.base("pages"))
+    return pages.page_links(t.pages)
 
 
 # --- responses ---------------------------------------------------------------------------------------
@@ -572,9 +573,9 @@ def retry_reset(t):
 
 @query
 def state_override(t):
-    fixes = t.history.where(F.col("state").isin("purchase", "signup")).select(
-        "application_id", F.col("id").alias("seq"),
-        F.when(F.col("state") == "purchase", "Manual Skip").otherwise("Skipped").alias("state"))
+    states = F.create_map(*[F.lit(x) for pair in OVERRIDES.items() for x in pair])
+    fixes = t.history.select(
+        "application_id", F.col("id").alias("seq"), F.try_element_at(states, F.col("state")).alias("state"))
     return advance.override_states(t.applications, fixes, ORDERS_AS_OF).select(
         "id", F.col("current_stage").cast("int"), "state", _time("updated_at"))
 
@@ -582,8 +583,8 @@ def state_override(t):
 @query
 def speculative_jobs(t):
     screened = filtering.keep_experience(filtering.keep_titles(t.jobs, RULES), RULES)
-    open_jobs = screened.where(F.col("url").isNotNull() & (F.col("salary_lpa") > 300000))
-    return resolution.speculative_jobs(t.companies, open_jobs, RULES)
+    companies = t.companies.select("id", "name").unionByName(t.prospects)
+    return resolution.speculative_jobs(companies, screened, RULES)
 
 
 @query

@@ -70,6 +70,15 @@ VIEWS: dict[str, str] = {
                     ELSE (o_orderkey % 5) * CAST(0.5 AS DOUBLE) END AS experience_years_required,
                o_totalprice AS salary_lpa, o_orderdate AS created_at
         FROM {orders}""",
+    # Openings that nobody applied to yet.
+    "v_postings": """
+        SELECT 1000000000 + p_partkey AS id, CAST(floor(p_partkey / 3) AS BIGINT) AS company_id, p_type || ' Engineer' AS title,
+               'http://jobs.example.com/p/' || CAST(p_partkey AS VARCHAR(20)) AS url,
+               CASE WHEN p_size % 4 = 0 THEN NULL ELSE (p_size % 5) * CAST(0.5 AS DOUBLE) END AS experience_years_required
+        FROM {part}""",
+    # Companies of another list: suppliers, none of which has a job.
+    "v_prospects": """
+        SELECT 1000000000 + s_suppkey AS id, s_name AS name FROM {supplier}""",
     "v_contacts": """
         SELECT p_partkey AS id, CAST(floor(p_partkey / 3) AS BIGINT) AS company_id, p_name AS name,
                p_type AS role,
@@ -79,8 +88,8 @@ VIEWS: dict[str, str] = {
                     END AS email
         FROM {part}""",
     "v_mx": """
-        SELECT 'c' || CAST(c_custkey AS VARCHAR(20)) || '.example.com' AS domain
-        FROM {customer} WHERE c_custkey % 3 <> 0""",
+        SELECT 'c' || CAST(c_custkey AS VARCHAR(20)) || '.example.com' AS domain, c_custkey % 3 <> 0 AS accepts_mail
+        FROM {customer}""",
     "v_applications": """
         SELECT o_orderkey AS id, 'RUN-' || CAST(o_orderkey % 9 AS VARCHAR(20)) AS run_id,
                o_orderkey AS job_id,
@@ -114,7 +123,7 @@ VIEWS: dict[str, str] = {
         SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS application_id,
                max(l_shipdate) AS created_at, 'base.typ' AS parent_resume,
                'out/r' || CAST(l_orderkey AS VARCHAR(20)) || '/base.pdf' AS path
-        FROM {lineitem} WHERE l_linenumber <= 2 GROUP BY l_orderkey, l_linenumber""",
+        FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "v_history": """
         SELECT event_id AS id, user_id AS application_id, event_id % 13 AS stage, event_type AS state,
                'RUN-' || CAST(user_id % 9 AS VARCHAR(20)) AS run_id, ts AS timestamp, props AS notes
@@ -133,6 +142,11 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS id, 'd' || CAST(user_id AS VARCHAR(20)) || '.example.com' AS domain,
                CAST(ts AS DATE) AS run_day, ts, (event_type <> 'error' AND user_id % 7 <> 0) AS ok
         FROM {events}""",
+    # Pages with references that lack a semicolon or a known name, in texts and in links.
+    "v_pages": """
+        SELECT page_id, url, html || '<p>&copy2024 &notit; &alpha beta &eacute;t&eacute;</p><a href="/next?x=1&lang=en&order=2&sub=3&page='
+               || CAST(page_id AS VARCHAR(20)) || '&amp;copy=1&copy=2&not">more &copy2024 &amp;lt;</a>' AS html
+        FROM {pages}""",
     "v_hits": f"""
         SELECT page_id % 10 AS query_id, page_id AS pos, url,
                CASE page_id % 3 WHEN 0 THEN '//engine.example.net/l/?uddg='

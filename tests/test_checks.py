@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from hirelake.plans.checks import CHECKS
+from hirelake.plans.registry import QUERIES
 from hirelake.sources.views import BASE_TABLES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -32,11 +34,11 @@ def _sorted(rows, columns):
     return sorted((tuple(_normal(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    df = driver.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     got = _sorted(df.collect(), df.columns)
-    cursor = duck.execute(driver.oracle_sql()[name])
+    cursor = duck.execute(CHECKS[name])
     kinds = {d[0]: str(d[1]) for d in cursor.description}
     want = _sorted(cursor.fetchall(), list(kinds))
     assert sorted(df.columns) == sorted(kinds)
@@ -45,7 +47,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(QUERIES) == set(CHECKS)
+    assert set(QUERIES) <= set(driver.queries()) and set(CHECKS) <= set(driver.oracle_sql())
 
 
 def test_entry(spark):

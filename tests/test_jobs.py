@@ -45,7 +45,7 @@ def shop(spark):
             (1, "RUN-1", 10, 100, 3, "Professional Email Discovery", 8.5, None, DAY),
             (2, "RUN-1", 10, 101, 10, "Completed", 9.2, None, DAY)], APPLICATION),
         "emails": spark.createDataFrame([(50, 2, "Hi Jane", "<p>Hello world</p>", "DRAFT-123", "draft_created", DAY)], EMAIL),
-        "mx": spark.createDataFrame([("mocktech.com",)], "domain STRING")}
+        "mx": spark.createDataFrame([("mocktech.com", True), ("invalid-email-no-mx-12345.xyz", False)], "domain STRING, accepts_mail BOOLEAN")}
 
 
 def test_cleaning_never_removes_rows(shop, rows):
@@ -401,7 +401,7 @@ def snapshot(spark, apps, contacts=(), signals=None, emails=(), resumes=(), scor
         spark.createDataFrame(jobs or [(10, 1, "Software Engineer", "Remote", "12 LPA", "u", 0.5)], JOB),
         spark.createDataFrame(companies or [(1, "MockTech", "mocktech.com", "SaaS", 150)], COMPANY),
         spark.createDataFrame(list(contacts), CONTACT),
-        spark.createDataFrame([("mocktech.com",)], "domain STRING"),
+        spark.createDataFrame([("mocktech.com", True)], "domain STRING, accepts_mail BOOLEAN"),
         spark.createDataFrame(scores if scores is not None else [(i, .9, .9, .8, .8, .8, .9) for i in ids], f"application_id BIGINT, {comp}"),
         spark.createDataFrame(signals if signals is not None else [(i, True, True, True, True) for i in ids],
                               "application_id BIGINT, research_ok BOOLEAN, tailor_ok BOOLEAN, valid_ok BOOLEAN, draft_ok BOOLEAN"),

@@ -97,6 +97,24 @@ def test_page_text_native_and_parsed(spark):
     assert parsed == native
 
 
+REFERENCES = ["?x=1&lang=en&order=2&sub=3", "&alpha beta", "&copy2024", "&notit;", "&notin;", "&amp;lt;", "&amp&semi;", "a & b &; &", "&lt&gt;",
+              "&eacute;t&eacute", "&frac123", "&NotEqualTilde;", "&unknown;&#65;&#x42&#0;&#128;&#xD800;&#99999999;", "&copy=2", "", "&am"]
+
+
+def test_references_as_the_standard_says(spark):
+    import html
+
+    assert values(spark, web.decode_entities(F.col("v")), REFERENCES) == [html.unescape(t) for t in REFERENCES]
+    got = values(spark, web.decode_entities(F.col("v"), attribute=True), [
+        "?x=1&lang=en&order=2&sub=3", "?a=1&copy=2&copyright=3&copy", "?a&amp;b&amp=c", "&notit;", "&not;&not", None])
+    assert got == ["?x=1&lang=en&order=2&sub=3", "?a=1&copy=2&copyright=3\u00a9", "?a&b&amp=c", "&notit;", "\u00ac\u00ac", None]
+
+
+def test_links_keep_their_parameters(spark):
+    df = spark.createDataFrame([(1, '<a href="/q?x=1&lang=en&amp;copy=2&order=3">&lang;a&copy2024</a>')], "page_id INT, html STRING")
+    assert tuple(pages.page_links(df).first()) == (1, 0, "/q?x=1&lang=en&copy=2&order=3", "\u27e8a\u00a92024")
+
+
 def test_clean_lines_matches_the_definition(spark):
     def plain(s):
         parts = (p.strip() for line in (x.strip() for x in s.splitlines()) for p in line.split("  "))
