@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.llm import attribution, encoding, minhash, packing, quality, repair, secrets, urls, vafile, warc
+from hirelake.llm import attribution, encoding, fim, minhash, packing, quality, repair, secrets, urls, vafile, warc
 from hirelake.llm.batches import table
 from hirelake.llm.shipping import ship
 from hirelake.llm.tokens import vocabulary_path
@@ -69,6 +69,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transformed(table(spark, sf_dir, "documents"), digests_only=True)
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, with the package on the workers' path."""
     @wraps(query)
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: shipped(qu
     "op8_near_duplicates": op8_near_duplicates,
     "op9_vafile_top_k": op9_vafile_top_k,
     "op10_secret_scan": op10_secret_scan,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }.items()}
 
 # SQL twins of the operators that SQL can express.
@@ -97,4 +102,5 @@ CHECKS: dict[str, str] = {
     "op1_warc_salvage": warc.SQL,
     "op8_near_duplicates": minhash.SQL,
     "op9_vafile_top_k": vafile.SQL,
+    "op11_fill_in_middle": fim.SQL,
 }
