@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.llm import attribution, encoding, fim, minhash, packing, quality, repair, secrets, urls, vafile, warc
+from hirelake.llm import attribution, encoding, fim, minhash, packing, quality, repair, secrets, urls, vafile, warc, whitening
 from hirelake.llm.batches import table
 from hirelake.llm.shipping import ship
 from hirelake.llm.tokens import vocabulary_path
@@ -73,6 +73,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.transformed(table(spark, sf_dir, "documents"), digests_only=True)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, with the package on the workers' path."""
     @wraps(query)
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: shipped(qu
     "op9_vafile_top_k": op9_vafile_top_k,
     "op10_secret_scan": op10_secret_scan,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_whitening": op12_whitening,
 }.items()}
 
 # SQL twins of the operators that SQL can express.
