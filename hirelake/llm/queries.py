@@ -7,10 +7,11 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hirelake.llm import attribution, encoding, fim, minhash, packing, quality, repair, secrets, urls, vafile, warc, whitening
+from hirelake.llm import attribution, chat, encoding, fim, minhash, packing, quality, repair, secrets, urls, vafile, warc, whitening
 from hirelake.llm.batches import table
 from hirelake.llm.shipping import ship
 from hirelake.llm.tokens import vocabulary_path
+from hirelake.session import staged
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -77,6 +78,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op13_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    examples = chat.formatted(chat.with_probe(table(spark, sf_dir, "conversations")))
+    return chat.read_back(staged(examples, "chat-examples"))
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query, with the package on the workers' path."""
     @wraps(query)
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: shipped(qu
     "op10_secret_scan": op10_secret_scan,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_whitening": op12_whitening,
+    "op13_chat_examples": op13_chat_examples,
 }.items()}
 
 # SQL twins of the operators that SQL can express.
@@ -108,4 +115,5 @@ CHECKS: dict[str, str] = {
     "op8_near_duplicates": minhash.SQL,
     "op9_vafile_top_k": vafile.SQL,
     "op11_fill_in_middle": fim.SQL,
+    "op13_chat_examples": chat.SQL,
 }
