@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hirelake.llm.batches import Batches, arrow_schema
+from hirelake.llm.batches import Batches, arrow_schema, slices
 from hirelake.llm.files import partition
 from hirelake.session import staged
 
@@ -135,7 +135,7 @@ def blocks_of(rows: DataFrame) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         blocks, any_yet = Blocks(partition()), False
-        for batch in batches:
+        for batch in slices(batches, "segment"):
             columns = [batch[c].to_pylist() for c in ("id", "segment", "size", "start", "end")]
             for key, *turn in zip(*columns, strict=True):
                 if not any_yet or key != blocks.key:
@@ -223,7 +223,7 @@ def read_back(examples: DataFrame, id_column: str = "conv_id") -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         key, turns, loss, n, chars, begun = None, hashlib.sha256(), hashlib.sha256(), 0, 0, False
-        for batch in batches:
+        for batch in slices(batches, "piece"):
             made: list[list] = [[], [], [], [], []]
 
             def done() -> None:
