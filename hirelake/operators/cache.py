@@ -9,16 +9,11 @@ from pyspark.sql import functions as F
 
 from hirelake.operators.keys import last_per
 from hirelake.operators.keys import lookup as lookup_side
+from hirelake.rules import Rules
 
 EMPTY_VALUES = ("", "[]", "{}", "null", '""')
 
 
-def expiry(created: Column | str, hours: Column | str) -> Column:
-    """``created`` plus a whole number of hours."""
-    return F.col(created) + F.make_dt_interval(F.lit(0), F.col(hours)) if isinstance(created, str) \
-        else created + F.make_dt_interval(F.lit(0), hours)
-
-
 def expiry_after(created: Column | str, seconds: Column | str | int) -> Column:
     """``created`` plus a lifetime in seconds; one below zero is over at once."""
     start = F.col(created) if isinstance(created, str) else created
@@ -31,6 +26,19 @@ def upsert(entries: DataFrame, version: str = "version") -> DataFrame:
     return last_per(entries, ["key"], version)
 
 
+def write(stored: DataFrame, writes: DataFrame, rules: Rules) -> DataFrame:
+    """The entries after a batch of writes: a write replaces its key's value and expiry.
+
+    ``writes(key, version, value, created_at, ttl_seconds)``; without seconds of its own a write gets the rules'
+    lifetime. The latest write (time, then version) of a key counts, also against ``stored``, which has the result's columns
+    ``(key, version, value, created_at, expires_at)``. One aggregate, combined before its shuffle.
+    """
+    seconds = F.coalesce("ttl_seconds", F.lit(rules.cache_ttl_seconds))
+    fresh = writes.select("key", "version", "value", "created_at", expiry_after("created_at", seconds).alias("expires_at"))
+    both = stored.select(*fresh.columns).unionByName(fresh)
+    return last_per(both, ["key"], F.struct("created_at", "version"))
+
+
 def is_live(as_of: str, expires: str = "expires_at") -> Column:
     """An entry expiring exactly now is still served."""
     return F.col(expires) >= F.lit(as_of).cast("timestamp_ntz")

@@ -21,7 +21,7 @@ from hirelake.rules import (
     WEB_TERMINAL,
 )
 from hirelake.rules import FIXTURE_RULES as RULES
-from hirelake.sources.views import EVENTS_AS_OF, ORDERS_AS_OF, with_prelude
+from hirelake.sources.views import EVENTS_AS_OF, ORDERS_AS_OF, SLICES, with_prelude
 
 
 # The twin's own reading of markup: enough for the pages of the fixture.
@@ -57,6 +57,8 @@ def _decode(c: str) -> str:
     return f"url_decode({c})"
 
 
+# Repeats of a delivery are known for so long.
+DEDUP_HOURS = 72
 # What a correction makes of an application, by kind of event; views correct nothing.
 OVERRIDES = {"purchase": "Manual Skip", "signup": "Skipped", "error": "Failed", "click": "Timeout"}
 
@@ -147,8 +149,9 @@ SCORE = " + ".join(f"{c} * CAST({RULES.weights[c]} AS DOUBLE)" for c in RULES.CO
 LATEST_MAIL = """latest_mail AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY id DESC) AS rn
       FROM v_emails) WHERE rn = 1)"""
 
-ENTRIES = """written AS (SELECT *, created_at + to_hours(ttl_hours) AS expires_at,
-        row_number() OVER (PARTITION BY key ORDER BY version DESC) AS rn FROM v_cache),
+_TTL = f"to_seconds(coalesce(ttl_seconds, {RULES.cache_ttl_seconds}))"
+ENTRIES = f"""written AS (SELECT *, created_at + {_TTL} AS expires_at,
+        row_number() OVER (PARTITION BY key ORDER BY created_at DESC, version DESC) AS rn FROM v_cache),
       entries AS (SELECT * FROM written WHERE rn = 1)"""
 REQUESTS = """requests AS (SELECT id AS request_id, state || ':' || CAST(application_id + stage AS VARCHAR) AS key FROM v_history)"""
 LIVE = f"expires_at >= TIMESTAMP '{EVENTS_AS_OF}'"
@@ -588,17 +591,37 @@ _RAW: dict[str, str] = {
 }
 _RAW["stream_current_state"] = _RAW["current_state"]
 _RAW["stream_transition_counts"] = _RAW["transition_counts"]
-_RAW["stream_dedup"] = "SELECT DISTINCT application_id, state FROM v_history"
 _RAW["stream_breaker"] = """SELECT CAST(run_day AS VARCHAR) AS run_day, domain, count(*) AS failures, count(*) >= 3 AS disabled
     FROM v_fetch_log WHERE NOT ok AND domain <> '' GROUP BY run_day, domain"""
-# Lifetimes by gaps-and-islands; only those that ended before the last watermark have left the cache.
-_RAW["stream_ttl"] = f"""WITH writes AS (SELECT *, created_at + to_hours(ttl_hours) AS e FROM v_cache WHERE ttl_hours > 0),
-    marked AS (SELECT *, coalesce(created_at > max(e) OVER (PARTITION BY key ORDER BY created_at
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS opens FROM writes),
-    islands AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY created_at) AS island FROM marked),
-    lives AS (SELECT key, min(created_at) AS s, max(e) AS e, arg_max(value, version) AS value, count(*) AS writes
-      FROM islands GROUP BY key, island)
-    SELECT key, {_time('s')} AS first_write, {_time('e')} AS expired_at, value, writes FROM lives
-    WHERE e <= (SELECT date_trunc('millisecond', max(created_at)) - INTERVAL 1 HOUR FROM v_cache)"""
+
+
+def _arrived(hours: int, deliveries: str = "v_arrivals") -> str:
+    """Events that are not behind the watermark, ``hours`` before the latest event of the slices before their own;
+    ``reached``: the watermark after the last slice."""
+    bounds = [f"TIMESTAMP '{end}'" for end in SLICES]
+    number = "CASE " + " ".join(f"WHEN arrival < {b} THEN {i}" for i, b in enumerate(bounds)) + " END"
+    mark = f"date_trunc('millisecond', max(ts)) - INTERVAL {hours} HOUR"
+    return f"""sliced AS (SELECT *, {number} AS slice FROM {deliveries}),
+      marks AS (SELECT s.slice, (SELECT {mark} FROM sliced e WHERE e.slice < s.slice) AS mark FROM (SELECT DISTINCT slice FROM sliced) s),
+      reached AS (SELECT {mark} AS reached FROM sliced),
+      arrived AS (SELECT s.* FROM sliced s JOIN marks m USING (slice) WHERE m.mark IS NULL OR s.ts > m.mark)"""
+
+
+# A repeat counts if no delivery of an earlier slice, or of its own, is still known.
+_RAW["stream_dedup"] = f"""WITH {_arrived(DEDUP_HOURS, 'v_deliveries')},
+    kept AS (SELECT DISTINCT r.event_id, r.slice FROM arrived r LEFT JOIN marks m USING (slice) WHERE NOT EXISTS
+      (SELECT 1 FROM arrived e WHERE e.event_id = r.event_id AND e.slice < r.slice AND e.ts + INTERVAL {DEDUP_HOURS} HOUR > m.mark))
+    SELECT event_id AS id, count(*) AS deliveries FROM kept GROUP BY event_id"""
+
+# Lifetimes by gaps-and-islands: a write begins one if the write before it had expired. Those that ended before the
+# last watermark have left the cache.
+_RAW["stream_ttl"] = f"""WITH {_arrived(1)},
+    writes AS (SELECT *, created_at + {_TTL} AS e FROM v_cache WHERE version IN (SELECT event_id FROM arrived)),
+    marked AS (SELECT *, coalesce(created_at > lag(e) OVER w, true) AS opens FROM writes WINDOW w AS (PARTITION BY key ORDER BY created_at, version)),
+    islands AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY created_at, version) AS island FROM marked),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY key, island ORDER BY created_at DESC, version DESC) AS back,
+      min(created_at) OVER (PARTITION BY key, island) AS s, count(*) OVER (PARTITION BY key, island) AS writes FROM islands)
+    SELECT key, strftime(s, '%Y-%m-%d %H:%M:%S.%f') AS first_write, strftime(e, '%Y-%m-%d %H:%M:%S.%f') AS expired_at, value, writes
+    FROM ranked, reached WHERE back = 1 AND e < reached"""
 
 CHECKS: dict[str, str] = {name: with_prelude(body) for name, body in _RAW.items()}

@@ -29,7 +29,8 @@ from hirelake.rules import FIXTURE_RULES as RULES
 from hirelake.session import configure, staging_path
 from hirelake.sources import scans
 from hirelake.sources.schemas import RESPONSES
-from hirelake.sources.views import EVENTS_AS_OF, ORDERS_AS_OF, base, view, view_stream
+from hirelake.sources.views import EVENTS_AS_OF, ORDERS_AS_OF, SLICES, arrivals, base, view, view_stream
+from hirelake.streaming import entries
 from hirelake.streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,9 @@ OWN_HOSTS = ["engine.example.net"]
 BLOCK_HEAVY = ("spam-farm", "blog.")
 ADVERTISERS = ("casino", "pills")
 EVIDENCE_CHARS = 2000
+# Repeats of a delivery are known for so long.
+DEDUP_HOURS = 72
+MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 # What a correction makes of an application, by kind of event; views correct nothing.
 OVERRIDES = {"purchase": "Manual Skip", "signup": "Skipped", "error": "Failed", "click": "Timeout"}
 NOTE = "Hello {name}, the {role} opening at {company} fits my work on {stack}."
@@ -608,8 +612,11 @@ def targeted_advance(t):
 
 # --- cache -------------------------------------------------------------------------------------------
 def _entries(t):
-    stored = cache.upsert(t.cache.withColumn("expires_at", cache.expiry("created_at", "ttl_hours")))
-    return stored
+    """The first days' writes as stored entries, then the others."""
+    day = F.lit(SLICES[0]).cast("timestamp_ntz")
+    none = t.spark.createDataFrame([], "key STRING, version BIGINT, value STRING, created_at TIMESTAMP_NTZ, expires_at TIMESTAMP_NTZ")
+    stored = cache.write(none, t.cache.where(F.col("created_at") < day), RULES)
+    return cache.write(stored, t.cache.where(F.col("created_at") >= day), RULES)
 
 
 def _requests(t):
@@ -687,6 +694,17 @@ def _run(t, stream: DataFrame, mode: str) -> DataFrame:
     return streams.run_available(stream, f"{path}/out", f"{path}/checkpoint", mode)
 
 
+def _run_slices(t, name: str, job: Callable[[DataFrame], DataFrame], mode: str = "append",
+                state_store: str | None = None, deliveries: str = "v_arrivals") -> DataFrame:
+    """Feed the events as they arrive, some late: each slice is a run of its own over the same checkpoint."""
+    path = staging_path(t.spark, "stream")
+    for part in arrivals(t.spark, t.sf_dir, deliveries):
+        part.write.mode("append").parquet(f"{path}/source")
+        stream = job(view_stream(t.spark, t.sf_dir, name, "events", f"{path}/source"))
+        written = streams.run_available(stream, f"{path}/out", f"{path}/checkpoint", mode, state_store=state_store)
+    return written
+
+
 @query
 def stream_current_state(t):
     history = view_stream(t.spark, t.sf_dir, "v_history", "events")
@@ -704,9 +722,10 @@ def stream_transition_counts(t):
 
 @query
 def stream_dedup(t):
-    history = view_stream(t.spark, t.sf_dir, "v_history", "events")
-    kept = streams.first_seen(history, ["application_id", "state"], "timestamp", "60 days")
-    return _run(t, kept.select("application_id", "state"), "append").drop("batch")
+    """Deliveries of transitions without the repeats of the last days; one repeated later than that shows up again."""
+    kept = _run_slices(t, "v_history", lambda history: streams.first_seen(
+        history, ["id"], "timestamp", f"{DEDUP_HOURS} hours").select("id"), deliveries="v_deliveries")
+    return kept.groupBy("id").agg(F.count("*").alias("deliveries"))
 
 
 @query
@@ -718,6 +737,6 @@ def stream_breaker(t):
 
 @query
 def stream_ttl(t):
-    writes = view_stream(t.spark, t.sf_dir, "v_cache", "events")
-    closed = _run(t, streams.cache_lifetimes(writes), "append")
-    return closed.select("key", _time("first_write"), _time("expired_at"), "value", "writes")
+    closed = _run_slices(t, "v_cache", lambda writes: entries.cache_lifetimes(writes, RULES), state_store=entries.STATE_STORE)
+    return closed.select("key", F.date_format("first_write", MICROS).alias("first_write"),
+                         F.date_format("expired_at", MICROS).alias("expired_at"), "value", "writes")

@@ -136,8 +136,23 @@ VIEWS: dict[str, str] = {
         FROM {events}""",
     "v_cache": """
         SELECT event_type || ':' || CAST(user_id AS VARCHAR(20)) AS key, event_id AS version,
-               props AS value, ts AS created_at, CAST(floor(value) AS INTEGER) AS ttl_hours
+               props AS value, ts AS created_at,
+               CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 7 = 0 THEN CAST(event_id % 3 - 1 AS BIGINT)
+                    ELSE CAST(floor(value * 3600) AS BIGINT) END AS ttl_seconds
         FROM {events}""",
+    # Events as they arrive: most at once, some long after they happened.
+    "v_arrivals": """
+        SELECT *, ts + CASE WHEN event_id % 11 = 0 THEN INTERVAL '8' DAY ELSE INTERVAL '0' DAY END AS arrival FROM {events}""",
+    # Deliveries of events: some again a day later, some again much later, some long after they happened.
+    "v_deliveries": """
+        SELECT event_id, ts, user_id, event_type, value, props,
+               ts + CASE WHEN event_id % 11 = 0 THEN INTERVAL '8' DAY ELSE INTERVAL '0' DAY END AS arrival FROM {events}
+        UNION ALL
+        SELECT event_id, ts + INTERVAL '1' DAY, user_id, event_type, value, props, ts + INTERVAL '1' DAY FROM {events}
+        WHERE event_id % 5 = 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0
+        UNION ALL
+        SELECT event_id, ts + INTERVAL '12' DAY, user_id, event_type, value, props, ts + INTERVAL '12' DAY FROM {events}
+        WHERE event_id % 7 = 0 AND event_id % 11 <> 0""",
     "v_fetch_log": """
         SELECT event_id AS id, 'd' || CAST(user_id AS VARCHAR(20)) || '.example.com' AS domain,
                CAST(ts AS DATE) AS run_day, ts, (event_type <> 'error' AND user_id % 7 <> 0) AS ok
@@ -239,16 +254,33 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **{t: base(spark, sf_dir, t) for t in _source_tables(name)})
 
 
-def view_stream(spark: SparkSession, sf_dir: str, name: str, table: str) -> DataFrame:
-    """A fixture view over a stream of the parquet files of one table; times become instants."""
+def view_stream(spark: SparkSession, sf_dir: str, name: str, table: str, files: str | None = None) -> DataFrame:
+    """A fixture view over a stream of the parquet files of one table, or of ``files``; times become instants."""
     # Written as a glob: a stream source takes a single file only that way; folders match as well.
-    pattern = f"{sf_dir}/{table[:-1]}[{table[-1]}].parquet"
+    pattern = files or f"{sf_dir}/{table[:-1]}[{table[-1]}].parquet"
     stream = spark.readStream.schema(BASE_TABLES[table]).parquet(pattern)
     rows = spark.sql(VIEWS[name], **{table: stream})
     return rows.select(*[F.col(f.name).cast("timestamp") if f.dataType.typeName() == "timestamp_ntz"
                          else F.col(f.name) for f in rows.schema.fields])
 
 
+# Arrivals come together up to each of these moments.
+SLICES = ("2024-01-13 00:00:00", "2024-01-25 00:00:00", "2024-12-31 00:00:00")
+
+
+def arrivals(spark: SparkSession, sf_dir: str, name: str = "v_arrivals") -> list[DataFrame]:
+    """Arriving events in slices by time of arrival, each with the events table's own columns."""
+    rows = view(spark, sf_dir, name)
+    made, start = [], None
+    for end in SLICES:
+        own = F.col("arrival") < F.lit(end).cast("timestamp_ntz")
+        if start is not None:
+            own &= F.col("arrival") >= F.lit(start).cast("timestamp_ntz")
+        made.append(rows.where(own).drop("arrival"))
+        start = end
+    return made
+
+
 def with_prelude(body: str) -> str:
     """Prefix a SQL body with the view definitions it mentions, as common table expressions."""
     names = {t: t for t in BASE_TABLES}

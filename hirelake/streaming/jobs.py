@@ -48,33 +48,26 @@ def breaker(log: DataFrame, rules: Rules, delay: str = "2 days") -> DataFrame:
                          (F.col("failures") >= rules.breaker_failures).alias("disabled"))
 
 
-def cache_lifetimes(writes: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Cache entries as they leave the cache (append mode).
-
-    An entry is a session per key that stays open while it is live: each write keeps it until
-    write time plus its own ``ttl_hours``. The last write gives value and expiry. Expired entries
-    leave the state by watermark.
-    """
-    gap = F.concat(F.col("ttl_hours").cast("string"), F.lit(" hours"))
-    session = F.session_window("created_at", gap)
-    closed = writes.withWatermark("created_at", delay).groupBy(session.alias("w"), "key").agg(
-        F.max_by("value", "version").alias("value"), F.count("*").alias("writes"))
-    return closed.select("key", F.col("w.start").alias("first_write"),
-                         F.col("w.end").alias("expired_at"), "value", "writes")
-
-
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str,
-                  prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                  prepare: Callable[[DataFrame], DataFrame] | None = None, state_store: str | None = None) -> DataFrame:
     """Process everything available, one folder per micro-batch, and return the written rows.
 
-    The result has a ``batch`` column; :func:`newest` reduces update-mode output to final rows.
+    The result has a ``batch`` column; :func:`newest` reduces update-mode output to final rows. ``state_store`` names
+    the class that keeps the state; a checkpoint has to be gone on with the one it was begun with.
     """
     def sink(rows: DataFrame, batch: int) -> None:
         prepared = rows if prepare is None else prepare(rows)
         prepared.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    job = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint) \
-        .trigger(availableNow=True).foreachBatch(sink).start()
+    conf, setting = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(setting)
+    if state_store is not None:
+        conf.set(setting, state_store)
+    try:
+        job = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint) \
+            .trigger(availableNow=True).foreachBatch(sink).start()
+    finally:
+        conf.set(setting, before)
     job.awaitTermination()
     return stream.sparkSession.read.parquet(out)
 

@@ -2,7 +2,7 @@
 
 import json
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -555,6 +555,16 @@ def test_responses_are_taken_strictly(spark):
     assert [got[i] for i in range(len(good + bad))] == [True] * len(good) + [False] * len(bad)
 
 
+def test_a_write_replaces_value_and_expiry(spark, rows):
+    schema = "key STRING, version BIGINT, value STRING, created_at TIMESTAMP_NTZ, "
+    stored = spark.createDataFrame([("a", 1, "x", DAY, DAY + timedelta(days=9)), ("b", 2, "x", DAY, DAY)], schema + "expires_at TIMESTAMP_NTZ")
+    writes = spark.createDataFrame([("a", 3, "short", DAY + timedelta(hours=1), 5), ("c", 4, "none", DAY, None), ("c", 5, "default", DAY, None),
+                                    ("b", 6, "older", DAY - timedelta(days=1), 10**6)], schema + "ttl_seconds BIGINT")
+    got = cache.write(stored, writes, Rules(cache_ttl_seconds=60))
+    assert rows(got, "key", "value", "expires_at") == [
+        ("a", "short", DAY + timedelta(hours=1, seconds=5)), ("b", "x", DAY), ("c", "default", DAY + timedelta(seconds=60))]
+
+
 def test_lifetimes_in_seconds(spark):
     rows = spark.createDataFrame([(90,), (0,), (-5,), (90_000,)], "s INT").select(
         "s", cache.expiry_after(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "s").alias("e"))

@@ -6,12 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from hirelake.rules import Rules
-from hirelake.streaming import jobs
+from hirelake.streaming import entries, jobs
 
 START = datetime(2024, 1, 1)
 HISTORY = "id BIGINT, application_id BIGINT, stage INT, state STRING, timestamp TIMESTAMP"
 LOG = "id BIGINT, domain STRING, ts TIMESTAMP, ok BOOLEAN"
-WRITES = "key STRING, version BIGINT, value STRING, created_at TIMESTAMP, ttl_hours INT"
+WRITES = "key STRING, version BIGINT, value STRING, created_at TIMESTAMP, ttl_seconds BIGINT"
 
 
 def minutes(n):
@@ -72,12 +72,61 @@ def test_breaker_counts_per_day(feed, rows):
     assert got == [("2024-01-01", "hot", 3, True), ("2024-01-02", "hot", 1, False)]
 
 
-def test_cache_entries_leave_when_expired(feed, rows):
-    feed.add([("k", 1, "old", minutes(0), 2), ("long", 2, "v", minutes(0), 500)], WRITES)
-    feed.add([("k", 3, "new", minutes(60), 2)], WRITES)
-    feed.add([("x", 4, "w", minutes(60 * 10), 1)], WRITES)
-    closed = feed.run(jobs.cache_lifetimes(feed.stream(WRITES)), "append")
-    assert rows(closed, "key", "first_write", "expired_at", "value", "writes") == [("k", START, minutes(180), "new", 2)]
+def lifetimes(feed, rules=Rules()):
+    stream = entries.cache_lifetimes(feed.stream(WRITES), rules)
+    return jobs.run_available(stream, feed.out, feed.checkpoint, "append", state_store=entries.STATE_STORE)
+
+
+SHOWN = ("key", "first_write", "expired_at", "value", "writes")
+
+
+def test_the_last_write_sets_value_and_expiry(feed, rows):
+    hour = 3600
+    feed.add([("longer", 1, "old", minutes(0), 2 * hour), ("shorter", 2, "old", minutes(0), 9 * hour), ("zero", 3, "old", minutes(0), 9 * hour),
+              ("past", 4, "old", minutes(0), 9 * hour), ("open", 5, "v", minutes(0), 500 * hour), ("again", 6, "a", minutes(0), hour)], WRITES)
+    feed.add([("again", 7, "b", minutes(60), hour), ("longer", 8, "new", minutes(60), 2 * hour), ("shorter", 9, "new", minutes(60), 60),
+              ("zero", 10, "new", minutes(60), 0), ("past", 11, "new", minutes(60), -hour)], WRITES)
+    feed.add([("shorter", 12, "third", minutes(62), hour), ("default", 13, "d", minutes(62), None)], WRITES)
+    lifetimes(feed)
+    feed.add([("x", 14, "w", minutes(60 * 20), 1)], WRITES)  # brings the watermark on
+    got = rows(lifetimes(feed, Rules(cache_ttl_seconds=120)), *SHOWN)
+    assert got == sorted([
+        ("longer", START, minutes(180), "new", 2), ("shorter", START, minutes(61), "new", 2), ("shorter", minutes(62), minutes(122), "third", 1),
+        ("zero", START, minutes(60), "new", 2), ("past", START, START, "new", 2), ("again", START, minutes(120), "b", 2)], key=repr)
+
+
+def test_order_of_arrival_changes_nothing_within_the_delay(feed, rows):
+    feed.add([("k", 3, "c", minutes(50), 600), ("k", 1, "a", minutes(10), 600)], WRITES)
+    feed.add([("k", 2, "b", minutes(15), 1200), ("far", 4, "f", minutes(300), 60)], WRITES)
+    feed.add([("k", 5, "late", minutes(40), 60)], WRITES)  # behind the watermark by now
+    feed.add([("end", 6, "e", minutes(600), 60)], WRITES)
+    assert rows(lifetimes(feed), *SHOWN) == sorted([
+        ("k", minutes(10), minutes(35), "b", 2), ("k", minutes(50), minutes(60), "c", 1), ("far", minutes(300), minutes(301), "f", 1)], key=repr)
+
+
+def test_a_replayed_batch_is_harmless(feed, rows, tmp_path):
+    feed.add([("k", 1, "a", minutes(0), 60)], WRITES)
+    feed.add([("x", 2, "b", minutes(600), 60)], WRITES)
+    before = rows(lifetimes(feed), *SHOWN)
+    commits = tmp_path / "cp" / "commits"
+    last = max(int(p.name) for p in commits.glob("[0-9]*"))
+    for name in (f"{last}", f".{last}.crc"):  # the run died before its last commit
+        (commits / name).unlink()
+    assert rows(lifetimes(feed), *SHOWN) == before == [("k", START, minutes(1), "a", 1)]
+
+
+def test_a_repeat_behind_the_delay_shows_up_again(feed, rows):
+    feed.add([(1, 7, 1, "a", minutes(1))], HISTORY)
+    feed.add([(2, 7, 1, "a", minutes(30))], HISTORY)  # within the delay
+    feed.add([(3, 8, 1, "a", minutes(600))], HISTORY)
+
+    def kept():
+        stream = jobs.first_seen(feed.stream(HISTORY), ["application_id", "state"], "timestamp", "1 hour")
+        return feed.run(stream.select("application_id", "state"), "append")
+
+    kept()
+    feed.add([(4, 7, 1, "a", minutes(601)), (5, 9, 1, "a", minutes(100))], HISTORY)  # forgotten by now; too late
+    assert rows(kept(), "application_id") == [(7,), (7,), (8,)]
 
 
 def test_export_of_new_files(spark, feed):
