@@ -64,17 +64,27 @@ def with_guesses(contacts: DataFrame, companies: DataFrame) -> DataFrame:
         "guesses", mailbox_guesses("name", "domain"))
 
 
-def first_valid_mailbox(contacts: DataFrame, companies: DataFrame,
-                        mail_domains: DataFrame) -> DataFrame:
-    """First acceptable guess per contact; null when none is.
+def first_valid_mailbox(contacts: DataFrame, companies: DataFrame, mail_domains: DataFrame,
+                        answers: DataFrame | None = None) -> DataFrame:
+    """First acceptable mailbox per contact, null when there is none: the one found for it, else a guess.
 
-    All guesses of a contact share one domain, so the domain is looked up once per contact and
-    no guess is ever exploded.
+    ``answers(contact_id, answer)`` may be of any domain. All guesses of a contact share one domain, so of them only the
+    first sound one is a candidate; the one or two candidates are checked by one join and the first that passes is picked.
     """
     located = with_company_domain(contacts, companies)
-    flagged = with_mail_flag(located, F.lower(strip("domain")), mail_domains, "id")
-    return flagged.withColumn(
-        "mailbox", F.when(F.col("mail_ok"), first_sound_mailbox("name", "domain")))
+    guess = F.struct(F.lit(1).alias("pos"), first_sound_mailbox("name", "domain").alias("mailbox"),
+                     F.lower(strip("domain")).alias("at"))
+    tried = F.array(guess)
+    if answers is not None:
+        found = answers.select(F.col("contact_id").alias("_for"), strip("answer").alias("_answer"))
+        located = located.join(found, F.col("id") == F.col("_for"), "left").drop("_for")
+        sound = F.when(mailbox_ok("_answer"), F.struct(F.lit(0).alias("pos"), F.col("_answer").alias("mailbox"),
+                                                       mail_domain("_answer").alias("at")))
+        tried = F.array(sound, guess)
+    rows = located.select("id", F.explode(F.array_compact(tried)).alias("t")).select("id", "t.*")
+    flagged = with_mail_flag(rows.where(F.col("mailbox").isNotNull()), F.col("at"), mail_domains, "id")
+    picked = flagged.where("mail_ok").groupBy("id").agg(F.min_by("mailbox", "pos").alias("mailbox"))
+    return located.drop("_answer").join(picked, "id", "left")
 
 
 def role_rank(role: str, rules: Rules) -> Column:

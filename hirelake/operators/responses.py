@@ -21,58 +21,50 @@ def unfenced(raw: Column | str) -> Column:
     return strip(F.when(c.rlike(FENCED), F.regexp_extract(c, FENCED, 1)).otherwise(c))
 
 
-def _cast(text: Column, kind: T.DataType) -> Column:
-    """Lenient conversion of a JSON scalar; null when the text does not fit the type."""
-    if isinstance(kind, T.StringType):
-        return text
+def _scalar(value: Column, kind: T.DataType) -> Column:
+    """Lenient conversion of a JSON scalar; null when it does not fit the type."""
     if isinstance(kind, T.IntegerType):
         # "7" and 7.0 are integers, 7.5 is not.
-        number = text.try_cast("double")
+        number = F.try_variant_get(value, "$", "double")
         return F.when(number == F.floor(number), number.try_cast("int"))
-    return text.try_cast(kind)
-
-
-def _scalar(values: Column, field: T.StructField) -> tuple[Column, Column]:
-    """Typed value of a scalar key of a key/value map, and whether it is acceptable."""
-    text = F.try_element_at(values, F.lit(field.name))
-    typed = _cast(text, field.dataType)
-    fits = typed.isNotNull() | text.isNull() if field.nullable else typed.isNotNull()
-    return typed, F.map_contains_key(values, field.name) & F.coalesce(fits, F.lit(False))
+    return F.try_variant_get(value, "$", kind.simpleString())
 
 
 def _is_rows(field: T.StructField) -> bool:
     return isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.StructType)
 
 
-def _list(items: Column, field: T.StructField) -> tuple[Column, Column]:
-    """Typed value of a list key from its parsed items, and whether it is acceptable.
+def _is_text(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
 
-    Lists are never null, nor are their items. A missing key parses to null as well.
-    """
-    if not _is_rows(field):
-        return items, F.coalesce(~F.exists(items, lambda i: i.isNull()), F.lit(False))
-    inner = field.dataType.elementType.fields
-    typed = F.transform(items, lambda r: F.struct(*[_scalar(r, f)[0].alias(f.name) for f in inner]))
-    sound = F.forall(items, lambda r: r.isNotNull() & reduce(
-        lambda a, b: a & b, [_scalar(r, f)[1] for f in inner]))
-    return typed, F.coalesce(sound, F.lit(False))
-
-
-def _texts(value: Column, fields: list[T.StructField]) -> Column:
-    """Whether every text field of a JSON object is a JSON text (or null, where it may be)."""
-    sound = F.lit(True)
-    for f in fields:
-        if isinstance(f.dataType, T.StringType):
-            kind = F.schema_of_variant(F.try_variant_get(value, f"$['{f.name}']", "variant"))
-            sound = sound & F.coalesce(kind.isin("STRING", *["VOID"] * f.nullable), F.lit(f.nullable))
-        elif _is_rows(f):
-            rows = F.try_variant_get(value, f"$['{f.name}']", "array<variant>")
-            inner = f.dataType.elementType.fields
-            sound = sound & F.coalesce(F.forall(rows, lambda r: _texts(r, inner)), F.lit(False))  # noqa: B023
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
-            items = F.try_variant_get(value, f"$['{f.name}']", "array<variant>")
-            sound = sound & F.coalesce(F.forall(items, lambda i: F.schema_of_variant(i) == "STRING"), F.lit(False))
-    return sound
+
+def _typed(value: Column, field: T.StructField) -> Column:
+    """The typed value of a key's variant; null where it does not fit."""
+    if _is_rows(field):
+        inner = field.dataType.elementType.fields
+        return F.transform(F.try_variant_get(value, "$", "array<map<string, variant>>"), lambda r: F.struct(*[
+            _typed(F.try_element_at(r, F.lit(f.name)), f).alias(f.name) for f in inner]))
+    if isinstance(field.dataType, T.ArrayType):
+        return F.try_variant_get(value, "$", "array<string>")
+    return _scalar(value, field.dataType)
+
+
+def _sound(value: Column, typed: Column, field: T.StructField) -> Column:
+    """Whether a key is there and its value acceptable: lists are never null, nor are their items."""
+    if _is_rows(field):
+        inner = field.dataType.elementType.fields
+        rows = F.try_variant_get(value, "$", "array<map<string, variant>>")
+        fits = F.forall(rows, lambda r: reduce(lambda a, b: a & b, [
+            _sound(v := F.try_element_at(r, F.lit(f.name)), _typed(v, f), f) for f in inner]))
+    elif isinstance(field.dataType, T.ArrayType):
+        fits = F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda i: F.coalesce(_is_text(i), F.lit(False)))
+    else:
+        fits = typed.isNotNull()
+        if isinstance(field.dataType, T.StringType):
+            fits = _is_text(value)
+        if field.nullable:
+            fits = fits | F.is_variant_null(value)
+    return F.coalesce(fits, F.lit(False))
 
 
 def parse(df: DataFrame, raw: str, schema: T.StructType) -> DataFrame:
@@ -80,30 +72,21 @@ def parse(df: DataFrame, raw: str, schema: T.StructType) -> DataFrame:
 
     A response is accepted when it is one JSON object and nothing else, with every key of the schema
     present, every non-nullable value set, and every value of a fitting type; a text field takes JSON texts only.
-    The text, its top level and each list are parsed once, into columns of their own that the checks
-    and the typed value share.
+    The text is parsed once; its keys' values become columns of their own, which the checks and the typed
+    value share.
     """
-    parsed = df.withColumn("_text", unfenced(raw)).withColumn("_value", F.try_parse_json("_text"))
-    # Anything after the object would be passed over silently: in an array it breaks the parse.
-    alone = F.try_parse_json(F.concat(F.lit("["), F.col("_text"), F.lit("]")))
-    one = F.coalesce(F.schema_of_variant(alone).startswith("ARRAY<OBJECT"), F.lit(False)) \
-        & (F.size(F.try_variant_get(alone, "$", "array<variant>")) == 1)
-    parsed = parsed.withColumn("_one", one & F.col("_value").isNotNull()) \
-        .withColumn("_map", F.when(F.col("_one"), F.from_json("_text", _MAP)))
-    lists = [f for f in schema.fields if isinstance(f.dataType, T.ArrayType)]
-    for f in lists:
-        kind = f"ARRAY<{_MAP}>" if _is_rows(f) else "ARRAY<STRING>"
-        text = F.try_element_at("_map", F.lit(f.name))
-        items = F.when(text.rlike(r"^\s*\[\s*\]\s*$"), F.array().cast(kind)).otherwise(F.from_json(text, kind))
-        parsed = parsed.withColumn(f"_list_{f.name}", items)
-    fields = [_list(F.col(f"_list_{f.name}"), f) if f in lists else _scalar(F.col("_map"), f)
-              for f in schema.fields]
-    accepted = F.col("_map").isNotNull() & _texts(F.col("_value"), schema.fields) \
-        & reduce(lambda a, b: a & b, [ok for _, ok in fields])
-    typed = F.struct(*[v.alias(f.name) for (v, _), f in zip(fields, schema.fields, strict=True)])
-    return parsed.withColumn("accepted", F.coalesce(accepted, F.lit(False))) \
-        .withColumn("response", F.when(F.col("accepted"), typed)) \
-        .drop("_text", "_value", "_one", "_map", *[f"_list_{f.name}" for f in lists])
+    # Anything after the object would be passed over silently: in an array it is a further element or breaks the parse.
+    parsed = df.withColumn("_all", F.try_parse_json(F.concat(F.lit("["), unfenced(raw), F.lit("]"))))
+    alone = F.try_variant_get("_all", "$[1]", "variant").isNull()
+    parsed = parsed.withColumn("_map", F.when(alone, F.try_variant_get("_all", "$[0]", "map<string, variant>")))
+    values = {f"_v{i}": F.try_element_at("_map", F.lit(f.name)) for i, f in enumerate(schema.fields)}
+    parsed = parsed.withColumns(values)
+    typed = {f"_t{i}": _typed(F.col(f"_v{i}"), f) for i, f in enumerate(schema.fields)}
+    parsed = parsed.withColumns(typed)
+    sound = reduce(lambda a, b: a & b, [_sound(F.col(f"_v{i}"), F.col(f"_t{i}"), f) for i, f in enumerate(schema.fields)])
+    parsed = parsed.withColumn("accepted", F.col("_map").isNotNull() & sound)
+    made = F.struct(*[F.col(f"_t{i}").alias(f.name) for i, f in enumerate(schema.fields)])
+    return parsed.withColumn("response", F.when(F.col("accepted"), made)).drop("_all", "_map", *values, *typed)
 
 
 def accepted_rows(parsed: DataFrame) -> DataFrame:

@@ -131,11 +131,28 @@ def _guesses(name: str, domain: str) -> str:
             f"{f} || {last} || {at}, {last} || '.' || {f} || {at}, 'careers' || {at}]")
 
 
-FIRST_VALID = f"""domains AS (SELECT id AS company_id, {DOMAIN} AS domain FROM v_companies),
-      guessed AS (SELECT c.*, d.domain, {_guesses('c.name', 'd.domain')} AS guesses FROM v_contacts c JOIN domains d USING (company_id)),
+# What a run finds in its cache, and in answers for the rest.
+LIVE_ENTRIES = f"""kept AS (SELECT key, arg_max(value, version) AS value, arg_max(expires_at, version) AS expires_at FROM v_run_cache GROUP BY key),
+      live AS (SELECT * FROM kept WHERE expires_at >= TIMESTAMP '{ORDERS_AS_OF}' AND value NOT IN ('', '[]', '{{}}', 'null', '""'))"""
+RESEARCH = f"""{LIVE_ENTRIES},
+      researched AS (SELECT c.id AS company_id, l.key IS NOT NULL AS hit, l.key IS NOT NULL OR json_valid(a.raw) AS research_ok
+        FROM v_companies c LEFT JOIN live l ON l.key = 'company_research_' || lower(c.name)
+        LEFT JOIN v_research_answers a ON a.company_id = c.id)"""
+MAILBOXES = f"""asked AS (SELECT p.id AS contact_id, 'email_' || lower(c.name) || '_' || replace(lower(p.name), ' ', '_') AS key
+        FROM v_contacts p JOIN v_companies c ON p.company_id = c.id),
+      mailboxes AS (SELECT contact_id, answer FROM (SELECT k.contact_id, coalesce(l.value,
+          CASE WHEN json_valid(a.raw) THEN json_extract_string(CASE WHEN json_valid(a.raw) THEN a.raw END, '$.email') END) AS answer
+        FROM asked k LEFT JOIN live l USING (key) LEFT JOIN v_mailbox_answers a USING (contact_id)) WHERE answer <> '')"""
+
+FIRST_GUESS = f"""domains AS (SELECT id AS company_id, {DOMAIN} AS domain FROM v_companies),
+      guessed AS (SELECT c.*, d.domain, {_guesses('c.name', 'd.domain')} AS guesses FROM v_contacts c JOIN domains d USING (company_id))"""
+_VALID = f"""valid AS (SELECT id, arg_min(g, pos) AS mailbox FROM tried WHERE regexp_matches(g, '{MAILBOX}')
+        AND lower(split_part(g, '@', 2)) IN (SELECT domain FROM v_mx WHERE accepts_mail) GROUP BY id)"""
+FIRST_VALID = f"""{FIRST_GUESS},
+      tried AS (SELECT id, unnest(guesses) AS g, generate_subscripts(guesses, 1) AS pos FROM guessed), {_VALID}"""
+FIRST_FOUND = f"""{LIVE_ENTRIES}, {MAILBOXES}, {FIRST_GUESS},
       tried AS (SELECT id, unnest(guesses) AS g, generate_subscripts(guesses, 1) AS pos FROM guessed
-                WHERE domain IN (SELECT domain FROM v_mx WHERE accepts_mail)),
-      valid AS (SELECT id, arg_min(g, pos) AS mailbox FROM tried WHERE regexp_matches(g, '{MAILBOX}') GROUP BY id)"""
+        UNION ALL SELECT contact_id, {_strip('answer')}, 0 FROM mailboxes), {_VALID}"""
 
 RANK = """CASE WHEN contains(lower(role), 'promo') THEN 0 WHEN contains(lower(role), 'economy') THEN 1
       WHEN contains(lower(role), 'standard') THEN 2 ELSE 3 END"""
@@ -159,43 +176,68 @@ LIVE = f"expires_at >= TIMESTAMP '{EVENTS_AS_OF}'"
 MOVABLE = "state NOT IN {closed} AND current_stage BETWEEN 3 AND 11"
 
 
+JSON_SCORE = " + ".join(f"CAST(json_extract(score, '$.{c}') AS DOUBLE) * CAST({RULES.weights[c]} AS DOUBLE)" for c in RULES.COMPONENTS)
+
+
+def _ending(max_stage: int, stop: str) -> tuple[str, str]:
+    """Stage reached and state, given the column of the failing stage."""
+    landing = min(max_stage, 11) + 1
+    failed = f"""CASE {stop} WHEN 3 THEN 'Research Failed' WHEN 4 THEN 'Duplicate'
+        WHEN 5 THEN CASE WHEN contact_name IS NOT NULL THEN 'No Professional Email' ELSE 'Failed' END
+        WHEN 6 THEN CASE WHEN passes IS NOT NULL THEN 'Salary Too Low' ELSE 'Failed' END
+        WHEN 7 THEN 'Failed' WHEN 8 THEN 'Failed' WHEN 9 THEN 'Validation Failed'
+        WHEN 10 THEN CASE WHEN contact_name IS NULL THEN 'Failed' WHEN NOT has_mail THEN 'Draft Failed'
+                          WHEN addressed THEN 'Draft Failed' ELSE 'Failed' END END"""
+    end = f"CASE WHEN start > {max_stage} THEN start WHEN {stop} IS NOT NULL THEN {stop} ELSE {landing} END"
+    state = f"CASE WHEN start > {max_stage} THEN old_state WHEN {stop} IS NOT NULL THEN {failed} ELSE '{STATE_ON_ENTRY.get(landing)}' END"
+    return end, state
+
+
 def _judged(max_stage: int, closed=RUN_TERMINAL, applications: str = "v_applications",
             where: str = "true") -> str:
-    """The advance as SQL: one column per gate, then the first failing stage."""
-    landing = min(max_stage, 11) + 1
+    """The advance as SQL: one column per gate, the first failing stage, then the rows that write to somebody one after
+    the other: a row that chooses its contact is a duplicate behind one that wrote to its company or mailbox."""
     gates = {
         3: "coalesce(research_ok, false)",
         4: "linked_id IS NOT NULL OR NOT is_guarded",
         5: "contact_name IS NOT NULL AND (known OR guess IS NOT NULL)",
         6: "coalesce(passes, false)",
-        7: "coalesce(tailor_ok, false)",
         8: "contact_name IS NOT NULL",
         9: "has_mail AND has_resume AND coalesce(valid_ok, true)",
         10: "contact_name IS NOT NULL AND has_mail AND addressed AND coalesce(draft_ok, false)",
         11: "true",
     }
-    stop = " ".join(f"WHEN start <= {s} AND NOT ({g}) THEN {s}" for s, g in gates.items() if s <= max_stage)
-    failed = """CASE stop WHEN 3 THEN 'Research Failed' WHEN 4 THEN 'Duplicate'
-        WHEN 5 THEN CASE WHEN contact_name IS NOT NULL THEN 'No Professional Email' ELSE 'Failed' END
-        WHEN 6 THEN CASE WHEN passes IS NOT NULL THEN 'Salary Too Low' ELSE 'Failed' END
-        WHEN 7 THEN 'Failed' WHEN 8 THEN 'Failed' WHEN 9 THEN 'Validation Failed'
-        WHEN 10 THEN CASE WHEN contact_name IS NULL THEN 'Failed' WHEN NOT has_mail THEN 'Draft Failed'
-                          WHEN addressed THEN 'Draft Failed' ELSE 'Failed' END END"""
-    return f"""{GUARD}, {LATEST_MAIL},
+    stops = [f"WHEN start <= {s} AND NOT ({g}) THEN {s}" for s, g in gates.items() if s <= max_stage]
+    stop = f"CASE {' '.join(stops)} END" if stops else "CAST(NULL AS INTEGER)"
+    end0, state0 = _ending(max_stage, "stop0")
+    end, state = _ending(max_stage, "stop")
+    free = "NOT c.open OR NOT (list_contains(w.companies, c.company_id) OR coalesce(list_contains(w.mails, c.mailbox), false))"
+
+    def grown(name: str, column: str) -> str:
+        return f"CASE WHEN {free} THEN list_append(w.{name}, c.{column}) ELSE w.{name} END"
+
+    return f"""RECURSIVE {GUARD}, {LATEST_MAIL}, {RESEARCH}, {MAILBOXES},
       best AS (SELECT * FROM (SELECT company_id, id, name, email, row_number() OVER
         (PARTITION BY company_id ORDER BY {RANK}, id) AS rn FROM v_contacts) WHERE rn = 1),
       owners AS (SELECT email, min(id) AS owner FROM v_contacts WHERE email <> '' GROUP BY email),
+      outcome AS (SELECT *, {JSON_SCORE} AS new_score FROM (SELECT application_id,
+          CASE WHEN json_valid(score_raw) THEN score_raw END AS score, CASE WHEN json_valid(validation_raw)
+            THEN CAST(json_extract(CASE WHEN json_valid(validation_raw) THEN validation_raw END, '$.is_valid') AS BOOLEAN) END AS valid_ok,
+          CASE WHEN json_valid(message_raw) THEN message_raw END AS message,
+          CASE WHEN json_valid(tailor_raw) THEN tailor_raw END AS tailor FROM v_answers)),
       facts AS (SELECT a.id, CAST(a.current_stage AS INTEGER) AS start, a.state AS old_state, a.score AS old_score, a.contact_id AS old_contact,
-          g.research_ok, g.tailor_ok, g.valid_ok, g.draft_ok, {SCORE} AS new_score,
-          NOT (({SCORE}) < CAST({RULES.minimum_score} AS DOUBLE)) AS passes,
+          j.company_id, c.name AS company_name, j.title AS job_title,
+          rs.research_ok, o.valid_ok, o.message, o.tailor, g.draft_ok, o.new_score,
+          NOT (o.new_score < CAST({RULES.minimum_score} AS DOUBLE)) AS passes,
           j.company_id IN (SELECT company_id FROM guarded) AS is_guarded,
           l.id AS linked_id, l.name AS linked_name, l.email AS linked_email,
           b.id AS best_id, b.name AS best_name, b.email AS best_email,
           {DOMAIN.replace('domain', 'c.domain').replace('(name)', '(c.name)')} AS domain,
-          m.application_id IS NOT NULL AS mailed, m.created_at AS mail_day, m.status AS mail_status,
+          m.application_id IS NOT NULL AS mailed, m.id AS mail_id, m.created_at AS mail_day, m.status AS mail_status,
           a.id IN (SELECT application_id FROM v_resume_versions) AS resumed
         FROM {applications} a JOIN v_jobs j ON a.job_id = j.id JOIN v_companies c ON j.company_id = c.id
-        LEFT JOIN v_scores s ON s.application_id = a.id LEFT JOIN v_signals g ON g.application_id = a.id
+        LEFT JOIN outcome o ON o.application_id = a.id LEFT JOIN v_signals g ON g.application_id = a.id
+        LEFT JOIN researched rs ON rs.company_id = c.id
         LEFT JOIN v_contacts l ON l.id = a.contact_id LEFT JOIN best b ON b.company_id = j.company_id
         LEFT JOIN latest_mail m ON m.application_id = a.id
         WHERE {MOVABLE.format(closed=_in(closed)).replace('state', 'a.state', 1)} AND {where}),
@@ -203,24 +245,42 @@ def _judged(max_stage: int, closed=RUN_TERMINAL, applications: str = "v_applicat
           CASE WHEN linked_id IS NOT NULL THEN linked_id WHEN start <= 4 THEN best_id END AS contact_key,
           CASE WHEN linked_id IS NOT NULL THEN linked_name WHEN start <= 4 THEN coalesce(best_name, 'Hiring Manager') END AS contact_name,
           CASE WHEN linked_id IS NOT NULL THEN linked_email WHEN start <= 4 THEN best_email END AS contact_mail FROM facts),
-      known AS (SELECT *, coalesce(contact_mail, '') <> '' AS known,
+      known AS (SELECT k.*, coalesce(contact_mail, '') <> '' AS known,
           start <= 5 OR contact_mail IS NOT NULL AS addressed,
-          start <= 8 OR mailed AS has_mail, start <= 7 OR resumed AS has_resume FROM chosen),
-      guessed AS (SELECT k.*, CASE WHEN start <= 5 AND NOT known AND contact_name IS NOT NULL
-          AND domain IN (SELECT domain FROM v_mx WHERE accepts_mail) THEN
-          list_filter({_guesses('contact_name', 'domain')}, lambda g: regexp_matches(g, '{MAILBOX}'))[1] END AS guess FROM known k),
-      owned AS (SELECT d.*, o.owner FROM guessed d LEFT JOIN owners o ON o.email = d.guess),
-      stopped AS (SELECT *, CASE {stop} END AS stop FROM owned),
-      ended AS (SELECT *, CASE WHEN start > {max_stage} THEN start WHEN stop IS NOT NULL THEN stop ELSE {landing} END AS endstage FROM stopped),
-      judged AS (SELECT *, CASE WHEN start > {max_stage} THEN old_state WHEN stop IS NOT NULL THEN {failed}
-          ELSE {_case('endstage', STATE_ON_ENTRY)} END AS end_state FROM ended),
+          start <= 8 OR mailed AS has_mail, start <= 7 OR resumed AS has_resume, {_strip('x.answer')} AS answer
+        FROM chosen k LEFT JOIN mailboxes x ON x.contact_id = k.contact_key),
+      guessed AS (SELECT k.*, CASE WHEN start <= 5 AND NOT known AND contact_name IS NOT NULL THEN
+          CASE WHEN regexp_matches(answer, '{MAILBOX}') AND lower(split_part(answer, '@', 2)) IN (SELECT domain FROM v_mx WHERE accepts_mail) THEN answer
+               WHEN domain IN (SELECT domain FROM v_mx WHERE accepts_mail) THEN
+          list_filter({_guesses('contact_name', 'domain')}, lambda g: regexp_matches(g, '{MAILBOX}'))[1] END END AS guess FROM known k),
+      owned AS (SELECT d.*, o.owner, CASE WHEN known THEN contact_mail ELSE guess END AS mailbox, start <= 4 AND linked_id IS NULL AS open
+        FROM guessed d LEFT JOIN owners o ON o.email = d.guess),
+      alone AS (SELECT *, {end0} AS end0, {state0} AS state0 FROM (SELECT *, {stop} AS stop0 FROM owned)),
+      cand AS (SELECT row_number() OVER (ORDER BY id) AS n, id, company_id, nullif(mailbox, '') AS mailbox, open FROM alone
+        WHERE start <= {max_stage} AND (state0 IN {_in(CONTACTED)} OR (start <= 10 AND end0 > 10))),
+      walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS companies, CAST([] AS VARCHAR[]) AS mails, CAST([] AS BIGINT[]) AS won
+        UNION ALL SELECT c.n, {grown('companies', 'company_id')}, {grown('mails', 'mailbox')}, {grown('won', 'id')}
+        FROM walk w JOIN cand c ON c.n = w.n + 1),
+      winners AS (SELECT * FROM cand WHERE id IN (SELECT unnest(won) FROM (SELECT won FROM walk ORDER BY n DESC LIMIT 1))),
+      by_company AS (SELECT company_id, min(id) AS first FROM winners GROUP BY 1),
+      by_mailbox AS (SELECT mailbox, min(id) AS first FROM winners WHERE mailbox IS NOT NULL GROUP BY 1),
+      stopped AS (SELECT a.*, CASE WHEN {max_stage} >= 4 AND open AND (bc.first < a.id OR bm.first < a.id) AND coalesce(stop0 >= 4, true) THEN 4 ELSE stop0 END AS stop
+        FROM alone a LEFT JOIN by_company bc ON bc.company_id = a.company_id LEFT JOIN by_mailbox bm ON bm.mailbox = a.mailbox),
+      ended AS (SELECT *, {end} AS endstage, {state} AS end_state FROM stopped),
+      judged AS (SELECT *, start <= 4 AND endstage > 4 AND linked_id IS NULL AS picked,
+          start <= 5 AND endstage > 5 AND NOT known AS resolved FROM ended),
+      made AS (SELECT company_id, (SELECT max(id) FROM v_contacts) + row_number() OVER (ORDER BY min(id)) AS made_id, min(company_name) AS company_name
+        FROM judged WHERE picked AND contact_key IS NULL GROUP BY company_id),
+      held AS (SELECT j.*, CASE WHEN picked AND contact_key IS NULL THEN m.made_id ELSE contact_key END AS own_contact
+        FROM judged j LEFT JOIN made m USING (company_id)),
+      setters AS (SELECT guess, arg_min(own_contact, id) AS setter, min(id) AS setter_id FROM held WHERE resolved AND owner IS NULL GROUP BY guess),
+      final AS (SELECT h.*, s.setter, s.setter_id, CASE WHEN resolved THEN coalesce(owner, s.setter, own_contact)
+          WHEN picked THEN own_contact ELSE old_contact END AS final_contact FROM held h LEFT JOIN setters s ON s.guess = h.guess),
       result AS (SELECT id, start AS old_stage, old_state, CAST(endstage AS INTEGER) AS current_stage, end_state AS state,
-          CASE WHEN start <= 5 AND endstage > 5 AND NOT known THEN coalesce(owner, contact_key)
-               WHEN start <= 4 AND endstage > 4 AND linked_id IS NULL THEN contact_key ELSE old_contact END AS contact_id,
-          CASE WHEN start <= 5 AND endstage > 5 AND NOT known THEN guess
-               WHEN start <= 4 AND endstage > 4 AND linked_id IS NULL THEN contact_mail ELSE linked_email END AS contact_email,
+          final_contact AS contact_id,
+          CASE WHEN resolved THEN guess WHEN picked THEN contact_mail ELSE linked_email END AS contact_email,
           CASE WHEN start <= 6 AND passes IS NOT NULL AND (endstage > 6 OR stop = 6) THEN new_score ELSE old_score END AS score
-        FROM judged)"""
+        FROM final)"""
 
 
 def _resting(columns: str) -> str:
@@ -232,15 +292,25 @@ def _gate_run(m: int) -> str:
       UNION ALL {_resting(f'{m}, id, CAST(current_stage AS INTEGER), state')}"""
 
 
+RESUME_PATH = "'out/resume_' || replace(lower(company_name), ' ', '_') || '_' || replace(lower(job_title), ' ', '_') || '_' || CAST(id AS VARCHAR) || '/base.typ'"
+DRAFT_ID = "'draft-' || CAST(id AS VARCHAR)"
+
+
 def _history() -> str:
     """Logged transitions: a success row per passed stage, then the failure row."""
-    ok = {4: "linked_id IS NULL", 5: "NOT known"}
+    ok = {4: "linked_id IS NULL", 5: "NOT known AND NOT coalesce(owner IS NULL AND setter = own_contact AND setter_id < id, false)"}
     no = {9: "has_mail AND has_resume", 10: "NOT (contact_name IS NOT NULL AND NOT has_mail)"}
+    passed = {3: "'company researched'", 4: "'contact: ' || contact_name", 5: "'mailbox: ' || mailbox", 6: "'scored high enough'",
+              7: f"'resume: ' || {RESUME_PATH}", 8: "'message written'", 9: "'validated'", 10: f"'draft: ' || {DRAFT_ID}", 11: "'all stages done'"}
+    failed = {3: "'nothing found on the company'", 4: "'company or mailbox already written to'",
+              5: "CASE WHEN contact_name IS NULL THEN 'no contact' ELSE 'no mailbox for ' || contact_name END",
+              6: "CASE WHEN passes IS NULL THEN 'no score' ELSE 'score below the threshold' END", 7: "'resume not tailored'",
+              8: "'no contact'", 9: "'message rejected'", 10: "'no draft made'", 11: "'not finalized'"}
     arms = []
     for s in range(3, 12):
-        arms.append(f"SELECT id, {s} * 2 AS ord, {s + 1} AS stage, '{STATE_ON_ENTRY[s + 1]}' AS state FROM judged "
+        arms.append(f"SELECT id, {s} * 2 AS ord, {s + 1} AS stage, '{STATE_ON_ENTRY[s + 1]}' AS state, {passed[s]} AS notes FROM final "
                     f"WHERE start <= {s} AND endstage > {s} AND ({ok.get(s, 'true')})")
-        arms.append(f"SELECT id, {s} * 2 + 1, {s}, end_state FROM judged WHERE stop = {s} AND ({no.get(s, 'true')})")
+        arms.append(f"SELECT id, {s} * 2 + 1, {s}, end_state, {failed[s]} FROM final WHERE stop = {s} AND ({no.get(s, 'true')})")
     return " UNION ALL ".join(arms)
 
 
@@ -263,6 +333,7 @@ TODAY = f"""(SELECT count(*) FROM v_emails WHERE status = 'draft_created' AND cr
       AND created_at < {_ORDERS_DAY} + INTERVAL 1 DAY)"""
 MAIL_FIRST = "coalesce(nullif(ct.email, ''), 'N/A')"
 _SIGN = signature(RULES)
+LOGGED = f"'RUN-19980615-001' AS run_id, '{ORDERS_AS_OF}' AS timestamp"
 _LIMIT = RULES.daily_draft_limit
 
 _RAW: dict[str, str] = {
@@ -414,7 +485,7 @@ _RAW: dict[str, str] = {
         (PARTITION BY application_id ORDER BY id DESC) AS rn FROM v_resume_versions) WHERE rn = 1""",
     "best_contact": f"""SELECT company_id, id, role, rank FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY rank, id) AS rn
         FROM (SELECT *, {RANK} AS rank FROM v_contacts)) WHERE rn = 1""",
-    "first_valid_email": f"WITH {FIRST_VALID} SELECT g.id, v.mailbox FROM guessed g LEFT JOIN valid v USING (id)",
+    "first_valid_email": f"WITH {FIRST_FOUND} SELECT g.id, v.mailbox FROM guessed g LEFT JOIN valid v USING (id)",
     "first_seen_dedup": """SELECT name, ordinal, domain FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ordinal) AS rn
         FROM v_found_companies) WHERE rn = 1""",
     "recent_applications": """SELECT a.id, c.name AS company_name, j.title AS job_title, 'Stage ' || CAST(a.current_stage AS VARCHAR) AS stage,
@@ -508,8 +579,51 @@ _RAW: dict[str, str] = {
     "application_advance": f"""WITH {_judged(12)} SELECT * REPLACE (round(score, 6) AS score, CAST(contact_id AS VARCHAR) AS contact_id) FROM result UNION ALL
         {_resting("id, CAST(current_stage AS INTEGER), state, CAST(current_stage AS INTEGER), state, CAST(contact_id AS VARCHAR), NULL, round(score, 6)")}""",
     "history_emit": f"""WITH {_judged(12)} SELECT id AS application_id,
-          CAST(row_number() OVER (PARTITION BY id ORDER BY ord) - 1 AS INTEGER) AS step, stage, state FROM ({_history()})""",
-    "stage_gate": f"{_gate_run(5)} UNION ALL {_gate_run(7)}",
+          CAST(row_number() OVER (PARTITION BY id ORDER BY ord) - 1 AS INTEGER) AS step, stage, state, {LOGGED}, notes FROM ({_history()})""",
+    "advance_contacts": f"""WITH {_judged(12)}, found AS (SELECT own_contact AS id, arg_min(guess, id) AS email FROM final
+          WHERE resolved AND owner IS NULL AND setter = own_contact GROUP BY own_contact)
+        SELECT c.id, c.company_id, c.name, c.role, coalesce(f.email, c.email) AS email,
+          CASE WHEN f.email IS NOT NULL THEN 'found' ELSE 'stored' END AS origin FROM v_contacts c LEFT JOIN found f USING (id)
+        UNION ALL SELECT m.made_id, m.company_id, 'Hiring Manager', 'Engineering Manager', f.email, 'made' FROM made m LEFT JOIN found f ON f.id = m.made_id""",
+    "advance_emails": f"""WITH {_judged(12)}, texts AS (SELECT *, start <= 10 AND endstage > 10 AS drafted,
+          coalesce(json_extract_string(message, '$.subject'), 'Application to ' || company_name) AS subject,
+          coalesce(json_extract_string(message, '$.body_html'), '<p>Hello ' || coalesce(contact_name, '') || ',</p><p>I would like to join '
+            || company_name || ' as ' || job_title || '.</p><p>Jane Doe</p>') AS body FROM final)
+        SELECT (SELECT max(id) FROM v_emails) + row_number() OVER (ORDER BY id) AS id, id AS application_id, subject,
+          CASE WHEN contains(body, 'Jane Doe') THEN substr(body, 1, instr(body, 'Jane Doe') + 7) || '{_SIGN}' || substr(body, instr(body, 'Jane Doe') + 8)
+            ELSE body || '<p>{_SIGN}</p>' END AS body, CASE WHEN drafted THEN {DRAFT_ID} END AS gmail_draft_id,
+          CASE WHEN drafted THEN 'draft_created' ELSE 'generated' END AS status, '{ORDERS_AS_OF}' AS created_at, 'written' AS origin
+        FROM texts WHERE start <= 8 AND endstage > 8
+        UNION ALL SELECT e.id, e.application_id, e.subject, e.body, coalesce('draft-' || CAST(t.id AS VARCHAR), e.gmail_draft_id),
+          CASE WHEN t.id IS NOT NULL THEN 'draft_created' ELSE e.status END, {_time('e.created_at')},
+          CASE WHEN t.id IS NOT NULL THEN 'drafted' ELSE 'stored' END
+        FROM v_emails e LEFT JOIN (SELECT * FROM texts WHERE drafted AND start > 8) t ON t.mail_id = e.id""",
+    "advance_resumes": f"""WITH {_judged(12)}
+        SELECT (SELECT max(id) FROM v_resume_versions) + row_number() OVER (ORDER BY id) AS id, id AS application_id, 'base.typ' AS parent_resume,
+          {RESUME_PATH} AS path, '{ORDERS_AS_OF}' AS created_at, coalesce(array_to_string(CAST(json_extract_string(tailor, '$.keywords_added[*]') AS VARCHAR[]), ','), '') AS keywords,
+          coalesce(json_extract_string(tailor, '$.reasoning'), 'base resume kept') AS reasoning, 'tailored' AS origin FROM final WHERE start <= 7 AND endstage > 7
+        UNION ALL SELECT id, application_id, parent_resume, path, {_time('created_at')}, NULL, NULL, 'stored' FROM v_resume_versions""",
+    "research_outcomes": f"""WITH {RESEARCH} SELECT company_id, research_ok,
+        CASE WHEN hit THEN 'cache' WHEN research_ok THEN 'answer' ELSE 'none' END AS origin FROM researched""",
+    "research_cached": f"""WITH {RESEARCH}, new AS (SELECT 'company_research_' || lower(c.name) AS key, a.raw AS value,
+          TIMESTAMP '{ORDERS_AS_OF}' + to_seconds({RULES.cache_ttl_seconds}) AS expires_at
+          FROM researched r JOIN v_companies c ON c.id = r.company_id JOIN v_research_answers a ON a.company_id = c.id WHERE research_ok AND NOT hit)
+        SELECT key, value, {_time('expires_at')} AS expires_at FROM new
+        UNION ALL SELECT key, value, {_time('expires_at')} FROM kept WHERE key NOT IN (SELECT key FROM new)""",
+    "retry_log": f"""SELECT id AS application_id, CASE state WHEN 'Research Failed' THEN 3 WHEN 'Draft Failed' THEN 10 ELSE 7 END AS stage,
+        CASE state WHEN 'Research Failed' THEN 'Company Research' WHEN 'Draft Failed' THEN 'Gmail Draft Creation' ELSE 'Resume Tailoring' END AS state,
+        {LOGGED}, 'retry after ' || state AS notes FROM v_applications WHERE state IN {_in(RETRYABLE)}""",
+    "screening_log": f"""WITH openings AS (SELECT id, company_id, title, experience_years_required FROM v_jobs
+          UNION ALL SELECT id, company_id, title, experience_years_required FROM v_postings),
+        entered AS (SELECT j.id AS job_id, {EXCLUDED} OR {TITLE} OR {YEARS} AS out,
+          CASE WHEN {EXCLUDED} THEN 'Excluded Company' ELSE 'Ghost Job' END AS state,
+          CASE WHEN {EXCLUDED} THEN 'excluded company: ' || c.name WHEN {TITLE} THEN 'excluded word in title: ' || j.title
+             WHEN {YEARS} THEN 'needs ' || CAST(j.experience_years_required AS VARCHAR) || ' years, limit 1.0' END AS note
+          FROM openings j JOIN v_companies c ON j.company_id = c.id WHERE j.id NOT IN (SELECT job_id FROM v_applications))
+        SELECT job_id, 0 AS step, 2 AS stage, CASE WHEN out THEN state ELSE 'Filtering' END AS state, {LOGGED},
+          CASE WHEN out THEN note ELSE 'entered' END AS notes FROM entered
+        UNION ALL SELECT job_id, 1, 3, 'Company Research', {LOGGED}, 'passed screening' FROM entered WHERE NOT out""",
+    "stage_gate": " UNION ALL ".join(_gate_run(m) for m in (2, 5, 7, 10, 12)),
     "retry_reset": f"""SELECT id, CAST(CASE state WHEN 'Research Failed' THEN 3 WHEN 'Draft Failed' THEN 10 WHEN 'Validation Failed' THEN 7
           WHEN 'Failed' THEN 7 ELSE current_stage END AS INTEGER) AS current_stage,
         CASE state WHEN 'Research Failed' THEN 'Company Research' WHEN 'Draft Failed' THEN 'Gmail Draft Creation'
@@ -550,10 +664,10 @@ _RAW: dict[str, str] = {
             WHEN contains(lower(title), 'specified') THEN 'excluded word in title: ' || title
             WHEN coalesce(years, 0) > 1.0 THEN 'needs ' || CAST(years AS VARCHAR) || ' years, limit 1.0'
             ELSE 'passed screening' END AS note FROM numbered n JOIN known k ON k.id = n.company_id)""",
-    "targeted_advance": f"""WITH linked_apps AS (SELECT a.* REPLACE (CASE WHEN c.industry = 'MACHINERY' AND a.state NOT IN {_in(REFILTER_CLOSED)}
+    "targeted_advance": f"""WITH RECURSIVE linked_apps AS (SELECT a.* REPLACE (CASE WHEN c.industry = 'MACHINERY' AND a.state NOT IN {_in(REFILTER_CLOSED)}
             THEN 4 ELSE a.contact_id END AS contact_id)
           FROM v_applications a JOIN v_jobs j ON a.job_id = j.id JOIN v_companies c ON j.company_id = c.id),
-        {_judged(12, REFILTER_CLOSED, 'linked_apps', "c.industry = 'MACHINERY'").replace('FROM v_applications WHERE state IN', 'FROM linked_apps WHERE state IN')}
+        {_judged(12, REFILTER_CLOSED, 'linked_apps', "c.industry = 'MACHINERY'").replace('FROM v_applications WHERE state IN', 'FROM linked_apps WHERE state IN').removeprefix('RECURSIVE ')}
         SELECT * REPLACE (round(score, 6) AS score, CAST(contact_id AS VARCHAR) AS contact_id) FROM result""",
     "cache_lookup": f"""WITH {ENTRIES}, {REQUESTS} SELECT request_id, r.key, e.key IS NOT NULL AS hit, e.value FROM requests r
         LEFT JOIN (SELECT * FROM entries WHERE {LIVE}) e ON e.key = r.key""",

@@ -24,9 +24,9 @@ from hirelake.operators import (
     resolution,
     responses,
 )
-from hirelake.plans import advance, discovery
+from hirelake.plans import advance, discovery, outcomes, run
 from hirelake.rules import FIXTURE_RULES as RULES
-from hirelake.session import configure, staging_path
+from hirelake.session import configure, staged, staging_path
 from hirelake.sources import scans
 from hirelake.sources.schemas import RESPONSES
 from hirelake.sources.views import EVENTS_AS_OF, ORDERS_AS_OF, SLICES, arrivals, base, view, view_stream
@@ -66,11 +66,11 @@ class Tables:
 
 
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def registered(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(Tables(configure(spark), sf_dir))
 
-    run.__name__ = fn.__name__
-    QUERIES[fn.__name__] = run
+    registered.__name__ = fn.__name__
+    QUERIES[fn.__name__] = registered
     return fn
 
 
@@ -328,7 +328,7 @@ def best_contact(t):
 
 @query
 def first_valid_email(t):
-    return outreach.first_valid_mailbox(t.contacts, t.companies, t.mx).select("id", "mailbox")
+    return outreach.first_valid_mailbox(t.contacts, t.companies, t.mx, _mailboxes(t)).select("id", "mailbox")
 
 
 @query
@@ -547,9 +547,35 @@ def structured_generate(t):
 
 
 # --- state machine -----------------------------------------------------------------------------------
+RUN_ID = "RUN-19980615-001"
+GATE_BOUNDS = (2, 5, 7, 10, 12)
+
+
+def _mailboxes(t) -> DataFrame:
+    return outcomes.mailboxes(t.contacts, t.companies, cache.upsert(t.run_cache), t.mailbox_answers, ORDERS_AS_OF)
+
+
+def _research(t) -> DataFrame:
+    return outcomes.research(t.companies, cache.upsert(t.run_cache), t.research_answers, ORDERS_AS_OF)
+
+
 def _snapshot(t) -> advance.Snapshot:
-    return advance.Snapshot(t.applications, t.jobs, t.companies, t.contacts, t.mx, t.scores,
-                            t.signals, t.emails, t.resume_versions)
+    return advance.Snapshot(
+        t.applications, t.jobs, t.companies, t.contacts, t.mx, None, t.signals, t.emails, t.resume_versions,
+        _research(t), _mailboxes(t), t.answers)
+
+
+@query
+def research_outcomes(t):
+    return _research(t)
+
+
+@query
+def research_cached(t):
+    """The run's cache after it: answers stored for the rules' lifetime."""
+    stored = cache.upsert(t.run_cache).withColumn("created_at", F.lit("1998-06-01 00:00:00").cast("timestamp_ntz"))
+    new = outcomes.research_to_store(_research(t), t.companies, t.research_answers, ORDERS_AS_OF)
+    return cache.write(stored, new, RULES).select("key", "value", _time("expires_at"))
 
 
 @query
@@ -558,16 +584,55 @@ def application_advance(t):
     return _shown(out.withColumn("score", F.round("score", 6)), "contact_id")
 
 
+def _run_rows(s: advance.Snapshot, texts: bool = False) -> DataFrame:
+    return staged(advance.with_contacts(advance.judged(s, RULES, texts=texts), s.contacts), "run-rows")
+
+
+@query
+def advance_contacts(t):
+    s = _snapshot(t)
+    rows = _run_rows(s)
+    return run.contacts_after(s, rows).select("id", "company_id", "name", "role", "email", "origin")
+
+
+@query
+def advance_emails(t):
+    s = _snapshot(t)
+    rows = _run_rows(s, texts=True)
+    return run.emails_after(s, rows, RULES, ORDERS_AS_OF).select(
+        "id", "application_id", "subject", "body", "gmail_draft_id", "status", _time("created_at"), "origin")
+
+
+@query
+def advance_resumes(t):
+    s = _snapshot(t)
+    rows = _run_rows(s, texts=True)
+    return run.resumes_after(s, rows, ORDERS_AS_OF).select(
+        "id", "application_id", "parent_resume", "path", _time("created_at"), F.array_join("keywords_added", ",").alias("keywords"),
+        "reasoning", "origin")
+
+
 @query
 def history_emit(t):
-    return advance.history_of(_snapshot(t), RULES)
+    return run.history_of(_snapshot(t), RULES, RUN_ID, ORDERS_AS_OF).withColumn("timestamp", _time("timestamp"))
+
+
+@query
+def retry_log(t):
+    return advance.retry_history(t.applications, RUN_ID, ORDERS_AS_OF).withColumn("timestamp", _time("timestamp"))
+
+
+@query
+def screening_log(t):
+    columns = ["id", "company_id", "title", "experience_years_required"]
+    openings = t.jobs.select(columns).unionByName(t.postings.select(columns))
+    entered = filtering.enter_screening(openings, t.companies, t.applications, RULES)
+    return advance.screening_history(entered, RUN_ID, ORDERS_AS_OF).withColumn("timestamp", _time("timestamp"))
 
 
 @query
 def stage_gate(t):
-    out = [advance.advance(_snapshot(t), RULES, max_stage=m).select(
-        F.lit(m).alias("max_stage"), "id", "current_stage", "state") for m in (5, 7)]
-    return out[0].unionByName(out[1])
+    return advance.advance_to(_snapshot(t), RULES, GATE_BOUNDS)
 
 
 @query

@@ -202,11 +202,52 @@ VIEWS: dict[str, str] = {
                (o_orderkey % 2) / CAST(1 AS DOUBLE) AS growth,
                (o_orderkey % 7) / CAST(6 AS DOUBLE) AS confidence
         FROM {orders}""",
+    # Outcomes of the mail service.
     "v_signals": """
-        SELECT o_orderkey AS application_id, o_orderkey % 17 <> 0 AS research_ok,
-               o_orderkey % 19 <> 0 AS tailor_ok, o_orderkey % 23 <> 0 AS valid_ok,
-               o_orderkey % 29 <> 0 AS draft_ok
+        SELECT o_orderkey AS application_id, o_orderkey % 29 <> 0 AS draft_ok
         FROM {orders}""",
+    # Answers of a model to the questions of a run, some broken off.
+    "v_answers": """
+        SELECT o_orderkey AS application_id,
+               '{{"role_match": ' || CAST((o_orderkey % 11) / CAST(10 AS DOUBLE) AS VARCHAR(30))
+               || ', "tech_stack": ' || CAST((o_orderkey % 9) / CAST(8 AS DOUBLE) AS VARCHAR(30))
+               || ', "salary": ' || CAST((o_orderkey % 5) / CAST(4 AS DOUBLE) AS VARCHAR(30))
+               || ', "company_quality": ' || CAST((o_orderkey % 3) / CAST(2 AS DOUBLE) AS VARCHAR(30))
+               || ', "growth": ' || CAST((o_orderkey % 2) / CAST(1 AS DOUBLE) AS VARCHAR(30))
+               || ', "confidence": ' || CAST((o_orderkey % 7) / CAST(6 AS DOUBLE) AS VARCHAR(30))
+               || ', "reasoning": "' || o_orderpriority || '"' || CASE WHEN o_orderkey % 31 = 0 THEN '' ELSE '}}' END AS score_raw,
+               '{{"tailored_typst_content": "t", "keywords_added": ["Spark", "' || o_orderpriority || '"], "reasoning": "fits '
+               || o_orderstatus || CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE '"}}' END AS tailor_raw,
+               '{{"subject": "Opening ' || CAST(o_orderkey AS VARCHAR(20)) || '", "body_html": "<p>Dear team</p>'
+               || CASE WHEN o_orderkey % 4 = 0 THEN '<p>Jane Doe</p>' ELSE '' END || CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE '"}}' END AS message_raw,
+               '{{"is_valid": ' || CASE WHEN o_orderkey % 23 = 0 THEN 'false' ELSE 'true' END || ', "errors": []'
+               || CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE '}}' END AS validation_raw
+        FROM {orders}""",
+    "v_research_answers": """
+        SELECT c_custkey AS company_id, '{{"business_model": "' || c_mktsegment || '", "funding": "none", "tech_stack": ["Spark", "SQL"], '
+               || '"culture": "calm", "leadership": []' || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE '}}' END AS raw
+        FROM {customer}""",
+    # Addresses found for contacts: of other domains, shared between companies, unusable, none.
+    "v_mailbox_answers": """
+        SELECT p_partkey AS contact_id, '{{"email": ' || CASE p_partkey % 7 WHEN 0 THEN 'null'
+                 WHEN 2 THEN '"x' || CAST(p_partkey AS VARCHAR(20)) || '@c3.example.com"' WHEN 3 THEN '"none found"'
+                 WHEN 4 THEN '"found' || CAST(p_partkey AS VARCHAR(20)) || '@c7.example.com"'
+                 ELSE '"shared' || CAST(CAST(floor(p_partkey / 60) AS BIGINT) AS VARCHAR(20)) || '@c5.example.com"' END
+               || ', "pattern_used": null' || CASE WHEN p_partkey % 7 = 5 THEN '' ELSE '}}' END AS raw
+        FROM {part}""",
+    # What earlier runs cached: live, over, ending just now, empty.
+    "v_run_cache": """
+        SELECT 'company_research_' || lower(c_name) AS key, c_custkey AS version,
+               CASE WHEN c_custkey % 4 = 3 THEN '{{}}' ELSE '{{"funding": "cached"}}' END AS value,
+               CASE c_custkey % 4 WHEN 1 THEN CAST('1998-06-14 09:00:00' AS TIMESTAMP_NTZ) WHEN 2 THEN CAST('1998-06-15 00:00:00' AS TIMESTAMP_NTZ)
+                    ELSE CAST('1998-06-16 09:00:00' AS TIMESTAMP_NTZ) END AS expires_at
+        FROM {customer}
+        UNION ALL
+        SELECT 'email_customer#' || printf('%09d', CAST(floor(p_partkey / 3) AS BIGINT)) || '_' || replace(lower(p_name), ' ', '_') AS key,
+               p_partkey AS version, 'cached' || CAST(p_partkey AS VARCHAR(20)) || '@c8.example.com' AS value,
+               CASE WHEN p_partkey % 6 = 0 THEN CAST('1998-06-16 09:00:00' AS TIMESTAMP_NTZ)
+                    ELSE CAST('1998-06-14 09:00:00' AS TIMESTAMP_NTZ) END AS expires_at
+        FROM {part}""",
     # Discovered companies, in discovery order, with many repeats of the same name.
     "v_found_companies": """
         SELECT o_orderkey AS ordinal,
@@ -284,8 +325,9 @@ def arrivals(spark: SparkSession, sf_dir: str, name: str = "v_arrivals") -> list
 def with_prelude(body: str) -> str:
     """Prefix a SQL body with the view definitions it mentions, as common table expressions."""
     names = {t: t for t in BASE_TABLES}
-    used = [f"{v} AS ({sql.format(**names)})" for v, sql in VIEWS.items() if v in body]
+    used = [f"{v} AS ({sql.format(**names).replace('TIMESTAMP_NTZ', 'TIMESTAMP')})" for v, sql in VIEWS.items() if v in body]
     body = body.strip()
+    start = "WITH RECURSIVE " if "RECURSIVE" in body else "WITH "
     if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join([*used, body[5:]]) if used else body
-    return "WITH " + ",\n".join(used) + "\n" + body if used else body
+        return start + ",\n".join([*used, body[5:].removeprefix("RECURSIVE ")])
+    return start + ",\n".join(used) + "\n" + body if used else body

@@ -2,6 +2,7 @@
 
 import json
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -22,7 +23,7 @@ from hirelake.operators import (
     resolution,
     responses,
 )
-from hirelake.plans import advance, discovery
+from hirelake.plans import advance, discovery, outcomes, run
 from hirelake.rules import RUN_TERMINAL, Rules
 from hirelake.sources import scans
 from hirelake.sources.schemas import RESPONSES
@@ -421,16 +422,18 @@ def test_one_application_reaches_the_end(spark):
     assert (row["current_stage"], row["state"], row["contact_id"], row["contact_email"]) == (
         12, "Completed", 5, "alice.developer@mocktech.com")
     assert row["score"] == pytest.approx(0.87)
-    trail = advance.history_of(s, Rules()).orderBy("step").collect()
+    trail = run.history_of(s, Rules(), "RUN-7", NOW).orderBy("step").collect()
     assert [r["stage"] for r in trail] == list(range(4, 13))
+    assert {(r["run_id"], r["timestamp"]) for r in trail} == {("RUN-7", datetime.fromisoformat(NOW))}
+    assert [r["notes"] for r in trail][:3] == ["company researched", "contact: Alice Developer", "mailbox: alice.developer@mocktech.com"]
 
 
 def test_placeholder_contact_is_used(spark):
     row = advance.advance(snapshot(spark, [app(1, 4, "Contact Research")]), Rules()).first()
-    assert (row["state"], row["contact_id"], row["contact_email"]) == ("Completed", None, "hiring.manager@mocktech.com")
+    assert (row["state"], row["contact_id"], row["contact_email"]) == ("Completed", 1, "hiring.manager@mocktech.com")
 
 
-@pytest.mark.parametrize("stage, state, contact, signals, expected", [
+GATES = [
     (3, "Company Research", None, (False, True, True, True), (3, "Research Failed")),
     (5, "Professional Email Discovery", None, (True,) * 4, (5, "Failed")),
     (7, "Resume Tailoring", 6, (True, False, True, True), (7, "Failed")),
@@ -444,12 +447,16 @@ def test_placeholder_contact_is_used(spark):
     (11, "Database Finalization", None, (False,) * 4, (12, "Completed")),
     (2, "Filtering", None, (True,) * 4, (2, "Filtering")),
     (4, "Failed", None, (True,) * 4, (4, "Failed")),
-])
-def test_gates(spark, stage, state, contact, signals, expected):
+]
+
+
+def test_gates(spark):
+    """Stage, state, contact and outcomes of a row, and where one run takes it."""
     known = (6, 1, "Bob Known", "CTO", "bob@mocktech.com")
-    s = snapshot(spark, [app(1, stage, state, contact)], [ALICE, known], [(1, *signals)])
-    row = advance.advance(s, Rules()).first()
-    assert (row["current_stage"], row["state"]) == expected
+    apps = [app(i, stage, state, contact) for i, (stage, state, contact, _, _) in enumerate(GATES)]
+    s = snapshot(spark, apps, [ALICE, known], [(i, *g[3]) for i, g in enumerate(GATES)])
+    got = {r["id"]: (r["current_stage"], r["state"]) for r in advance.advance(s, Rules()).collect()}
+    assert got == {i: g[4] for i, g in enumerate(GATES)}
 
 
 def test_score_gate(spark):
@@ -470,7 +477,7 @@ def test_max_stage_and_skip(spark):
     s = snapshot(spark, [app(1, 4, "Contact Research", 6), app(2, 4, "Contact Research", 5), app(3, 9, "Validation", 6)], [ALICE, known])
     got = {r["id"]: (r["current_stage"], r["state"]) for r in advance.advance(s, Rules(), max_stage=4).collect()}
     assert got == {1: (6, "Opportunity Scoring"), 2: (5, "Professional Email Discovery"), 3: (9, "Validation")}
-    trail = advance.history_of(s, Rules(), max_stage=5)
+    trail = run.history_of(s, Rules(), "RUN-7", NOW, max_stage=5)
     assert [(r["application_id"], r["stage"]) for r in trail.collect()] == [(2, 6)]
 
 
@@ -498,7 +505,187 @@ def test_targeted_links_the_supplied_contact(spark):
     assert got == {1: ("Completed", 7), 2: ("Completed", 7)}
 
 
-@pytest.mark.parametrize("limit, sent_today", [(3, 0), (3, 2), (3, 3), (50, 0), (1, 0)])
+def in_order(apps, jobs, companies, contacts, accepting, answers, signals):
+    """One row after the other: application -> (stage, state, contact id, mailbox), and the contacts after the run."""
+    company_of = {j[0]: j[1] for j in jobs}
+    names = {c[0]: (c[1], c[2] or c[1].lower().replace(" ", "") + ".com") for c in companies}
+    own = {c[0]: dict(zip(("id", "company", "name", "role", "email"), c, strict=True)) for c in contacts}
+    stored_owner = {}
+    for c in sorted(own.values(), key=lambda c: c["id"]):
+        if c["email"]:
+            stored_owner.setdefault(c["email"], c["id"])
+    first_mailed = {}
+    for c in sorted(own.values(), key=lambda c: c["id"]):
+        if c["email"] is not None:
+            first_mailed.setdefault(c["company"], c["id"])
+    written_to = {a[3] for a in apps if a[5] in ("Completed", "Gmail Draft Creation", "Email Generation")}
+    guarded = {co for co, c in first_mailed.items() if c in written_to}
+    rank = Rules().role_priority
+    companies_met, mailboxes_met, made, found = set(), set(), {}, {}
+    out = {}
+    next_id = max(own, default=0)
+    for a in sorted(apps):
+        i, _, job, linked, stage, state = a[:6]
+        if state in RUN_TERMINAL or not 3 <= stage <= 11:
+            out[i] = (stage, state, linked, None)
+            continue
+        research, tailor, valid, draft = signals[i]
+        co = company_of[job]
+        contact = own.get(linked)
+        is_open = stage <= 4 and contact is None
+        if is_open:
+            best = sorted((c for c in own.values() if c["company"] == co and c["id"] not in made.values()), key=lambda c: (
+                next((k for k, r in enumerate(rank) if r in c["role"].lower()), len(rank)), c["id"]))
+            contact = best[0] if best else None
+        name = contact["name"] if contact else "Hiring Manager" if is_open else None
+        before = next(c[4] for c in contacts if c[0] == contact["id"]) if contact and contact["id"] not in made.values() else None
+        mailbox = before
+        if not before and name is not None and stage <= 5:
+            answer = answers.get(contact["id"]) if contact else None
+            if answer and answer.split("@")[1] in accepting:
+                mailbox = answer
+            elif names[co][1] in accepting:
+                mailbox = name.lower().replace(" ", ".") + "@" + names[co][1]
+            else:
+                mailbox = None
+
+        def fails():
+            if stage <= 3 and not research:
+                return 3, "Research Failed"
+            if is_open and (co in guarded or co in companies_met or mailbox in mailboxes_met):
+                return 4, "Duplicate"
+            if stage <= 5 and not mailbox:
+                return 5, "No Professional Email" if name else "Failed"
+            if stage <= 7 and not tailor:
+                return 7, "Failed"
+            if stage <= 8 and name is None:
+                return 8, "Failed"
+            if stage <= 9 and not valid:
+                return 9, "Validation Failed"
+            if stage <= 10 and not draft:
+                return 10, "Draft Failed"
+            return None
+
+        stop = fails()
+        end = stop[0] if stop else 12
+        final = linked
+        if is_open and end > 4:
+            if contact is None:
+                if co not in made:
+                    next_id += 1
+                    made[co] = next_id
+                    own[next_id] = {"id": next_id, "company": co, "name": name, "role": "Engineering Manager", "email": None}
+                final = made[co]
+            else:
+                final = contact["id"]
+        shown = mailbox if end > 5 or before else None
+        if stage <= 5 and end > 5 and not before:
+            holder = stored_owner.get(mailbox, found.get(mailbox))
+            if holder is None:
+                found[mailbox] = holder = final
+                own[final]["email"] = own[final]["email"] or mailbox  # the first one found stays
+            final = holder
+        elif not (is_open and end > 4):
+            shown = own[linked]["email"] if linked in own and not (stage <= 5 and end > 5) and before else (before or None)
+        if end == 12 or (stage <= 10 and end > 10):
+            companies_met.add(co)
+            mailboxes_met.add(mailbox)
+        out[i] = (12, "Completed", final, shown) if not stop else (*stop, final, shown)
+    return out, {c["id"]: c["email"] for c in own.values()}
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_runs_against_a_loop(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    companies = [(i, f"Co{i}", rng.choice([None, f"co{i}.com", "shared.com"]), "x", 1) for i in range(1, 9)]
+    jobs = [(i, rng.randint(1, 8), "Dev", None, None, f"u{i}", None) for i in range(1, 61)]
+    contacts = [(i, rng.randint(1, 6), rng.choice(["Ann Lee", "Bob Ray", "Cid Poe"]), rng.choice(["CTO", "HR", "Clerk"]),
+                 rng.choice([None, None, f"p{i}@else.com"])) for i in range(1, 15)]
+    apps = [(i, "r", i, rng.choice([None, None, rng.randint(1, 14)]), rng.randint(3, 5), rng.choice(["Company Research", "Contact Research", "Skipped"]),
+             None, None, DAY) for i in range(1, 61)]
+    signals = {a[0]: tuple(rng.random() < p for p in (.9, .9, .9, .8)) for a in apps}
+    accepting = {"co1.com", "co2.com", "co4.com", "shared.com", "other.com"}
+    answers = {i: rng.choice(["x@other.com", f"y{i}@other.com", "z@refused.com", f"w{i % 3}@shared.com"]) for i in range(1, 12)}
+    s = snapshot(spark, apps, contacts, [(i, *v) for i, v in signals.items()], companies=companies, jobs=jobs)
+    s = replace(s, mail_domains=spark.createDataFrame([(d, True) for d in accepting] + [("refused.com", False)], "domain STRING, accepts_mail BOOLEAN"),
+                mailboxes=spark.createDataFrame(list(answers.items()), "contact_id BIGINT, answer STRING"))
+    want, mailboxes = in_order(apps, jobs, companies, contacts, accepting, answers, signals)
+    tables = run.run_tables(s, Rules(), "RUN-1", NOW)
+    run.commit(tables, str(tmp_path), "RUN-1")
+    after = run.latest(spark, str(tmp_path))
+    got = {r["id"]: (r["current_stage"], r["state"], r["contact_id"]) for r in after.applications.collect()}
+    assert got == {i: w[:3] for i, w in want.items()}
+    assert {r["id"]: r["email"] for r in after.contacts.collect()} == mailboxes
+    held = [m for m in mailboxes.values() if m]
+    assert len(held) == len(set(held))
+    # Of the rows that chose whom to write to, no two wrote to one person.
+    drafts = after.emails.where("status = 'draft_created'").join(after.applications.withColumnRenamed("id", "application_id"), "application_id")
+    chose = {a[0] for a in apps if a[3] is None}
+    people = [r["contact_id"] for r in drafts.collect() if r["application_id"] in chose]
+    assert people and len(people) == len(set(people))
+    assert after.resumes.count() == sum(w[0] >= 8 and w[1] not in ("Skipped",) for w in want.values())
+    # A second run starts from the first one's output and moves nothing.
+    again = replace(s, applications=after.applications, contacts=after.contacts, emails=after.emails, resumes=after.resumes)
+    second = run.run_tables(again, Rules(), "RUN-2", NOW)
+    assert sorted(second.applications.collect()) == sorted(after.applications.collect())
+    assert second.history.count() == 0 and second.emails.count() == after.emails.count()
+
+
+def test_a_run_that_dies_leaves_the_run_before(spark, tmp_path):
+    s = snapshot(spark, [app(1, 3, "Company Research")], [ALICE])
+    out = str(tmp_path)
+    assert run.latest(spark, out) is None
+    tables = run.run_tables(s, Rules(), "RUN-1", NOW)
+    tables.applications.write.parquet(f"{out}/runs/RUN-1/applications")  # died before its commit
+    assert run.latest(spark, out) is None
+    run.commit(tables, out, "RUN-1")
+    assert run.latest(spark, out).applications.first()["state"] == "Completed"
+    tables.contacts.write.parquet(f"{out}/runs/RUN-2/contacts")
+    after = run.latest(spark, out)
+    assert after.contacts.first()["email"] == "alice.developer@mocktech.com" and after.history.count() == 9
+    assert after.emails.first()["status"] == "draft_created" and after.resumes.count() == 1
+
+
+def test_chains_through_company_and_mailbox(spark, rows):
+    schema = "id BIGINT, company_id BIGINT, mailbox STRING, open BOOLEAN"
+    rng = random.Random(3)
+    for data in ([(i, i // 2, f"m{(i + 1) // 2}", True) for i in range(12)],
+                 [(i, rng.randint(1, 9), rng.choice([None, "", f"m{rng.randint(1, 9)}"]), rng.random() < .8) for i in range(80)], []):
+        met, want = set(), []
+        for i, co, box, is_open in data:
+            if not is_open or not ({co, box or None} - {None}) & met:
+                want.append((i,))
+                met |= {co, box or None} - {None}
+        assert rows(advance.contacted_in_order(spark.createDataFrame(data, schema)), "id") == sorted(want, key=repr)
+
+
+def test_found_mailbox_comes_before_the_guesses(spark, rows):
+    contacts = spark.createDataFrame([(i, 1, "Jane Doe", "CTO", None) for i in range(1, 6)], CONTACT)
+    companies = spark.createDataFrame([(1, "Mock", "mocktech.com", "x", 1)], COMPANY)
+    mx = spark.createDataFrame([("mocktech.com", True), ("else.org", True), ("dead.org", False)], "domain STRING, accepts_mail BOOLEAN")
+    answers = spark.createDataFrame([(1, " jd@else.org"), (2, "jd@dead.org"), (3, "nothing"), (4, None)], "contact_id BIGINT, answer STRING")
+    guess = "jane.doe@mocktech.com"
+    got = outreach.first_valid_mailbox(contacts, companies, mx, answers)
+    assert rows(got, "id", "mailbox") == [(1, "jd@else.org"), (2, guess), (3, guess), (4, guess), (5, guess)]
+
+
+def test_outcomes_from_cache_and_answers(spark, rows):
+    companies = spark.createDataFrame([(i, f"Co{i}", None, None, 1) for i in range(1, 5)], COMPANY)
+    entries = spark.createDataFrame([("company_research_co1", "{}x", DAY), ("company_research_co2", "old", datetime(2023, 1, 1))],
+                                    "key STRING, value STRING, expires_at TIMESTAMP_NTZ")
+    good = json.dumps({"business_model": "b", "funding": "f", "tech_stack": ["a"], "culture": "c", "leadership": []})
+    answers = spark.createDataFrame([(1, "broken"), (2, f"```json\n{good}\n```"), (3, good[:-1])], "company_id BIGINT, raw STRING")
+    found = outcomes.research(companies, entries, answers, str(DAY))
+    assert rows(found) == [(1, True, "cache"), (2, True, "answer"), (3, False, "none"), (4, False, "none")]
+    raw = [(1, '{"role_match": 1, "tech_stack": "0.5", "salary": 0, "company_quality": 1.0, "growth": 1e0, "confidence": 0.25, "reasoning": "r"}',
+            "x", '{"subject": "s", "body_html": "b"}', '{"is_valid": false, "errors": ["e"]}'), (2, None, None, None, "no")]
+    df = spark.createDataFrame(raw, "id INT, score_raw STRING, tailor_raw STRING, message_raw STRING, validation_raw STRING")
+    got = outcomes.with_outcomes(df)
+    assert rows(got, "id", "role_match", "tech_stack", "growth", "subject", "valid_ok", "reasoning") == [
+        (1, 1.0, 0.5, 1.0, "s", False, "base resume kept"), (2, None, None, None, None, True, "base resume kept")]
+
+
+@pytest.mark.parametrize("limit, sent_today", [(3, 2), (50, 0), (1, 0)])
 def test_quota_against_loop(spark, limit, sent_today):
     rng = random.Random(limit * 10 + sent_today)
     apps = [app(i, rng.choice([7, 9, 10, 10]), "Resume Tailoring", 6) for i in range(1, 31)]
