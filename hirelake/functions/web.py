@@ -208,3 +208,23 @@ def result_entries(html: Column | str) -> Column:
         (F.rlike(b, F.lit(link)) & F.rlike(b, F.lit(snippet))).alias("complete")))
     return F.transform(F.filter(entries, lambda e: e["complete"]),
                        lambda e: F.struct(e["title"], e["href"], e["snippet"]))
+
+
+def path_entries(html: Column | str) -> Column:
+    """Entries of the second engine's page as ``array<struct<title, target, snippet>>``, in page order.
+
+    The page is cut at its anchors; one whose link names a target in its path is an entry. Its title is the heading's
+    text if it stands in one, else its own; the snippet is the text of the element that follows its block.
+    """
+    pieces = F.split(col(html), r"(?i)(?=<a\b)")
+    pieces = F.slice(pieces, F.lit(2), F.size(pieces))
+    anchor = rf"(?is)^<a\b[^>]*?\shref\s*=\s*{VALUE}[^>]*>(.*?)</a\s*>"
+    entries = F.transform(pieces, lambda p: F.struct(
+        node_text(F.regexp_extract(p, r"(?is)^(.*?)</(?:h3|div)\s*>", 1)).alias("heading"),
+        node_text(F.regexp_extract(p, anchor, 2)).alias("label"),
+        ru_target(strip(decode_entities(unquoted(F.regexp_extract(p, anchor, 1)), attribute=True))).alias("target"),
+        F.rlike(p, F.lit(r"(?is)^.*?</h3\s*>")).alias("headed"),
+        node_text(F.regexp_extract(p, r"(?is)</div\s*>\s*<(\w+)\b[^>]*>(.*?)</\1\s*>", 2)).alias("snippet")))
+    return F.transform(F.filter(entries, lambda e: e["target"].isNotNull()), lambda e: F.struct(
+        F.coalesce(F.nullif(F.when(e["headed"], e["heading"]).otherwise(e["label"]), F.lit("")), e["target"]).alias("title"),
+        e["target"].alias("target"), e["snippet"].alias("snippet")))

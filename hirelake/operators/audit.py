@@ -23,28 +23,40 @@ REFERENCES = (
 )
 
 
-def repeated_keys(df: DataFrame, column: str) -> DataFrame:
-    """Number of non-null values held by more than one row (counted map-side first)."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).count()
-    return counts.agg(F.count_if(F.col("count") > 1).alias("violations"))
+# Spaces of values that have to be keys of a parent, by table.
+ID = "id"
 
 
-def orphans(df: DataFrame, column: str, parent: DataFrame) -> DataFrame:
-    """Number of rows whose non-null reference has no parent.
+def _pairs(name: str, df: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``(space, value, role)`` of one table's rows, from one pass over it.
 
-    References are counted per value before the join, so a popular parent is one row in it.
+    A space is a column whose values are keys; ``role`` is 0 for a key and else the number of the reference that uses it.
     """
-    refs = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("id")).count()
-    lost = refs.join(parent.select("id").distinct(), "id", "left_anti")
-    return lost.agg(F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("violations"))
+    entries = [(f"{name}.{c}", c, 0) for t, c in UNIQUE if t == name]
+    entries += [(f"{p}.{ID}", c, i) for i, (t, c, p) in enumerate(REFERENCES, start=1) if t == name and p in tables]
+    if not any(space == f"{name}.{ID}" for space, _, role in entries if not role) and any(p == name for t, _, p in REFERENCES if t in tables):
+        entries.append((f"{name}.{ID}", ID, 0))
+    made = F.array(*[F.struct(F.lit(space).alias("space"), F.col(c).cast("string").alias("value"), F.lit(role).alias("role"))
+                     for space, c, role in entries])
+    return df.select(F.explode(made).alias("e")).select("e.*").where(F.col("value").isNotNull())
 
 
 def integrity(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """``(constraint_name, violations)`` for every constraint whose tables are given."""
-    checks = [repeated_keys(tables[t], c).select(
-        F.lit(f"unique {t}.{c}").alias("constraint_name"), "violations")
-        for t, c in UNIQUE if t in tables]
-    checks += [orphans(tables[t], c, tables[p]).select(
-        F.lit(f"reference {t}.{c}").alias("constraint_name"), "violations")
-        for t, c, p in REFERENCES if t in tables and p in tables]
-    return reduce(DataFrame.unionByName, checks)
+    """``(constraint_name, violations)`` for every constraint whose tables are given.
+
+    Uniqueness counts the values held by more than one row, a reference the rows whose non-null value has no parent. Every
+    table is read once; one aggregate by value, combined before its shuffle, serves all constraints, so a
+    popular parent is a few rows in it and nothing is joined.
+    """
+    pairs = reduce(DataFrame.unionByName, [_pairs(name, df, tables) for name, df in tables.items()])
+    role = F.col("role")
+    used = {i: r for i, r in enumerate(REFERENCES, start=1) if r[0] in tables and r[2] in tables}
+    values = pairs.groupBy("space", "value").agg(
+        F.count_if(role == 0).alias("keys"), *[F.count_if(role == i).alias(f"r{i}") for i in used])
+    checks = {f"unique {t}.{c}": F.count_if((F.col("space") == f"{t}.{c}") & (F.col("keys") > 1)) for t, c in UNIQUE if t in tables}
+    checks |= {f"reference {t}.{c}": F.coalesce(F.sum(F.when((F.col("space") == f"{p}.{ID}") & (F.col("keys") == 0), F.col(f"r{i}"))),
+                                                F.lit(0)) for i, (t, c, p) in used.items()}
+    found = values.agg(*[violations.alias(f"c{i}") for i, violations in enumerate(checks.values())])
+    listed = F.array(*[F.struct(F.lit(name).alias("constraint_name"), F.col(f"c{i}").cast("bigint").alias("violations"))
+                       for i, name in enumerate(checks)])
+    return found.select(F.explode(listed).alias("c")).select("c.*")

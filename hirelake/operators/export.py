@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.functions.display import body_preview, score_or_null
@@ -21,13 +21,16 @@ def records(applications: DataFrame, jobs: DataFrame, companies: DataFrame, cont
     """One 19-column record per application.
 
     ``N/A`` stands for a missing parent, a missing or empty contact mailbox or draft id, and a
-    missing update time. A null attribute of a present parent stays null.
+    missing update time. A null attribute of a present parent stays null. Messages and jobs of other applications
+    are left out before anything is aggregated or joined.
     """
+    ids = applications.select(F.col("id").alias("application_id"))
     mail = latest_per_application(emails.select(
-        "id", "application_id", "subject", "body", "gmail_draft_id")).select(
+        "id", "application_id", "subject", "body", "gmail_draft_id").join(ids, "application_id", "left_semi")).select(
         F.col("application_id").alias("id"), F.struct("subject", "body", "gmail_draft_id").alias("m"))
-    j = jobs.select(F.col("id").alias("job_id"), "company_id",
-                    F.struct("title", "location", "salary").alias("j"))
+    wanted = applications.select(F.col("job_id").alias("id")).distinct()
+    j = jobs.join(wanted, "id", "left_semi").select(
+        F.col("id").alias("job_id"), "company_id", F.struct("title", "location", "salary").alias("j"))
     c = companies.select(F.col("id").alias("company_id"),
                          F.struct("name", "domain", "industry", "employee_count").alias("c"))
     p = contacts.select(F.col("id").alias("_cid"), F.struct("name", "role", "email").alias("p"))
@@ -61,48 +64,75 @@ def pending(applications: DataFrame, exported: DataFrame) -> DataFrame:
     return applications.join(done, "id", "left_anti")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Exported ids; a missing or unreadable manifest counts as empty."""
+COMMITS = "pass BIGINT, stamp STRING, base BIGINT, new BIGINT, total BIGINT"
+
+
+def _commits(spark: SparkSession, out: str) -> DataFrame:
     try:
-        return spark.read.schema(MANIFEST_SCHEMA).parquet(path)
+        return spark.read.schema(COMMITS).parquet(f"{out}/commits")
     except AnalysisException:
+        return spark.createDataFrame([], COMMITS)
+
+
+def commits(spark: SparkSession, out: str) -> DataFrame:
+    """The passes that count, one row each: ``(pass, stamp, base, new, total)``."""
+    return _commits(spark, out)
+
+
+def read_manifest(spark: SparkSession, out: str, last: Row | None = None) -> DataFrame:
+    """Ids exported by the passes that count, from the base of the last one on; empty before the first."""
+    last = last or _commits(spark, out).orderBy(F.desc("pass")).first()
+    if last is None:
         return spark.createDataFrame([], MANIFEST_SCHEMA)
+    ids = spark.read.schema(MANIFEST_SCHEMA + ", pass BIGINT").parquet(f"{out}/ids")
+    return ids.where(F.col("pass").between(last["base"], last["pass"])).select("application_id")
+
+
+def read_latest(spark: SparkSession, out: str) -> DataFrame | None:
+    """The cumulative records of the last pass that counts."""
+    last = _commits(spark, out).orderBy(F.desc("pass")).first()
+    return None if last is None else spark.read.option("header", True).csv(f"{out}/latest/pass={last['pass']}")
 
 
 @dataclass(frozen=True)
 class Exported:
+    number: int
     new: int
     total: int
 
 
 def export(applications: DataFrame, jobs: DataFrame, companies: DataFrame, contacts: DataFrame,
            emails: DataFrame, out: str, stamp: str, export_all: bool = False) -> Exported:
-    """Write new records, refresh the cumulative CSV, then extend the manifest.
+    """One pass: new records as JSON and CSV, all exported ones as a new cumulative CSV, then the commit.
 
-    The records are computed once, into a staged table that all sinks read; files are sorted by
-    update time, one folder per sink. The manifest is extended last, so a run that dies before is
-    repeated rather than lost. Nothing is written when nothing is new. With ``export_all`` the
-    manifest is ignored and rewritten.
+    A pass writes only folders of its own number; the row appended to ``commits`` at the end makes them count, so a
+    pass that dies at any step leaves the state before it and is overwritten by the next one. Ids are picked
+    before anything is joined. Files are sorted by update time. Nothing is written when nothing is new.
+    With ``export_all`` earlier passes are forgotten.
     """
     spark = applications.sparkSession
-    manifest, stage = f"{out}/manifest", f"{out}/staged_{stamp}"
-    known = spark.createDataFrame([], MANIFEST_SCHEMA) if export_all else read_manifest(spark, manifest)
-    done = known.distinct()
+    last = _commits(spark, out).orderBy(F.desc("pass")).first()
+    number = 0 if last is None else last["pass"] + 1
+    fresh_start = export_all or last is None
+    done = spark.createDataFrame([], MANIFEST_SCHEMA) if fresh_start else read_manifest(spark, out, last)
     pending(applications, done).select(F.col("id").alias("application_id")) \
-        .write.mode("overwrite").parquet(f"{stage}/ids")
-    ids = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{stage}/ids")
-    new, before = ids.count(), done.count()
+        .write.mode("overwrite").parquet(f"{out}/ids/pass={number}")
+    ids = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{out}/ids/pass={number}")
+    new, before = ids.count(), 0 if fresh_start else last["total"]
     if new == 0:
-        return Exported(0, before)
-
-    chosen = done.withColumn("_new", F.lit(False)).unionByName(ids.withColumn("_new", F.lit(True)))
-    listed = records(applications, jobs, companies, contacts, emails).join(chosen, "application_id")
-    listed.write.mode("overwrite").parquet(f"{stage}/records")
-    listed = spark.read.schema(listed.schema).parquet(f"{stage}/records")
+        return Exported(number, 0, before)
+    chosen = done.withColumn("_new", F.lit(False)).unionByName(ids.withColumn("_new", F.lit(True))).withColumnRenamed("application_id", "id")
+    listed = records(applications.join(chosen.select("id"), "id", "left_semi"), jobs, companies, contacts, emails) \
+        .join(chosen.withColumnRenamed("id", "application_id"), "application_id")
+    path = f"{out}/records/pass={number}"
+    listed.write.mode("overwrite").parquet(path)
+    listed = spark.read.schema(listed.schema).parquet(path)
     fresh = listed.where("_new").drop("_new").orderBy("updated_at", "application_id")
     fresh.write.mode("overwrite").json(f"{out}/export_{stamp}.json")
     fresh.write.mode("overwrite").option("header", True).csv(f"{out}/export_{stamp}.csv")
     listed.drop("_new").orderBy("updated_at", "application_id") \
-        .write.mode("overwrite").option("header", True).csv(f"{out}/export_latest.csv")
-    ids.write.mode("overwrite" if export_all else "append").parquet(manifest)
-    return Exported(new, before + new)
+        .write.mode("overwrite").option("header", True).csv(f"{out}/latest/pass={number}")
+    made = Exported(number, new, before + new)
+    row = (number, stamp, number if fresh_start else last["base"], new, made.total)
+    spark.createDataFrame([row], COMMITS).coalesce(1).write.mode("append").parquet(f"{out}/commits")
+    return made

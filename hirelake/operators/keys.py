@@ -18,6 +18,7 @@ from hirelake.functions.text import col
 # Ordinals per range, and ranges per block, in :func:`dense_ids`. Three times 21 bits cover BIGINT, so
 # no window group there can pass 2**21 rows, however the ordinals are spread.
 RANGE_BITS = 21
+LEVELS = 3
 
 
 def lookup(rows: DataFrame, side: DataFrame, keys: Sequence[Column | str], side_keys: Sequence[str],
@@ -66,24 +67,44 @@ def last_per(df: DataFrame, keys: Sequence[str], order: Column | str) -> DataFra
     return picked.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
-def dense_ids(df: DataFrame, ordinal: str, id_col: str, after: DataFrame, minor: str | None = None) -> DataFrame:
-    """Number rows ``max+1, max+2, ...`` in the order of a BIGINT ``ordinal``, unique or made so by ``minor``.
+def _before(counts: DataFrame, key: str, shift: int, minor: str | None = None) -> DataFrame:
+    """``counts(key, [minor,] _n)`` with ``_before``, the rows of all smaller keys.
 
-    ``after`` is a one-row frame holding the current maximum. Rows are numbered inside ranges of
-    ordinals in parallel. One count per range, summed inside blocks of ranges and then over the
-    blocks, gives each range its offset. The input is read twice, so pass a stored one.
+    Summed inside blocks of keys, then inside blocks of blocks, up to the whole BIGINT range, so no window holds
+    more than 2**21 keys. ``key`` is an ordinal already shifted by ``shift`` bits.
     """
-    ranged = df.withColumn("_range", F.shiftright(F.col(ordinal).cast("bigint"), RANGE_BITS))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n")) \
-        .withColumn("_block", F.shiftright("_range", RANGE_BITS))
     earlier = (W.unboundedPreceding, -1)
-    in_block = W.partitionBy("_block").orderBy("_range").rowsBetween(*earlier)
-    over_blocks = W.orderBy("_block").rowsBetween(*earlier)
-    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_n")).select(
-        "_block", F.coalesce(F.sum("_n").over(over_blocks), F.lit(0)).alias("_before"))
-    offsets = counts.withColumn("_inside", F.coalesce(F.sum("_n").over(in_block), F.lit(0))) \
-        .join(blocks, "_block").select("_range", (F.col("_before") + F.col("_inside")).alias("_offset"))
-    rank = F.row_number().over(W.partitionBy("_range").orderBy(ordinal, *[minor] * bool(minor)))
-    new_id = F.coalesce(after.scalar(), F.lit(0)) + F.col("_offset") + rank
-    return ranged.join(offsets, "_range").withColumn(id_col, new_id.cast("bigint")) \
-        .drop("_range", "_offset")
+    parent = F.shiftright(F.col(key), RANGE_BITS)
+    rows = counts.withColumn("_up", parent)
+    own = W.partitionBy("_up").orderBy(key, *[minor] * bool(minor)).rowsBetween(*earlier)
+    rows = rows.withColumn("_before", F.coalesce(F.sum("_n").over(own), F.lit(0)))
+    totals = rows.groupBy(F.col("_up").alias("_key")).agg(F.sum("_n").alias("_n"))
+    if shift + RANGE_BITS < LEVELS * RANGE_BITS:
+        above = _before(totals, "_key", shift + RANGE_BITS)
+    else:  # the two signs
+        above = totals.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_key").rowsBetween(*earlier)), F.lit(0)))
+    above = above.select(F.col("_key").alias("_block"), F.col("_before").alias("_above"))
+    return rows.join(above, F.col("_up") == F.col("_block")).withColumn("_before", F.col("_before") + F.col("_above")) \
+        .drop("_up", "_block", "_above")
+
+
+def dense_ids(df: DataFrame, ordinal: str, id_col: str, after: DataFrame, minor: str | None = None) -> DataFrame:
+    """Number rows ``max+1, max+2, ...`` in the order of a BIGINT ``ordinal``, unique or made so by a BIGINT ``minor``.
+
+    ``after`` is a one-row frame holding the current maximum. Rows are numbered in parallel inside ranges of 2**21
+    ordinals, or with ``minor`` of 2**21 of its values under one ordinal; a count per range gives each its offset.
+    The input is read twice, so pass a stored one.
+    """
+    whole = F.col(ordinal).cast("bigint")
+    if minor is None:
+        keys, ranged = ["_range"], df.withColumn("_range", F.shiftright(whole, RANGE_BITS))
+        order, shift = ordinal, RANGE_BITS
+    else:
+        keys = ["_range", "_part"]
+        ranged = df.withColumn("_range", whole).withColumn("_part", F.shiftright(F.col(minor).cast("bigint"), RANGE_BITS))
+        order, shift = minor, 0
+    counts = ranged.groupBy(*keys).agg(F.count("*").alias("_n"))
+    offsets = _before(counts, "_range", shift, "_part" if minor else None).drop("_n")
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(order))
+    new_id = F.coalesce(after.scalar(), F.lit(0)) + F.col("_before") + rank
+    return ranged.join(offsets, keys).withColumn(id_col, new_id.cast("bigint")).drop(*keys, "_before")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hirelake.functions.text import clean_lines, contains_any
 from hirelake.functions.web import (
     anchors,
+    path_entries,
     redirect_target,
     result_entries,
     ru_target,
@@ -134,6 +135,37 @@ def with_placeholder_hits(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return hits.select("query_id", "pos", "title", "url", "snippet").unionByName(stand_in)
 
 
+def _first_hits(hits: DataFrame, denied: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` hits per query outside the denied domains, numbered from 0."""
+    located = hits.withColumn("_domain", url_domain("url"))
+    allowed = lookup(located, denied.select("domain").distinct(), ["_domain"], ["domain"], how="left_anti").drop("_domain")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("pos"))
+    return allowed.withColumn("_rank", rank).where(F.col("_rank") <= limit).withColumn("pos", (F.col("_rank") - 1).cast("int")).drop("_rank")
+
+
+def path_hits(result_pages: DataFrame, own_hosts: list[str]) -> DataFrame:
+    """Entries of the second engine's pages, first occurrence of a target per query, without the engine's own:
+    ``(query_id, pos, title, url, snippet)``."""
+    rows = result_pages.select("query_id", F.posexplode(path_entries("html")).alias("pos", "e"))
+    outside = rows.where(~contains_any("e.target", own_hosts))
+    first = outside.groupBy("query_id", F.col("e.target").alias("url")).agg(F.min_by(F.struct("pos", "e.title", "e.snippet"), "pos").alias("f"))
+    return first.select("query_id", "f.pos", "f.title", "url", "f.snippet")
+
+
+def search_results(queries: DataFrame, first_pages: DataFrame, second_pages: DataFrame, denied: DataFrame,
+                   own_hosts: list[str], limit: int) -> DataFrame:
+    """Up to ``limit`` results per query ``(query_id, query)``: ``(query_id, pos, title, url, snippet)``.
+
+    The second engine's pages are read only for queries to which the first gave nothing that is allowed; a query
+    with nothing from either gets one stand-in.
+    """
+    found = _first_hits(result_hits(first_pages), denied, limit).select("query_id", "pos", "title", "url", "snippet")
+    answered = found.select("query_id").distinct()
+    asked_again = second_pages.join(answered, "query_id", "left_anti")
+    more = _first_hits(path_hits(asked_again, own_hosts), denied, limit).select("query_id", "pos", "title", "url", "snippet")
+    return with_placeholder_hits(queries, found.unionByName(more))
+
+
 def evidence(hits: DataFrame, pages: DataFrame, chars: int, limit: int = EVIDENCE_HITS) -> DataFrame:
     """One evidence text per query: a header and the opening of each hit's page, in hit order.
 

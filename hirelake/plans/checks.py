@@ -57,6 +57,7 @@ def _decode(c: str) -> str:
     return f"url_decode({c})"
 
 
+EXPORT_DAY = "1996-01-01 00:00:00"
 # Repeats of a delivery are known for so long.
 DEDUP_HOURS = 72
 # What a correction makes of an application, by kind of event; views correct nothing.
@@ -544,6 +545,39 @@ _RAW: dict[str, str] = {
         rows AS (SELECT page_id, unnest(h) AS h, unnest(l) AS l, generate_subscripts(h, 1) AS i FROM found)
         SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, {_entities('h', True)} AS href,
           {_strip(_entities(f"regexp_replace(l, '{TAG}', '', 'g')"))} AS title FROM rows""",
+    "search_results": f"""WITH {DENIED},
+        blocks AS (SELECT query_id, unnest(string_split_regex(html, '<div class="(?:links )?result__body">')[2:]) AS b,
+            generate_subscripts(string_split_regex(html, '<div class="(?:links )?result__body">')[2:], 1) AS i FROM v_first_pages),
+        one AS (SELECT query_id, i, regexp_extract(b, '<a class="result__url" href="([^"]*)">(.*?)</a>', 1) AS h,
+            regexp_extract(b, '<a class="result__url" href="([^"]*)">(.*?)</a>', 2) AS title, regexp_extract(b, '<a class="result__snippet"[^>]*>(.*?)</a>', 1) AS snippet
+          FROM blocks WHERE contains(b, 'result__snippet')),
+        two AS (SELECT query_id, i, title, snippet, {_entities('h', True)} AS href FROM one),
+        three AS (SELECT query_id, i, title, snippet, CASE WHEN starts_with(t, '//') THEN 'https:' || t ELSE t END AS url FROM (SELECT *, {REDIRECT} AS t FROM two)),
+        first AS (SELECT query_id, i, title, url, snippet FROM three WHERE {_host('url')} NOT IN (SELECT domain FROM denied)),
+        pieces AS (SELECT query_id, unnest(string_split(html, '<a ')[2:]) AS p, generate_subscripts(string_split(html, '<a ')[2:], 1) AS i
+          FROM v_second_pages WHERE query_id NOT IN (SELECT query_id FROM first)),
+        other AS (SELECT query_id, i, {_decode("regexp_extract(p, '/RU=([^/]+)', 1)")} AS url, regexp_replace(regexp_extract(p, '>(.*?)</(?:h3|div)>', 1), '<[^>]*>', '', 'g') AS title,
+            regexp_extract(p, '</div><p>(.*?)</p>', 1) AS snippet FROM pieces),
+        second AS (SELECT query_id, min(i) AS i, arg_min(title, i) AS title, url, arg_min(snippet, i) AS snippet FROM other
+          WHERE NOT contains(url, 'engine.example.net') GROUP BY query_id, url),
+        hits AS (SELECT query_id, i, title, url, snippet FROM first
+          UNION ALL SELECT query_id, i, coalesce(nullif(title, ''), url), url, snippet FROM second WHERE {_host('url')} NOT IN (SELECT domain FROM denied)),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY i) - 1 AS INTEGER) AS pos FROM hits)
+        SELECT query_id, pos, {_strip(_entities("regexp_replace(title, '<[^>]*>', '', 'g')"))} AS title, url, {_strip(_entities('snippet'))} AS snippet FROM ranked WHERE pos < 3
+        UNION ALL SELECT query_id, 0, 'Search result for ' || query, 'https://example.com/search?q=' || replace(replace(query, ' ', '+'), '&', '%26'),
+          'Stand-in result for: ' || query FROM v_queries WHERE query_id NOT IN (SELECT query_id FROM hits)""",
+    "log_scan": """WITH kept AS (SELECT line, json_valid(line) AND NOT contains(line, '"many"') AS sound FROM v_log_lines WHERE trim(line) <> ''),
+        j AS (SELECT CAST(line AS JSON) AS j FROM kept WHERE sound)
+        SELECT 'row' AS channel, json_extract_string(j, '$.level') AS level, json_extract_string(j, '$.message') AS message,
+          json_extract_string(j, '$.run_id') AS run_id, json_extract_string(j, '$.stage') AS stage, CAST(json_extract(j, '$.duration_seconds') AS DOUBLE) AS duration_seconds,
+          json_extract_string(j, '$.retries') AS retries, NULL AS line FROM j
+        UNION ALL SELECT 'reject', NULL, NULL, NULL, NULL, NULL, NULL, line FROM kept WHERE NOT sound""",
+    "export_incremental": f"""WITH early AS (SELECT *, CASE WHEN updated_at < TIMESTAMP '{EXPORT_DAY}' THEN 0 ELSE 1 END AS pass FROM v_applications)
+        SELECT CAST(a.pass AS BIGINT) AS pass, count(*) AS new, CAST(sum(count(*)) OVER (ORDER BY a.pass) AS BIGINT) AS total, count(*) AS records, min(a.id) AS first,
+          count(*) FILTER (WHERE c.email <> '') AS with_mailbox, CAST(sum(count(*)) OVER () AS BIGINT) AS cumulative
+        FROM early a LEFT JOIN v_contacts c ON c.id = a.contact_id GROUP BY a.pass""",
+    "stream_export": """SELECT a.state AS application_state, count(*) AS exported, count(DISTINCT a.id) AS applications, max(coalesce(c.name, 'N/A')) AS last_company
+        FROM v_applications a LEFT JOIN v_jobs j ON a.job_id = j.id LEFT JOIN v_companies c ON j.company_id = c.id GROUP BY a.state""",
     "fence_strip": f"SELECT id, {UNFENCED} AS body FROM v_responses",
     "response_parse": f"""SELECT id, CAST(json_extract(body, '$.k') AS INTEGER) AS k FROM (SELECT id, {UNFENCED} AS body FROM v_responses)
         WHERE json_valid(body)""",

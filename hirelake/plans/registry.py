@@ -42,8 +42,10 @@ OWN_HOSTS = ["engine.example.net"]
 BLOCK_HEAVY = ("spam-farm", "blog.")
 ADVERTISERS = ("casino", "pills")
 EVIDENCE_CHARS = 2000
+EXPORT_SLICES = ("1994-07-01 00:00:00", "1997-01-01 00:00:00", "2010-01-01 00:00:00")
 # Repeats of a delivery are known for so long.
 DEDUP_HOURS = 72
+EXPORT_DAY = "1996-01-01 00:00:00"
 MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 # What a correction makes of an application, by kind of event; views correct nothing.
 OVERRIDES = {"purchase": "Manual Skip", "signup": "Skipped", "error": "Failed", "click": "Timeout"}
@@ -95,6 +97,18 @@ def log_tail(t):
         "id", "application_id", F.col("stage").cast("int"), "state", "run_id", F.trim("notes").alias("line"))
 
 
+@query
+def log_scan(t):
+    """A log file with broken lines, written as text and scanned."""
+    path = staging_path(t.spark, "log")
+    t.log_lines.orderBy("line_number").select("line").write.text(path)
+    rows, rejects = scans.scan_log(t.spark.read.text(path))
+    shown = rows.select(F.lit("row").alias("channel"), "level", "message", "run_id", "stage", "duration_seconds",
+                        F.col("retries").cast("string").alias("retries"), F.lit(None).cast("string").alias("line"))
+    lost = rejects.select(F.lit("reject").alias("channel"), "line")
+    return shown.unionByName(lost, allowMissingColumns=True)
+
+
 @query
 def evolve_emails(t):
     emails = t.emails
@@ -475,6 +489,11 @@ def extract_links(t):
     return pages.page_links(t.pages)
 
 
+@query
+def search_results(t):
+    return pages.search_results(t.queries, t.first_pages, t.second_pages, _denied(t), OWN_HOSTS, 3)
+
+
 # --- responses ---------------------------------------------------------------------------------------
 @query
 def fence_strip(t):
@@ -737,6 +756,28 @@ def export_record(t):
     return export.records(t.applications, jobs, t.companies, t.contacts, t.emails)
 
 
+def _export_tables(t):
+    jobs = t.jobs.select("id", "company_id", "title", F.lit(None).cast("string").alias("location"),
+                         F.col("salary_lpa").cast("string").alias("salary"))
+    return jobs, t.companies, t.contacts, t.emails
+
+
+@query
+def export_incremental(t):
+    """Two passes over one folder, the second with later applications: what the files then hold."""
+    out, tables = staging_path(t.spark, "exports"), _export_tables(t)
+    early = t.applications.where(F.col("updated_at") < F.lit(EXPORT_DAY).cast("timestamp_ntz"))
+    export.export(early, *tables, out, "a")
+    export.export(t.applications, *tables, out, "b")
+    export.export(t.applications, *tables, out, "c")  # nothing new
+    passes = export.commits(t.spark, out).select("pass", "new", "total")
+    read = [t.spark.read.json(f"{out}/export_{stamp}.json").agg(
+        F.count("*").alias("records"), F.min("application_id").alias("first"), F.count_if(F.col("contact_email") != "N/A").alias("with_mailbox"))
+        .withColumn("pass", F.lit(i).cast("bigint")) for i, stamp in enumerate("ab")]
+    latest = export.read_latest(t.spark, out).agg(F.count("*").alias("cumulative"))
+    return passes.join(read[0].unionByName(read[1]), "pass").withColumn("cumulative", latest.scalar())
+
+
 # --- batch twins of the streams --------------------------------------------------------------------------
 @query
 def current_state(t):
@@ -793,6 +834,24 @@ def stream_dedup(t):
     return kept.groupBy("id").agg(F.count("*").alias("deliveries"))
 
 
+@query
+def stream_export(t):
+    """Applications as they are delivered, some twice, exported once each."""
+    path, tables = staging_path(t.spark, "stream-export"), _export_tables(t)
+    deliveries, start = view(t.spark, t.sf_dir, "v_application_deliveries"), None
+    for end in EXPORT_SLICES:
+        own = F.col("arrival") < F.lit(end).cast("timestamp_ntz")
+        if start is not None:
+            own &= F.col("arrival") >= F.lit(start).cast("timestamp_ntz")
+        deliveries.where(own).drop("arrival").write.mode("append").parquet(f"{path}/source")
+        arrived = view_stream(t.spark, t.sf_dir, "v_applications", "orders", f"{path}/source")
+        streams.export_new(arrived, tables, f"{path}/out", f"{path}/checkpoint", "3650 days")
+        start = end
+    written = t.spark.read.json(f"{path}/out")
+    return written.groupBy("application_state").agg(
+        F.count("*").alias("exported"), F.countDistinct("application_id").alias("applications"), F.max("company_name").alias("last_company"))
+
+
 @query
 def stream_breaker(t):
     log = view_stream(t.spark, t.sf_dir, "v_fetch_log", "events")

@@ -19,6 +19,22 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LOG).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
+def scan_log(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Typed rows of log lines, and the lines that are none: broken off, no JSON object, a value of a wrong type.
+
+    Absent fields are null, blank lines are nothing. Works on a stream of lines too.
+    """
+    kept = lines.where(F.trim(F.col(line)) != "")
+    parsed = kept.withColumn("_row", F.from_json(F.col(line), LOG, {"columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"}))
+    # One JSON object and nothing behind it, of which the typed parse alone would take no notice.
+    whole = F.schema_of_variant(F.try_parse_json(F.concat(F.lit("["), F.col(line), F.lit("]")))).rlike("^ARRAY<OBJECT")
+    sound = F.coalesce(whole, F.lit(False)) & F.col("_row._corrupt_record").isNull()
+    marked = parsed.withColumn("_sound", sound)
+    fields = [f"_row.{f.split()[0]}" for f in LOG.split(", ") if not f.startswith("_corrupt")]
+    rest = [c for c in lines.columns if c != line]
+    return marked.where("_sound").select(*rest, *fields), marked.where("NOT _sound").select(*rest, F.col(line).alias("line"))
+
+
 def log_tail(log: DataFrame, order: list[str], lines: int = 150) -> DataFrame:
     """The last ``lines`` rows in log order (per-partition top-k, then a sort of the kept rows)."""
     newest = log.orderBy(*[F.desc(c) for c in order]).limit(lines)

@@ -162,6 +162,42 @@ VIEWS: dict[str, str] = {
         SELECT page_id, url, html || '<p>&copy2024 &notit; &alpha beta &eacute;t&eacute;</p><a href="/next?x=1&lang=en&order=2&sub=3&page='
                || CAST(page_id AS VARCHAR(20)) || '&amp;copy=1&copy=2&not">more &copy2024 &amp;lt;</a>' AS html
         FROM {pages}""",
+    # Result pages of two engines, one query for each page; some have no results, some only denied ones.
+    "v_queries": """
+        SELECT page_id AS query_id, 'find ' || CAST(page_id AS VARCHAR(20)) || ' & more' AS query FROM {pages}""",
+    "v_first_pages": f"""
+        SELECT page_id AS query_id, '<html><div class="results">' || CASE WHEN page_id % 5 = 0 THEN '<p>No results</p>' ELSE
+               '<div class="links result__body"><a class="result__url" href="//engine.example.net/l/?uddg=' || {_ENCODED_URL} || '&amp;rut=1">One &amp; <b>'
+               || CAST(page_id AS VARCHAR(20)) || '</b></a><a class="result__snippet" href="#">About &eacute;t&eacute;</a></div>'
+               || '<div class="result__body"><a class="result__url" href="https://b.example.org/?a=1&copy=2">Two</a></div>'
+               || CASE WHEN page_id % 4 = 0 THEN '' ELSE '<div class="result__body"><a class="result__url" href="https://c' || CAST(page_id % 7 AS VARCHAR(20))
+               || '.example.org/x?a=1&lang=2">Three</a><a class="result__snippet">third</a></div><div class="result__body"><a class="result__url" href="//d.example.org/">Four</a>'
+               || '<a class="result__snippet">fourth</a></div><div class="result__body"><a class="result__url" href="//e.example.org/">Five</a><a class="result__snippet">fifth</a></div>' END END
+               || '</div></html>' AS html
+        FROM {{pages}}""",
+    "v_second_pages": f"""
+        SELECT page_id AS query_id, '<html><body>' || CASE WHEN page_id % 10 = 0 THEN '' ELSE
+               '<div><h3 class="t"><a href="https://r.engine.example.net/_x=1/RU=' || {_ENCODED_URL} || '/RK=2/RS=a">Head <b>' || CAST(page_id AS VARCHAR(20))
+               || '</b></a></h3></div><p>first &amp; snippet</p><div><a href="https://r.engine.example.net/_x=1/RU=' || {_ENCODED_URL} || '/RK=2/RS=b">again</a></div><p>twice</p>'
+               || '<div><a href="https://r.engine.example.net/_x=1/RU=https%3A%2F%2Fengine.example.net%2Fads/RK=2">own</a></div><p>ad</p>'
+               || '<div><a href="https://r.engine.example.net/_x=1/RU=https%3A%2F%2Fg.example.org%2F/RK=2"></a></div><p>untitled</p>' END || '</body></html>' AS html
+        FROM {{pages}}""",
+    # Log lines: whole ones, ones without most fields, ones broken off, ones of a wrong type, other text, blank ones.
+    "v_log_lines": """
+        SELECT event_id AS line_number, CASE event_id % 8
+                 WHEN 0 THEN '{{"level": "INFO", "message": "' || event_type || '"}}'
+                 WHEN 1 THEN '{{"level": "INFO", "message": "' || event_type || '", "run_id": "RUN-'
+                 WHEN 2 THEN 'Traceback: ' || event_type
+                 WHEN 3 THEN '{{"level": "INFO", "message": "m", "retries": "many"}}'
+                 WHEN 4 THEN '  '
+                 WHEN 5 THEN '{{"level": "INFO"}} {{"level": "WARN"}}'
+                 ELSE '{{"timestamp": "2024-01-01T00:00:00Z", "level": "ERROR", "message": "' || event_type || '", "logger": "l", "run_id": "RUN-'
+                   || CAST(user_id AS VARCHAR(20)) || '", "stage": "Stage 3", "duration_seconds": 1.5, "retries": ' || CAST(event_id % 4 AS VARCHAR(20)) || '}}' END AS line
+        FROM {events}""",
+    # Applications as a queue delivers them: some twice.
+    "v_application_deliveries": """
+        SELECT *, o_orderdate AS arrival FROM {orders}
+        UNION ALL SELECT *, o_orderdate + INTERVAL '700' DAY AS arrival FROM {orders} WHERE o_orderkey % 10 = 0""",
     "v_hits": f"""
         SELECT page_id % 10 AS query_id, page_id AS pos, url,
                CASE page_id % 3 WHEN 0 THEN '//engine.example.net/l/?uddg='

@@ -77,18 +77,17 @@ def newest(written: DataFrame, keys: list[str]) -> DataFrame:
     return last_per(written, keys, "batch").drop("batch")
 
 
-def export_new(applications_dir: str, schema: str, parents: tuple[DataFrame, ...], out: str,
-               checkpoint: str) -> None:
-    """Export the application files that arrived since the last call, as JSON rows per batch.
+def export_new(arrived: DataFrame, parents: tuple[DataFrame, ...], out: str, checkpoint: str,
+               delay: str = "30 days") -> None:
+    """Export the applications of a stream that were not exported before, as JSON rows per batch.
 
-    ``parents`` are jobs, companies, contacts and emails. The checkpoint remembers the exported
-    files, so there is no manifest to read or rewrite.
+    ``parents`` are jobs, companies, contacts and emails. The checkpoint remembers what was read, and ids for ``delay`` in terms
+    of ``updated_at``, so an application delivered again is exported once; there is no manifest to read or rewrite.
+    A batch that is run again overwrites its own folder.
     """
-    spark = parents[0].sparkSession
-
     def sink(rows: DataFrame, batch: int) -> None:
         records(rows, *parents).write.mode("overwrite").json(f"{out}/batch={batch}")
 
-    arrived = spark.readStream.schema(schema).parquet(applications_dir)
-    arrived.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True) \
+    new = first_seen(arrived, ["id"], "updated_at", delay)
+    new.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True) \
         .foreachBatch(sink).start().awaitTermination()

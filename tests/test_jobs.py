@@ -60,22 +60,33 @@ def test_cleaning_never_removes_rows(shop, rows):
 def test_export_is_incremental(spark, shop, tmp_path):
     args = [shop[t] for t in ("applications", "jobs", "companies", "contacts", "emails")]
     out = str(tmp_path / "exports")
-    assert export.export(*args, out, "a") == export.Exported(2, 2)
-    assert export.export(*args, out, "b") == export.Exported(0, 2)
+    assert export.export(*args, out, "a") == export.Exported(0, 2, 2)
+    assert export.export(*args, out, "b") == export.Exported(1, 0, 2)
     assert not (tmp_path / "exports" / "export_b.json").exists()
     more = shop["applications"].unionByName(spark.createDataFrame(
         [(3, "RUN-2", 10, None, 2, "Filtering", 0.0, None, DAY)], APPLICATION))
-    assert export.export(more, *args[1:], out, "c") == export.Exported(1, 3)
+    assert export.export(more, *args[1:], out, "c") == export.Exported(1, 1, 3)
     record = spark.read.json(f"{out}/export_c.json").first()
     assert (record["contact_email"], record["email_subject"], record["company_name"]) == ("N/A", "N/A", "Acme Corp")
     assert "score" not in record.asDict() or record["score"] is None
-    latest = spark.read.option("header", True).csv(f"{out}/export_latest.csv")
+    latest = export.read_latest(spark, out)
     assert latest.count() == 3 and len(latest.columns) == 19
-    assert export.export(more, *args[1:], out, "d", export_all=True) == export.Exported(3, 3)
+    assert export.export(more, *args[1:], out, "d", export_all=True) == export.Exported(2, 3, 3)
+    assert export.read_manifest(spark, out).count() == 3
 
 
-def test_manifest_missing(spark, tmp_path):
-    assert export.read_manifest(spark, str(tmp_path / "none")).count() == 0
+def test_a_pass_that_dies_leaves_the_state_before(spark, shop, tmp_path):
+    args = [shop[t] for t in ("applications", "jobs", "companies", "contacts", "emails")]
+    out = str(tmp_path / "exports")
+    assert export.read_manifest(spark, out).count() == 0 and export.read_latest(spark, out) is None
+    spark.createDataFrame([(1,), (2,), (9,)], "application_id BIGINT").write.parquet(f"{out}/ids/pass=0")  # before its commit
+    assert export.read_manifest(spark, out).count() == 0
+    assert export.export(*args, out, "a") == export.Exported(0, 2, 2)
+    spark.createDataFrame([(7,)], "application_id BIGINT").write.parquet(f"{out}/ids/pass=1")
+    export.read_latest(spark, out).write.option("header", True).csv(f"{out}/latest/pass=1")
+    assert sorted(r[0] for r in export.read_manifest(spark, out).collect()) == [1, 2]
+    assert export.read_latest(spark, out).count() == 2
+    assert export.commits(spark, out).count() == 1
 
 
 def test_status_report(spark, rows):
@@ -215,6 +226,17 @@ def test_dense_ids_over_many_ranges(spark, monkeypatch, step):
     assert [r["new_id"] for r in got] == list(range(101, 601))
 
 
+def test_many_positions_under_one_ordinal(spark, monkeypatch):
+    """Positions of one ordinal are numbered in ranges of their own."""
+    monkeypatch.setattr(keys, "RANGE_BITS", 3)
+    pairs = [(7, p) for p in range(300)] + [(6, 2), (6, 900), (8, 0), (-4, 5)]
+    df = spark.createDataFrame(pairs, "ordinal BIGINT, pos INT").repartition(5)
+    got = keys.dense_ids(df, "ordinal", "new_id", spark.createDataFrame([(0,)], "m BIGINT"), minor="pos")
+    assert [(r["ordinal"], r["pos"]) for r in got.orderBy("new_id").collect()] == sorted(pairs)
+    assert sorted(r["new_id"] for r in got.collect()) == list(range(1, len(pairs) + 1))
+    assert "hashpartitioning(_range" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entity_match(spark, rows):
     companies = spark.createDataFrame([(1, "Acme", "acme.io", None, 1), (2, "acme", "other.io", None, 1), (3, "B_t", None, None, 1)], COMPANY)
     targets = spark.createDataFrame([(1, "ACME", None), (2, "Nope", "OTHER.io"), (3, "Nope", None), (4, "Bat", None)],
@@ -377,6 +399,15 @@ def test_log_scan(spark, tmp_path):
     assert tail.first()["level"] == "ERROR"
 
 
+def test_log_rows_and_rejects(spark, tmp_path):
+    lines = ['{"timestamp": "2024-01-01T00:00:00Z", "level": "INFO", "retries": 2, "other": [1]}', '{"level": "WARN"', "Traceback (most recent call last):",
+             "", "   ", '{"level": "INFO", "retries": "x"}', '{"level": "A"} {"level": "B"}', '["level"]', "null", '{"message": "\\u00e9"}', "{}"]
+    (tmp_path / "app.log").write_text("\n".join(lines) + "\n" + '{"level": "cut o')
+    rows, rejects = scans.scan_log(spark.read.text(str(tmp_path / "app.log")))
+    assert [(r["level"], r["retries"], r["message"]) for r in rows.collect()] == [("INFO", 2, None), (None, None, "\u00e9"), (None, None, None)]
+    assert [r["line"] for r in rejects.collect()] == [lines[i] for i in (1, 2, 5, 6, 7, 8)] + ['{"level": "cut o']
+
+
 def test_entity_scan_and_evolution(spark, tmp_path):
     path = str(tmp_path / "emails")
     spark.createDataFrame([(1, 2, "s")], "id BIGINT, application_id BIGINT, subject STRING").write.parquet(path)

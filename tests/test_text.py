@@ -71,6 +71,20 @@ def test_placeholder_hits(spark):
     assert got == {1: "https://example.com/search?q=a+b", 2: "u"}
 
 
+def test_search_goes_from_engine_to_engine(spark):
+    block = '<div class="result__body"><a class="result__url" href="{}">T</a><a class="result__snippet">s</a></div>'
+    other = '<div><h3><a href="https://r.e.net/RU={}/RK=2">A <b>title</b></a></h3></div><p>says &amp; so</p>'
+    first = [(1, "".join(block.format(f"https://a{i}.org/") for i in range(4))), (2, block.format("https://bad.org/x")), (3, ""), (4, "")]
+    second = [(1, other.format("https%3A%2F%2Funseen.org")), (2, other.format("https%3A%2F%2Fb.org%2F") * 2 + other.format("https%3A%2F%2Fe.net%2Fad")),
+              (3, other.format("https%3A%2F%2Fbad.org%2F")), (5, other.format("x"))]
+    queries = spark.createDataFrame([(i, f"q {i}") for i in range(1, 5)], "query_id INT, query STRING")
+    denied = spark.createDataFrame([("bad.org",)], "domain STRING")
+    got = pages.search_results(queries, *[spark.createDataFrame(p, "query_id INT, html STRING") for p in (first, second)], denied, ["e.net"], 3)
+    got = sorted(tuple(r) for r in got.where("query_id < 5").collect())
+    assert got[:4] == [*[(1, i, "T", f"https://a{i}.org/", "s") for i in range(3)], (2, 0, "A title", "https://b.org/", "says & so")]
+    assert [(r[0], r[1], r[3]) for r in got[4:]] == [(i, 0, f"https://example.com/search?q=q+{i}") for i in (3, 4)]
+
+
 def test_url_domain(spark):
     got = values(spark, web.url_domain("v"), [
         "https://www.Example.com/a?b", "http://user:pw@host:8080/x", "//cdn.x.org/y", "mailto:a@b", "", None,
