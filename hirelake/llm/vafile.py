@@ -1,11 +1,14 @@
 """Exact top-k by inner product with vector-approximation files.
 
-The grid (cell edges of every dimension) is fitted on a bounded sample; every vector is indexed by its
-cells, one byte per dimension. Vectors and queries are dealt into blocks, and every pair of a
-vector block and a query block is one group of bounded size. In a group the cells give each vector
-an upper and a lower bound of its score. Exact vectors are then read in falling order of the upper bound,
-until the k-th best exact score is above every bound left (ties are read as well). The best k of all
-blocks are the best k of the table.
+Every component of every vector falls into one of 256 equal cells between the least and the greatest value of its
+dimension, so a vector is one byte per dimension. Phase one scans cells only: blocks of packed cells meet groups of
+queries, one product of bytes and scaled queries gives the score of the cells' centres, and half the cells' widths give a
+radius that is the same for all vectors of a query; score and radius bound the true score from both sides. In a block
+those stay whose upper bound reaches the k-th best lower bound, over all blocks then those that reach the k-th best of
+all. Phase two joins the few that are left to their exact vectors, scores them and keeps the best k.
+
+Of equal vectors only those with the ``k + 1`` smallest ids can be among anybody's best ``k``, so a very common vector is a
+few rows in all of this.
 """
 
 from __future__ import annotations
@@ -16,19 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hirelake.llm.batches import as_array, smallest
+from hirelake.llm.batches import Batches, as_array
+from hirelake.operators.keys import lookup
 from hirelake.session import staged
 
 SCALE = 1024
-CELLS = 16
-# Rows the grid is fitted on: those with the smallest id hashes.
-SAMPLE_ROWS = 4096
-BLOCK_ROWS = 4096
-QUERY_ROWS = 256
-# Exact vectors read at a time.
-READ_ROWS = 64
-# Sums up to here are exact in double precision.
-EXACT = 2.0**53
+CELLS = 256
+# Vectors in a block of packed cells, and queries that meet it at once.
+BLOCK_ROWS = 32768
+QUERY_ROWS = 512
+# Queries scored together in a task.
+STEP_QUERIES = 32
 
 
 def scaled(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -44,79 +45,97 @@ def scaled(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.where(F.col("v").isNotNull() & ~bad).select("vec_id", whole.cast("array<bigint>").alias("v"))
 
 
-def fitted(rows: DataFrame, cells: int = CELLS, sample: int = SAMPLE_ROWS) -> dict[int, np.ndarray]:
-    """Inner cell edges (cells - 1, dims) by dimension count: quantiles of the sampled rows."""
-    taken = smallest(rows, ["vec_id", "v"], sample).toPandas()["v"].tolist()
-    grids = {}
-    for dims in {len(v) for v in taken}:
-        own = np.array([v for v in taken if len(v) == dims], np.float64)
-        grids[dims] = np.quantile(own, np.arange(1, cells) / cells, axis=0)
-    return grids
-
-
-def cells_of(values: np.ndarray, grid: np.ndarray | None) -> np.ndarray:
-    """The cell of every component (all in one without a grid)."""
-    if grid is None:
-        return np.zeros(values.shape, np.uint8)
-    made = np.empty(values.shape, np.uint8)
-    for d in range(values.shape[1]):
-        made[:, d] = np.searchsorted(grid[:, d], values[:, d], side="right")
-    return made
-
-
-def bounds_of(grid: np.ndarray | None, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lowest and highest value of every cell (cells, dims); the outer ones end at the block's own range."""
-    inner = np.zeros((0, len(low))) if grid is None else grid
-    edges = np.clip(np.concatenate([[low], inner, [high]]), low, high)
-    return edges[:-1], edges[1:]
-
-
-def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows; beyond double precision in Python integers, held in BIGINT."""
-    dims = left.shape[1]
-    if not left.size or not right.size:
-        return np.zeros((len(left), len(right)), np.int64)
-    reach = float(np.abs(left.astype(np.float64)).max()) * float(np.abs(right.astype(np.float64)).max()) * dims
-    if reach < EXACT:
-        return (left.astype(np.float64) @ right.astype(np.float64).T).astype(np.int64)
-    wide = left.astype(object) @ right.astype(object).T
-    return np.clip(wide, -2**63, 2**63 - 1).astype(np.int64)
-
-
-def searched(ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, grid: np.ndarray | None,
-             query_ids: np.ndarray, queries: np.ndarray, k: int, read_rows: int = READ_ROWS) -> list[np.ndarray]:
-    """(query_id, vec_id, score) columns of each query's best ``k`` among one block's vectors."""
-    outer = vectors.astype(np.float64)
-    lows, highs = bounds_of(grid, outer.min(axis=0, initial=0), outer.max(axis=0, initial=0))
-    at = cells.astype(np.int64), np.arange(vectors.shape[1])
-    middle, half = ((lows + highs) / 2)[at], ((highs - lows) / 2)[at]
+def contenders(rows: DataFrame, k: int) -> DataFrame:
+    """The rows that can be among the best ``k`` of a query: of each vector the ``k + 1`` smallest ids, of each id at most ``k``
+    rows. Both bounds cut groups before the shuffle."""
+    same = F.row_number().over(W.partitionBy("v", "vec_id").orderBy("vec_id"))
+    ranked = rows.withColumn("_n", same).where(F.col("_n") <= k).drop("_n")
+    ids = F.dense_rank().over(W.partitionBy("v").orderBy("vec_id"))
+    return ranked.withColumn("_n", ids).where(F.col("_n") <= k + 1).drop("_n")
+
+
+def matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims)
+
+
+def by_length(batch: pa.RecordBatch):
+    """The rows of a batch by their vectors' length: (length, positions)."""
+    sizes = batch["v"].value_lengths().to_numpy(zero_copy_only=False)
+    for dims in np.unique(sizes):
+        yield int(dims), np.flatnonzero(sizes == dims)
+
+
+def ranges(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Least and greatest value of every dimension, by the vectors' length: one partial row per task, combined by Spark."""
+    def extremes(batches: Batches) -> Batches:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for dims, at in by_length(batch):
+                x = matrix(batch["v"].take(pa.array(at)), dims)
+                low, high = x.min(axis=0), x.max(axis=0)
+                if dims in held:
+                    low, high = np.minimum(low, held[dims][0]), np.maximum(high, held[dims][1])
+                held[dims] = [low, high]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(held), pa.int32()), *[pa.array([h[i].tolist() for h in held.values()], pa.list_(pa.int64())) for i in (0, 1)]],
+            names=["dims", "low", "high"])
+
+    parts = rows.where(F.size("v") > 0).select("v").mapInArrow(extremes, "dims int, low array<bigint>, high array<bigint>")
+    made = parts.select("dims", F.posexplode(F.arrays_zip("low", "high")).alias("pos", "e")).groupBy("dims", "pos").agg(
+        F.min("e.low").alias("low"), F.max("e.high").alias("high")).collect()
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for dims in {r["dims"] for r in made}:
+        own = sorted((r for r in made if r["dims"] == dims), key=lambda r: r["pos"])
+        found[dims] = np.array([r["low"] for r in own], np.float64), np.array([r["high"] for r in own], np.float64)
+    return found
+
+
+def cells_of(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The cell of every component, one byte each."""
+    step = np.where(high > low, (high - low) / CELLS, 1.0)
+    return np.clip(np.floor((values.astype(np.float64) - low) / step), 0, CELLS - 1).astype(np.uint8)
+
+
+def bounds(cells: np.ndarray, low: np.ndarray, high: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the cells' centres (vectors, queries), and each query's radius: the true score is no further off."""
+    step = np.where(high > low, (high - low) / CELLS, 0.0)
     wanted = queries.astype(np.float64)
-    centre, radius = wanted @ middle.T, np.abs(wanted) @ half.T
-    # Rounding of the bounds themselves.
-    slack = 1e-9 * (np.abs(wanted).sum(axis=1) * np.abs(outer).max(initial=0))[:, None] + 1
-    upper, lower = centre + radius + slack, centre - radius - slack
-    found = []
-    for q in range(len(queries)):
-        others = ids != query_ids[q]
-        best = np.zeros(0, np.int64)
-        rows = np.zeros(0, np.int64)
-        n = int(others.sum())
-        if n > k:  # k lower bounds at or above this one: nothing below it can be among the best
-            others &= upper[q] >= np.partition(lower[q][others], n - k)[n - k]
-        order = np.flatnonzero(others)
-        order = order[np.argsort(-upper[q][order], kind="stable")]
-        done = 0
-        while done < len(order):
-            if len(best) >= k and upper[q][order[done]] < best[k - 1]:
-                break
-            more = order[done:done + read_rows]
-            done += read_rows
-            best = np.concatenate([best, products(queries[q:q + 1], vectors[more])[0]])
-            rows = np.concatenate([rows, more])
-            kept = np.lexsort((ids[rows], -best))[:k]
-            best, rows = best[kept], rows[kept]
-        found.append((np.full(len(rows), query_ids[q]), ids[rows], best))
-    return [np.concatenate([f[i] for f in found]) for i in range(3)]
+    weights = (wanted * step).T
+    centre = cells.astype(np.float32) @ weights.astype(np.float32)
+    base = wanted @ (low + step / 2)
+    half = np.abs(wanted) @ (step / 2)
+    # Rounding: of a cell's number, of the product in single precision, of the sums in double precision.
+    reach = np.abs(wanted) @ np.maximum(np.abs(low), np.abs(high))
+    slack = 1e-7 * (cells.shape[1] + 8) * (CELLS * np.abs(weights).sum(axis=0)) + 1e-9 * reach + half * 1e-3 + 1
+    return centre.astype(np.float64) + base, half + slack
+
+
+def scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of rows, exact; beyond 64 bits in Python integers, held in BIGINT."""
+    if not left.size:
+        return np.zeros(len(left), np.int64)
+    reach = float(np.abs(left.astype(np.float64)).max()) * float(np.abs(right.astype(np.float64)).max()) * left.shape[1]
+    if reach < 2.0**62:
+        return (left * right).sum(axis=1)
+    wide = (left.astype(object) * right.astype(object)).sum(axis=1)
+    return np.array([max(-2**63, min(2**63 - 1, s)) for s in wide], np.int64)
+
+
+def scanned(ids: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray, query_ids: np.ndarray,
+            queries: np.ndarray, k: int) -> tuple[list[np.ndarray], ...]:
+    """Of one block: per query the positions that can be among its best ``k``, with lower and upper bound."""
+    kept: tuple[list, ...] = ([], [], [], [])
+    for start in range(0, len(queries), STEP_QUERIES):
+        part = slice(start, start + STEP_QUERIES)
+        centre, radius = bounds(cells, low, high, queries[part])
+        for j, query in enumerate(query_ids[part]):
+            score = np.where(ids == query, -np.inf, centre[:, j])
+            least = np.partition(score, len(score) - k)[len(score) - k] - 2 * radius[j] if len(score) > k else -np.inf
+            at = np.flatnonzero((score >= least) & (ids != query))
+            for column, made in zip(kept, (np.full(len(at), query), at, score[at] - radius[j], score[at] + radius[j]), strict=True):
+                column.append(made)
+    return kept
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id",
@@ -129,54 +148,69 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str =
     as queries they count once, by their smallest vector. With fewer than ``k`` rows all are returned;
     empty tables give none. Other columns are not read.
     """
-    rows = staged(scaled(vectors, id_column, vector_column).where("vec_id IS NOT NULL"), "vectors")
-    grids = fitted(rows)
+    rows = contenders(scaled(vectors, id_column, vector_column).where("vec_id IS NOT NULL"), k)
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    grid = ranges(rows)
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     asked = staged(scaled(queries, id_column, vector_column).where("vec_id IS NOT NULL")
                    .groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     groups = max(1, -(-asked.count() // QUERY_ROWS))
-    hashed = F.xxhash64("vec_id", "v")
-
-    def index(batches):
-        for part in batches:
-            v = part["v"]
-            sizes = v.value_lengths().to_numpy(zero_copy_only=False)
-            cells = [cells_of(np.array([x], np.float64), grids.get(int(n)))[0].tobytes()
-                     for x, n in zip(v.to_pylist(), sizes, strict=True)]
-            yield pa.RecordBatch.from_arrays([part["vec_id"], v, pa.array(cells, pa.binary())],
-                                             names=["vec_id", "v", "cells"])
-
-    indexed = staged(rows.mapInArrow(index, "vec_id bigint, v array<bigint>, cells binary"), "va-file")
-    # Each vector goes to one block, for all query groups; each query to one group, for all blocks.
-    data = indexed.select(F.size("v").alias("dims"), F.pmod(hashed, F.lit(blocks)).cast("int").alias("block"),
-                          F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "vec_id", "v", "cells")
-    wanted = asked.select(F.size("v").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-                          .alias("block"), F.pmod(hashed, F.lit(groups)).cast("int").alias("part"), "vec_id", "v")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return as_table([np.zeros(0, np.int64)] * 3)
-        dims = left["dims"][0].as_py()
-
-        def matrix(t: pa.Table) -> np.ndarray:
-            return t["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, dims)
-
-        cells = np.frombuffer(b"".join(left["cells"].to_pylist()), np.uint8).reshape(left.num_rows, dims)
-        return as_table(searched(left["vec_id"].to_numpy(), matrix(left), cells, grids.get(dims),
-                                 right["vec_id"].to_numpy(), matrix(right), k))
+
+    def index(batches: Batches) -> Batches:
+        for batch in batches:
+            cells: list[bytes] = [b""] * batch.num_rows
+            for dims, at in by_length(batch):
+                if dims:
+                    made = cells_of(matrix(batch["v"].take(pa.array(at)), dims), *grid[dims])
+                    for i, own in zip(at, made, strict=True):
+                        cells[i] = own.tobytes()
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["vec_id"], pa.array(cells, pa.binary())], names=["row", "vec_id", "cells"])
+
+    indexed = staged(rows.select("row", "vec_id", "v").mapInArrow(index, "row bigint, vec_id bigint, cells binary"), "va-file")
+    # Blocks of cells meet groups of queries; no exact vector is in this shuffle.
+    data = indexed.select(F.octet_length("cells").alias("dims"), F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int").alias("block"),
+                          F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "row", "vec_id", "cells")
+    wanted = asked.select(F.size("v").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
+                          F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("part"), "vec_id", "v")
+
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns: tuple = ([], [], [], [])
+        if left.num_rows and right.num_rows:
+            dims = left["dims"][0].as_py()
+            low, high = grid.get(dims, (np.zeros(0), np.zeros(0)))
+            cells = np.frombuffer(b"".join(left["cells"].to_pylist()), np.uint8).reshape(left.num_rows, dims)
+            columns = scanned(left["vec_id"].to_numpy(), cells, low, high, right["vec_id"].to_numpy(), matrix(right["v"], dims), k)
+        query, at, lower, upper = (np.concatenate([np.zeros(0, kind), *c]) for c, kind in zip(
+            columns, (np.int64, np.int64, np.float64, np.float64), strict=True))
+        row = left["row"].to_numpy()[at.astype(np.int64)] if left.num_rows else at
+        return pa.table({"query_id": as_array(query, pa.int64()), "row": as_array(row, pa.int64()),
+                         "lower": as_array(lower, pa.float64()), "upper": as_array(upper, pa.float64())})
 
     keys = ["dims", "block", "part"]
-    best = data.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(
-        search, "query_id bigint, vec_id bigint, score bigint")
+    near = staged(data.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(
+        scan, "query_id bigint, row bigint, lower double, upper double"), "candidates")
+    # The k-th best lower bound of all blocks: whoever's upper bound is below it is out.
+    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("lower"), "row"))
+    least = near.withColumn("n", best).where(F.col("n") <= k).groupBy("query_id").agg(
+        F.when(F.count("*") == k, F.min("lower")).alias("least"))
+    left = lookup(near, least, ["query_id"], ["query_id"]).where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
+    pairs = lookup(left.select("query_id", "row"), rows.select("row", "vec_id", "v"), ["row"], ["row"], how="inner")
+    pairs = lookup(pairs, asked.select(F.col("vec_id").alias("asked"), F.col("v").alias("q")), ["query_id"], ["asked"], how="inner")
+
+    def score(batches: Batches) -> Batches:
+        for batch in batches:
+            found = np.zeros(batch.num_rows, np.int64)
+            for dims, at in by_length(batch):
+                take = pa.array(at)
+                found[at] = scores(matrix(batch["v"].take(take), dims), matrix(batch["q"].take(take), dims))
+            yield pa.RecordBatch.from_arrays([batch["query_id"], batch["vec_id"], pa.array(found)], names=["query_id", "vec_id", "score"])
+
+    exact = pairs.select("query_id", "vec_id", "v", "q").mapInArrow(score, "query_id bigint, vec_id bigint, score bigint")
     first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k) \
+    return exact.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")
 
 
-def as_table(columns: list[np.ndarray]) -> pa.Table:
-    return pa.table({n: as_array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
-
-
 SQL = """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from hirelake.llm import vafile
 
@@ -36,6 +37,7 @@ def found(spark, vectors, queries, k=10):
 def test_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(vafile, "BLOCK_ROWS", 100)
     monkeypatch.setattr(vafile, "QUERY_ROWS", 8)
+    monkeypatch.setattr(vafile, "STEP_QUERIES", 3)
     drawn = np.random.default_rng(12)
     vectors = [(i, drawn.normal(size=16).tolist()) for i in range(700)]
     vectors += [(1000 + i, vectors[3][1]) for i in range(250)]  # one very common vector
@@ -57,23 +59,48 @@ def test_integers_beyond_doubles(spark):
     assert found(spark, vectors, vectors[:3]) == by_hand(vectors, vectors[:3], 10)
 
 
-def test_bounds_hold():
+@pytest.mark.parametrize("top", [3, 3000, 2**40, 2**60])
+def test_bounds_hold(top):
     drawn = np.random.default_rng(13)
-    values = drawn.integers(-3000, 3000, (200, 5))
-    grid = np.quantile(values[:50], np.arange(1, 16) / 16, axis=0)
-    cells = vafile.cells_of(values, grid)
-    lows, highs = vafile.bounds_of(grid, values.min(axis=0), values.max(axis=0))
-    at = cells.astype(int), np.arange(5)
-    assert (lows[at] <= values).all() and (values <= highs[at]).all()
+    values = drawn.integers(-top, top, (300, 5))
+    values[:, 2] = 7
+    values[5] = top
+    low, high = values.min(axis=0).astype(float), values.max(axis=0).astype(float)
+    centre, radius = vafile.bounds(vafile.cells_of(values, low, high), low, high, values[:40])
+    true = np.array([[sum(int(a) * int(b) for a, b in zip(v, q, strict=True)) for q in values[:40]] for v in values], object)
+    assert (np.abs((centre - true.astype(float))) <= radius).all()
 
 
-def test_few_exact_vectors_are_read(monkeypatch):
+def test_few_exact_vectors_are_left():
     drawn = np.random.default_rng(14)
-    values = drawn.integers(-1000, 1000, (4000, 8))
-    grid = np.quantile(values, np.arange(1, 16) / 16, axis=0)
-    read = []
-    exact = vafile.products
-    monkeypatch.setattr(vafile, "products", lambda a, b: read.append(len(b)) or exact(a, b))
-    got = vafile.searched(np.arange(4000), values, vafile.cells_of(values, grid), grid, np.array([-1]), values[:1], 10)
-    assert got[2].tolist() == sorted((values @ values[0]).tolist(), reverse=True)[:10]
-    assert sum(read) < 1000
+    values = drawn.integers(-1000, 1000, (4000, 32))
+    low, high = values.min(axis=0).astype(float), values.max(axis=0).astype(float)
+    cells = vafile.cells_of(values, low, high)
+    query, at, lower, upper = (np.concatenate(c) for c in vafile.scanned(
+        np.arange(4000), cells, low, high, np.array([-1, 3]), values[:2], 10))
+    for q, ids in ((-1, np.argsort(-(values @ values[0]))[:10]), (3, [i for i in np.argsort(-(values @ values[1])) if i != 3][:10])):
+        assert set(ids) <= set(at[query == q].tolist()) and (query == q).sum() < 80
+    assert (lower <= upper).all()
+
+
+def test_first_shuffle_holds_cells_only(spark, monkeypatch):
+    """Exact vectors are read for the candidates alone."""
+    seen = []
+    kept = vafile.staged
+    monkeypatch.setattr(vafile, "staged", lambda df, name: (seen.append((name, df)), kept(df, name))[1])
+    drawn = np.random.default_rng(15)
+    vectors = [(i, drawn.normal(size=8).tolist()) for i in range(2000)]
+    assert found(spark, vectors, vectors[:3]) == by_hand(vectors, vectors[:3], 10)
+    plans = {name: df._jdf.queryExecution().optimizedPlan().toString() for name, df in seen}
+    assert "cells" in plans["candidates"] and plans["candidates"].count("row#") > 0
+    left = plans["candidates"].split("Project [octet_length(cells")[1].splitlines()[0]
+    assert " v#" not in left
+    assert dict(seen)["candidates"].count() < 200
+
+
+def test_a_very_common_vector_is_a_few_rows(spark):
+    rows = [(i % 7 if i % 2 else 100 + i, [1.0, 2.0]) for i in range(400)] + [(5000 + i, [float(i), 1.0]) for i in range(5)]
+    left = vafile.contenders(vafile.scaled(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id", "embedding"), 3)
+    assert left.count() <= 3 * 4 + 5
+    queries = [rows[0], rows[1], rows[-1]]
+    assert found(spark, rows, queries, 3) == by_hand(rows, queries, 3)
