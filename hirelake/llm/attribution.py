@@ -26,11 +26,12 @@ RULES = ("majority", "start", "end")
 NONE = "none"
 
 
-def line_sections(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Adds ``sections``: the title (first line) and the body lines, each without its line end."""
-    lines = F.split(F.coalesce(F.col(text_column).cast("string"), F.lit("")), "\n", -1)
-    sizes = F.transform(lines, lambda x: F.length(x))
-    return docs.withColumn("sections", sections_of(sizes, lambda i: F.when(i == 0, "title").otherwise("body"), 1))
+def line_sections(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First character and end of every line of a text in UTF-8, each without its line end, in one pass."""
+    data = np.frombuffer(text, np.uint8)
+    upto = np.cumsum(data & 0xC0 != 0x80)  # characters begun up to and with each byte
+    breaks = upto[data == 0x0A] - 1
+    return np.concatenate([[0], breaks + 1]), np.append(breaks, upto[-1] if len(data) else 0)
 
 
 def sections_of(sizes: F.Column, name, between: int) -> F.Column:
@@ -89,12 +90,13 @@ def attribute(first: np.ndarray, end: np.ndarray, starts: np.ndarray, ends: np.n
 
 
 def attributed(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text",
-               sections_column: str = "sections", rule: str = "majority") -> DataFrame:
+               sections_column: str | None = "sections", rule: str = "majority") -> DataFrame:
     """One row per document and section: id, ``section`` (position from 0), ``name``, ``n_tokens``,
     ``n_crossing`` (of these, tokens that also hold characters outside), ``doc_tokens``.
 
     ``sections`` is an array of (name, start, end) in code points, end exclusive, sorted and without
-    overlap; tokens in none are counted under a row with a null ``section`` and the name ``none``,
+    overlap; with None for their column they are the text's lines, the first named title and the others body. Tokens in
+    none are counted under a row with a null ``section`` and the name ``none``,
     so a document's counts always add up to ``doc_tokens``. That row appears where there are such tokens,
     and for a document without sections. Null text or sections count as empty. Every row is a document
     of its own, also with a null or repeated id. Other columns are not read.
@@ -104,37 +106,48 @@ def attributed(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"{id_column} {kind}, section int, name string, n_tokens bigint, n_crossing bigint, doc_tokens bigint"
 
+    def lines(texts: pa.Array):
+        for text in texts:
+            starts, ends = line_sections(text.as_buffer().to_pybytes())
+            yield ["title"] + ["body"] * (len(starts) - 1), starts, ends
+
+    def given(sections: pa.Array):
+        listed = pc.fill_null(pc.list_value_length(sections), 0).to_numpy(zero_copy_only=False)
+        fields = sections.flatten()
+        names = fields.field("name").to_pylist()
+        starts = fields.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = fields.field("end").to_numpy(zero_copy_only=False).astype(np.int64)
+        marks = offsets_of(listed)
+        for a, b in zip(marks[:-1], marks[1:], strict=True):
+            yield names[a:b], starts[a:b], ends[a:b]
+
     def work(part: pa.RecordBatch) -> dict:
         coder = encoder(vocabulary)
         texts = pc.fill_null(part["text"], "")
         ids, counts = coder.encode(texts)
         own = np.split(ids, np.cumsum(counts)[:-1])
-        listed = pc.fill_null(pc.list_value_length(part["sections"]), 0).to_numpy(zero_copy_only=False)
-        fields = part["sections"].flatten()
-        names = fields.field("name").to_pylist()
-        starts = fields.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = fields.field("end").to_numpy(zero_copy_only=False).astype(np.int64)
-        marks = offsets_of(listed)
-        rows, section, name, tokens, crossing, total = [], [], [], [], [], []
-        for i, text in enumerate(texts):
-            first, end = spans(coder, own[i], text.as_buffer().to_pybytes()) if len(own[i]) else (own[i], own[i])
-            a, b = marks[i], marks[i + 1]
-            found = attribute(first, end, starts[a:b], ends[a:b], rule)
-            n = np.bincount(found + 1, minlength=b - a + 1)
+        made: dict[str, list] = {"section": [], "n_tokens": [], "n_crossing": []}
+        rows, name, total = [], [], []
+        for i, (names, starts, ends) in enumerate(lines(texts) if sections_column is None else given(part["sections"])):
+            first, end = spans(coder, own[i], texts[i].as_buffer().to_pybytes()) if len(own[i]) else (own[i], own[i])
+            found = attribute(first, end, starts, ends, rule)
+            n = np.bincount(found + 1, minlength=len(starts) + 1)
             known = found >= 0
             over = np.zeros(len(found), bool)
-            over[known] = (first[known] < starts[a:b][found[known]]) | (end[known] > ends[a:b][found[known]])
-            cross = np.bincount(found[over] + 1, minlength=b - a + 1)
-            shown = range(0 if n[0] or a == b else 1, b - a + 1)
-            rows += [i] * len(shown)
-            section += [k - 1 if k else None for k in shown]
-            name += [names[a + k - 1] if k else NONE for k in shown]
-            tokens += [n[k] for k in shown]
-            crossing += [cross[k] for k in shown]
-            total += [len(found)] * len(shown)
-        return {id_column: part["id"].take(pa.array(rows, pa.int64())), "section": section, "name": name,
-                "n_tokens": tokens, "n_crossing": crossing, "doc_tokens": total}
+            over[known] = (first[known] < starts[found[known]]) | (end[known] > ends[found[known]])
+            cross = np.bincount(found[over] + 1, minlength=len(starts) + 1)
+            shown = slice(0 if n[0] or not len(starts) else 1, None)
+            for column, values in zip(made.values(), (np.arange(-1, len(starts)), n, cross), strict=True):
+                column.append(values[shown])
+            size = len(n[shown])
+            rows.append(np.full(size, i))
+            name += [NONE, *names][shown]
+            total.append(np.full(size, len(found)))
+        joined = {c: np.concatenate([np.zeros(0, np.int64), *v]) for c, v in (made | {"rows": rows, "total": total}).items()}
+        section = pa.array(joined["section"], pa.int32(), mask=joined["section"] < 0)
+        return {id_column: part["id"].take(pa.array(joined["rows"])), "section": section, "name": name,
+                "n_tokens": joined["n_tokens"], "n_crossing": joined["n_crossing"], "doc_tokens": joined["total"]}
 
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"),
-                       docs[sections_column].alias("sections"))
+                       *[docs[c].alias("sections") for c in [sections_column] if c is not None])
     return map_slices(rows, "text", schema, work)

@@ -43,8 +43,7 @@ def op4_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, by the majority rule."""
-    docs = attribution.line_sections(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return attribution.attributed(docs, vocabulary_path(BYTE_VOCABULARY))
+    return attribution.attributed(table(spark, sf_dir, "documents"), vocabulary_path(BYTE_VOCABULARY), sections_column=None)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

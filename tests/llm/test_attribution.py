@@ -49,7 +49,7 @@ def test_spans_are_the_librarys():
 
 
 def test_counts_add_up(odd_docs, no_docs):
-    got = at.attributed(at.line_sections(odd_docs), BYTES).collect()
+    got = at.attributed(odd_docs, BYTES, sections_column=None).collect()
     coder = encoder(BYTES)
     for row in odd_docs.where("doc_id <> 3 AND doc_id IS NOT NULL").collect():
         own = [r for r in got if r["doc_id"] == row["doc_id"]]
@@ -57,7 +57,7 @@ def test_counts_add_up(odd_docs, no_docs):
         assert sum(r["n_tokens"] for r in own) == total
         assert {r["doc_tokens"] for r in own} == {total}
         assert sum(r["section"] is not None for r in own) == len((row["text"] or "").split("\n"))
-    assert at.attributed(at.line_sections(no_docs), BYTES).count() == 0
+    assert at.attributed(no_docs, BYTES, sections_column=None).count() == 0
 
 
 def test_fields(spark):
@@ -81,3 +81,18 @@ def test_crossing_tokens(spark):
     assert counts["majority"] == {"x": (2, 1), "y": (1, 0)}
     with pytest.raises(ValueError):
         at.attributed(docs, BYTES, rule="half")
+
+
+def test_lines_of_a_text():
+    for text in ("", "\n", "a\nb", "é\n\n漢🙂\n", "x" * 10 + "\n" * 5):
+        starts, ends = at.line_sections(text.encode())
+        assert [text[a:b] for a, b in zip(starts, ends, strict=True)] == text.split("\n")
+
+
+def test_a_million_lines_take_seconds(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "word\n" * 1_000_000)], "doc_id int, text string")
+    start = time.perf_counter()
+    assert at.attributed(docs, BYTES, sections_column=None).count() == 1_000_002  # and the row of the line ends
+    assert time.perf_counter() - start < 60
