@@ -148,8 +148,10 @@ class Failed(Exception):
 class Window:
     """Bytes of a file from a place on, read as needed; what lies before is let go."""
 
-    def __init__(self, stream):
+    def __init__(self, stream, size: int | None = None):
         self.stream, self.base, self.held, self.ended = stream, 0, bytearray(), False
+        self.size = size  # of the file, if known
+        self.blank = (0, 0, False)  # from, to: no empty line begins between; whether one begins at the end of that
 
     def more(self) -> bool:
         data = b"" if self.ended else self.stream.read(CHUNK)
@@ -171,9 +173,26 @@ class Window:
         self.reach(end)
         return bytes(self.held[start - self.base:end - self.base])
 
+    def header_end(self, start: int, longest: int) -> int:
+        """Where the next empty line behind ``start`` begins; -1 if it is further off than ``longest``, or nowhere.
+
+        What was learnt is kept, so false beginnings one after the other do not read the same bytes again.
+        """
+        since, upto, found = self.blank
+        if not since <= start <= upto:
+            since, upto, found = start, start, False
+        while not found:
+            at = self.held.find(b"\r\n\r\n", max(start, upto) - self.base)
+            upto, found = (self.base + at, True) if at >= 0 else (max(upto, self.base + len(self.held) - 3), False)
+            if not found and (upto - start > longest or not self.more()):
+                break
+        self.blank = since, upto, found
+        return upto if found and upto - start <= longest else -1
+
     def find(self, pattern: re.Pattern, at: int, longest: int) -> int:
-        """Where the pattern, of at most ``longest`` bytes, is next found; -1 if nowhere."""
+        """Where the pattern, of at most ``longest`` bytes, is next found; -1 if nowhere. What was searched is let go."""
         while True:
+            self.forget(min(at, self.base + len(self.held)))
             match = pattern.search(self.held, at - self.base)
             if match and (match.end() < len(self.held) or self.ended):
                 return self.base + match.start()
@@ -189,26 +208,25 @@ def parsed(window: Window, start: int) -> Found:
     """The plain record that begins at ``start``."""
     if not window.reach(start + 10) or not VERSION.match(window.held, start - window.base):
         raise Failed("no version line")
-    stop = -1
-    scanned = start
-    while stop < 0:
-        stop = window.held.find(b"\r\n\r\n", scanned - window.base)
-        scanned = max(start, window.base + len(window.held) - 3)
-        if stop < 0 and (len(window.held) - (start - window.base) > HEADER_BYTES or not window.more()):
-            raise Failed("header without end")
-    stop += window.base
+    stop = window.header_end(start, HEADER_BYTES)
+    if stop < 0:
+        raise Failed("header without end")
     headers = {}
-    for line in window.bytes(start, stop).decode("utf-8", "replace").split("\r\n")[1:]:
-        name, colon, value = line.partition(":")
+    at = window.held.find(b"\r\n", start - window.base) + window.base
+    while at < stop:  # line by line, so that a false beginning fails at its first line
+        end = window.held.find(b"\r\n", at + 2 - window.base) + window.base
+        name, colon, value = window.bytes(at + 2, end).decode("utf-8", "replace").partition(":")
         if not colon or not name.strip():
             raise Failed("header line without a name")
         headers[name.strip().lower()] = value.strip()
+        at = end
     length = headers.get("content-length", "")
     if not length.isascii() or not length.isdigit() or len(length) > 15:
         raise Failed("no content length")
     body = stop + 4
     end = body + int(length)
-    if not window.reach(end + 4):
+    # A length that the file cannot hold is wrong; nothing has to be read to see that.
+    if window.size is not None and end + 4 > window.size or not window.reach(end + 4):
         raise Failed("record is cut off")
     if window.bytes(end, end + 4) != b"\r\n\r\n":
         raise Failed("record does not end where it should")
@@ -313,7 +331,7 @@ def members_records(window: Window, start: int) -> tuple[list[Found], int, str]:
     does not cover the record's header.
     """
     content, end, problem = member(window, start)
-    inner = list(salvaged(Memory(content), members=False))
+    inner = list(salvaged(Memory(content), members=False, size=len(content)))
     if problem == "member does not unpack":
         inner = [f if f.problem or has_digest(f) else Found(f.start, f.end, problem=problem) for f in inner] \
             if len(inner) > 1 else []
@@ -333,13 +351,15 @@ def has_digest(found: Found) -> bool:
 STARTS = re.compile(re.escape(GZIP_MAGIC) + rb"|" + VERSION.pattern)
 
 
-def salvaged(stream, members: bool = True) -> Iterator[Found]:
-    """All records of a stream and the gaps between them, in order, without overlap.
+def salvaged(stream, members: bool = True, size: int | None = None) -> Iterator[Found]:
+    """All records of a stream, of ``size`` bytes if known, and the gaps between them, in order, without overlap.
+
+    Of a gap only its beginning is kept, so a long one takes no more memory than a short one.
 
     Records and gaps of one gzip member all have the member's bytes, without overlap in its content. Without
     ``members``, only plain records are looked for.
     """
-    window = Window(stream)
+    window = Window(stream, size)
     starts = STARTS if members else VERSION
     at, gap, problem = 0, -1, ""
     while window.reach(at + 1):
@@ -390,7 +410,7 @@ def read(spark: SparkSession, archives: DataFrame, with_payload: bool = True) ->
 
     def rows(path: str) -> Iterator[tuple]:
         with files.source(path) as stream:
-            for found in salvaged(stream):
+            for found in salvaged(stream, size=stream.size()):
                 place = (path, found.start, found.end, found.inner_start, found.inner_end)
                 if found.problem:
                     yield (*place, found.problem, *[None] * 6, *[None] * with_payload)

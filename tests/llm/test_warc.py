@@ -178,3 +178,53 @@ def test_gaps_in_files(spark):
     assert got.where("problem IS NULL").count() == 4
     assert [(r["start"], r["end"], r["problem"]) for r in got.where("problem IS NOT NULL").collect()] == \
         [(marks[2], marks[3], "no version line")]
+
+
+class Endless:
+    """A stream of so many bytes of junk, then a record; counts what it gave."""
+
+    def __init__(self, size, tail, junk=b"x"):
+        self.left, self.tail, self.junk = size, tail, junk
+
+    def read(self, n):
+        if self.left:
+            made = (self.junk * (n // len(self.junk) + 1))[:min(n, self.left)]
+            self.left -= len(made)
+            return made
+        data, self.tail = self.tail, b""
+        return data
+
+
+def peak(stream, size=None):
+    import tracemalloc
+
+    tracemalloc.start()
+    found = list(warc.salvaged(stream, size=size))
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return found, top
+
+
+def test_a_long_gap_is_not_held():
+    record = warc.record(1, "http://a/", b"payload", warc.hashlib.sha256(b"payload").hexdigest(), None)
+    found, top = peak(Endless(100 << 20, record))
+    assert [(f.start, f.end, bool(f.problem)) for f in found] == [(0, 100 << 20, True), (100 << 20, (100 << 20) + len(record), False)]
+    assert top < 8 * warc.CHUNK
+
+
+def test_a_length_beyond_the_file_reads_nothing_more():
+    record = warc.record(1, "http://a/", b"payload", warc.hashlib.sha256(b"payload").hexdigest(), None)
+    bad = warc.re.sub(rb"Content-Length: \d+\r\n\r\nHTTP", b"Content-Length: 99999999999\r\n\r\nHTTP", record)
+    assert bad != record
+    tail = bytes(50 << 20)
+    found, top = peak(Endless(0, bad + tail + record), size=len(bad) + len(tail) + len(record))
+    assert [bool(f.problem) for f in found] == [True, False]
+
+
+def test_false_beginnings_read_a_header_once():
+    import time
+
+    junk = b"WARC/1.0\r\nx"
+    start = time.perf_counter()
+    found, _ = peak(Endless(1 << 20, b"\r\n\r\n", junk))
+    assert len(found) == 1 and time.perf_counter() - start < 20
