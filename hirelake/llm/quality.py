@@ -147,9 +147,17 @@ def duplicate_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lines - np.bincount(distinct >> 32, minlength=len(n)), lines
 
 
-def with_measures(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``docs`` with one more column, the struct ``_measures``; all columns and rows stay."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_measures", T.StructType.fromDDL(MEASURES))])
+def free_name(docs: DataFrame, name: str = "_measures") -> str:
+    """The name, or one made from it that no column has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_measures(docs: DataFrame, text_column: str = "text", out: str = "_measures") -> DataFrame:
+    """``docs`` with one more column, the struct ``out``; all columns and rows stay."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.StructType.fromDDL(MEASURES))])
     names = docs.columns
     at = names.index(text_column)
 
@@ -157,7 +165,7 @@ def with_measures(docs: DataFrame, text_column: str = "text") -> DataFrame:
         for part in slices(batches, at):
             made = {n: as_array(v, pa.int64()) for n, v in measures(part.column(at)).items()}
             struct = pa.StructArray.from_arrays(list(made.values()), list(made))
-            yield pa.RecordBatch.from_arrays([*part.columns, struct], names=[*names, "_measures"])
+            yield pa.RecordBatch.from_arrays([*part.columns, struct], names=[*names, out])
 
     return docs.mapInArrow(run, schema)
 
@@ -236,34 +244,38 @@ def stratum_of(column: str, strata: tuple[str, ...] = STRATA) -> Column:
     return F.when(F.col(column).isin(*strata), F.col(column)).otherwise(OTHER)
 
 
-def first_step(steps: Sequence[Step] = LADDER) -> Column:
+def first_step(steps: Sequence[Step] = LADDER, m: str = "_measures") -> Column:
     """The number of the first step that rejects a row; that of no step if none does."""
     tightened = [next((r, c) for r, c in step.items() if at == 0 or steps[at - 1].get(r) != c)
                  for at, step in enumerate(steps)]
-    score = scores()
+    score = scores(m)
     return F.coalesce(*[F.when(score[rule] > cutoff, at) for at, (rule, cutoff) in enumerate(tightened)],
                       F.lit(len(steps)))
 
 
 def holdout_counts(measured: DataFrame, labels: DataFrame, id_column: str, stratum_column: str,
-                   strata: tuple[str, ...]) -> dict[str, tuple[int, dict[str, list[int]]]]:
+                   strata: tuple[str, ...], mark_column: str) -> dict[str, tuple[int, dict[str, list[int]]]]:
     """Counts for :func:`select_cutoffs` of good labelled documents that pass the base rule.
 
-    Good: at least one label, all of quality 1. One row per stratum and step reaches the driver.
+    Good: at least one label, all of quality 1. Trials have to be independent, so equal texts (by ``mark_column``) count once,
+    and so does an id that several rows share. One row per stratum and step reaches the driver.
     """
     good = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_q")).where("_q = 1")
     rows = measured.where(~base_failed()).join(good, measured[id_column] == good["doc_id"], "left_semi")
-    found = rows.groupBy(stratum_of(stratum_column, strata).alias("_s"), first_step().alias("_step")) \
-        .agg(F.count("*").alias("_n")).collect()
+    trials = rows.select(F.col(id_column).alias("_id"), F.col(mark_column).alias("_mark"),
+                         F.struct(stratum_of(stratum_column, strata).alias("s"), first_step().alias("step")).alias("_t"))
+    texts = trials.groupBy("_mark").agg(F.min(F.struct("_id", "_t")).alias("_first"))
+    distinct = texts.groupBy("_first._id").agg(F.min("_first._t").alias("_t"))
+    found = distinct.groupBy(F.col("_t.s").alias("_s"), F.col("_t.step").alias("_step")).agg(F.count("*").alias("_n")).collect()
     first = {s: [0] * (len(LADDER) + 1) for s in (*strata, OTHER)}
     for r in found:
         first[r["_s"]][r["_step"]] = r["_n"]
     return {s: (sum(n), {UNION: list(accumulate(n[:-1]))}) for s, n in first.items()}
 
 
-def rejected_by(cutoffs: list[Cutoff], stratum_column: str, strata: tuple[str, ...] = STRATA) -> Column:
+def rejected_by(cutoffs: list[Cutoff], stratum_column: str, strata: tuple[str, ...] = STRATA, m: str = "_measures") -> Column:
     """True where a rule of the stratum's certified step rejects the row."""
-    stratum, score = stratum_of(stratum_column, strata), scores()
+    stratum, score = stratum_of(stratum_column, strata), scores(m)
     hit = F.lit(False)
     for c in cutoffs:
         for rule, cutoff in c.cutoff.items():
@@ -271,6 +283,13 @@ def rejected_by(cutoffs: list[Cutoff], stratum_column: str, strata: tuple[str, .
     return hit
 
 
+def _thin(docs: DataFrame, id_column: str, text_column: str, stratum_column: str) -> DataFrame:
+    """``doc_id``, text, stratum, and a mark that equal texts share."""
+    text = docs[text_column].cast("string")
+    return docs.select(docs[id_column].alias("doc_id"), text.alias("_text"), docs[stratum_column].cast("string").alias("_stratum"),
+                       F.xxhash64(text, F.length(text)).alias("_mark"))
+
+
 def judged(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
            stratum_column: str = "lang", strata: tuple[str, ...] = STRATA) -> DataFrame:
     """Per row: the id, the measures, ``base_failed``, ``kept``.
@@ -279,25 +298,24 @@ def judged(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
     as ``other``. Rows with a null id are judged but match no label; rows that share an id are each a document.
     Labels with a null quality or id count for nothing. Without labels only the base rule rejects.
     """
-    thin = docs.select(docs[id_column], docs[text_column].cast("string").alias("_text"),
-                       docs[stratum_column].cast("string").alias("_stratum"))
-    measured = staged(with_measures(thin, "_text").select(id_column, "_stratum", "_measures"), "measures")
-    cutoffs = select_cutoffs(holdout_counts(measured, labels, id_column, "_stratum", strata))
+    thin = _thin(docs, id_column, text_column, stratum_column)
+    measured = staged(with_measures(thin, "_text").drop("_text"), "measures")
+    cutoffs = select_cutoffs(holdout_counts(measured, labels, "doc_id", "_stratum", strata, "_mark"))
     failed = base_failed()
-    return measured.select(id_column, "_measures.*", failed.alias("base_failed"),
+    return measured.select(F.col("doc_id").alias(id_column), "_measures.*", failed.alias("base_failed"),
                            (~failed & ~rejected_by(cutoffs, "_stratum", strata)).alias("kept"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",
          stratum_column: str = "lang", strata: tuple[str, ...] = STRATA) -> DataFrame:
-    """The rows of ``docs`` that :func:`judged` keeps, with their columns.
+    """The rows of ``docs`` that :func:`judged` keeps, with their columns, whatever their names.
 
     Measures are taken twice, first of labelled documents only, so that no text has to be moved or stored.
     """
     ids = staged(labels.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id")).distinct(), "labelled")
-    thin = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("_text"),
-                       docs[stratum_column].cast("string").alias("_stratum"))
-    held = with_measures(picked(thin, ids), "_text").select("doc_id", "_stratum", "_measures")
-    cutoffs = select_cutoffs(holdout_counts(held, labels, "doc_id", "_stratum", strata))
-    return with_measures(docs, text_column).where(~base_failed() & ~rejected_by(cutoffs, stratum_column, strata)) \
-        .drop("_measures")
+    thin = _thin(docs, id_column, text_column, stratum_column)
+    held = with_measures(picked(thin, ids), "_text").drop("_text")
+    cutoffs = select_cutoffs(holdout_counts(held, labels, "doc_id", "_stratum", strata, "_mark"))
+    name = free_name(docs)
+    return with_measures(docs, text_column, name).where(~base_failed(name) & ~rejected_by(cutoffs, stratum_column, strata, name)) \
+        .drop(name)

@@ -157,7 +157,7 @@ def test_junk_goes_in_a_small_stratum(spark):
     rows += [(5000 + i, text(30, junk=10), "de") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     labels = docs.selectExpr("doc_id", "int(doc_id < 5000) AS quality", "0 AS toxic")
-    counts = quality.holdout_counts(quality.with_measures(docs), labels, "doc_id", "lang", quality.STRATA)
+    counts = quality.holdout_counts(quality.with_measures(docs.withColumn("mark", F.xxhash64("text"))), labels, "doc_id", "lang", quality.STRATA, "mark")
     ratio = 30 / 60  # exclamations per word of document 7
     assert counts["de"] == (250, {quality.UNION: [
         int(ratio > step.get("exclamations_per_word", 9)) for step in quality.LADDER]})
@@ -176,3 +176,24 @@ def test_rows(spark, odd_docs, no_docs):
     assert got.where((F.col("base_failed") != failed) | (F.col("kept") & failed)).count() == 0
     assert quality.judged(no_docs, labels).count() == 0 and quality.kept(no_docs, labels).count() == 0
     assert quality.kept(odd_docs, labels).columns == odd_docs.columns
+
+
+def test_copies_are_one_trial(spark):
+    """Rows under one id, and copies of one text, certify nothing that one document would not."""
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, "de")] * 300 + [(10 + i, words + " copied", "fr") for i in range(300)] + [(1000 + i, f"{words} x{i}", "en") for i in range(250)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(d,) for d in {r[0] for r in rows}], "doc_id bigint").selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    marked = quality.with_measures(docs.withColumn("mark", F.xxhash64("text")))
+    counts = quality.holdout_counts(marked, labels, "doc_id", "lang", quality.STRATA, "mark")
+    assert {s: n for s, (n, _) in counts.items()} == {"de": 1, "fr": 1, "en": 250, "es": 0, "other": 0}
+    assert {c.stratum for c in quality.select_cutoffs(counts)} == {"en"}
+
+
+def test_columns_may_have_any_name(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(30 + i)), "en", 1, 2, "x") for i in range(5)] + [(9, "short", "en", 1, 2, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, _measures int, _MEASURES_ int, _mark string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    left = quality.kept(docs, labels)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == list(range(5))
+    assert quality.judged(docs, labels).where("kept").count() == 5
