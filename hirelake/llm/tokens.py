@@ -17,8 +17,11 @@ import pyarrow.compute as pc
 
 from hirelake.llm.batches import gather
 
-# Words a worker keeps before it starts anew.
-MEMO_WORDS = 500_000
+# What a worker keeps of words and their ids before it starts anew, in bytes, by a rough count of what an
+# entry takes; words longer than this are not kept, so text without white space fills nothing.
+MEMO_BYTES = 64 << 20
+ENTRY_BYTES = 200
+WORD_CHARS = 64
 # Words whose pre-tokens are plain to see: letters, then signs. Everything else takes the library's
 # whole path.
 PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*%&$#|]*)")
@@ -60,6 +63,7 @@ class Encoder:
         self.index: dict[str, int] = {}
         self.starts, self.flat = array("q", [0]), array("I")
         self.parts: dict[str, list[int]] = {}
+        self.held = 0
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -69,7 +73,10 @@ class Encoder:
         found = self.parts.get(text)
         if found is None:
             spelled = text.encode().decode("latin-1").translate(self.letters)
-            found = self.parts[text] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+            found = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+            if len(text) <= WORD_CHARS:
+                self.parts[text] = found
+                self.held += ENTRY_BYTES + len(text) + 32 * len(found)
         return found
 
     def word(self, text: str) -> list[int]:
@@ -86,12 +93,17 @@ class Encoder:
         return ids + self.part(signs) if signs else ids
 
     def entry(self, word: str) -> int:
-        """Where the word's ids are kept."""
+        """Where the word's ids are, until the next call of :meth:`encode` or for longer."""
         found = self.index.get(word)
         if found is None:
-            found = self.index[word] = len(self.starts) - 1
-            self.flat.extend(self.word(word))
+            found = len(self.starts) - 1
+            ids = self.word(word)
+            self.flat.extend(ids)
             self.starts.append(len(self.flat))
+            if len(word) <= WORD_CHARS:
+                self.index[word] = found
+                self.held += ENTRY_BYTES + len(word)
+            self.held += 4 * len(ids) + 8
         return found
 
     def entries(self, words: list[str]) -> np.ndarray:
@@ -104,7 +116,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (null: empty), and how many each text has."""
-        if len(self.index) > MEMO_WORDS:
+        if self.held > MEMO_BYTES:
             self.clear()
         texts = pc.fill_null(texts, "")
         entries, counts = (self._spaced if self.spaces else self._plain)(texts)

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 def test_queries_equal_their_sql(spark):
     for name, sql in CHECKS.items():
         con = duckdb.connect()
-        for t in ("documents", "embeddings", "pages"):
+        for t in ("documents", "embeddings", "pages", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         shown = con.sql(sql)
         got = QUERIES[name](spark, SF)
