@@ -1,11 +1,13 @@
 """Token-id files under a Re-Pair grammar per shard, with random access.
 
-Round by round the frequent neighbouring pairs of a shard become nonterminals, until no pair is frequent
-or all 16-bit symbols are in use. A round counts all pairs of the shard, takes the most frequent
-ones and replaces their occurrences from left to right. Pairs across the end of a document stay, so
-every document begins with a symbol of its own. A shard holds its rules, the expansion length of every
-rule, the symbols, and per document the id, symbols and tokens: any token range of a document is
-found by summing expansion lengths, without expanding what lies before.
+Pass by pass the frequent neighbouring pairs of a shard become nonterminals. A limit falls from level to
+level; a pass takes all pairs that reach it, and of overlapping occurrences the more frequent pair wins. At the
+last level a rule still pays: it costs two symbols and a length, an occurrence saves one symbol. Passes go on
+there until no pair is left that often; from the second on they count the pairs of new symbols alone. Pairs
+across the end of a document stay, so every document begins with a symbol of its own. A shard holds its rules,
+the expansion length of every rule, the symbols, and per document the id, symbols and tokens: any token
+range of a document is found by summing expansion lengths, without expanding what lies before. Symbols
+take as many bits as the shard's largest one needs.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ from hirelake.llm.tokens import encoder
 from hirelake.session import staged, staging_path
 
 SHARD_TOKENS = 1 << 20
-SYMBOLS = 1 << 16
-# A pair must come this often in a shard to become a rule, and a round makes so many rules at most.
-FREQUENT = 24
-RULES_PER_ROUND = 4096
-SLOT_BITS = 20
-MAGIC = b"RPG1"
-HEADER = struct.Struct("<4sIIII")
+# The fewest occurrences that a rule is made for, and the limits of the passes: the first one, and how they fall.
+FREQUENT = 4
+FIRST_LEVEL = 1024
+LEVEL_STEP = 4
+# Pairs are counted by a hash first.
+HASH_BITS = 21
+MAGIC = b"RPG2"
+HEADER = struct.Struct("<4sIIIIBB")
 
 
 def compress(ids: np.ndarray, counts: np.ndarray, first_rule: int,
@@ -48,56 +51,101 @@ def compress(ids: np.ndarray, counts: np.ndarray, first_rule: int,
     last[np.cumsum(counts)[counts > 0] - 1] = True
     rules: list[np.ndarray] = []
     used = first_rule
-    while used < SYMBOLS and len(symbols) > 1:
-        keys = symbols[:-1] << np.uint32(16) | symbols[1:]
-        within = ~last[:-1]
-        order = np.sort(keys[within])
-        if not len(order):
-            break
-        edges = np.flatnonzero(order[1:] != order[:-1]) + 1
-        heads = np.concatenate([[0], edges])
-        sizes = np.diff(np.concatenate([heads, [len(order)]]))
-        often = np.flatnonzero(sizes >= frequent)
-        room = min(RULES_PER_ROUND, SYMBOLS - used)
-        if len(often) > room:
-            often = np.sort(often[np.argsort(-sizes[often], kind="stable")[:room]])
-        if not len(often):
-            break
-        chosen = order[heads[often]]
-        # Found by a hash of the pair; of two pairs under one hash the second waits for the next round.
-        slots = np.zeros(1 << SLOT_BITS, np.uint16)
-        slots[slot(chosen)] = np.arange(len(chosen))
-        chosen = chosen[slots[slot(chosen)] == np.arange(len(chosen))]
-        slots[slot(chosen)] = np.arange(len(chosen))
-        at = slots[slot(keys)]
-        hit = np.flatnonzero(within & (chosen[at] == keys))
-        # Of neighbouring hits, every second one from the left.
-        start = np.concatenate([[True], hit[1:] != hit[:-1] + 1])
-        run = np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        symbols[hit] = at[hit].astype(np.uint32) + np.uint32(used)
-        last[hit] = last[hit + 1]
+    level = max(frequent, FIRST_LEVEL)
+    fresh = None
+    while len(symbols) > 1:
+        at = likely(symbols, last, level) if fresh is None else fresh
+        pos, group, pairs = chosen(symbols, at, level, frequent)
+        if not len(pos):
+            if level == frequent and fresh is None:
+                break
+            # At the last level all pairs are counted once more: an overlap may have held one back.
+            level, fresh = max(frequent, level // LEVEL_STEP), None
+            continue
+        symbols[pos] = group.astype(np.uint32) + np.uint32(used)
+        last[pos] = last[pos + 1]
         keep = np.ones(len(symbols), bool)
-        keep[hit + 1] = False
+        keep[pos + 1] = False
         symbols, last = symbols[keep], last[keep]
-        rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], axis=1))
-        used += len(chosen)
+        rules.append(pairs)
+        used += len(pairs)
+        if level > frequent:
+            level = max(frequent, level // LEVEL_STEP)
+            continue
+        made = pos - np.arange(len(pos))
+        fresh = np.stack([made - 1, made], axis=1).reshape(-1)
+        fresh = fresh[(fresh >= 0) & (fresh < len(symbols) - 1) & (np.diff(fresh, prepend=-2) > 0)]
+        fresh = fresh[~last[fresh]]
     ends = np.flatnonzero(last) + 1
     own = np.zeros(len(counts), np.int64)
     own[counts > 0] = np.diff(np.concatenate([[0], ends]))
-    made = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-    return made, symbols, own
+    return np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), symbols, own
 
 
-def slot(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint32(2654435761)) >> np.uint32(32 - SLOT_BITS)
+def likely(symbols: np.ndarray, last: np.ndarray, level: int) -> np.ndarray:
+    """Where pairs begin that may come ``level`` times: no pair is more frequent than its hash's slot."""
+    slots = (symbols[:-1] * np.uint32(2654435761) + symbols[1:] * np.uint32(2246822519)) >> np.uint32(32 - HASH_BITS)
+    return np.flatnonzero((np.bincount(slots, minlength=1 << HASH_BITS) >= level)[slots] & ~last[:-1])
+
+
+def chosen(symbols: np.ndarray, at: np.ndarray, level: int,
+           frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, number of the pair at each, pairs) to replace, of the pairs that begin at ``at``.
+
+    A pair has to come ``level`` times, and ``frequent`` times without those that lie over a better one's.
+    """
+    keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
+    order = np.argsort(keys)
+    keys = keys[order]
+    heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+    sizes = np.diff(np.append(heads, len(keys)))
+    often = sizes >= level
+    places = at[order[np.repeat(often, sizes)]]
+    pairs, sizes = keys[heads[often]], sizes[often]
+    # Ranks by frequency tell pairs apart from here on; 0 is no pair.
+    by_size = np.argsort(sizes, kind="stable")
+    rank = np.empty(len(sizes), np.int32)
+    rank[by_size] = np.arange(1, len(sizes) + 1)
+    pairs = pairs[by_size]
+    at_place = np.zeros(len(symbols) + 1, np.int32)
+    at_place[places + 1] = np.repeat(rank, sizes)
+    pos = np.flatnonzero(at_place) - 1
+    own = at_place[pos + 1]
+    wins = (own >= at_place[pos]) & (own >= at_place[pos + 2])
+    pos, own = pos[wins], own[wins] - 1
+    # Neighbours left over are a run of one symbol: every second one, from the left.
+    start = np.append(True, pos[1:] != pos[:-1] + 1)[:len(pos)]
+    run = np.maximum.accumulate(np.where(start, np.arange(len(pos)), 0))
+    taken = (np.arange(len(pos)) - run) % 2 == 0
+    pos, own = pos[taken], own[taken]
+    pays = np.bincount(own, minlength=len(pairs)) >= frequent
+    taken = pays[own]
+    pairs = pairs[pays]
+    return pos[taken], (np.cumsum(pays) - 1)[own[taken]], \
+        np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+
+
+def stages(rules: np.ndarray, first_rule: int) -> Iterator[tuple[int, int]]:
+    """Spans of rules, in order, none of which holds a symbol of its own span."""
+    highest = np.maximum.accumulate(rules.max(axis=1)) if len(rules) else np.zeros(0, np.int64)
+    start = 0
+    while start < len(rules):
+        stop = int(np.searchsorted(highest, first_rule + start))
+        yield start, stop
+        start = stop
+
+
+def wide(values: np.ndarray, bits: int) -> bytes:
+    """Numbers of so many bits: the low 16 of each, then every further bit of all."""
+    return values.astype("<u2").tobytes() + b"".join(
+        np.packbits((values >> np.uint32(bit)) & np.uint32(1)).tobytes() for bit in range(16, bits))
 
 
 class Shard:
     """A shard's bytes, decoded as needed."""
 
     def __init__(self, data: bytes):
-        magic, self.first_rule, n_rules, n_symbols, n_docs = HEADER.unpack_from(data)
+        magic, self.first_rule, n_rules, n_symbols, n_docs, bits, size_bytes = HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("no shard of token ids")
         at = HEADER.size
@@ -108,9 +156,15 @@ class Shard:
             at += made.nbytes
             return made
 
-        self.rules = take("<u2", 2 * n_rules).reshape(-1, 2).astype(np.int64)
-        self.rule_sizes = take("<u4", n_rules)
-        self.symbols = take("<u2", n_symbols)
+        def take_wide(n: int) -> np.ndarray:
+            made = take("<u2", n).astype(np.int64)
+            for bit in range(16, bits):
+                made |= np.unpackbits(take("u1", (n + 7) // 8), count=n).astype(np.int64) << bit
+            return made
+
+        self.rules = take_wide(2 * n_rules).reshape(-1, 2)
+        self.rule_sizes = take(f"<u{size_bytes}", n_rules)
+        self.symbols = take_wide(n_symbols)
         self.doc_symbols, self.doc_tokens = take("<u4", n_docs), take("<u4", n_docs)
         self.doc_ids, self.doc_null = take("<i8", n_docs), take("u1", n_docs).astype(bool)
 
@@ -118,11 +172,13 @@ class Shard:
     def pack(ids: np.ndarray, counts: np.ndarray, doc_ids: np.ndarray, doc_null: np.ndarray,
              first_rule: int) -> bytes:
         rules, symbols, own = compress(ids, counts, first_rule)
-        sizes = expansion_sizes(rules.astype(np.int64), first_rule)
+        sizes = expansion_sizes(rules.astype(np.int64), first_rule)[first_rule:]
+        bits = max(16, (first_rule + len(rules) - 1).bit_length())
+        size_bytes = next(n for n in (1, 2, 4) if sizes.max(initial=0) < 1 << 8 * n)
         return b"".join([
-            HEADER.pack(MAGIC, first_rule, len(rules), len(symbols), len(counts)),
-            rules.astype("<u2").tobytes(), sizes[first_rule:].astype("<u4").tobytes(),
-            symbols.astype("<u2").tobytes(), own.astype("<u4").tobytes(), counts.astype("<u4").tobytes(),
+            HEADER.pack(MAGIC, first_rule, len(rules), len(symbols), len(counts), bits, size_bytes),
+            wide(rules.reshape(-1), bits), sizes.astype(f"<u{size_bytes}").tobytes(),
+            wide(symbols, bits), own.astype("<u4").tobytes(), counts.astype("<u4").tobytes(),
             doc_ids.astype("<i8").tobytes(), doc_null.astype("u1").tobytes()])
 
     @cached_property
@@ -136,11 +192,12 @@ class Shard:
         starts = offsets_of(self.sizes)
         flat = np.empty(int(starts[-1]), "<u4")
         flat[:self.first_rule] = np.arange(self.first_rule)
-        for i, (a, b) in enumerate(self.rules.tolist()):
-            at = int(starts[self.first_rule + i])
-            n = int(starts[a + 1] - starts[a])
-            flat[at:at + n] = flat[starts[a]:starts[a] + n]
-            flat[at + n:starts[self.first_rule + i + 1]] = flat[starts[b]:starts[b + 1]]
+        for first, after in stages(self.rules, self.first_rule):
+            target = starts[self.first_rule + first:self.first_rule + after]
+            for symbol in self.rules[first:after].T:
+                n = self.sizes[symbol]
+                flat[gather(target, n)] = flat[gather(starts[symbol], n)]
+                target = target + n
         return flat, starts
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
@@ -165,10 +222,11 @@ class Shard:
 
 
 def expansion_sizes(rules: np.ndarray, first_rule: int) -> np.ndarray:
-    sizes = [1] * first_rule
-    for a, b in rules.tolist():
-        sizes.append(sizes[a] + sizes[b])
-    return np.array(sizes, np.int64)
+    """Tokens of every symbol, the rules' after the ids'."""
+    sizes = np.ones(first_rule + len(rules), np.int64)
+    for first, after in stages(rules, first_rule):
+        sizes[first_rule + first:first_rule + after] = sizes[rules[first:after]].sum(axis=1)
+    return sizes
 
 
 def write(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text",
@@ -183,15 +241,14 @@ def write(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_colu
     folder = staging_path(docs.sparkSession, "token-files")
     rows = docs.select(docs[id_column].cast("bigint").alias("id"),
                        F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.xxhash64("text"))
-    order = [F.col("id").asc_nulls_first(), F.col("tie")]
+    # The number tells equal rows apart, so that those of one hot row go to several tasks.
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("id").asc_nulls_first(), F.col("tie"), F.col("row")]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
 
     def work(batches) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
         first_rule = coder.tokenizer.get_vocab_size()
-        if first_rule > SYMBOLS:
-            raise ValueError("the vocabulary has more ids than 16 bits hold")
         made: list[tuple] = []
         path = stream = None
         at = before = 0

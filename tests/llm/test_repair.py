@@ -49,6 +49,65 @@ def test_rules_stand_on_earlier_symbols_and_sizes_hold():
         assert made.sizes[FIRST + i] == made.sizes[a] + made.sizes[b]
 
 
+def pair_counts(made):
+    """Occurrences of every pair inside the documents, those of a run of one symbol not over one another."""
+    seen = {}
+    at = 0
+    for n in made.doc_symbols.tolist():
+        own, at = made.symbols[at:at + n].tolist(), at + n
+        taken = -1
+        for i, pair in enumerate(zip(own, own[1:])):
+            if pair[0] == pair[1] and taken == i - 1:
+                continue
+            taken = i if pair[0] == pair[1] else -1
+            seen[pair] = seen.get(pair, 0) + 1
+    return seen
+
+
+def test_what_is_left_is_rare():
+    for seed in range(6):
+        docs = random_docs(seed, 120)
+        made = shard(docs)
+        assert made.all_ids().tolist() == [i for d in docs for i in d]
+        left = [n for n in pair_counts(made).values() if n >= repair.FREQUENT]
+        # Only pairs that lie over one another may be left, and few of them.
+        assert len(left) <= 2
+    tail = [9, 8, 7]
+    made = shard([[100 + i, *tail, 200 + i] for i in range(repair.FREQUENT)])
+    assert len(made.rules) == 2 and len(made.symbols) == 3 * repair.FREQUENT
+    assert not len(shard([[100 + i, *tail, 200 + i] for i in range(repair.FREQUENT - 1)]).rules)
+
+
+def test_symbols_past_sixteen_bits():
+    drawn = np.random.default_rng(3)
+    pairs = drawn.integers(0, FIRST, (20_000, 2))
+    docs = [pairs[i].tolist() for _ in range(4) for i in drawn.permutation(20_000)]
+    made = shard([sum(docs[i:i + 50], []) for i in range(0, len(docs), 50)])
+    assert FIRST + len(made.rules) > 1 << 16 and made.symbols.max() >= 1 << 16
+    assert made.all_ids().tolist() == [i for d in docs for i in d]
+    assert made.document(7, 20, 41).tolist() == sum(docs[350:400], [])[20:41]
+
+
+def test_long_copies():
+    drawn = np.random.default_rng(4)
+    text = drawn.integers(0, FIRST, 3000).tolist()
+    made = shard([text] * 64)
+    assert made.doc_symbols.tolist() == [1] * 64 and made.rule_sizes.max() == 3000
+    assert made.document(63, 2990).tolist() == text[2990:]
+
+
+def test_equal_rows_go_to_several_tasks(spark):
+    docs = spark.range(20_000).selectExpr("CAST(NULL AS bigint) AS doc_id", "'' AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = repair.write(docs, WORDS)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert manifest.select("file").distinct().count() > 1
+    got = repair.read(manifest, with_ids=False)
+    assert got.count() == 20_000 and got.agg({"start": "max"}).first()[0] == 19_999
+
+
 def test_pairs_across_documents_stay():
     made = shard([[5, 1]] * 100)
     assert made.doc_symbols.tolist() == [1] * 100
