@@ -2,6 +2,8 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +106,109 @@ def test_order_of_arrival_changes_nothing_within_the_delay(feed, rows):
         ("k", minutes(10), minutes(35), "b", 2), ("k", minutes(50), minutes(60), "c", 1), ("far", minutes(300), minutes(301), "f", 1)], key=repr)
 
 
+class FakeState:
+    """One state variable of a key, counting the calls made to it."""
+
+    calls = 0
+
+    def __init__(self):
+        self.held = None
+
+    def get(self):
+        FakeState.calls += 1
+        return self.held if self.held is not None or not isinstance(self, FakeList) else []
+
+    def update(self, value):
+        FakeState.calls += 1
+        self.held = value
+
+    put = update
+
+    def clear(self):
+        self.update(None)
+
+
+class FakeList(FakeState):
+    def appendList(self, values):
+        FakeState.calls += 1
+        self.held = [*(self.held or []), *values]
+
+
+class FakeHandle:
+    def __init__(self):
+        self.timers = set()
+
+    def getValueState(self, name, schema):
+        return FakeState()
+
+    def getListState(self, name, schema):
+        return FakeList()
+
+    def registerTimer(self, at):
+        FakeState.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        FakeState.calls += 1
+        self.timers.discard(at)
+
+
+class FakeTimes:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def ended_by_loop(writes, reached):
+    """Lifetimes over by ``reached``, one write after the other."""
+    live, over = {}, []
+    for key, at, version, value, expires in sorted(writes, key=lambda w: (w[1], w[2], w[3] is not None, w[3] or "", w[4])):
+        before = live.get(key)
+        if before is not None and before[2] < at:
+            over.append(before)
+            before = None
+        live[key] = (key, at if before is None else before[1], expires, value, 1 if before is None else before[4] + 1)
+    return sorted([*over, *(e for e in live.values() if e[2] < reached)], key=repr)
+
+
+def test_state_calls_do_not_grow_with_the_keys():
+    rng = np.random.default_rng(7)
+    keys = [None, *(f"k{i}" for i in range(400))]
+    writes = []
+    for version in range(4000):
+        at = 1_000_000 * int(rng.integers(1, 300))
+        writes.append((keys[int(rng.integers(len(keys)))], at, version // 2, None if version % 5 == 0 else f"v{version}",
+                       at + 1_000_000 * int(rng.integers(-1, 60))))
+    writes += writes[:50]
+    entry, handle = entries.Entries(), FakeHandle()
+    entry.init(handle)
+    FakeState.calls = 0
+    got, before = [], 0
+    for mark in (40_000, 40_500, 200_000, 1_000_000):  # milliseconds
+        arrived = [w for w in writes if before < w[1] // 1000 <= mark + 90_000]
+        writes_now = pd.DataFrame(arrived, columns=list(entries.WRITE)).astype({"key": object, "value": object})
+        before = mark + 90_000
+        assert not list(entry.handleInputRows((3,), iter([writes_now] if len(arrived) else []), FakeTimes(0 if mark == 40_000 else last)))
+        last = mark
+        for at in sorted(t for t in handle.timers if t <= mark):
+            handle.timers.discard(at)
+            for made in entry.handleExpiredTimer((3,), FakeTimes(mark), None):
+                got += [tuple(None if v is None else v for v in r) for r in made.itertuples(index=False)]
+    assert sorted(got, key=repr) == ended_by_loop(writes, 1_000_000_000)
+    assert FakeState.calls < 60
+
+
+def test_keys_of_one_bucket_stay_apart(feed, rows, monkeypatch):
+    monkeypatch.setattr(entries, "BUCKETS", 1)
+    feed.add([(f"k{i}", i, "a", minutes(i), 600) for i in range(20)] + [(None, 50, "n", minutes(3), 60)], WRITES)
+    feed.add([(f"k{i}", 20 + i, "b", minutes(9 + i), 60) for i in range(20)], WRITES)
+    feed.add([("end", 60, "e", minutes(900), 60)], WRITES)
+    assert rows(lifetimes(feed), *SHOWN) == sorted(
+        [(f"k{i}", minutes(i), minutes(10 + i), "b", 2) for i in range(20)] + [(None, minutes(3), minutes(4), "n", 1)], key=repr)
+
+
 def test_a_replayed_batch_is_harmless(feed, rows, tmp_path):
     feed.add([("k", 1, "a", minutes(0), 60)], WRITES)
     feed.add([("x", 2, "b", minutes(600), 60)], WRITES)
