@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from hirelake.functions.text import or_text
 from hirelake.operators.keys import lookup
 from hirelake.operators.reporting import latest_per_application
 
+# Records repeat their field names and most of their words; readers unpack by the file's ending.
+CODEC = "gzip"
 MANIFEST_SCHEMA = "application_id BIGINT"
 
 
@@ -107,7 +110,7 @@ def export(applications: DataFrame, jobs: DataFrame, companies: DataFrame, conta
 
     A pass writes only folders of its own number; the row appended to ``commits`` at the end makes them count, so a
     pass that dies at any step leaves the state before it and is overwritten by the next one. Ids are picked
-    before anything is joined. Files are sorted by update time. Nothing is written when nothing is new.
+    before anything is joined. Files are sorted by update time and packed (:data:`CODEC`). Nothing is written when nothing is new.
     With ``export_all`` earlier passes are forgotten.
     """
     spark = applications.sparkSession
@@ -126,12 +129,15 @@ def export(applications: DataFrame, jobs: DataFrame, companies: DataFrame, conta
         .join(chosen.withColumnRenamed("id", "application_id"), "application_id")
     path = f"{out}/records/pass={number}"
     listed.write.mode("overwrite").parquet(path)
-    listed = spark.read.schema(listed.schema).parquet(path)
-    fresh = listed.where("_new").drop("_new").orderBy("updated_at", "application_id")
-    fresh.write.mode("overwrite").json(f"{out}/export_{stamp}.json")
-    fresh.write.mode("overwrite").option("header", True).csv(f"{out}/export_{stamp}.csv")
-    listed.drop("_new").orderBy("updated_at", "application_id") \
-        .write.mode("overwrite").option("header", True).csv(f"{out}/latest/pass={number}")
+    # Sorted once for all files. What an executor loses of it is sorted again from the records.
+    ordered = spark.read.schema(listed.schema).parquet(path).orderBy("updated_at", "application_id").persist(StorageLevel.DISK_ONLY)
+    try:
+        fresh = ordered.where("_new").drop("_new")
+        fresh.write.mode("overwrite").json(f"{out}/export_{stamp}.json", compression=CODEC)
+        fresh.write.mode("overwrite").csv(f"{out}/export_{stamp}.csv", header=True, compression=CODEC)
+        ordered.drop("_new").write.mode("overwrite").csv(f"{out}/latest/pass={number}", header=True, compression=CODEC)
+    finally:
+        ordered.unpersist()
     made = Exported(number, new, before + new)
     row = (number, stamp, number if fresh_start else last["base"], new, made.total)
     spark.createDataFrame([row], COMMITS).coalesce(1).write.mode("append").parquet(f"{out}/commits")

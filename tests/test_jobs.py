@@ -89,6 +89,25 @@ def test_a_pass_that_dies_leaves_the_state_before(spark, shop, tmp_path):
     assert export.commits(spark, out).count() == 1
 
 
+def test_export_files_are_sorted_once_and_packed(spark, shop, tmp_path):
+    many = spark.range(500).select(
+        "id", F.lit("RUN-1").alias("run_id"), F.lit(10).cast("bigint").alias("job_id"), F.lit(None).cast("bigint").alias("contact_id"),
+        F.lit(3).cast("bigint").alias("current_stage"), F.lit("Filtering").alias("state"), F.lit(None).cast("double").alias("score"),
+        F.lit(None).cast("string").alias("tailored_resume_path"),
+        (F.lit(DAY).cast("timestamp_ntz") + F.make_dt_interval(F.pmod(F.col("id") * 37, F.lit(50)).cast("int"))).alias("updated_at"))
+    out = str(tmp_path / "exports")
+    args = [shop[t] for t in ("jobs", "companies", "contacts", "emails")]
+    export.export(many.where("id < 200"), *args, out, "a")
+    export.export(many, *args, out, "b")
+    for name, n in (("export_a.json", 200), ("export_b.json", 300), ("export_b.csv", 300), ("latest/pass=1", 500)):
+        parts = sorted((tmp_path / "exports" / name).glob("part-*"))
+        assert parts and all(part.name.endswith(".gz") for part in parts)
+        read = spark.read.json if "json" in name else spark.read.option("header", True).csv
+        got = [(r["updated_at"], int(r["application_id"])) for part in parts for r in read(str(part)).collect()]
+        assert len(got) == n and got == sorted(got)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
+
+
 def test_status_report(spark, rows):
     companies = spark.createDataFrame([(1, "Acme Corp", None, None, None)], COMPANY)
     jobs = spark.createDataFrame([(10, 1, "Senior Engineer", None, None, None, None)], JOB)
