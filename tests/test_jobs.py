@@ -108,6 +108,23 @@ def test_export_files_are_sorted_once_and_packed(spark, shop, tmp_path):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0
 
 
+def test_audit_rows_are_narrow(spark, rows):
+    tables = {
+        "companies": spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (None, None)], "id BIGINT, name STRING"),
+        "jobs": spark.createDataFrame([(1, 1, "u"), (2, 7, "u"), (3, None, None), (7, 7, "w")], "id INT, company_id INT, url STRING"),
+        "contacts": spark.createDataFrame([("x", 2, "m"), ("x", 9, "m"), ("z", 1, None)], "id STRING, company_id BIGINT, email STRING"),
+        "applications": spark.createDataFrame([(1, "r", "3", "x"), (2, "r", "4", "9")], "id BIGINT, run_id STRING, job_id STRING, contact_id STRING")}
+    found = audit.integrity(tables)
+    assert dict(rows(found)) == {
+        "unique companies.id": 1, "unique companies.name": 1, "unique jobs.id": 0, "unique jobs.url": 1, "unique contacts.id": 1,
+        "unique contacts.email": 1, "unique applications.id": 0, "reference jobs.company_id": 2, "reference contacts.company_id": 1,
+        "reference applications.job_id": 1, "reference applications.contact_id": 1}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    grouped = next(line for line in plan.splitlines() if "keys=[space" in line and "partial_count" in line)
+    assert grouped.count("partial_count(") == 3  # keys, and two references to one parent at most
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
+
+
 def test_status_report(spark, rows):
     companies = spark.createDataFrame([(1, "Acme Corp", None, None, None)], COMPANY)
     jobs = spark.createDataFrame([(10, 1, "Senior Engineer", None, None, None, None)], JOB)
