@@ -341,8 +341,9 @@ def with_contacts(moved: DataFrame, contacts: DataFrame) -> DataFrame:
 
     A mailbox belongs to the stored contact that has it, else to the contact of the first row that finds it in this run
     (``setter``); a row that finds one owned by another contact is linked to that one. A contact linked to rows of several
-    companies keeps the first mailbox found for it.
+    companies keeps the first mailbox found for it. The rows are read three times, so they are written once.
     """
+    moved = staged(moved, "moved")
     made = created_contacts(moved, contacts).select(F.col("company_id").alias("_company"), F.col("id").alias("_made"))
     rows = lookup(moved, made, [F.when(_chosen() & F.col("contact.id").isNull(), F.col("company_id"))], ["_company"], "id")
     rows = rows.withColumn("own_contact", F.coalesce("contact.id", "_made")).drop("_made")

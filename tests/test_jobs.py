@@ -125,6 +125,20 @@ def test_audit_rows_are_narrow(spark, rows):
     assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "16m"
 
 
+def test_rows_of_a_run_are_settled_once(spark, rows, tmp_path):
+    contact = advance.CONTACT
+    moved = spark.createDataFrame(
+        [(1, 5, "Acme", None, 3, 7, None, None, "a@x.com", None), (2, 5, "Acme", None, 3, 7, None, (None, "p", "r", None), "b@x.com", None)],
+        f"id BIGINT, company_id BIGINT, company_name STRING, contact_id BIGINT, start INT, end INT, linked {contact}, contact {contact}, "
+        "guess STRING, owner BIGINT")
+    moved.write.parquet(str(tmp_path / "settled"))
+    contacts = spark.createDataFrame([(40, 1, "Jo", "CTO", None)], CONTACT)
+    out = advance.with_contacts(spark.read.parquet(str(tmp_path / "settled")), contacts)
+    assert rows(out, "id", "own_contact", "final_contact") == [(1, 41, 41), (2, 41, 41)]
+    # The rows come from what was written of them, not from the plan that settled them.
+    assert not [f for f in out.inputFiles() if "/settled/" in f]
+
+
 def test_status_report(spark, rows):
     companies = spark.createDataFrame([(1, "Acme Corp", None, None, None)], COMPANY)
     jobs = spark.createDataFrame([(10, 1, "Senior Engineer", None, None, None, None)], JOB)
