@@ -34,8 +34,9 @@ SHARD_TOKENS = 1 << 20
 FREQUENT = 4
 FIRST_LEVEL = 1024
 LEVEL_STEP = 4
-# Pairs are counted by a hash first.
+# Pairs are counted by a hash first, whose table halves as a level doubles: there is room for what falls together.
 HASH_BITS = 21
+LEAST_HASH_BITS = 16
 MAGIC = b"RPG2"
 HEADER = struct.Struct("<4sIIIIBB")
 
@@ -84,8 +85,26 @@ def compress(ids: np.ndarray, counts: np.ndarray, first_rule: int,
 
 def likely(symbols: np.ndarray, last: np.ndarray, level: int) -> np.ndarray:
     """Where pairs begin that may come ``level`` times: no pair is more frequent than its hash's slot."""
-    slots = (symbols[:-1] * np.uint32(2654435761) + symbols[1:] * np.uint32(2246822519)) >> np.uint32(32 - HASH_BITS)
-    return np.flatnonzero((np.bincount(slots, minlength=1 << HASH_BITS) >= level)[slots] & ~last[:-1])
+    bits = min(HASH_BITS, max(LEAST_HASH_BITS, HASH_BITS + 3 - level.bit_length()))
+    slots = (symbols[:-1] * np.uint32(2654435761) + symbols[1:] * np.uint32(2246822519)) >> np.uint32(32 - bits)
+    slots = slots.astype(np.intp)
+    return np.flatnonzero((np.bincount(slots, minlength=1 << bits) >= level).take(slots) & ~last[:-1])
+
+
+def by_pair(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that begin at ``at``, sorted, and where each one begins."""
+    width, room = int(symbols.max()).bit_length(), len(symbols).bit_length()
+    left, right = symbols[at].astype(np.uint64), symbols[at + 1].astype(np.uint64)
+    if 2 * width + room > 64:
+        keys = left << np.uint64(32) | right
+        order = np.argsort(keys)
+        return keys[order], at[order]
+    # Pair and place in one number: sorted as such, several times faster than by an order.
+    keys = (left << np.uint64(width) | right) << np.uint64(room) | at.astype(np.uint64)
+    keys.sort()
+    places = (keys & np.uint64((1 << room) - 1)).astype(np.int64)
+    keys >>= np.uint64(room)
+    return (keys >> np.uint64(width)) << np.uint64(32) | keys & np.uint64((1 << width) - 1), places
 
 
 def chosen(symbols: np.ndarray, at: np.ndarray, level: int,
@@ -94,24 +113,23 @@ def chosen(symbols: np.ndarray, at: np.ndarray, level: int,
 
     A pair has to come ``level`` times, and ``frequent`` times without those that lie over a better one's.
     """
-    keys = symbols[at].astype(np.uint64) << np.uint64(32) | symbols[at + 1]
-    order = np.argsort(keys)
-    keys = keys[order]
+    keys, places = by_pair(symbols, at)
     heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
     sizes = np.diff(np.append(heads, len(keys)))
     often = sizes >= level
-    places = at[order[np.repeat(often, sizes)]]
+    places = places[np.repeat(often, sizes)]
     pairs, sizes = keys[heads[often]], sizes[often]
-    # Ranks by frequency tell pairs apart from here on; 0 is no pair.
+    # Ranks by frequency tell pairs apart from here on.
     by_size = np.argsort(sizes, kind="stable")
     rank = np.empty(len(sizes), np.int32)
     rank[by_size] = np.arange(1, len(sizes) + 1)
     pairs = pairs[by_size]
-    at_place = np.zeros(len(symbols) + 1, np.int32)
-    at_place[places + 1] = np.repeat(rank, sizes)
-    pos = np.flatnonzero(at_place) - 1
-    own = at_place[pos + 1]
-    wins = (own >= at_place[pos]) & (own >= at_place[pos + 2])
+    order = np.argsort(places)
+    pos, own = places[order], np.repeat(rank, sizes)[order]
+    beside = pos[1:] == pos[:-1] + 1
+    wins = np.ones(len(pos), bool)
+    wins[1:] &= ~beside | (own[1:] >= own[:-1])
+    wins[:-1] &= ~beside | (own[:-1] >= own[1:])
     pos, own = pos[wins], own[wins] - 1
     # Neighbours left over are a run of one symbol: every second one, from the left.
     start = np.append(True, pos[1:] != pos[:-1] + 1)[:len(pos)]

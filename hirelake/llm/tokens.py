@@ -2,7 +2,8 @@
 
 Both vocabularies cut a text where a character that is no white space is followed by white space:
 no pattern of their pre-tokenizers reaches over that point. A text's ids are therefore its
-words' ids in a row, and a worker keeps the ids of words it has met.
+words' ids in a row, and a worker keeps the ids of words it has met. For a vocabulary that drops
+white space, words are cut and looked up many at once, and only new ones become Python strings.
 """
 
 from __future__ import annotations
@@ -15,16 +16,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from hirelake.llm.batches import gather
+from hirelake.llm.batches import gather, offsets_of
 
 # What a worker keeps of words and their ids before it starts anew, in bytes, by a rough count of what an
 # entry takes; words longer than this are not kept, so text without white space fills nothing.
 MEMO_BYTES = 64 << 20
 ENTRY_BYTES = 200
 WORD_CHARS = 64
+# The same for words of a vocabulary that drops white space, in bytes as they lie in arrays.
+KNOWN_BYTES = 24 << 20
 # Words whose pre-tokens are plain to see: letters, then signs. Everything else takes the library's
 # whole path.
 PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*%&$#|]*)")
+LOW_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+# What a byte of a text stands for, and the byte in lower case. À to ÿ are two bytes, of which C3 is the first.
+SPACE, LETTER, SIGN, OTHER = range(4)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[list(b"\t\n\v\f\r ")] = SPACE
+KINDS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = LETTER
+KINDS[list(b".,;:!?*%&$#|")] = SIGN
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
 # A place between a character that is surely no white space and white space.
 CUT = re.compile(r"(?<=[\w!-~])(?=[ \n])")
 
@@ -45,6 +56,48 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def plain_parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII white space, and how many each text has.
+
+    Plain words are in lower case, their signs a word of their own; other words stay as they are.
+    """
+    none = pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+    texts = texts.cast(pa.string())
+    if not len(texts):
+        return none
+    marks = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset).astype(np.int64)
+    if marks[0] == marks[-1]:
+        return none
+    raw = np.frombuffer(texts.buffers()[2], np.uint8, marks[-1] - marks[0], marks[0])
+    marks -= marks[0]
+    kinds, low = KINDS[raw], LOWER[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]  # no × and ÷
+    kinds[lead] = kinds[lead + 1] = LETTER
+    low[lead + 1] += (raw[lead + 1] < 0x9F) * np.uint8(0x20)
+    inside = kinds != SPACE
+    head = inside.copy()
+    head[1:] &= ~inside[:-1]
+    begins = marks[:-1][marks[:-1] < len(raw)]
+    head[begins] = inside[begins]
+    marks -= np.searchsorted(np.flatnonzero(~inside), marks)
+    # From here on without white space.
+    kinds, low, raw, head = kinds[inside], low[inside], raw[inside], head[inside]
+    heads = np.flatnonzero(head)
+    if not len(heads):
+        return none
+    sign = kinds == SIGN
+    odd = (kinds == OTHER) | (sign & head)
+    odd[1:] |= sign[:-1] & (kinds[1:] == LETTER) & ~head[1:]
+    odd = np.repeat(np.logical_or.reduceat(odd, heads), np.diff(np.append(heads, len(head))))
+    head[1:] |= sign[1:] & ~sign[:-1] & ~odd[1:]
+    low = np.where(odd, raw, low)
+    starts = np.flatnonzero(head)
+    words = pa.Array.from_buffers(pa.string(), len(starts), [
+        None, pa.py_buffer(np.append(starts, len(low)).astype(np.int32)), pa.py_buffer(low)])
+    return words, np.diff(np.searchsorted(starts, marks))
+
+
 class Encoder:
     """Ids of texts under one vocabulary file; ``spaces`` tells whether its tokens hold white space."""
 
@@ -56,6 +109,7 @@ class Encoder:
         self.tokenizer.no_padding()
         self.spaces = self.tokenizer.normalizer is None
         self.letters = byte_letters()
+        self.inner_letters = {b: c for b, c in self.letters.items() if b != ord("\n")}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
@@ -64,6 +118,8 @@ class Encoder:
         self.starts, self.flat = array("q", [0]), array("I")
         self.parts: dict[str, list[int]] = {}
         self.held = 0
+        self.known, self.known_ids = pa.array([], pa.string()), np.zeros(0, np.uint32)
+        self.known_starts = np.zeros(1, np.int64)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -84,9 +140,7 @@ class Encoder:
         if plain is None:
             return self.whole(text)
         lead, letters, signs = plain.groups()
-        if not self.spaces:
-            ids = self.part(letters.lower())
-        elif lead == "\n":
+        if lead == "\n":
             ids = self.part("\n") + self.part(letters)
         else:
             ids = self.part(lead + letters)
@@ -116,12 +170,18 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (null: empty), and how many each text has."""
-        if self.held > MEMO_BYTES:
-            self.clear()
         texts = pc.fill_null(texts, "")
-        entries, counts = (self._spaced if self.spaces else self._plain)(texts)
-        starts = np.frombuffer(self.starts, dtype=np.int64)
-        flat = np.frombuffer(self.flat, dtype=np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
+        if self.spaces:
+            if self.held > MEMO_BYTES:
+                self.clear()
+            entries, counts = self._spaced(texts)
+            starts = np.frombuffer(self.starts, dtype=np.int64)
+            flat = np.frombuffer(self.flat, dtype=np.uint32) if len(self.flat) else np.zeros(0, np.uint32)
+        else:
+            words, counts = plain_parts(texts)
+            coded = words.dictionary_encode()
+            known, starts, flat = self._known(coded.dictionary)
+            entries = known[coded.indices.to_numpy(zero_copy_only=False)]
         first = starts[entries]
         lengths = starts[entries + 1] - first
         ids = flat[gather(first, lengths)]
@@ -129,13 +189,41 @@ class Encoder:
         stops = np.cumsum(counts)
         return ids, ends[stops] - ends[stops - counts]
 
-    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Words between ASCII white space, for a vocabulary that drops white space."""
-        words = pc.ascii_split_whitespace(texts)
-        coded = words.flatten().dictionary_encode()
-        known = self.entries(coded.dictionary.to_pylist())
-        counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        return known[coded.indices.to_numpy(zero_copy_only=False)], counts
+    def _known(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words, as :func:`plain_parts` cuts them: the entry of each, entries' starts, ids.
+
+        Past the limit a worker keeps the words of this call only, or none if they alone are too many.
+        """
+        found = pc.index_in(words, value_set=self.known)
+        missing = found.is_null().to_numpy(zero_copy_only=False)
+        new = words.filter(found.is_null())
+        ids, lengths = self._new(new.to_pylist())
+        entries = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        entries[missing] = len(self.known) + np.arange(len(new))
+        starts = np.concatenate([self.known_starts, self.known_starts[-1] + np.cumsum(lengths)])
+        flat = np.concatenate([self.known_ids, ids])
+        if self.known.nbytes + new.nbytes + starts.nbytes + flat.nbytes <= KNOWN_BYTES:
+            self.known = pa.concat_arrays([self.known, new])
+            self.known_starts, self.known_ids = starts, flat
+        else:
+            self.clear()
+            first, lengths = starts[entries], np.diff(starts)[entries]
+            if words.nbytes + 8 * len(words) + 4 * int(lengths.sum()) <= KNOWN_BYTES:
+                self.known = words
+                self.known_starts, self.known_ids = offsets_of(lengths), flat[gather(first, lengths)]
+        return entries, starts, flat
+
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and how many each has."""
+        flat, lengths = array("I"), []
+        if words:
+            tokenize = self.tokenizer.model.tokenize
+            spelled = "\n".join(words).encode().decode("latin-1").translate(self.inner_letters).split("\n")
+            for word, spelling in zip(words, spelled, strict=True):
+                ids = [t.id for t in tokenize(spelling)] if LOW_LETTERS.fullmatch(word) else self.whole(word)
+                flat.extend(ids)
+                lengths.append(len(ids))
+        return np.array(flat, np.uint32), np.array(lengths, np.int64)
 
     def _spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Words with the white space before them; texts with longer white space are cut one by one."""

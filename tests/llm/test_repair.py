@@ -138,3 +138,16 @@ def test_one_document_of_a_file(spark):
         made = repair.Shard(stream.read(row["size"]))
     assert made.doc_ids[0] == 2
     assert made.document(0).tolist() == [*encoder(WORDS).whole("two"), 1]
+
+
+def test_pairs_sort_alike_in_one_number_and_by_an_order():
+    drawn = np.random.default_rng(9)
+    symbols = drawn.integers(0, 40, 5000).astype(np.uint32)
+    at = np.flatnonzero(drawn.random(4999) < 0.7)
+    wide = symbols.copy()
+    wide[-1] = 1 << 31  # behind all pairs: only makes the symbols too wide for one number
+    pairs, places = repair.by_pair(symbols, at[at < 4998])
+    other, others = repair.by_pair(wide, at[at < 4998])
+    assert pairs.tolist() == other.tolist() == sorted(pairs.tolist())
+    assert sorted(places.tolist()) == sorted(others.tolist()) == at[at < 4998].tolist()
+    assert all(int(symbols[p]) << 32 | int(symbols[p + 1]) == k for p, k in zip(places.tolist(), pairs.tolist(), strict=True))

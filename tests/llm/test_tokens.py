@@ -7,8 +7,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hirelake.llm import encoding
-from hirelake.llm.tokens import encoder, vocabulary_path
+from hirelake.llm import encoding, tokens
+from hirelake.llm.tokens import Encoder, encoder, vocabulary_path
 
 BYTES = vocabulary_path("byte_bpe_50k.json")
 WORDS = vocabulary_path("word_bpe_49k.json")
@@ -78,3 +78,38 @@ def test_rows(odd_docs, no_docs):
         assert r["ids_sha256"] == hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(r["decoded"].encode()).hexdigest()
     assert encoding.encoded(no_docs, BYTES).count() == 0
+
+
+LETTERS = ["a", "Z", "é", "É", "Þ", "ß", "ÿ", "×", "÷", "Ā", "ª", "漢", "́", "1", "'", "'s", ".", "!?", "$#", "@",
+           "<|startoftext|>", " ", " ", "  ", "\n", "\t", "\v", "\f", "\r", "\x1c", "\x85", " ", "\0"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from(LETTERS), max_size=30).map("".join), max_size=6), st.integers(0, 3))
+def test_words_cut_many_at_once(found, skipped):
+    coder = encoder(WORDS)
+    wanted = [coder.whole(t or "") for t in found[skipped:]]
+    ids, counts = coder.encode(pa.array(found, pa.string()).slice(skipped))
+    assert ids.tolist() == sum(wanted, []) and counts.tolist() == [len(w) for w in wanted]
+
+
+def test_words_of_a_vocabulary_without_white_space_are_known_by_parts():
+    coder = Encoder(WORDS)
+    texts = ["Stone stone, STONE! stone.", None, " école École; x1\n", "stone: x1"]
+    for _ in range(2):
+        ids, counts = coder.encode(pa.array(texts))
+        assert ids.tolist() == sum([coder.whole(t or "") for t in texts], [])
+    assert sorted(coder.known.to_pylist()) == sorted(["stone", ",", "!", ".", "école", ";", "x1", ":"])
+    assert not coder.index and not coder.parts
+
+
+def test_known_words_are_bounded_by_bytes(monkeypatch):
+    coder = Encoder(WORDS)
+    monkeypatch.setattr(tokens, "KNOWN_BYTES", 4000)
+    drawn = random.Random(2)
+    for size in (3, 3, 3, 3, 40, 3):
+        texts = [" ".join("".join(drawn.choice("abcé1.") for _ in range(size)) for _ in range(60)) for _ in range(3)]
+        ids, counts = coder.encode(pa.array(texts))
+        assert ids.tolist() == sum(map(coder.whole, texts), [])
+        assert coder.known.nbytes + coder.known_starts.nbytes + coder.known_ids.nbytes <= 4000
+        assert len(coder.known_starts) == len(coder.known) + 1 and (size == 40) == (len(coder.known) == 0)
