@@ -3,8 +3,9 @@
 Pass by pass the frequent neighbouring pairs of a shard become nonterminals. A limit falls from level to
 level; a pass takes all pairs that reach it, and of overlapping occurrences the more frequent pair wins. At the
 last level a rule still pays: it costs two symbols and a length, an occurrence saves one symbol. Passes go on
-there until no pair is left that often; from the second on they count the pairs of new symbols alone. Pairs
-across the end of a document stay, so every document begins with a symbol of its own. A shard holds its rules,
+there until no pair is left that often; from the second on they count the pairs of new symbols and those an
+overlap held back: all of a pair's occurrences begin in one pass, so a pair once counted as rare stays rare.
+Pairs across the end of a document stay, so every document begins with a symbol of its own. A shard holds its rules,
 the expansion length of every rule, the symbols, and per document the id, symbols and tokens: any token
 range of a document is found by summing expansion lengths, without expanding what lies before. Symbols
 take as many bits as the shard's largest one needs.
@@ -34,9 +35,9 @@ SHARD_TOKENS = 1 << 20
 FREQUENT = 4
 FIRST_LEVEL = 1024
 LEVEL_STEP = 4
-# Pairs are counted by a hash first, whose table halves as a level doubles: there is room for what falls together.
-HASH_BITS = 21
-LEAST_HASH_BITS = 16
+# From this level up pairs are counted by a hash first; below, most would pass.
+HASH_LEVEL = 64
+HASH_BITS = 17
 MAGIC = b"RPG2"
 HEADER = struct.Struct("<4sIIIIBB")
 
@@ -56,12 +57,11 @@ def compress(ids: np.ndarray, counts: np.ndarray, first_rule: int,
     fresh = None
     while len(symbols) > 1:
         at = likely(symbols, last, level) if fresh is None else fresh
-        pos, group, pairs = chosen(symbols, at, level, frequent)
+        pos, group, pairs, back = chosen(symbols, at, level, frequent)
         if not len(pos):
-            if level == frequent and fresh is None:
+            if level == frequent:
                 break
-            # At the last level all pairs are counted once more: an overlap may have held one back.
-            level, fresh = max(frequent, level // LEVEL_STEP), None
+            level = max(frequent, level // LEVEL_STEP)
             continue
         symbols[pos] = group.astype(np.uint32) + np.uint32(used)
         last[pos] = last[pos + 1]
@@ -74,7 +74,9 @@ def compress(ids: np.ndarray, counts: np.ndarray, first_rule: int,
             level = max(frequent, level // LEVEL_STEP)
             continue
         made = pos - np.arange(len(pos))
-        fresh = np.stack([made - 1, made], axis=1).reshape(-1)
+        back -= np.searchsorted(pos, back)  # where they begin now; beside a new symbol its pair is meant
+        fresh = np.concatenate([made - 1, made, back])
+        fresh.sort()
         fresh = fresh[(fresh >= 0) & (fresh < len(symbols) - 1) & (np.diff(fresh, prepend=-2) > 0)]
         fresh = fresh[~last[fresh]]
     ends = np.flatnonzero(last) + 1
@@ -85,14 +87,15 @@ def compress(ids: np.ndarray, counts: np.ndarray, first_rule: int,
 
 def likely(symbols: np.ndarray, last: np.ndarray, level: int) -> np.ndarray:
     """Where pairs begin that may come ``level`` times: no pair is more frequent than its hash's slot."""
-    bits = min(HASH_BITS, max(LEAST_HASH_BITS, HASH_BITS + 3 - level.bit_length()))
-    slots = (symbols[:-1] * np.uint32(2654435761) + symbols[1:] * np.uint32(2246822519)) >> np.uint32(32 - bits)
+    if level < HASH_LEVEL:
+        return np.flatnonzero(~last[:-1])
+    slots = (symbols[:-1] * np.uint32(2654435761) + symbols[1:] * np.uint32(2246822519)) >> np.uint32(32 - HASH_BITS)
     slots = slots.astype(np.intp)
-    return np.flatnonzero((np.bincount(slots, minlength=1 << bits) >= level).take(slots) & ~last[:-1])
+    return np.flatnonzero((np.bincount(slots, minlength=1 << HASH_BITS) >= level).take(slots) & ~last[:-1])
 
 
 def by_pair(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that begin at ``at``, sorted, and where each one begins."""
+    """A number for each pair that begins at ``at``, sorted as pairs are, and where it begins."""
     width, room = int(symbols.max()).bit_length(), len(symbols).bit_length()
     left, right = symbols[at].astype(np.uint64), symbols[at + 1].astype(np.uint64)
     if 2 * width + room > 64:
@@ -102,14 +105,15 @@ def by_pair(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     # Pair and place in one number: sorted as such, several times faster than by an order.
     keys = (left << np.uint64(width) | right) << np.uint64(room) | at.astype(np.uint64)
     keys.sort()
-    places = (keys & np.uint64((1 << room) - 1)).astype(np.int64)
+    places = (keys & np.uint64((1 << room) - 1)).view(np.int64)
     keys >>= np.uint64(room)
-    return (keys >> np.uint64(width)) << np.uint64(32) | keys & np.uint64((1 << width) - 1), places
+    return keys, places
 
 
 def chosen(symbols: np.ndarray, at: np.ndarray, level: int,
-           frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, number of the pair at each, pairs) to replace, of the pairs that begin at ``at``.
+           frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, number of the pair at each, pairs) to replace, of the pairs that begin at ``at``, and
+    where pairs begin that come ``level`` times and are held back.
 
     A pair has to come ``level`` times, and ``frequent`` times without those that lie over a better one's.
     """
@@ -117,30 +121,34 @@ def chosen(symbols: np.ndarray, at: np.ndarray, level: int,
     heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
     sizes = np.diff(np.append(heads, len(keys)))
     often = sizes >= level
-    places = places[np.repeat(often, sizes)]
-    pairs, sizes = keys[heads[often]], sizes[often]
+    first, places, sizes = places[heads[often]], places[np.repeat(often, sizes)], sizes[often]
     # Ranks by frequency tell pairs apart from here on.
     by_size = np.argsort(sizes, kind="stable")
-    rank = np.empty(len(sizes), np.int32)
+    rank = np.empty(len(sizes), np.int64)
     rank[by_size] = np.arange(1, len(sizes) + 1)
-    pairs = pairs[by_size]
-    order = np.argsort(places)
-    pos, own = places[order], np.repeat(rank, sizes)[order]
+    first = first[by_size]
+    both = places << 32 | np.repeat(rank, sizes)
+    both.sort()
+    places = pos = both >> 32
+    own = both & 0xFFFFFFFF
     beside = pos[1:] == pos[:-1] + 1
     wins = np.ones(len(pos), bool)
     wins[1:] &= ~beside | (own[1:] >= own[:-1])
     wins[:-1] &= ~beside | (own[:-1] >= own[1:])
-    pos, own = pos[wins], own[wins] - 1
+    at, own = np.flatnonzero(wins), own[wins] - 1
+    pos = places[at]
     # Neighbours left over are a run of one symbol: every second one, from the left.
     start = np.append(True, pos[1:] != pos[:-1] + 1)[:len(pos)]
     run = np.maximum.accumulate(np.where(start, np.arange(len(pos)), 0))
     taken = (np.arange(len(pos)) - run) % 2 == 0
-    pos, own = pos[taken], own[taken]
-    pays = np.bincount(own, minlength=len(pairs)) >= frequent
+    at, own = at[taken], own[taken]
+    pays = np.bincount(own, minlength=len(first)) >= frequent
     taken = pays[own]
-    pairs = pairs[pays]
-    return pos[taken], (np.cumsum(pays) - 1)[own[taken]], \
-        np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+    at, own = at[taken], own[taken]
+    first = first[pays]
+    back = np.ones(len(places), bool)
+    back[at] = False
+    return places[at], (np.cumsum(pays) - 1)[own], np.stack([symbols[first], symbols[first + 1]], axis=1), places[back]
 
 
 def stages(rules: np.ndarray, first_rule: int) -> Iterator[tuple[int, int]]:

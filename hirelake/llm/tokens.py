@@ -25,6 +25,8 @@ ENTRY_BYTES = 200
 WORD_CHARS = 64
 # The same for words of a vocabulary that drops white space, in bytes as they lie in arrays.
 KNOWN_BYTES = 24 << 20
+# New words whose tokens are Python objects at once.
+NEW_WORDS = 1024
 # Words whose pre-tokens are plain to see: letters, then signs. Everything else takes the library's
 # whole path.
 PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*%&$#|]*)")
@@ -181,9 +183,11 @@ class Encoder:
             words, counts = plain_parts(texts)
             coded = words.dictionary_encode()
             known, starts, flat = self._known(coded.dictionary)
-            entries = known[coded.indices.to_numpy(zero_copy_only=False)]
+            entries, codes = known, coded.indices.to_numpy(zero_copy_only=False)
         first = starts[entries]
         lengths = starts[entries + 1] - first
+        if not self.spaces:
+            first, lengths = first.take(codes), lengths.take(codes)
         ids = flat[gather(first, lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         stops = np.cumsum(counts)
@@ -216,13 +220,14 @@ class Encoder:
     def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words in a row, and how many each has."""
         flat, lengths = array("I"), []
-        if words:
-            tokenize = self.tokenizer.model.tokenize
-            spelled = "\n".join(words).encode().decode("latin-1").translate(self.inner_letters).split("\n")
-            for word, spelling in zip(words, spelled, strict=True):
-                ids = [t.id for t in tokenize(spelling)] if LOW_LETTERS.fullmatch(word) else self.whole(word)
-                flat.extend(ids)
-                lengths.append(len(ids))
+        tokenize = self.tokenizer.model.tokenize
+        for a in range(0, len(words), NEW_WORDS):
+            some = words[a:a + NEW_WORDS]
+            spelled = "\n".join(some).encode().decode("latin-1").translate(self.inner_letters).split("\n")
+            made = [tokenize(s) if LOW_LETTERS.fullmatch(w) else self.whole(w)
+                    for w, s in zip(some, spelled, strict=True)]
+            flat.extend([t if type(t) is int else t.id for part in made for t in part])
+            lengths.extend(map(len, made))
         return np.array(flat, np.uint32), np.array(lengths, np.int64)
 
     def _spaced(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

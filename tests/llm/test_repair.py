@@ -146,8 +146,21 @@ def test_pairs_sort_alike_in_one_number_and_by_an_order():
     at = np.flatnonzero(drawn.random(4999) < 0.7)
     wide = symbols.copy()
     wide[-1] = 1 << 31  # behind all pairs: only makes the symbols too wide for one number
-    pairs, places = repair.by_pair(symbols, at[at < 4998])
-    other, others = repair.by_pair(wide, at[at < 4998])
-    assert pairs.tolist() == other.tolist() == sorted(pairs.tolist())
-    assert sorted(places.tolist()) == sorted(others.tolist()) == at[at < 4998].tolist()
-    assert all(int(symbols[p]) << 32 | int(symbols[p + 1]) == k for p, k in zip(places.tolist(), pairs.tolist(), strict=True))
+    at = at[at < 4998]
+    wanted = sorted(zip(symbols[at].tolist(), symbols[at + 1].tolist(), strict=True))
+    for given in (symbols, wide):
+        pairs, places = repair.by_pair(given, at)
+        assert list(zip(symbols[places].tolist(), symbols[places + 1].tolist(), strict=True)) == wanted
+        assert sorted(places.tolist()) == at.tolist()
+        assert [int(n) for n in np.diff(pairs) > 0] == [int(a != b) for a, b in zip(wanted, wanted[1:])]
+
+
+def test_pairs_are_counted_again_only_where_something_changed(monkeypatch):
+    counted = []
+    plain = repair.likely
+    monkeypatch.setattr(repair, "likely", lambda symbols, *rest: counted.append(rest[-1]) or plain(symbols, *rest))
+    for seed in range(4):
+        counted.clear()
+        made = shard(random_docs(seed, 120))
+        assert max(map(counted.count, counted)) == 1
+        assert sum(n >= repair.FREQUENT for n in pair_counts(made).values()) <= 2
